@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The analysis this package re-implements is a batch analysis over two tables; it has no stream
+source, sink or stateful operator, so nothing here is registered as a query.
+"""
