@@ -1,0 +1,100 @@
+"""Distinct accounts seen on a device so far: exact against a brute-force self-join."""
+
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from riskbands.operators.device_history import (accounts_per_device_history,
+                                                device_account_counts, shared_device_tx)
+from riskbands.policy import Policy
+
+from .conftest import tx_row
+
+
+def brute_force(rows):
+    """The self-join definition, in plain Python."""
+    groups = {}
+    for a in rows:
+        tid, ts, acc, dev = a[0], a[1], a[2], a[3]
+        if dev is None or ts is None:
+            continue
+        seen = {b[2] for b in rows if b[3] == dev and b[1] is not None and b[1] <= ts and b[2] is not None}
+        groups[(acc, tid, dev, ts)] = len(seen)
+    return groups
+
+
+def run(make_tx, rows, policy=Policy()):
+    tx, _ = make_tx(rows)
+    got = accounts_per_device_history(tx, policy).collect()
+    return {(r.account_id, r.transaction_id, r.device_id, r.transaction_timestamp): r.total_accounts
+            for r in got}
+
+
+def test_tie_rule_all_four_reach_four(make_tx):
+    rows = [tx_row(f"t{i}", ts=1000, account=f"a{i}") for i in range(4)]
+    assert set(run(make_tx, rows).values()) == {4}
+
+
+def test_account_returns(make_tx):
+    accs = ["a", "b", "a", "c", "d"]
+    rows = [tx_row(f"t{i}", ts=1000 * i, account=a) for i, a in enumerate(accs)]
+    got = run(make_tx, rows)
+    assert [got[(a, f"t{i}", "d1", 1000 * i)] for i, a in enumerate(accs)] == [1, 2, 2, 3, 4]
+
+
+def test_null_device_and_timestamp_have_no_history(make_tx):
+    rows = [tx_row("t1", device=None), tx_row("t2", ts=None), tx_row("t3", account=None)]
+    got = run(make_tx, rows)
+    assert got == {(None, "t3", "d1", 0): 0}
+
+
+def test_duplicates_collapse_to_one_group(make_tx):
+    rows = [tx_row("t1", ts=5, account="a"), tx_row("t1", ts=5, account="a"), tx_row("t2", ts=6, account="b")]
+    got = run(make_tx, rows)
+    assert got == {("a", "t1", "d1", 5): 1, ("b", "t2", "d1", 6): 2}
+
+
+def test_slices_are_exact_across_bucket_edges(make_tx):
+    # tiny slices force many buckets per device, with ties on the edges
+    rows = []
+    rnd = random.Random(7)
+    for i in range(300):
+        rows.append(tx_row(f"t{i}", ts=rnd.randrange(0, 50), account=f"a{rnd.randrange(12)}",
+                           device=f"d{rnd.randrange(3)}"))
+    for bucket in (1, 3, 7, 10_000):
+        assert run(make_tx, rows, Policy(history_bucket_ms=bucket)) == brute_force(rows)
+
+
+def test_negative_timestamps(make_tx):
+    rows = [tx_row("t1", ts=-7, account="a"), tx_row("t2", ts=-1, account="b"),
+            tx_row("t3", ts=3, account="c")]
+    got = run(make_tx, rows, Policy(history_bucket_ms=4))
+    assert got == brute_force(rows)
+
+
+def test_shared_device_threshold(make_tx):
+    rows = [tx_row(f"t{i}", ts=i, account=f"a{i % 5}") for i in range(8)]
+    tx, _ = make_tx(rows)
+    ids = sorted(r.transaction_id for r in shared_device_tx(tx).collect())
+    assert ids == ["t3", "t4", "t5", "t6", "t7"]
+
+
+def test_counts_are_per_device_and_timestamp(make_tx):
+    rows = [tx_row("t1", ts=1, account="a"), tx_row("t2", ts=1, account="b", device="d2")]
+    tx, _ = make_tx(rows)
+    got = {(r.device_id, r.transaction_timestamp): r.total_accounts
+           for r in device_account_counts(tx).collect()}
+    assert got == {("d1", 1): 1, ("d2", 1): 1}
+
+
+row = st.tuples(st.integers(0, 30), st.one_of(st.none(), st.integers(0, 20)),
+                st.one_of(st.none(), st.sampled_from("abcdef")),
+                st.one_of(st.none(), st.sampled_from("xyz")))
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(row, min_size=0, max_size=40), st.sampled_from([1, 2, 5, 1000]))
+def test_property_equals_self_join(make_tx, data, bucket):
+    rows = [tx_row(f"t{i}", ts=ts, account=acc, device=dev) for i, ts, acc, dev in data]
+    assert run(make_tx, rows, Policy(history_bucket_ms=bucket)) == brute_force(rows)
