@@ -65,21 +65,24 @@ def box_stats(frame: DataFrame, cols=("transaction_value", "distance_to_frequent
     point qualifies the whisker sits on the box edge.  Outliers are points beyond the fences.
     """
     quart = frame.agg(*[_quantiles(c, (0.25, 0.5, 0.75), policy).alias(c) for c in cols])
+    # the quartiles enter the second pass as one scalar subquery, projected once as a column
+    # (referencing a subquery many times makes the optimizer plan every copy)
     q = quart.select(F.struct(*[F.col(c) for c in cols]).alias("q")).scalar()
-    aggs, meta = [], []
+    withq = frame.select(*[F.col(c).cast("double").alias(c) for c in cols], q.alias("_q"))
+    aggs, meta = [F.any_value("_q").alias("_q")], []
     for c in cols:
-        x = F.col(c).cast("double")
-        q1, med, q3 = q[c][0], q[c][1], q[c][2]
+        x = F.col(c)
+        q1, q3 = F.col("_q")[c][0], F.col("_q")[c][2]
         lo_fence = q1 - F.lit(whis) * (q3 - q1)
         hi_fence = q3 + F.lit(whis) * (q3 - q1)
         aggs += [F.count(x).alias(f"{c}__n"),
                  F.min(F.when(x >= lo_fence, x)).alias(f"{c}__wlo"),
                  F.max(F.when(x <= hi_fence, x)).alias(f"{c}__whi"),
                  F.count(F.when((x < lo_fence) | (x > hi_fence), x)).alias(f"{c}__out")]
-        meta.append((c, q1, med, q3))
-    one = frame.agg(*aggs)
+    one = withq.agg(*aggs)
     rows = []
-    for c, q1, med, q3 in meta:
+    for c in cols:
+        q1, med, q3 = F.col("_q")[c][0], F.col("_q")[c][1], F.col("_q")[c][2]
         wlo, whi = F.col(f"{c}__wlo"), F.col(f"{c}__whi")
         rows.append(F.struct(
             F.lit(c).alias("column_name"), F.col(f"{c}__n").alias("count"),
@@ -93,27 +96,28 @@ def box_stats(frame: DataFrame, cols=("transaction_value", "distance_to_frequent
 def zscore_filter(frame: DataFrame, column: str, cut: float) -> DataFrame:
     """Rows whose population z-score on ``column`` is within (-cut, cut); nulls drop."""
     x = F.col(column).cast("double")
-    s = frame.agg(F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).alias("z")).scalar()
+    z = frame.agg(F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).alias("z")).scalar()
     # a constant column has std 0: every z is undefined and no row is kept
-    return frame.where(F.abs(F.try_divide(x - s["m"], s["s"])) < F.lit(cut))
+    return (frame.withColumn("_z", z)
+            .where(F.abs(F.try_divide(x - F.col("_z.m"), F.col("_z.s"))) < F.lit(cut))
+            .drop("_z"))
 
 
 def histogram(frame: DataFrame, column: str, bins: int | str = 50) -> DataFrame:
     """Equal-width histogram over [min, max] of the non-null values, every bin listed:
     (bin, bin_start, bin_end, count).  The last bin is closed on the right.
 
-    ``bins`` is a count or "auto" (the larger of the Sturges and Freedman-Diaconis bin
-    counts, as numpy's "auto" rule).
+    ``bins`` is a count or "auto" (the smaller bin width of the Sturges and Freedman-Diaconis
+    rules, as numpy's "auto").  Two passes over the data: range statistics (a scalar
+    subquery), then bin counts; the full bin grid is generated from the tiny count table.
     """
     x = F.col(column).cast("double")
     vals = frame.select(x.alias("x")).where(F.col("x").isNotNull())
+    quart = (F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))) if bins == "auto"
+             else F.lit(None).cast("array<double>"))
     st = vals.agg(F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
-                  F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q")
-                  if bins == "auto" else F.lit(None).alias("q"))
-    flat = st.select("n", F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5)
-                     .otherwise(F.col("mn")).alias("lo"),
-                     F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5)
-                     .otherwise(F.col("mx")).alias("hi"), "mn", "mx", "q")
+                  quart.alias("q"))
+    same = F.col("mn") == F.col("mx")
     if bins == "auto":
         ptp = F.col("mx") - F.col("mn")
         n = F.col("n").cast("double")
@@ -123,46 +127,58 @@ def histogram(frame: DataFrame, column: str, bins: int | str = 50) -> DataFrame:
         nb = F.when(width > 0, F.ceil(ptp / width)).otherwise(F.lit(1)).cast("int")
     else:
         nb = F.lit(int(bins))
-    spec = flat.select("lo", "hi", nb.alias("nb"), F.col("n"))
-    s = spec.select(F.struct("lo", "hi", "nb").alias("s")).scalar()
-    lo, hi, k = s["lo"], s["hi"], s["nb"]
+    s = st.select(F.struct(
+        F.col("n").alias("n"),
+        F.when(same, F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
+        F.when(same, F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"),
+        nb.alias("nb"))).scalar()
+    lo, hi, k = F.col("_s.lo"), F.col("_s.hi"), F.col("_s.nb")
     step = (hi - lo) / k
+
+    def start(b: Column) -> Column:
+        return lo + b * step
+
+    def end(b: Column) -> Column:
+        return F.when(b + 1 == k, hi).otherwise(lo + (b + 1) * step)
+
+    # bin index as numpy computes it: scaled floor, then corrected against the bin edges
     i0 = F.least(F.floor((F.col("x") - lo) * (k / (hi - lo))), k - 1).cast("int")
-    edge = lo + i0 * step
-    nxt = F.when(i0 + 1 == k, hi).otherwise(lo + (i0 + 1) * step)
-    idx = (F.when(F.col("x") < edge, i0 - 1)
-           .when((F.col("x") >= nxt) & (i0 != k - 1), i0 + 1).otherwise(i0))
-    counts = vals.select(idx.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    grid = (spec.where(F.col("n") > 0)
-            .select(F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bin"), "lo", "hi", "nb"))
-    g_step = (F.col("hi") - F.col("lo")) / F.col("nb")
-    return (grid.join(counts, "bin", "left")
-            .select("bin", (F.col("lo") + F.col("bin") * g_step).alias("bin_start"),
-                    F.when(F.col("bin") + 1 == F.col("nb"), F.col("hi"))
-                    .otherwise(F.col("lo") + (F.col("bin") + 1) * g_step).alias("bin_end"),
-                    F.coalesce(F.col("count"), F.lit(0)).alias("count"))
-            .orderBy("bin"))
+    idx = (F.when(F.col("x") < start(i0), i0 - 1)
+           .when((F.col("x") >= end(i0)) & (i0 != k - 1), i0 + 1).otherwise(i0))
+    counts = (vals.select("x", s.alias("_s")).select(idx.alias("bin"))
+              .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
+    # the count table has at most nb rows (one per non-empty bin): fold it into one map and
+    # expand the full grid from it, empty bins included
+    filled = counts.agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("m"))
+    b = F.col("bin")
+    return (filled.select("m", s.alias("_s")).where(F.col("_s.n") > 0)
+            .select(F.explode(F.sequence(F.lit(0), k - 1)).alias("bin"), "m", "_s")
+            .select(b, start(b).alias("bin_start"), end(b).alias("bin_end"),
+                    F.coalesce(F.element_at(F.col("m"), b), F.lit(0).cast("long")).alias("count")))
 
 
 def correlation_matrix(frame: DataFrame, cols=NUMERIC_COLUMNS) -> DataFrame:
     """Pairwise-complete Pearson correlation for every ordered pair: (x, y, r).
 
-    r = covar_pop(x, y) / (std_pop(x | y present) * std_pop(y | x present)); null when a
-    column is constant on the pair's rows or no pair exists (no ANSI error, no NaN).
+    r = covar_pop(x, y) / (std_pop(x) * std_pop(y)) over the rows where both are present;
+    null when a column is constant on those rows or there are none (no ANSI error, no NaN).
+    Each row is turned into one (pair, x, y) row per unordered pair inside the scan stage and
+    aggregated per pair: a 10-field buffer that stays in whole-stage codegen, instead of one
+    aggregate with hundreds of buffer fields that does not.
     """
-    aggs = {}
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            xa, xb = F.col(a).cast("double"), F.col(b).cast("double")
-            sa = F.stddev_pop(F.when(xb.isNotNull(), xa))
-            sb = F.stddev_pop(F.when(xa.isNotNull(), xb))
-            den = sa * sb
-            aggs[(a, b)] = F.try_divide(F.covar_pop(xa, xb), F.when(den != 0, den)).alias(f"{a}__{b}")
-    one = frame.agg(*aggs.values())
-    rows = []
-    for a in cols:
-        for b in cols:
-            key = (a, b) if (a, b) in aggs else (b, a)
-            rows.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"),
-                                 F.col(f"{key[0]}__{key[1]}").alias("r")))
-    return one.select(F.inline(F.array(*rows)))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    tall = F.array(*[F.struct(F.lit(k).alias("k"), F.col(a).cast("double").alias("a"),
+                              F.col(b).cast("double").alias("b")) for k, (a, b) in enumerate(pairs)])
+    per_pair = (frame.select(F.inline(tall))
+                .where(F.col("a").isNotNull() & F.col("b").isNotNull())
+                .groupBy("k")
+                .agg(F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"),
+                     F.stddev_pop("b").alias("sb"))
+                .select("k", F.try_divide(F.col("c"), F.when(F.col("sa") * F.col("sb") != 0,
+                                                              F.col("sa") * F.col("sb"))).alias("r")))
+    # every ordered pair, from the unordered result (a tiny frame of at most len(pairs) rows)
+    order = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"),
+                               F.lit(pairs.index((a, b) if (a, b) in pairs else (b, a))).alias("k"))
+                      for a in cols for b in cols])
+    keys = per_pair.agg(F.count(F.lit(1)).alias("_n")).select(F.inline(order))
+    return keys.join(per_pair, "k", "left").select("x", "y", "r")
