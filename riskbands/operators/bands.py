@@ -36,7 +36,14 @@ def high_risk_band(tx: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 
 def _fraud_ids(feedback: DataFrame) -> DataFrame:
-    return feedback.select(F.col(ID).alias("_fb_id"))
+    return feedback.select(F.col(ID).alias("_fb_id")).where(F.col("_fb_id").isNotNull())
+
+
+def split_null_ids(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with an id, rows without).  A null id never matches an equi-join, so those rows
+    skip the id joins instead of all hashing to one reducer (a hot null key would otherwise
+    land a large share of the table in a single task)."""
+    return tx.where(F.col(ID).isNotNull()), tx.where(F.col(ID).isNull())
 
 
 def label_fraud(tx: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -44,17 +51,20 @@ def label_fraud(tx: DataFrame, feedback: DataFrame) -> DataFrame:
 
     Left-join semantics: a feedback id listed twice yields the transaction twice.
     """
+    known, unknown = split_null_ids(tx)
     fb = _fraud_ids(feedback)
-    return (tx.join(fb, tx[ID] == fb["_fb_id"], "left")
-            .select(*[tx[c] for c in tx.columns],
-                    F.when(F.col("_fb_id").isNotNull(), 1).otherwise(0).alias("is_fraud")))
+    matched = (known.join(fb, known[ID] == fb["_fb_id"], "left")
+               .select(*[known[c] for c in tx.columns],
+                       F.when(F.col("_fb_id").isNotNull(), 1).otherwise(0).alias("is_fraud")))
+    return matched.unionByName(unknown.withColumn("is_fraud", F.lit(0)))
 
 
 def medium_low_band(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFAULT,
                     high: DataFrame | None = None) -> DataFrame:
     """Transactions not in the high band, with ``is_fraud`` and ``has_null_value``."""
     high = high_risk_band(tx, policy) if high is None else high
-    rest = tx.join(high, ID, "left_anti")
+    known, unknown = split_null_ids(tx)
+    rest = known.join(high, ID, "left_anti").unionByName(unknown)
     return label_fraud(rest, feedback).withColumn("has_null_value", has_null_value())
 
 
@@ -67,13 +77,20 @@ def risk_bands(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFAULT,
     Each row is classified once (ids are matched by equality, so a null id is never high).
     """
     high = high_risk_band(tx, policy) if high is None else high
-    hb = high.select(F.col(ID).alias("_hr_id"))
-    labelled = label_fraud(tx, feedback)
-    return (labelled.join(hb, labelled[ID] == hb["_hr_id"], "left")
-            .withColumn("has_null_value", has_null_value())
-            .select(*[labelled[c] for c in labelled.columns],
-                    F.when(F.col("_hr_id").isNotNull(), "high")
-                    .when(is_low_risk(policy), "low")
+    hb = high.select(F.col(ID).alias("_hr_id")).where(F.col("_hr_id").isNotNull())
+    fb = _fraud_ids(feedback)
+    known, unknown = split_null_ids(tx)
+    cols = [known[c] for c in tx.columns]
+    labelled = (known.join(fb, known[ID] == fb["_fb_id"], "left")
+                .select(*cols, F.when(F.col("_fb_id").isNotNull(), 1).otherwise(0).alias("is_fraud")))
+    banded = (labelled.join(hb, labelled[ID] == hb["_hr_id"], "left")
+              .select(*[labelled[c] for c in labelled.columns],
+                      F.col("_hr_id").isNotNull().alias("_high")))
+    rows = banded.unionByName(unknown.select(*tx.columns, F.lit(0).alias("is_fraud"),
+                                             F.lit(False).alias("_high")))
+    return (rows.withColumn("has_null_value", has_null_value())
+            .select(*tx.columns, "is_fraud",
+                    F.when(F.col("_high"), "high").when(is_low_risk(policy), "low")
                     .otherwise("mid").alias("risk_band")))
 
 
@@ -89,5 +106,6 @@ def non_high_risk_base(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFA
     The distance rule is *not* applied here, so the distance ladder can show the far bins.
     """
     flagged = (rule_any_flag(tx).unionByName(shared_device_tx(tx, policy, distinct_groups=False))
-               .distinct())
-    return label_fraud(tx, feedback).join(flagged, ID, "left_anti")
+               .where(F.col(ID).isNotNull()).distinct())
+    known, unknown = split_null_ids(tx)
+    return label_fraud(known.join(flagged, ID, "left_anti").unionByName(unknown), feedback)

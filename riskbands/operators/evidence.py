@@ -80,9 +80,12 @@ def fraud_by_device_accounts(tx: DataFrame, feedback: DataFrame, policy: Policy
             .select("device_id", "transaction_timestamp", ID)
             .join(device_account_counts(tx, policy), ["device_id", "transaction_timestamp"]))
     fb = feedback.select(F.col(ID).alias("_fb_id")).where(F.col("_fb_id").isNotNull()).distinct()
-    per_id = (hist.join(fb, hist[ID] == fb["_fb_id"], "left")
-              .groupBy("total_accounts", ID)
-              .agg(F.max(F.col("_fb_id").isNotNull().cast("int")).alias("_is_fb")))
+    known = hist.where(F.col(ID).isNotNull())
+    marked = (known.join(fb, known[ID] == fb["_fb_id"], "left")
+              .select("total_accounts", ID, F.col("_fb_id").isNotNull().cast("int").alias("_fb"))
+              .unionByName(hist.where(F.col(ID).isNull())
+                           .select("total_accounts", ID, F.lit(0).alias("_fb"))))
+    per_id = marked.groupBy("total_accounts", ID).agg(F.max("_fb").alias("_is_fb"))
     agg = per_id.groupBy(F.col("total_accounts").alias("CountDistinct")).agg(
         F.count(ID).alias("total_transactions"), F.sum("_is_fb").alias("total_frauds"))
     return (agg.select("CountDistinct", "total_transactions", "total_frauds",

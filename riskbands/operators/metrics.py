@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import exact_cost, money, safe_div
 from ..policy import DEFAULT, Policy
-from .bands import ID
+from .bands import ID, split_null_ids
 
 VALUE = "transaction_value"
 
@@ -33,10 +33,16 @@ def _id_reduce(frame: DataFrame, counts: dict[str, Column], sums: dict[str, Colu
 
 
 def _current(tx: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Transactions left-joined to feedback with ``fb`` (a feedback row matched)."""
-    fb = feedback.select(F.col(ID).alias("_fb_id"))
-    return (tx.join(fb, tx[ID] == fb["_fb_id"], "left")
-            .select(tx[ID], tx[VALUE], tx["client_decision"], F.col("_fb_id").isNotNull().alias("fb")))
+    """Transactions left-joined to feedback with ``fb`` (a feedback row matched).
+
+    Rows without an id cannot match, so they skip the join (no hot null key in a shuffle).
+    """
+    fb = feedback.select(F.col(ID).alias("_fb_id")).where(F.col("_fb_id").isNotNull())
+    known, unknown = split_null_ids(tx)
+    cols = [ID, VALUE, "client_decision"]
+    matched = (known.join(fb, known[ID] == fb["_fb_id"], "left")
+               .select(*[known[c] for c in cols], F.col("_fb_id").isNotNull().alias("fb")))
+    return matched.unionByName(unknown.select(*cols, F.lit(False).alias("fb")))
 
 
 def has_fb() -> Column:

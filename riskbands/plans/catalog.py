@@ -96,10 +96,12 @@ def _q_save_table(spark, sf):
 
 @query("overwrite_table")
 def _q_overwrite_table(spark, sf):
-    """A table created from the high band, then replaced by the banded transactions."""
+    """The high band saved as a table once; a banded table created, then overwritten with
+    the bands computed from the saved high band, and read back."""
     tx, fb = _tx(spark, sf)
-    name = IO.save_table(spark, B.high_risk_band(tx), IO.unique_table_name("transactions_with_bands"))
-    IO.overwrite_table(spark, B.risk_bands(tx, fb), name)
+    high = IO.save_table(spark, B.high_risk_band(tx), IO.unique_table_name("high_risk_band"))
+    name = IO.save_table(spark, B.label_fraud(tx, fb), IO.unique_table_name("transactions_with_bands"))
+    IO.overwrite_table(spark, B.risk_bands(tx, fb, high=IO.read_table(spark, high)), name)
     return IO.read_table(spark, name)
 
 
