@@ -13,10 +13,6 @@ MS_PER_HOUR = 3_600_000
 MS_PER_DAY = 86_400_000
 
 
-def col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def safe_div(num: Column, den: Column) -> Column:
     """ANSI-safe division: null (not an error) when the denominator is 0 or null."""
     return F.try_divide(num, den)
