@@ -4,9 +4,11 @@ A ladder is an ordered list of bins ``[lo, hi]``.  A value falls in the first bi
 contains it (so a shared edge belongs to the lower bin), values above the last edge get the
 top label, and everything else (negative, in a gap, null) is ``unknown``.
 
-Bins are built from segment rules, and a value's bin is found with a balanced binary
-search over the bin edges (about log2(n) comparisons per row instead of an n-branch CASE),
-all as built-in Column expressions so it stays inside whole-stage codegen.
+Bins are built from segment rules (start, stop, width).  A value's bin is computed per segment
+as ceil((x - start) / width), then corrected by one exact comparison with the integer edges
+on each side (the division alone can land a value just above an edge in the lower bin).  That is
+a handful of built-in operations per row instead of an n-branch CASE, so the expression stays
+small enough for whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -28,18 +30,21 @@ class BinSpec:
     bins: tuple[tuple[float, float], ...]
     top_label: str
     unknown_label: str = "unknown"
+    segments: tuple[tuple[float, float, float], ...] = ()
 
     @staticmethod
     def from_segments(column: str, label_column: str, segments, top_label: str) -> "BinSpec":
         """segments: (start, stop, width) -> bins start..stop in steps of width."""
         bins = []
         for start, stop, width in segments:
+            if (stop - start) % width:
+                raise ValueError("a segment must hold a whole number of bins")
             lo = start
             while lo < stop:
-                hi = min(lo + width, stop)
-                bins.append((float(lo), float(hi)))
-                lo = hi
-        return BinSpec(column, label_column, tuple(bins), top_label)
+                bins.append((float(lo), float(lo + width)))
+                lo += width
+        segs = tuple((float(a), float(b), float(w)) for a, b, w in segments)
+        return BinSpec(column, label_column, tuple(bins), top_label, segments=segs)
 
     @property
     def labels(self) -> list[str]:
@@ -55,20 +60,23 @@ class BinSpec:
         return len(self.bins) + 2
 
     def rank(self, x: Column | None = None) -> Column:
-        """1-based bin rank of ``x`` (int)."""
+        """1-based bin rank of ``x`` (int): first closed bin containing x, else top / unknown."""
         x = F.col(self.column) if x is None else x
-        bins = self.bins
-
-        def search(i: int, j: int) -> Column:
-            if i == j:
-                lo = bins[i][0]
-                return F.when(x >= F.lit(lo), F.lit(i + 1))
-            m = (i + j) // 2
-            return F.when(x <= F.lit(bins[m][1]), search(i, m)).otherwise(search(m + 1, j))
-
-        return (F.when(x.isNull(), F.lit(self.unknown_rank))
-                .when(x > F.lit(bins[-1][1]), F.lit(self.top_rank))
-                .otherwise(F.coalesce(search(0, len(bins) - 1), F.lit(self.unknown_rank))))
+        xd = x.cast("double")
+        out = F.when(x.isNull(), F.lit(self.unknown_rank)).when(
+            x > F.lit(self.bins[-1][1]), F.lit(self.top_rank))
+        offset = 0
+        for start, stop, width in self.segments:
+            m = int(round((stop - start) / width))
+            j0 = F.least(F.greatest(F.ceil((xd - F.lit(start)) / F.lit(width)), F.lit(1)), F.lit(m))
+            up = xd > F.lit(start) + j0 * F.lit(width)  # above bin j0's upper edge
+            down = (j0 > 1) & (xd <= F.lit(start) + (j0 - 1) * F.lit(width))  # on/below its lower edge
+            j = j0 + F.when(up, 1).otherwise(0) - F.when(down, 1).otherwise(0)
+            # first segment whose upper end reaches x; below its start (a gap) is unknown
+            out = out.when(x <= F.lit(stop), F.when(x >= F.lit(start), (j + offset).cast("int"))
+                           .otherwise(F.lit(self.unknown_rank)))
+            offset += m
+        return out.otherwise(F.lit(self.unknown_rank))
 
     def label_of(self, rank: Column) -> Column:
         """Label for a rank column (a constant-array lookup)."""
