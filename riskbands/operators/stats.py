@@ -12,14 +12,36 @@ from pyspark.sql import functions as F
 
 from ..policy import DEFAULT, Policy
 from .profile import CLEAN_COLUMNS, NUMERIC_COLUMNS
+from .quantiles import column_quantiles
 
 
-def _quantiles(c: str, probs, policy: Policy) -> Column:
-    x = F.col(c).cast("double")
-    if policy.exact_quantiles:
-        # exact, linear interpolation (same as pandas / numpy defaults)
-        return F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
-    return F.percentile_approx(x, [float(p) for p in probs], policy.approx_accuracy)
+def quantile_exprs(frame: DataFrame, cols, probs, policy: Policy = DEFAULT) -> dict[str, Column]:
+    """Per column, an aggregate expression giving the array of quantiles at ``probs``.
+
+    "bounded" (default): one count per column first; a column with at most
+    ``quantile_shard_rows`` values uses exact ``percentile`` inside the caller's aggregate
+    (linear interpolation, as pandas / numpy), a larger one is resolved exactly by bounded
+    refinement and enters as a literal array.
+    """
+    probs = [float(p) for p in probs]
+
+    def pct(c: str) -> Column:
+        return F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs]))
+
+    if policy.quantile_method == "approx":
+        return {c: F.percentile_approx(F.col(c).cast("double"), probs, policy.approx_accuracy)
+                for c in cols}
+    if policy.quantile_method == "percentile":
+        return {c: pct(c) for c in cols}
+    counts = frame.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
+    out = {}
+    for c in cols:
+        if counts[c] <= policy.quantile_shard_rows:
+            out[c] = pct(c)
+        else:
+            vals = column_quantiles(frame, c, counts[c], probs, policy.quantile_shard_rows)
+            out[c] = F.array(*[F.lit(v).cast("double") for v in vals])
+    return out
 
 
 def clean(frame: DataFrame, cols=CLEAN_COLUMNS) -> DataFrame:
@@ -30,12 +52,13 @@ def clean(frame: DataFrame, cols=CLEAN_COLUMNS) -> DataFrame:
 def describe(frame: DataFrame, cols=NUMERIC_COLUMNS, policy: Policy = DEFAULT) -> DataFrame:
     """pandas-style describe as tidy rows:
     (column_name, count, mean, std, min, p25, p50, p75, max); std is the sample std."""
+    quart = quantile_exprs(frame, cols, (0.25, 0.5, 0.75), policy)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__n"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 _quantiles(c, (0.25, 0.5, 0.75), policy).alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
+                 quart[c].alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
     one = frame.agg(*aggs)
     rows = F.array(*[F.struct(
         F.lit(c).alias("column_name"), F.col(f"{c}__n").alias("count"),
@@ -49,7 +72,8 @@ def describe(frame: DataFrame, cols=NUMERIC_COLUMNS, policy: Policy = DEFAULT) -
 def quantile_table(frame: DataFrame, cols=CLEAN_COLUMNS, policy: Policy = DEFAULT) -> DataFrame:
     """One row per probability in ``policy.quantiles`` with each column's quantile."""
     probs = policy.quantiles
-    one = frame.agg(*[_quantiles(c, probs, policy).alias(c) for c in cols])
+    qs = quantile_exprs(frame, cols, probs, policy)
+    one = frame.agg(*[qs[c].alias(c) for c in cols])
     rows = F.array(*[F.struct(F.lit(float(p)).alias("quantile"),
                               *[F.col(c)[i].alias(c) for c in cols]) for i, p in enumerate(probs)])
     return one.select(F.inline(rows))
@@ -64,7 +88,8 @@ def box_stats(frame: DataFrame, cols=("transaction_value", "distance_to_frequent
     Whiskers reach the most extreme data point within ``whis`` * IQR of the box; when no
     point qualifies the whisker sits on the box edge.  Outliers are points beyond the fences.
     """
-    quart = frame.agg(*[_quantiles(c, (0.25, 0.5, 0.75), policy).alias(c) for c in cols])
+    qs = quantile_exprs(frame, cols, (0.25, 0.5, 0.75), policy)
+    quart = frame.agg(*[qs[c].alias(c) for c in cols])
     # the quartiles enter the second pass as one scalar subquery, projected once as a column
     # (referencing a subquery many times makes the optimizer plan every copy)
     q = quart.select(F.struct(*[F.col(c) for c in cols]).alias("q")).scalar()
@@ -103,7 +128,8 @@ def zscore_filter(frame: DataFrame, column: str, cut: float) -> DataFrame:
             .drop("_z"))
 
 
-def histogram(frame: DataFrame, column: str, bins: int | str = 50) -> DataFrame:
+def histogram(frame: DataFrame, column: str, bins: int | str = 50,
+              policy: Policy = DEFAULT) -> DataFrame:
     """Equal-width histogram over [min, max] of the non-null values, every bin listed:
     (bin, bin_start, bin_end, count).  The last bin is closed on the right.
 
@@ -113,7 +139,7 @@ def histogram(frame: DataFrame, column: str, bins: int | str = 50) -> DataFrame:
     """
     x = F.col(column).cast("double")
     vals = frame.select(x.alias("x")).where(F.col("x").isNotNull())
-    quart = (F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))) if bins == "auto"
+    quart = (quantile_exprs(vals, ["x"], (0.25, 0.75), policy)["x"] if bins == "auto"
              else F.lit(None).cast("array<double>"))
     st = vals.agg(F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
                   quart.alias("q"))

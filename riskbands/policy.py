@@ -32,10 +32,11 @@ class Policy:
     # most this many distinct millisecond timestamps per device, which bounds the largest
     # window partition no matter how hot a device is.
     history_bucket_ms: int = 3_600_000
-    # Exact percentiles keep every distinct value of a column in one aggregation buffer;
-    # set False to use percentile_approx with ``approx_accuracy`` on very large columns.
-    exact_quantiles: bool = True
+    # Quantiles: "bounded" (exact; a column with more than ``quantile_shard_rows`` values is
+    # refined so no buffer exceeds that size), "percentile" (exact, one buffer holding every
+    # distinct value) or "approx" (percentile_approx with ``approx_accuracy``).
+    quantile_method: str = "bounded"
+    quantile_shard_rows: int = 1_000_000
     approx_accuracy: int = 1_000_000
 
-
 DEFAULT = Policy()
