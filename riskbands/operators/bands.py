@@ -59,6 +59,21 @@ def label_fraud(tx: DataFrame, feedback: DataFrame) -> DataFrame:
     return matched.unionByName(unknown.withColumn("is_fraud", F.lit(0)))
 
 
+def label_fraud_sql(spark, tx: DataFrame, feedback: DataFrame) -> DataFrame:
+    """``label_fraud`` stated as SQL text (``spark.sql`` with DataFrame parameters; no global
+    views).  Same rows and plan shape as the DataFrame form, null ids included."""
+    return spark.sql(
+        """
+        SELECT t.*, CASE WHEN f.transaction_id IS NOT NULL THEN 1 ELSE 0 END AS is_fraud
+        FROM {tx} t
+        LEFT JOIN (SELECT transaction_id FROM {fb} WHERE transaction_id IS NOT NULL) f
+          ON t.transaction_id = f.transaction_id
+        WHERE t.transaction_id IS NOT NULL
+        UNION ALL
+        SELECT t.*, 0 AS is_fraud FROM {tx} t WHERE t.transaction_id IS NULL
+        """, tx=tx, fb=feedback)
+
+
 def medium_low_band(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFAULT,
                     high: DataFrame | None = None) -> DataFrame:
     """Transactions not in the high band, with ``is_fraud`` and ``has_null_value``."""

@@ -246,8 +246,9 @@ def _q_medium_low(spark, sf):
 
 @query("label_fraud")
 def _q_label(spark, sf):
+    """Stated as SQL text (spark.sql), as the analysis does for this step."""
     tx, fb = _tx(spark, sf)
-    return B.label_fraud(tx, fb)
+    return B.label_fraud_sql(spark, tx, fb)
 
 
 @query("risk_bands")

@@ -85,3 +85,11 @@ def test_non_high_risk_base_keeps_far_rows(make_tx):
     tx, fb = make_tx(rows, ["far"])
     got = [(r.transaction_id, r.is_fraud) for r in B.non_high_risk_base(tx, fb).collect()]
     assert got == [("far", 1)]
+
+
+def test_sql_text_labelling_equals_dataframe_form(spark, make_tx):
+    rows = [tx_row("t1"), tx_row("t2"), tx_row(None), tx_row("t1", value=9.0)]
+    tx, fb = make_tx(rows, ["t1", "t1", None, "x"])
+    a = sorted(tuple("" if v is None else v for v in r) for r in B.label_fraud(tx, fb).collect())
+    b = sorted(tuple("" if v is None else v for v in r) for r in B.label_fraud_sql(spark, tx, fb).collect())
+    assert a == b and len(a) == 6
