@@ -67,16 +67,34 @@ def accounts_per_device_history(tx: DataFrame, policy: Policy = DEFAULT) -> Data
         "account_id", "transaction_id", "device_id", TS, "total_accounts")
 
 
+def kth_first_seen(tx: DataFrame, k: int) -> DataFrame:
+    """(device_id, kth_ts): the k-th smallest first-seen time over the device's accounts, for
+    devices with at least k accounts.  A transaction on the device has >= k accounts seen so
+    far exactly when its ts >= kth_ts (ties between accounts included).
+
+    ``row_number() <= k`` lets Spark insert a partial WindowGroupLimit before the shuffle: each
+    map task sends at most k rows per device, so even a device with millions of accounts
+    reaches its window as a handful of rows.
+    """
+    first = (_base(tx).where(F.col("account_id").isNotNull())
+             .groupBy("device_id", "account_id").agg(F.min(TS).alias("fts")))
+    w = Window.partitionBy("device_id").orderBy("fts", "account_id")
+    return (first.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+            .where(F.col("_rn") == k).select("device_id", F.col("fts").alias("kth_ts")))
+
+
 def shared_device_tx(tx: DataFrame, policy: Policy = DEFAULT, distinct_groups: bool = True) -> DataFrame:
     """transaction_id of history rows with >= ``shared_device_accounts`` accounts so far.
 
+    Only the threshold is needed here, so this uses the k-th first-seen time per device (a few
+    shuffles) rather than the full count.  The join to the transactions is on device; a hot
+    device there is a skewed join key, which AQE's skew-join handling splits.
     With ``distinct_groups`` the result has one row per distinct (account, id, device, ts) group,
     as the history table does; callers that dedup ids anyway pass False to skip that shuffle.
     """
-    hot = (device_account_counts(tx, policy)
-           .where(F.col("total_accounts") >= policy.shared_device_accounts)
-           .select("device_id", TS))
+    kth = kth_first_seen(tx, policy.shared_device_accounts)
     rows = _base(tx).select("account_id", "transaction_id", "device_id", TS)
     if distinct_groups:
         rows = rows.distinct()
-    return rows.join(hot, ["device_id", TS]).select("transaction_id")
+    return (rows.join(kth, "device_id").where(F.col(TS) >= F.col("kth_ts"))
+            .select("transaction_id"))

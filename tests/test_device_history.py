@@ -98,3 +98,13 @@ row = st.tuples(st.integers(0, 30), st.one_of(st.none(), st.integers(0, 20)),
 def test_property_equals_self_join(make_tx, data, bucket):
     rows = [tx_row(f"t{i}", ts=ts, account=acc, device=dev) for i, ts, acc, dev in data]
     assert run(make_tx, rows, Policy(history_bucket_ms=bucket)) == brute_force(rows)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(row, min_size=0, max_size=40), st.integers(1, 4))
+def test_property_threshold_equals_self_join(make_tx, data, k):
+    rows = [tx_row(f"t{i}", ts=ts, account=acc, device=dev) for i, ts, acc, dev in data]
+    tx, _ = make_tx(rows)
+    got = sorted(r.transaction_id for r in shared_device_tx(tx, Policy(shared_device_accounts=k)).collect())
+    want = sorted(g[1] for g, n in brute_force(rows).items() if n >= k)
+    assert got == want

@@ -49,3 +49,8 @@ def test_flag_profile_is_one_scan(spark):
 def test_filters_reach_the_scan(spark):
     p = plan(spark, "rule_far_distance")
     assert "PushedFilters: [IsNotNull(distance_to_frequent_location), GreaterThan(distance_to_frequent_location" in p
+
+
+def test_threshold_uses_map_side_group_limit(spark):
+    p = plan(spark, "high_risk_band")
+    assert "WindowGroupLimit" in p and ", Partial" in p
