@@ -79,3 +79,13 @@ def stable(x: Column) -> Column:
     IEEE double->float->double rounding, so last-bit noise disappears.
     """
     return x.cast("float").cast("double")
+
+
+def ident(name: str) -> str:
+    """A column name as a quoted SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_str(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import ident, sql_str
+
 
 def _fmt(v: float) -> str:
     return str(int(v)) if float(v).is_integer() else repr(v)
@@ -78,9 +80,10 @@ class BinSpec:
             offset += m
         return out.otherwise(F.lit(self.unknown_rank))
 
-    def label_of(self, rank: Column) -> Column:
-        """Label for a rank column (a constant-array lookup)."""
-        return F.element_at(F.array(*[F.lit(s) for s in self.labels]), rank)
+    def label_of(self, rank_column: str) -> Column:
+        """Label for an int rank column (one constant-array lookup, built as one expression)."""
+        labels = ", ".join(sql_str(s) for s in self.labels)
+        return F.expr(f"element_at(array({labels}), {ident(rank_column)})")
 
 
 # ---- fixed values: the three ladders of the analysis ----------------------------------

@@ -21,7 +21,7 @@ def ladder(base: DataFrame, spec: BinSpec) -> DataFrame:
            .groupBy("bin_rank")
            .agg(F.count_distinct(ID).alias("total_transactions"),
                 F.sum("is_fraud").alias("total_frauds")))
-    return (agg.select(spec.label_of(F.col("bin_rank")).alias(spec.label_column), "bin_rank",
+    return (agg.select(spec.label_of("bin_rank").alias(spec.label_column), "bin_rank",
                        "total_transactions", "total_frauds",
                        safe_div(F.lit(100) * F.col("total_frauds"),
                                 F.col("total_transactions")).alias("fraud_rate"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import utc_hour
+from ..functions.columns import ident, sql_str, utc_hour
 from ..sources.schema import FLAG_COLUMNS
 from .bands import ID, label_fraud
 
@@ -82,8 +82,7 @@ def encode_features(tx: DataFrame, feedback: DataFrame) -> DataFrame:
 
 def null_counts(frame: DataFrame) -> DataFrame:
     """(column_name, nulls) for every column, from one scan."""
-    one = frame.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in frame.columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                              F.coalesce(F.col(c), F.lit(0)).cast("long").alias("nulls"))
-                     for c in frame.columns])
-    return one.select(F.inline(rows))
+    one = frame.agg(*[F.expr(f"count(*) - count({ident(c)})").alias(c) for c in frame.columns])
+    rows = ", ".join(f"named_struct('column_name', {sql_str(c)}, 'nulls', CAST({ident(c)} AS BIGINT))"
+                     for c in frame.columns)
+    return one.selectExpr(f"inline(array({rows}))")

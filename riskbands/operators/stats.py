@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import ident, sql_str
 from ..policy import DEFAULT, Policy
 from .profile import CLEAN_COLUMNS, NUMERIC_COLUMNS
 from .quantiles import column_quantiles
@@ -60,13 +61,12 @@ def describe(frame: DataFrame, cols=NUMERIC_COLUMNS, policy: Policy = DEFAULT) -
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
                  quart[c].alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
     one = frame.agg(*aggs)
-    rows = F.array(*[F.struct(
-        F.lit(c).alias("column_name"), F.col(f"{c}__n").alias("count"),
-        F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-        F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("p25"),
-        F.col(f"{c}__q")[1].alias("p50"), F.col(f"{c}__q")[2].alias("p75"),
-        F.col(f"{c}__max").alias("max")) for c in cols])
-    return one.select(F.inline(rows))
+    rows = ", ".join(
+        f"named_struct('column_name', {sql_str(c)}, 'count', {ident(c + '__n')},"
+        f" 'mean', {ident(c + '__mean')}, 'std', {ident(c + '__std')}, 'min', {ident(c + '__min')},"
+        f" 'p25', {ident(c + '__q')}[0], 'p50', {ident(c + '__q')}[1], 'p75', {ident(c + '__q')}[2],"
+        f" 'max', {ident(c + '__max')})" for c in cols)
+    return one.selectExpr(f"inline(array({rows}))")
 
 
 def quantile_table(frame: DataFrame, cols=CLEAN_COLUMNS, policy: Policy = DEFAULT) -> DataFrame:
@@ -74,9 +74,11 @@ def quantile_table(frame: DataFrame, cols=CLEAN_COLUMNS, policy: Policy = DEFAUL
     probs = policy.quantiles
     qs = quantile_exprs(frame, cols, probs, policy)
     one = frame.agg(*[qs[c].alias(c) for c in cols])
-    rows = F.array(*[F.struct(F.lit(float(p)).alias("quantile"),
-                              *[F.col(c)[i].alias(c) for c in cols]) for i, p in enumerate(probs)])
-    return one.select(F.inline(rows))
+    rows = ", ".join(
+        "named_struct('quantile', CAST({p} AS DOUBLE), {fields})".format(
+            p=repr(float(p)), fields=", ".join(f"{sql_str(c)}, {ident(c)}[{i}]" for c in cols))
+        for i, p in enumerate(probs))
+    return one.selectExpr(f"inline(array({rows}))")
 
 
 def box_stats(frame: DataFrame, cols=("transaction_value", "distance_to_frequent_location",
@@ -107,15 +109,15 @@ def box_stats(frame: DataFrame, cols=("transaction_value", "distance_to_frequent
     one = withq.agg(*aggs)
     rows = []
     for c in cols:
-        q1, med, q3 = F.col("_q")[c][0], F.col("_q")[c][1], F.col("_q")[c][2]
-        wlo, whi = F.col(f"{c}__wlo"), F.col(f"{c}__whi")
-        rows.append(F.struct(
-            F.lit(c).alias("column_name"), F.col(f"{c}__n").alias("count"),
-            q1.alias("q1"), med.alias("median"), q3.alias("q3"),
-            F.when(wlo.isNull() | (wlo > q1), q1).otherwise(wlo).alias("whisker_low"),
-            F.when(whi.isNull() | (whi < q3), q3).otherwise(whi).alias("whisker_high"),
-            F.col(f"{c}__out").alias("outliers")))
-    return one.select(F.inline(F.array(*rows)))
+        q = f"`_q`.{ident(c)}"
+        wlo, whi = ident(c + "__wlo"), ident(c + "__whi")
+        rows.append(
+            f"named_struct('column_name', {sql_str(c)}, 'count', {ident(c + '__n')},"
+            f" 'q1', {q}[0], 'median', {q}[1], 'q3', {q}[2],"
+            f" 'whisker_low', CASE WHEN {wlo} IS NULL OR {wlo} > {q}[0] THEN {q}[0] ELSE {wlo} END,"
+            f" 'whisker_high', CASE WHEN {whi} IS NULL OR {whi} < {q}[2] THEN {q}[2] ELSE {whi} END,"
+            f" 'outliers', {ident(c + '__out')})")
+    return one.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def zscore_filter(frame: DataFrame, column: str, cut: float) -> DataFrame:
@@ -193,9 +195,9 @@ def correlation_matrix(frame: DataFrame, cols=NUMERIC_COLUMNS) -> DataFrame:
     aggregate with hundreds of buffer fields that does not.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    tall = F.array(*[F.struct(F.lit(k).alias("k"), F.col(a).cast("double").alias("a"),
-                              F.col(b).cast("double").alias("b")) for k, (a, b) in enumerate(pairs)])
-    per_pair = (frame.select(F.inline(tall))
+    tall = ", ".join(f"named_struct('k', {k}, 'a', CAST({ident(a)} AS DOUBLE), 'b', CAST({ident(b)} AS DOUBLE))"
+                     for k, (a, b) in enumerate(pairs))
+    per_pair = (frame.selectExpr(f"inline(array({tall}))")
                 .where(F.col("a").isNotNull() & F.col("b").isNotNull())
                 .groupBy("k")
                 .agg(F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"),
@@ -203,8 +205,8 @@ def correlation_matrix(frame: DataFrame, cols=NUMERIC_COLUMNS) -> DataFrame:
                 .select("k", F.try_divide(F.col("c"), F.when(F.col("sa") * F.col("sb") != 0,
                                                               F.col("sa") * F.col("sb"))).alias("r")))
     # every ordered pair, from the unordered result (a tiny frame of at most len(pairs) rows)
-    order = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"),
-                               F.lit(pairs.index((a, b) if (a, b) in pairs else (b, a))).alias("k"))
-                      for a in cols for b in cols])
-    keys = per_pair.agg(F.count(F.lit(1)).alias("_n")).select(F.inline(order))
+    key = {p: k for k, p in enumerate(pairs)}
+    order = ", ".join(f"named_struct('x', {sql_str(a)}, 'y', {sql_str(b)}, 'k', {key.get((a, b), key.get((b, a)))})"
+                      for a in cols for b in cols)
+    keys = per_pair.agg(F.count(F.lit(1)).alias("_n")).selectExpr(f"inline(array({order}))")
     return keys.join(per_pair, "k", "left").select("x", "y", "r")

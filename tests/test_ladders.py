@@ -12,7 +12,8 @@ from .conftest import tx_row
 
 def label(spark, spec, values, dtype="double"):
     df = spark.createDataFrame([(v,) for v in values], f"{spec.column} {dtype}")
-    rows = df.select(spec.column, spec.label_of(spec.rank()).alias("l")).collect()
+    ranked = df.select(spec.column, spec.rank().alias("r"))
+    rows = ranked.select(spec.column, spec.label_of("r").alias("l")).collect()
     return [r.l for r in rows]
 
 
