@@ -2,7 +2,9 @@
 
 Each statistic is one aggregate pass; where a second pass needs first-pass numbers
 (z-score, box-plot fences, histogram range) they come in as a scalar subquery holding one
-struct, so no cross join and no driver round trip is involved.
+struct, projected once as a column, so no cross join is involved.  The only values that reach
+the driver are the per-column counts (and, for large columns, split points) of the bounded
+exact quantiles.  Wide lists of output rows are written as one SQL expression, one JVM call.
 """
 
 from __future__ import annotations
