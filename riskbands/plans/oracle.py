@@ -34,12 +34,12 @@ CTES = {
     "transactions_fraud_feedback": feedback_sql("duckdb"),
     # distinct accounts seen on the device up to and including each transaction (self-join)
     "devs": """
-      SELECT a.account_id, a.transaction_id, a.device_id, a.transaction_timestamp,
-             count(DISTINCT b.account_id) AS total_accounts
-      FROM transactions a
-      JOIN transactions b ON a.device_id = b.device_id
-                         AND b.transaction_timestamp <= a.transaction_timestamp
-      GROUP BY a.account_id, a.transaction_id, a.device_id, a.transaction_timestamp""",
+      SELECT x.account_id, x.transaction_id, x.device_id, x.transaction_timestamp,
+             count(DISTINCT y.account_id) AS total_accounts
+      FROM transactions x
+      JOIN transactions y ON y.device_id = x.device_id
+                         AND y.transaction_timestamp <= x.transaction_timestamp
+      GROUP BY x.account_id, x.transaction_id, x.device_id, x.transaction_timestamp""",
     "hrb": f"""
       SELECT transaction_id FROM devs WHERE total_accounts >= {P.shared_device_accounts}
       UNION SELECT transaction_id FROM transactions WHERE {FLAGS_TRUE}
@@ -241,10 +241,15 @@ def _queries() -> dict[str, str]:
         count(transaction_id) AS total_transactions FROM transactions GROUP BY 1""")
     q["tx_by_decision"] = _with([], """SELECT client_decision, count(transaction_id) AS total_transactions
         FROM transactions GROUP BY 1""")
-    q["flag_profile"] = _with([], "\nUNION ALL\n".join(f"""SELECT '{f}' AS column_name,
-        count(CASE WHEN {f} = true THEN transaction_id END) AS total_true,
-        count(CASE WHEN {f} IS NULL THEN transaction_id END) AS total_nulls
-        FROM transactions WHERE {f} = true OR {f} IS NULL GROUP BY 1""" for f in FLAG_COLUMNS))
+    flags = ", ".join(FLAG_COLUMNS)
+    q["flag_profile"] = _with([], f"""
+        SELECT column_name,
+               count(transaction_id) FILTER (WHERE flag) AS total_true,
+               count(transaction_id) FILTER (WHERE flag IS NULL) AS total_nulls
+        FROM (SELECT transaction_id, {flags} FROM transactions)
+             UNPIVOT INCLUDE NULLS (flag FOR column_name IN ({flags}))
+        WHERE flag OR flag IS NULL
+        GROUP BY column_name""")
     q["devices_per_account"] = _with([], """SELECT account_id, count(DISTINCT device_id) AS total_devices
         FROM transactions GROUP BY 1""")
     q["accounts_per_device"] = _with([], """SELECT device_id, count(DISTINCT account_id) AS total_accounts
@@ -282,109 +287,132 @@ def _queries() -> dict[str, str]:
         count(transaction_id) AS total_transactions,
         CAST(sum(is_fraud) AS BIGINT) / nullif(count(transaction_id), 0) AS fraud_rate
         FROM nhr GROUP BY 1""")
-    q["flag_fraud_share"] = _with([], f"""SELECT
-        count(CASE WHEN is_fraud = 1 THEN transaction_id END) / nullif(count(transaction_id), 0) AS total_frauds,
-        count(CASE WHEN is_fraud = 0 THEN transaction_id END) / nullif(count(transaction_id), 0) AS total_no_frauds
-        FROM (SELECT t.transaction_id,
-                     CASE WHEN tff.transaction_id IS NOT NULL THEN 1 ELSE 0 END AS is_fraud
-              FROM transactions t
-              LEFT JOIN transactions_fraud_feedback tff ON t.transaction_id = tff.transaction_id
-              WHERE {FLAGS_TRUE})""")
-    q["fraud_by_device_accounts"] = _with(["devs"], """SELECT total_accounts AS "CountDistinct",
-        count(DISTINCT devs.transaction_id) AS total_transactions,
-        count(DISTINCT t.transaction_id) AS total_frauds,
-        100 * count(DISTINCT t.transaction_id) / nullif(count(DISTINCT devs.transaction_id), 0) AS fraud_rate
-        FROM devs LEFT JOIN transactions_fraud_feedback t ON devs.transaction_id = t.transaction_id
-        GROUP BY 1""")
+    q["flag_fraud_share"] = _with(["labelled"], f"""
+        SELECT n_fraud / nullif(n, 0) AS total_frauds, n_legit / nullif(n, 0) AS total_no_frauds
+        FROM (SELECT count(transaction_id) AS n,
+                     count(transaction_id) FILTER (WHERE is_fraud = 1) AS n_fraud,
+                     count(transaction_id) FILTER (WHERE is_fraud = 0) AS n_legit
+              FROM labelled WHERE {FLAGS_TRUE}) m""")
+    q["fraud_by_device_accounts"] = _with(["devs"], """
+        SELECT total_accounts AS "CountDistinct", total_transactions, total_frauds,
+               100 * total_frauds / nullif(total_transactions, 0) AS fraud_rate
+        FROM (SELECT d.total_accounts,
+                     count(DISTINCT d.transaction_id) AS total_transactions,
+                     count(DISTINCT d.transaction_id) FILTER (WHERE f.transaction_id IS NOT NULL) AS total_frauds
+              FROM devs d
+              LEFT JOIN transactions_fraud_feedback f ON f.transaction_id = d.transaction_id
+              GROUP BY d.total_accounts) m""")
 
     fee = P.fee_rate
-    cur = """FROM transactions t
-        LEFT JOIN transactions_fraud_feedback t2 ON t.transaction_id = t2.transaction_id"""
-    cd = lambda cond: f"count(DISTINCT CASE WHEN {cond} THEN transaction_id END)"
-    sv = lambda cond: f"sum(CASE WHEN {cond} THEN transaction_value END)"
-    q["fraud_cost_current"] = _with([], f"""SELECT
-        count(DISTINCT t.transaction_id) AS total_transactions,
-        count(DISTINCT t2.transaction_id) AS total_frauds,
-        {money(f"sum(CASE WHEN t2.transaction_id IS NOT NULL THEN transaction_value END) * {fee}")}
-            AS total_fraud_transaction,
-        100 * total_frauds / nullif(total_transactions, 0) AS fraud_rate,
-        total_fraud_transaction + {cost("total_frauds")} AS total_fraud_cost
-        {cur}""")
-    q["fraud_cost_new"] = _with(["bands"], f"""SELECT
-        count(DISTINCT transaction_id) AS count_transactions,
-        {cd("is_fraud = 1 AND risk_band = 'low'")} + {cd("is_fraud = 1 AND risk_band = 'mid'")} AS count_frauds,
-        {sv("is_fraud = 1 AND risk_band = 'low'")} AS total_frauds_low_band,
-        {cd("is_fraud = 0 AND risk_band = 'low' AND client_decision = 'denied'")} AS count_low_band_denied,
-        {sv("is_fraud = 0 AND risk_band = 'low' AND client_decision = 'denied'")} AS total_low_band_denied,
-        {sv("is_fraud = 1 AND risk_band = 'mid'")} AS total_frauds_mid_band,
-        {cd("is_fraud = 1 AND risk_band = 'mid'")} AS count_frauds_mid_band,
-        total_frauds_low_band * {fee} + total_frauds_mid_band * {fee} AS total_fraud,
-        100 * count_frauds / nullif(count_transactions, 0) AS fraud_rate,
-        total_fraud + {cost("count_frauds_mid_band")} AS total_fraud_cost,
-        total_fraud_cost + ((fraud_rate / 100) * {P.new_fraud_value} * count_low_band_denied * {fee})
-            AS total_fraud_cost_realistic_case
-        FROM bands""")
-    q["twofa_cost_current"] = _with([], f"""SELECT count(DISTINCT transaction_id) AS total_transactions,
-        {cost("total_transactions")} AS total_2fa_cost FROM transactions""")
-    q["twofa_cost_new"] = _with(["bands"], f"""SELECT {cd("risk_band = 'mid'")} AS count_mid_band,
-        {cost("count_mid_band")} AS total_2fa_cost FROM bands""")
-    q["revenue_current"] = _with([], f"""SELECT
-        count(DISTINCT t.transaction_id) AS total_transactions,
-        {money(f"sum(CASE WHEN t2.transaction_id IS NOT NULL THEN transaction_value END) * {fee}")}
-            AS total_fraud_transaction,
-        {money(f"sum(CASE WHEN t.client_decision = 'approved' AND t2.transaction_id IS NULL THEN transaction_value END) * {fee}")}
-            AS total_approved_transaction,
-        coalesce(total_approved_transaction, 0) - coalesce(total_fraud_transaction, 0)
-          - coalesce(CAST({P.twofa_cost} * total_transactions AS DOUBLE), 0) AS total_revenue
-        {cur}""")
-    ok = "(risk_band = 'low') OR (risk_band = 'mid' AND client_decision = 'approved')"
-    q["revenue_new"] = _with(["bands"], f"""SELECT
-        {sv("is_fraud = 0 AND risk_band = 'low' AND client_decision = 'denied'")} AS total_low_band_denied,
-        {cd("risk_band = 'mid'")} AS count_mid_band,
-        {sv(ok)} AS total_approved,
-        {sv("(is_fraud = 1 AND risk_band = 'low') OR (risk_band = 'mid' AND is_fraud = 1 AND client_decision = 'approved')")}
-            AS total_fraud_approved,
-        {sv("risk_band = 'mid' AND is_fraud = 1 AND client_decision = 'denied'")} AS total_fraud_denied,
-        {money(f"coalesce(total_approved, 0) * {fee}")} - {money(f"coalesce(total_fraud_approved, 0) * {fee}")}
-          - {money(f"coalesce(total_fraud_denied, 0) * {fee}")} - {cost("coalesce(count_mid_band, 0)")}
-            AS total_revenue,
-        {money(f"coalesce(total_low_band_denied, 0) * {fee}")} AS total_approved_cost_if_all_fraudsters,
-        total_revenue - total_approved_cost_if_all_fraudsters AS worst_case_scenario
-        FROM bands""")
-    q["approval_current"] = _with([], f"""SELECT
-        count(DISTINCT t.transaction_id) AS total_transactions,
-        count(DISTINCT CASE WHEN t.client_decision = 'approved' THEN t.transaction_id END) AS total_approvals,
-        total_approvals / nullif(total_transactions, 0) AS total_approval_rate
-        {cur}""")
-    q["approval_new"] = _with(["bands"], f"""SELECT count(DISTINCT transaction_id) AS count_transactions,
-        {cd(ok)} AS count_approved,
-        count_approved / nullif(count_transactions, 0) AS total_approved FROM bands""")
-    q["false_positive_current"] = _with([], f"""SELECT
-        count(DISTINCT t.transaction_id) AS total_transactions,
-        0 AS hard_false_positives,
-        hard_false_positives / nullif(total_transactions, 0) AS hard_false_positive_rate,
-        count(DISTINCT CASE WHEN t.client_decision = 'approved' AND t2.transaction_id IS NULL
-                            THEN t.transaction_id END) AS soft_false_positives,
-        soft_false_positives / nullif(total_transactions, 0) AS soft_false_positive_rate
-        {cur}""")
-    q["false_positive_new"] = _with(["bands"], f"""SELECT count(DISTINCT transaction_id) AS total_transactions,
-        {cd("is_fraud = 0 AND risk_band = 'high' AND client_decision = 'approved'")} AS hard_false_positives,
-        {cd("is_fraud = 0 AND risk_band = 'mid' AND client_decision = 'approved'")} AS soft_false_positives,
-        hard_false_positives / nullif(total_transactions, 0) AS hard_false_positive_rate,
-        soft_false_positives / nullif(total_transactions, 0) AS soft_false_positive_rate FROM bands""")
-    q["false_negative_current"] = _with([], f"""SELECT
-        count(DISTINCT t.transaction_id) AS total_transactions,
-        0 AS hard_false_negatives,
-        hard_false_negatives / nullif(total_transactions, 0) AS hard_false_negative_rate,
-        count(DISTINCT CASE WHEN t.client_decision = 'approved' AND t2.transaction_id IS NOT NULL
-                            THEN t.transaction_id END) AS soft_false_negative,
-        soft_false_negative / nullif(total_transactions, 0) AS soft_false_negative_rate
-        {cur}""")
-    q["false_negative_new"] = _with(["bands"], f"""SELECT count(DISTINCT transaction_id) AS total_transactions,
-        {cd("is_fraud = 1 AND risk_band = 'low'")} AS hard_false_negative,
-        {cd("is_fraud = 1 AND risk_band = 'mid' AND client_decision = 'approved'")} AS soft_false_negative,
-        hard_false_negative / nullif(total_transactions, 0) AS hard_false_negative_rate,
-        soft_false_negative / nullif(total_transactions, 0) AS soft_false_negative_rate FROM bands""")
+    # one row per joined transaction row of each flow
+    cur_cte = """, cur AS (
+      SELECT t.transaction_id AS id, t.transaction_value AS v, t.client_decision AS decision,
+             f.transaction_id IS NOT NULL AS fb
+      FROM transactions t
+      LEFT JOIN transactions_fraud_feedback f ON f.transaction_id = t.transaction_id)"""
+    nb_cte = """, nb AS (
+      SELECT transaction_id AS id, transaction_value AS v, client_decision AS decision,
+             is_fraud = 1 AS fraud, risk_band AS band
+      FROM bands)"""
+
+    def on_cur(body: str) -> str:
+        return _with([], "").rstrip() + cur_cte + "\n" + body
+
+    def on_nb(body: str) -> str:
+        return _with(["bands"], "").rstrip() + nb_cte + "\n" + body
+
+    def ids(cond: str | None = None) -> str:
+        return "count(DISTINCT id)" + (f" FILTER (WHERE {cond})" if cond else "")
+
+    def val(cond: str) -> str:
+        return f"sum(v) FILTER (WHERE {cond})"
+
+    approved_new = "band = 'low' OR (band = 'mid' AND decision = 'approved')"
+    approved_cur = "decision = 'approved' AND NOT fb"
+    q["fraud_cost_current"] = on_cur(f"""
+        SELECT total_transactions, total_frauds, total_fraud_transaction,
+               100 * total_frauds / nullif(total_transactions, 0) AS fraud_rate,
+               total_fraud_transaction + {cost("total_frauds")} AS total_fraud_cost
+        FROM (SELECT {ids()} AS total_transactions, {ids("fb")} AS total_frauds,
+                     {money(f"{val('fb')} * {fee}")} AS total_fraud_transaction
+              FROM cur) m""")
+    q["fraud_cost_new"] = on_nb(f"""
+        SELECT count_transactions, count_frauds, total_frauds_low_band, count_low_band_denied,
+               total_low_band_denied, total_frauds_mid_band, count_frauds_mid_band, total_fraud, fraud_rate,
+               total_fraud_cost,
+               total_fraud_cost + ((fraud_rate / 100) * {P.new_fraud_value} * count_low_band_denied * {fee})
+                 AS total_fraud_cost_realistic_case
+        FROM (SELECT *, 100 * count_frauds / nullif(count_transactions, 0) AS fraud_rate,
+                     total_fraud + {cost("count_frauds_mid_band")} AS total_fraud_cost
+              FROM (SELECT *, low_frauds + count_frauds_mid_band AS count_frauds,
+                           total_frauds_low_band * {fee} + total_frauds_mid_band * {fee} AS total_fraud
+                    FROM (SELECT {ids()} AS count_transactions,
+                                 {ids("fraud AND band = 'low'")} AS low_frauds,
+                                 {ids("fraud AND band = 'mid'")} AS count_frauds_mid_band,
+                                 {val("fraud AND band = 'low'")} AS total_frauds_low_band,
+                                 {val("fraud AND band = 'mid'")} AS total_frauds_mid_band,
+                                 {ids("NOT fraud AND band = 'low' AND decision = 'denied'")} AS count_low_band_denied,
+                                 {val("NOT fraud AND band = 'low' AND decision = 'denied'")} AS total_low_band_denied
+                          FROM nb) a) b) c""")
+    q["twofa_cost_current"] = _with([], f"""
+        SELECT n AS total_transactions, {cost("n")} AS total_2fa_cost
+        FROM (SELECT count(DISTINCT transaction_id) AS n FROM transactions) m""")
+    q["twofa_cost_new"] = on_nb(f"""
+        SELECT count_mid_band, {cost("count_mid_band")} AS total_2fa_cost
+        FROM (SELECT {ids("band = 'mid'")} AS count_mid_band FROM nb) m""")
+    q["revenue_current"] = on_cur(f"""
+        SELECT total_transactions, lost AS total_fraud_transaction, earned AS total_approved_transaction,
+               coalesce(earned, 0) - coalesce(lost, 0)
+                 - coalesce(CAST({P.twofa_cost} * total_transactions AS DOUBLE), 0) AS total_revenue
+        FROM (SELECT {ids()} AS total_transactions,
+                     {money(f"{val('fb')} * {fee}")} AS lost,
+                     {money(f"{val(approved_cur)} * {fee}")} AS earned
+              FROM cur) m""")
+    q["revenue_new"] = on_nb(f"""
+        SELECT *, total_revenue - total_approved_cost_if_all_fraudsters AS worst_case_scenario
+        FROM (SELECT *,
+                     {money(f"coalesce(total_approved, 0) * {fee}")}
+                       - {money(f"coalesce(total_fraud_approved, 0) * {fee}")}
+                       - {money(f"coalesce(total_fraud_denied, 0) * {fee}")}
+                       - {cost("coalesce(count_mid_band, 0)")} AS total_revenue,
+                     {money(f"coalesce(total_low_band_denied, 0) * {fee}")} AS total_approved_cost_if_all_fraudsters
+              FROM (SELECT {val("NOT fraud AND band = 'low' AND decision = 'denied'")} AS total_low_band_denied,
+                           {ids("band = 'mid'")} AS count_mid_band,
+                           {val(approved_new)} AS total_approved,
+                           {val("(fraud AND band = 'low') OR (band = 'mid' AND fraud AND decision = 'approved')")}
+                             AS total_fraud_approved,
+                           {val("band = 'mid' AND fraud AND decision = 'denied'")} AS total_fraud_denied
+                    FROM nb) a) b""")
+    q["approval_current"] = on_cur(f"""
+        SELECT total_transactions, total_approvals,
+               total_approvals / nullif(total_transactions, 0) AS total_approval_rate
+        FROM (SELECT {ids()} AS total_transactions, {ids("decision = 'approved'")} AS total_approvals
+              FROM cur) m""")
+    q["approval_new"] = on_nb(f"""
+        SELECT count_transactions, count_approved,
+               count_approved / nullif(count_transactions, 0) AS total_approved
+        FROM (SELECT {ids()} AS count_transactions, {ids(approved_new)} AS count_approved FROM nb) m""")
+
+    def rates(current: bool, kind: str, hard: str, soft: str, src: str, hard_name: str, soft_name: str) -> str:
+        hard_expr = "0" if current else hard_name
+        inner_hard = "" if current else f", {ids(hard)} AS {hard_name}"
+        return f"""
+        SELECT total_transactions, {hard_expr} AS {hard_name},
+               {hard_expr} / nullif(total_transactions, 0) AS hard_false_{kind}_rate,
+               {soft_name}, {soft_name} / nullif(total_transactions, 0) AS soft_false_{kind}_rate
+        FROM (SELECT {ids()} AS total_transactions{inner_hard}, {ids(soft)} AS {soft_name}
+              FROM {src}) m"""
+
+    q["false_positive_current"] = on_cur(rates(True, "positive", "", "decision = 'approved' AND NOT fb", "cur",
+                                               "hard_false_positives", "soft_false_positives"))
+    q["false_positive_new"] = on_nb(rates(False, "positive", "NOT fraud AND band = 'high' AND decision = 'approved'",
+                                          "NOT fraud AND band = 'mid' AND decision = 'approved'", "nb",
+                                          "hard_false_positives", "soft_false_positives"))
+    q["false_negative_current"] = on_cur(rates(True, "negative", "", "decision = 'approved' AND fb", "cur",
+                                               "hard_false_negatives", "soft_false_negative"))
+    q["false_negative_new"] = on_nb(rates(False, "negative", "fraud AND band = 'low'",
+                                          "fraud AND band = 'mid' AND decision = 'approved'", "nb",
+                                          "hard_false_negative", "soft_false_negative"))
     return q
 
 
