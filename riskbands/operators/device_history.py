@@ -15,6 +15,10 @@ Plan used here (exact, no pair expansion, bounded partitions):
 4. join back to transactions on (device, ts).
 
 The ``<=`` tie rule holds because all accounts first seen at the same ts land in the same point.
+
+When only the threshold ``count >= k`` is needed (the high band, the evidence base), the
+k-th smallest first-seen time per device answers it with fewer shuffles: see
+``kth_first_seen`` / ``shared_device_tx``.
 """
 
 from __future__ import annotations
