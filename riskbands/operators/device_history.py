@@ -35,13 +35,19 @@ def _base(tx: DataFrame) -> DataFrame:
     return tx.where(F.col("device_id").isNotNull() & F.col(TS).isNotNull())
 
 
-def device_account_counts(tx: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """(device_id, transaction_timestamp, total_accounts) for every distinct (device, ts)."""
+def device_account_counts(tx: DataFrame, policy: Policy = DEFAULT,
+                          keys: DataFrame | None = None) -> DataFrame:
+    """(device_id, transaction_timestamp, total_accounts) for every distinct (device, ts).
+
+    ``keys`` may supply the (device_id, ts) rows to answer for (e.g. a projection of a frame
+    the caller shuffles anyway, so both uses share that shuffle); by default every
+    transaction with a device and a timestamp.
+    """
     base = _base(tx).select("device_id", "account_id", TS)
     first_seen = (base.where(F.col("account_id").isNotNull())
                   .groupBy("device_id", "account_id").agg(F.min(TS).alias(TS))
                   .select("device_id", TS, F.lit(1).alias("c")))
-    keys = base.select("device_id", TS, F.lit(0).alias("c"))
+    keys = (base if keys is None else keys).select("device_id", TS, F.lit(0).alias("c"))
     points = (first_seen.unionByName(keys)
               .groupBy("device_id", TS).agg(F.sum("c").alias("c"))
               .withColumn("bucket", F.floor(F.col(TS) / F.lit(policy.history_bucket_ms))))
@@ -66,7 +72,7 @@ def accounts_per_device_history(tx: DataFrame, policy: Policy = DEFAULT) -> Data
     self-join definition) and are left out.
     """
     groups = _base(tx).select("account_id", "transaction_id", "device_id", TS).distinct()
-    counts = device_account_counts(tx, policy)
+    counts = device_account_counts(tx, policy, keys=groups)
     return groups.join(counts, ["device_id", TS]).select(
         "account_id", "transaction_id", "device_id", TS, "total_accounts")
 
