@@ -94,16 +94,18 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> t
         return transactions_from_events(ev), feedback_from_events(ev)
     key = _version_key(spark, sf_dir)
     with _LOCK:
-        paths = _MATERIALIZED.get(key)
-        if paths is None:
-            paths = _materialize(spark, sf_dir)
-            _MATERIALIZED[key] = paths
-    return (spark.read.schema(TRANSACTIONS).parquet(paths[0]),
-            spark.read.schema(FEEDBACK).parquet(paths[1]))
+        frames = _MATERIALIZED.get(key)
+        if frames is None:
+            tpath, fpath = _materialize(spark, sf_dir)
+            # DataFrames are immutable: one reader per table serves every caller (no re-listing)
+            frames = (spark.read.schema(TRANSACTIONS).parquet(tpath),
+                      spark.read.schema(FEEDBACK).parquet(fpath))
+            _MATERIALIZED[key] = frames
+    return frames
 
 
 _LOCK = threading.Lock()
-_MATERIALIZED: dict[tuple, tuple[str, str]] = {}
+_MATERIALIZED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def _version_key(spark: SparkSession, sf_dir: str) -> tuple:
