@@ -197,9 +197,9 @@ def correlation_matrix(frame: DataFrame, cols=NUMERIC_COLUMNS) -> DataFrame:
     aggregate with hundreds of buffer fields that does not.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    tall = ", ".join(f"named_struct('k', {k}, 'a', CAST({ident(a)} AS DOUBLE), 'b', CAST({ident(b)} AS DOUBLE))"
+    tall = ", ".join(f"{k}, CAST({ident(a)} AS DOUBLE), CAST({ident(b)} AS DOUBLE)"
                      for k, (a, b) in enumerate(pairs))
-    per_pair = (frame.selectExpr(f"inline(array({tall}))")
+    per_pair = (frame.selectExpr(f"stack({len(pairs)}, {tall}) AS (k, a, b)")
                 .where(F.col("a").isNotNull() & F.col("b").isNotNull())
                 .groupBy("k")
                 .agg(F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"),
