@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskbands.llm import mixing, quality
+from riskbands.llm import bpe, mixing, quality
 from riskbands.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
+    decoded = bpe.decode(encoded, path, keep=("doc_id", "ids"))
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -22,4 +32,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_mix_sources, op9_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op5_mix_sources, op9_quality_rules)}
