@@ -282,13 +282,13 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
-def in_chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in parts whose ``column`` holds about CHUNK_BYTES, at least a row each."""
+def in_chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose ``column`` holds about ``most`` bytes, at least a row each."""
     values = batch.column(column)
     values = values.cast(pa.large_string() if pa.types.is_string(values.type) or pa.types.is_large_string(values.type)
                          else pa.large_binary())
     sizes = np.diff(np.frombuffer(values.buffers()[1], np.int64)[values.offset:values.offset + len(values) + 1])
-    chunk = np.cumsum(sizes) // CHUNK_BYTES
+    chunk = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(values)] if len(values) else [0]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
