@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskbands.llm import mixing, quality
+from riskbands.llm import bpe, mixing, ngram_join, pii, quality
 from riskbands.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,14 +19,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_quality(docs)
 
 
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares enough of its five-word shingles."""
+    return ngram_join.one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.apply_mix(docs)
 
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's token ids (packed little-endian 32-bit), the slices' byte offsets and the number of ids."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(docs, path, keep=("doc_id", "lang", "source"))
+    return encoded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("PII", personal_data),
     ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", token_ids),
 ]
 
 #: SQL can't express the segment model and the encoding; tests hold the stages against plain versions.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskbands.llm import bpe, mixing, ngram_join, quality
+from riskbands.llm import bpe, mixing, ngram_join, pii, quality
 from riskbands.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,15 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.regexp_count("base", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -36,4 +45,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op5_mix_sources, op8_ngram_jaccard, op9_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op5_mix_sources, op6_personal_data, op8_ngram_jaccard, op9_quality_rules)}
