@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskbands.llm import bpe, mixing, ngram_join, pii, quality
+from riskbands.llm import bpe, mixing, ngram_join, pii, quality, toxicity
 from riskbands.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,4 +45,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op5_mix_sources, op6_personal_data, op8_ngram_jaccard, op9_quality_rules)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op5_mix_sources, op6_personal_data, op8_ngram_jaccard, op9_quality_rules,
+                                          op10_toxicity)}
