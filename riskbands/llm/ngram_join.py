@@ -14,8 +14,9 @@ Every link between different sets is found or implied by the components, without
 5. Candidates share a token of that prefix and pass the length filter. Before the sets are intersected, they
    must also share a prefix token under order three, the descending hashes.
 6. A token held by many classes doesn't pair them all. Every holder is compared with one pivot of the token;
-   links merge components, and only holders in another component than the next pivot are compared again.
-   When a round finds no link, every pair that still lies in two components is compared.
+   links merge components, and holders in another component than the next pivot are compared again. Once
+   the pairs of holders that still lie in two components are few (REST_ROWS for each row), or a round finds no
+   link, all these pairs are compared.
 
 A token that is frequent within a chunk of a task is set aside there (its holders are known to share it) and
 announced to the others, so no window group holds a token of a large share of all rows.
@@ -47,6 +48,7 @@ CHUNK_BYTES = 8 << 20
 CACHE_WORDS = 400_000
 HOT_SHARE = 0.05  # of a chunk's documents, and at least
 HOT_LEAST = 64
+REST_ROWS = 2
 MOST = (1 << 62)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -210,14 +212,18 @@ def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, percent: int, w
     holders = holders.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("thash") == F.col("__th")))
     sets = written(sets_of(holders, width).dropDuplicates(["node"]), "ngram-sets")
     found, roots, tried, turn = None, None, None, 0
+    many = REST_ROWS * rows.count()
     while True:
         if roots is None:
             now = rows.withColumn("label", F.col("node"))
         else:
             now = rows.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
         pivots = now.groupBy("token").agg(
-            F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn))).alias("p"))
+            F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn))).alias("p"),
+            F.count("*").alias("all"))
         apart = now.join(pivots, "token").filter(F.col("label") != F.col("p.label"))
+        if turn and (apart.agg(F.sum("all")).first()[0] or 0) <= many:
+            break
         pairs = apart.filter(_close("n", "p.n", percent)).select(
             F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
         if tried is not None:
