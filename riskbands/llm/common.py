@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str, mode_free: bool = True) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once under the shared checkpoint folder and read it back.
 
     This cuts lineage (a lost executor costs at most the tasks it held) and gives the optimizer the
@@ -27,7 +27,7 @@ def written(df: DataFrame, name: str, mode_free: bool = True) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
     with shuffles_dropped(spark):
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

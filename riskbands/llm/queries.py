@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskbands.llm import bpe, mixing, ngram_join, pii, quality, toxicity
-from riskbands.llm.common import table
+from riskbands.llm import bpe, mixing, ngram_join, pii, quality, token_files, toxicity
+from riskbands.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,12 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens = written(token_files.encode(table(spark, sf_dir, "documents"), path, end=2), "tokens", "zstd")
+    return token_files.write_and_read(tokens).drop("ids")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -52,5 +58,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op5_mix_sources, op6_personal_data, op8_ngram_jaccard, op9_quality_rules,
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op5_mix_sources, op6_personal_data, op7_token_files, op8_ngram_jaccard, op9_quality_rules,
                                           op10_toxicity)}
