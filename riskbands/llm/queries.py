@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskbands.llm import bpe, mixing, ngram_join, pii, quality, token_files, toxicity
+from riskbands.llm import bpe, licenses, mixing, ngram_join, pii, quality, token_files, toxicity
 from riskbands.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,21 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"),
+        F.array_min("phrases.start").alias("first_word"), F.array_max("phrases.start").alias("last_word"),
+        joined(F.col("phrases.label")).alias("base_labels"),
+        joined(F.concat("phrases.label", "matches.label")).alias("labels"),
+        F.when(F.size("phrases") > 0, F.lit(1.0)).otherwise(
+            F.coalesce(F.array_max("matches.containment"), F.lit(0.0))).alias("score"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -58,5 +73,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op5_mix_sources, op6_personal_data, op7_token_files, op8_ngram_jaccard, op9_quality_rules,
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op5_mix_sources, op6_personal_data, op7_token_files, op8_ngram_jaccard, op9_quality_rules,
                                           op10_toxicity)}
