@@ -48,7 +48,7 @@ CHUNK_BYTES = 8 << 20
 CACHE_WORDS = 400_000
 HOT_SHARE = 0.05  # of a chunk's documents, and at least
 HOT_LEAST = 64
-REST_ROWS = 2
+REST_ROWS = 16
 MOST = (1 << 62)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
