@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskbands.llm import bpe, fingerprints, licenses, mixing, ngram_join, pii, quality, token_files, toxicity
+from riskbands.llm import bpe, fingerprints, licenses, mixing, ngram_join, pii, quality, secret_scan, token_files, toxicity
 from riskbands.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(F.array_max("matches.containment"), F.lit(0.0))).alias("score"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fingerprints.with_next(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -83,5 +88,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_byte_bpe, op2_license_scan, op4_fingerprints, op5_mix_sources, op6_personal_data, op7_token_files,
+    op1_byte_bpe, op2_license_scan, op3_secret_scan, op4_fingerprints, op5_mix_sources, op6_personal_data, op7_token_files,
     op8_ngram_jaccard, op9_quality_rules, op10_toxicity)}
