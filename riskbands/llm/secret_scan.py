@@ -39,7 +39,7 @@ from riskbands.llm.bpe import in_chunks
 from riskbands.llm.common import written
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-WORD = re.compile(r"[a-z]{4,8}")
+WORD = re.compile(r"(?<![A-Za-z0-9])[a-z]{4,8}(?![A-Za-z0-9])")
 KEY_WORDS = ("token", "secret", "password", "passwd", "key", "auth", "credential", "apikey", "bearer")
 MARKERS = re.compile(r"test|example|sample|mock|dummy|fixture|demo", re.IGNORECASE)
 ASSIGNED = re.compile(r"([A-Za-z_]+)[\"']?\s*(?:[:=]|:=|=>)\s*([\"']?)$")
