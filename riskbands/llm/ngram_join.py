@@ -11,12 +11,12 @@ Every link between different sets is found or implied by the components, without
 4. Order two is by that number, then by hash. Two classes share m tokens, so they share one of the
    ``s - m + 1`` rarest of each one's s remaining tokens: passages that very many documents hold come last in
    every set and bring no candidates, unless nearly the whole set is such a passage.
-5. Candidates share a token of that prefix and pass the length filter. Before the sets are intersected, they
-   must also share a prefix token under order three, the descending hashes.
+5. Candidates share a token of that prefix and pass the length and positional filters. They must also share
+   enough tokens of the prefixes under order one, and a prefix token under order three (the descending hashes), before the whole
+   sets are intersected.
 6. A token held by many classes doesn't pair them all. Every holder is compared with one pivot of the token;
    links merge components, and holders in another component than the next pivot are compared again. Once
-   the pairs of holders that still lie in two components are few (REST_ROWS for each row), or a round finds no
-   link, all these pairs are compared.
+   a round's links are less than FRUITFUL of its pairs, all pairs that still lie in two components are compared.
 
 A token that is frequent within a chunk of a task is set aside there (its holders are known to share it) and
 announced to the others, so no window group holds a token of a large share of all rows.
@@ -43,12 +43,12 @@ from riskbands.llm.components import components
 
 WIDTH = 5
 PERCENT = 80
-SLACK = 80
+SLACK = 160
 CHUNK_BYTES = 8 << 20
 CACHE_WORDS = 400_000
 HOT_SHARE = 0.05  # of a chunk's documents, and at least
 HOT_LEAST = 64
-REST_ROWS = 16
+FRUITFUL = 0.05
 MOST = (1 << 62)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,43 +129,62 @@ def features(docs: DataFrame, percent: int, width: int, slack: int) -> DataFrame
     return docs.select("doc_id", F.xxhash64("text").alias("thash"), F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
-def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(node, set): the whole sorted sets, packed."""
-    schema = "node binary, set binary"
+def sets_of(docs: DataFrame, percent: int, width: int, slack: int) -> DataFrame:
+    """(node, n, prefix, set): the sorted sets, packed, and their prefixes under order one."""
+    schema = "node binary, n long, prefix binary, set binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for part in in_chunks(batch, "__text", CHUNK_BYTES):
-                packed = [shingles(t, hashes, width).tobytes() for t in part.column("__text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(p) for p in packed], pa.binary()),
-                                                  pa.array(packed, pa.binary())], ["node", "set"])
+                sets = [shingles(t, hashes, width) for t in part.column("__text").to_pylist()]
+                packed = [s.tobytes() for s in sets]
+                heads = [s[:len(s) - least_overlap(len(s), percent) + slack].tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([xxhash.xxh128_digest(p) for p in packed], pa.binary()),
+                     pa.array([len(s) for s in sets], pa.int64()), pa.array(heads, pa.binary()),
+                     pa.array(packed, pa.binary())], ["node", "n", "prefix", "set"])
 
     return docs.select(F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
+def common(a: bytes, b: bytes) -> int:
+    """Number of tokens in both of two packed sets."""
+    return len(np.intersect1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True))
+
+
 def similar(a: bytes, b: bytes, percent: int) -> bool:
     """Whether two packed sets reach the threshold; order three (descending hashes) filters first."""
-    x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-    px, py = (s[least_overlap(len(s), percent) - 1:] for s in (x, y))
-    if not len(np.intersect1d(px, py, assume_unique=True)):
+    x, y = len(a) // 8, len(b) // 8
+    if not common(a[8 * (least_overlap(x, percent) - 1):], b[8 * (least_overlap(y, percent) - 1):]):
         return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+    both = common(a, b)
+    return 100 * both >= percent * (x + y - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    first = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    second = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, slack: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            holds = [similar(x, y, percent) for x, y in
-                     zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(holds, pa.bool_()))
+    First only the prefixes under order one are brought together: sets that link share at least
+    min(slack, ceil(t n)) of those tokens for the larger n. The whole sets follow for the pairs that do.
+    """
+    def beside(pairs: DataFrame, what: str) -> DataFrame:
+        first = sets.select(F.col("node").alias("a"), F.col(what).alias("x"), F.col("n").alias("n_a"))
+        second = sets.select(F.col("node").alias("b"), F.col(what).alias("y"), F.col("n").alias("n_b"))
+        return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y", F.greatest("n_a", "n_b").alias("n"))
 
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+    def passing(test):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                holds = [test(x, y, n) for x, y, n in zip(*(batch.column(c).to_pylist() for c in "xyn"), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(holds, pa.bool_()))
+        return run
+
+    def enough(x: bytes, y: bytes, n: int) -> bool:
+        return common(x, y) >= min(slack, least_overlap(n, percent))
+
+    likely = beside(pairs, "prefix").mapInArrow(passing(enough), "a binary, b binary")
+    return beside(likely, "set").mapInArrow(passing(lambda x, y, _: similar(x, y, percent)), "a binary, b binary")
 
 
 def shared_tokens(feats: DataFrame) -> DataFrame:
@@ -187,20 +206,36 @@ def _overlap(n: Column, percent: int) -> Column:
 
 
 def candidates(feats: DataFrame, classes: DataFrame, percent: int, slack: int) -> DataFrame:
-    """(token, node, n): each class's prefix under order two."""
+    """(token, node, n, s, at): each class's prefix under order two; ``at`` is the place among its s tokens."""
     rows = written(shared_tokens(feats), "ngram-shared")
     rows = rows.join(classes.select(F.substring("node", 1, 8).alias("short"), "node", "n"), "short")
-    least = F.least(F.lit(slack), _overlap(_overlap(F.col("n"), percent), percent))
+    least = F.least(F.lit(slack), _overlap(F.col("n"), percent))
     of = Window.partitionBy("node")
     rows = rows.select("token", "node", "n", "held", least.alias("m"), F.count("*").over(of).alias("s"))
     rows = rows.filter("s >= m").withColumn("at", F.row_number().over(of.orderBy("held", "token")))
-    rows = rows.filter("at <= s - m + 1").select("token", "node", "n")
+    rows = rows.filter("at <= s - m + 1").select("token", "node", "n", "s", "at")
     several = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
     return rows.join(several, "token").drop("c")
 
 
-def _close(n1: str, n2: str, percent: int) -> Column:
-    return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+def _possible(a: str, b: str, percent: int, slack: int) -> Column:
+    """Whether two classes can link that meet at a token: by their sizes, and by the tokens from there on.
+
+    Sets link with an intersection of at least o = t (n_a + n_b) / (1 + t). A prefix leaves out at most
+    ceil(t n) - m of a set's tokens, so o less the larger of these must be shared within the prefixes. If the
+    token is the first in order two that both hold, one token and those behind it are all they can share.
+    """
+    n1, n2, s1, s2, at1, at2 = (F.col(f"{side}{c}") for c in ("n", "s", "at") for side in (a, b))
+    cut = F.greatest(F.lit(0), _overlap(F.greatest(n1, n2), percent) - slack)
+    needed = F.ceil((n1 + n2) * percent / F.lit(100.0 + percent) - 1e-6).cast("long") - cut
+    left = 1 + F.least(s1 - at1, s2 - at2)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (left >= needed)
+
+
+def _pairs(rows: DataFrame, a: str, b: str, tried: DataFrame | None) -> DataFrame:
+    """Distinct unordered pairs of the nodes in two columns, without those tried before."""
+    pairs = rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    return written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
 
 
 def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, percent: int, width: int, slack: int) -> DataFrame | None:
@@ -210,38 +245,32 @@ def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, percent: int, w
         F.col("doc_id").alias("__id"), F.col("thash").alias("__th"))
     holders = docs.select("doc_id", "text", F.xxhash64("text").alias("thash"))
     holders = holders.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("thash") == F.col("__th")))
-    sets = written(sets_of(holders, width).dropDuplicates(["node"]), "ngram-sets")
-    found, roots, tried, turn = None, None, None, 0
-    many = REST_ROWS * rows.count()
+    sets = written(sets_of(holders, percent, width, slack).dropDuplicates(["node"]), "ngram-sets")
+    found, roots, tried, turn, fruitful = None, None, None, 0, True
     while True:
         if roots is None:
             now = rows.withColumn("label", F.col("node"))
         else:
             now = rows.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
         pivots = now.groupBy("token").agg(
-            F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn))).alias("p"),
-            F.count("*").alias("all"))
+            F.min_by(F.struct("node", "n", "s", "at", "label"), F.xxhash64("node", "token", F.lit(turn))).alias("p"))
         apart = now.join(pivots, "token").filter(F.col("label") != F.col("p.label"))
-        if turn and (apart.agg(F.sum("all")).first()[0] or 0) <= many:
+        if not fruitful:
             break
-        pairs = apart.filter(_close("n", "p.n", percent)).select(
-            F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "ngram-pairs")
-        fresh = written(verified(pairs, sets, percent), "ngram-links")
+        pairs = _pairs(apart.filter(_possible("", "p.", percent, slack)), "node", "p.node", tried)
+        fresh = written(verified(pairs, sets, percent, slack), "ngram-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         turn += 1
-        if fresh.isEmpty():
+        n_fresh = fresh.count()
+        if not n_fresh:
             break
+        fruitful = n_fresh >= FRUITFUL * pairs.count()
         found = fresh if found is None else found.unionByName(fresh)
         roots = components(found)
-    other = now.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    rest = apart.select("token", "node", "n", "label").join(other, "token").filter(
-        (F.col("label") != F.col("label2")) & _close("n", "n2", percent))
-    rest = rest.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
-    fresh = written(verified(rest, sets, percent), "ngram-links")
+    other = now.select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "s", "at", "label")])
+    rest = apart.drop("p").join(other, "token").filter(
+        (F.col("label") != F.col("other_label")) & _possible("", "other_", percent, slack))
+    fresh = written(verified(_pairs(rest, "node", "other_node", tried), sets, percent, slack), "ngram-links")
     if fresh.isEmpty():
         return roots
     return components(fresh if found is None else found.unionByName(fresh))

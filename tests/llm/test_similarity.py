@@ -67,7 +67,7 @@ def test_ngram_join_against_all_pairs(make_docs, odd_rows, seed):
 def test_ngram_join_small_slack_and_hot_tokens(make_docs, monkeypatch):
     rows = corpus(3, 120) + [(5000 + k, " ".join(["same"] * 3 + [f"u{k}"] * (k % 3) + [f"p{j}" for j in range(60)])) for k in range(90)]
     monkeypatch.setattr(ngram_join, "HOT_LEAST", 4)
-    monkeypatch.setattr(ngram_join, "REST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "FRUITFUL", 0.0)
     got = [tuple(r) for r in ngram_join.ngram_join(make_docs(rows).coalesce(2), slack=5).collect()]
     assert ordered(got) == ordered(plain_components(rows))
 
@@ -82,9 +82,11 @@ def test_one_of_each(make_docs, odd_rows):
     assert ngram_join.ngram_join(make_docs([(1, None), (2, "")])).count() == 2
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_a_chain_and_a_star(spark, one_task):
     chain = [(f"{k:03d}", f"{k + 1:03d}") for k in range(40)] + [("500", f"6{k:02d}") for k in range(50)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "a string, b string")).collect()}
+    got = {r.node: r.root for r in components.components(
+        spark.createDataFrame(chain, "a string, b string"), one_task).collect()}
     assert all(got[f"{k:03d}"] == "000" for k in range(1, 41)) and all(got[f"6{k:02d}"] == "500" for k in range(50))
 
 
