@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 1 << 21
-CACHE_SLICES = 500_000
+CHUNK_BYTES = 1 << 20
+CACHE_SLICES = 200_000
 BLOCK = 64
 WIDTHS = (4, 8, 12, 16, 24, 48, 96)  # slices up to the last are merged side by side, longer ones with a heap
 WIDTH_OF = [next(w for w in WIDTHS if n <= w) for n in range(WIDTHS[-1] + 1)]
