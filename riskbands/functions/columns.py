@@ -72,13 +72,11 @@ def is_low_risk(policy) -> Column:
     return F.coalesce(pred, F.lit(False))
 
 
-def stable(x: Column) -> Column:
-    """Pin an inexact double (mean, std, corr, interpolated quantile) to float precision.
-
-    Used only where results are compared across engines: both sides apply the same
-    IEEE double->float->double rounding, so last-bit noise disappears.
-    """
-    return x.cast("float").cast("double")
+def rounded(x: Column, decimals: int) -> Column:
+    """An inexact double to a fixed number of decimals (2 from a million on, none from 1e8 on, where a
+    double has few left), so that last-bit noise of a sum's order disappears.  Never -0.0."""
+    return (F.when(F.abs(x) < F.lit(1e6), F.round(x, decimals))
+            .when(F.abs(x) < F.lit(1e8), F.round(x, 2)).otherwise(F.round(x, 0)) + F.lit(0.0))
 
 
 def ident(name: str) -> str:

@@ -7,8 +7,11 @@ side is under ``spark.sql.autoBroadcastJoinThreshold`` and sort-merge otherwise.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.columns import any_flag_true, has_null_value, is_low_risk
 from ..policy import DEFAULT, Policy
@@ -27,15 +30,24 @@ def rule_far_distance(tx: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     return tx.where(F.col("distance_to_frequent_location") > policy.far_distance).select(ID)
 
 
-def high_risk_band(tx: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+def high_risk_band(tx: DataFrame, policy: Policy = DEFAULT, shared: DataFrame | None = None) -> DataFrame:
     """Distinct ids hit by any high-risk rule (shared device, flags, distance)."""
-    return (shared_device_tx(tx, policy, distinct_groups=False)
+    shared = shared_device_tx(tx, policy, distinct_groups=False) if shared is None else shared
+    return (shared
             .unionByName(rule_any_flag(tx))
             .unionByName(rule_far_distance(tx, policy))
             .distinct())
 
 
-def _fraud_ids(feedback: DataFrame) -> DataFrame:
+def fraud_ids(feedback: DataFrame) -> DataFrame:
+    """The feedback's known ids as ``_fb_id``.
+
+    Ids are strings: a number that a reader inferred has lost its leading zeros ("007" became 7), so
+    it is refused here instead of matching other transactions or failing in the middle of a job.
+    """
+    kind = feedback.schema[ID].dataType
+    if not isinstance(kind, StringType):
+        raise TypeError(f"feedback {ID} must be a string, not {kind.simpleString()}: read it with the FEEDBACK schema")
     return feedback.select(F.col(ID).alias("_fb_id")).where(F.col("_fb_id").isNotNull())
 
 
@@ -46,17 +58,37 @@ def split_null_ids(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tx.where(F.col(ID).isNotNull()), tx.where(F.col(ID).isNull())
 
 
+class Halves(NamedTuple):
+    """Rows with an id, which the id joins have partitioned by it, and the rows without."""
+
+    known: DataFrame
+    unknown: DataFrame
+
+    def whole(self) -> DataFrame:
+        return self.known.unionByName(self.unknown)
+
+
+def _labelled(known: DataFrame, feedback: DataFrame) -> DataFrame:
+    fb = fraud_ids(feedback)
+    return (known.join(fb, known[ID] == fb["_fb_id"], "left")
+            .select(*[known[c] for c in known.columns],
+                    F.when(F.col("_fb_id").isNotNull(), 1).otherwise(0).alias("is_fraud")))
+
+
+def label_halves(tx: DataFrame, feedback: DataFrame, without: DataFrame | None = None) -> Halves:
+    """Labelled rows whose id is not in ``without``; rows without an id join nothing and are no fraud."""
+    known, unknown = split_null_ids(tx)
+    if without is not None:
+        known = known.join(without, ID, "left_anti")
+    return Halves(_labelled(known, feedback), unknown.withColumn("is_fraud", F.lit(0)))
+
+
 def label_fraud(tx: DataFrame, feedback: DataFrame) -> DataFrame:
     """Transactions plus ``is_fraud`` (1 when a feedback row matches the id).
 
     Left-join semantics: a feedback id listed twice yields the transaction twice.
     """
-    known, unknown = split_null_ids(tx)
-    fb = _fraud_ids(feedback)
-    matched = (known.join(fb, known[ID] == fb["_fb_id"], "left")
-               .select(*[known[c] for c in tx.columns],
-                       F.when(F.col("_fb_id").isNotNull(), 1).otherwise(0).alias("is_fraud")))
-    return matched.unionByName(unknown.withColumn("is_fraud", F.lit(0)))
+    return label_halves(tx, feedback).whole()
 
 
 def label_fraud_sql(spark, tx: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -78,9 +110,23 @@ def medium_low_band(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFAULT
                     high: DataFrame | None = None) -> DataFrame:
     """Transactions not in the high band, with ``is_fraud`` and ``has_null_value``."""
     high = high_risk_band(tx, policy) if high is None else high
-    known, unknown = split_null_ids(tx)
-    rest = known.join(high, ID, "left_anti").unionByName(unknown)
-    return label_fraud(rest, feedback).withColumn("has_null_value", has_null_value())
+    return label_halves(tx, feedback, high).whole().withColumn("has_null_value", has_null_value())
+
+
+def risk_band_halves(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFAULT,
+                     high: DataFrame | None = None) -> Halves:
+    """:func:`risk_bands` as its two halves, for reductions by id that reuse the joins' partitioning."""
+    high = high_risk_band(tx, policy) if high is None else high
+    hb = high.select(F.col(ID).alias("_hr_id")).where(F.col("_hr_id").isNotNull())
+
+    def banded(rows: DataFrame, is_high) -> DataFrame:
+        return rows.withColumn("has_null_value", has_null_value()).select(
+            *tx.columns, "is_fraud",
+            F.when(is_high, "high").when(is_low_risk(policy), "low").otherwise("mid").alias("risk_band"))
+
+    known, unknown = label_halves(tx, feedback)
+    known = known.join(hb, known[ID] == hb["_hr_id"], "left")
+    return Halves(banded(known, F.col("_hr_id").isNotNull()), banded(unknown, F.lit(False)))
 
 
 def risk_bands(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFAULT,
@@ -91,22 +137,7 @@ def risk_bands(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFAULT,
     limits and no null in distance or flags.  mid: everything else (a null makes it mid).
     Each row is classified once (ids are matched by equality, so a null id is never high).
     """
-    high = high_risk_band(tx, policy) if high is None else high
-    hb = high.select(F.col(ID).alias("_hr_id")).where(F.col("_hr_id").isNotNull())
-    fb = _fraud_ids(feedback)
-    known, unknown = split_null_ids(tx)
-    cols = [known[c] for c in tx.columns]
-    labelled = (known.join(fb, known[ID] == fb["_fb_id"], "left")
-                .select(*cols, F.when(F.col("_fb_id").isNotNull(), 1).otherwise(0).alias("is_fraud")))
-    banded = (labelled.join(hb, labelled[ID] == hb["_hr_id"], "left")
-              .select(*[labelled[c] for c in labelled.columns],
-                      F.col("_hr_id").isNotNull().alias("_high")))
-    rows = banded.unionByName(unknown.select(*tx.columns, F.lit(0).alias("is_fraud"),
-                                             F.lit(False).alias("_high")))
-    return (rows.withColumn("has_null_value", has_null_value())
-            .select(*tx.columns, "is_fraud",
-                    F.when(F.col("_high"), "high").when(is_low_risk(policy), "low")
-                    .otherwise("mid").alias("risk_band")))
+    return risk_band_halves(tx, feedback, policy, high).whole()
 
 
 def band_counts(bands: DataFrame) -> DataFrame:
@@ -115,12 +146,13 @@ def band_counts(bands: DataFrame) -> DataFrame:
             .orderBy("total_transactions", "risk_band"))
 
 
-def non_high_risk_base(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+def non_high_risk_base(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFAULT,
+                       shared: DataFrame | None = None) -> DataFrame:
     """Labelled transactions minus flagged and shared-device ids.
 
     The distance rule is *not* applied here, so the distance ladder can show the far bins.
+    ``shared``: the ids of :func:`shared_device_tx`, if they are at hand.
     """
-    flagged = (rule_any_flag(tx).unionByName(shared_device_tx(tx, policy, distinct_groups=False))
-               .where(F.col(ID).isNotNull()).distinct())
-    known, unknown = split_null_ids(tx)
-    return label_fraud(known.join(flagged, ID, "left_anti").unionByName(unknown), feedback)
+    shared = shared_device_tx(tx, policy, distinct_groups=False) if shared is None else shared
+    flagged = rule_any_flag(tx).unionByName(shared).where(F.col(ID).isNotNull()).distinct()
+    return label_halves(tx, feedback, flagged).whole()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import any_flag_true, safe_div, utc_hour
 from ..functions.ladders import AGE_LADDER, DISTANCE_LADDER, VALUE_LADDER, BinSpec
 from ..policy import DEFAULT, Policy
-from .bands import ID, label_fraud
+from .bands import ID, label_fraud, fraud_ids
 from .device_history import accounts_per_device_history
 
 
@@ -76,15 +76,12 @@ def fraud_by_device_accounts(tx: DataFrame, feedback: DataFrame, policy: Policy
     Two distinct counts per group would make Spark Expand every row; instead the rows are
     reduced to one per (count, id) first, then both totals are plain sums.
     """
-    # the per-group history (distinct account, id, device, ts with its count), as defined,
-    # reduced to distinct (count, id) pairs; both id branches below share that one shuffle
+    # the per-group history (distinct account, id, device, ts with its count), as defined, reduced to
+    # distinct (count, id) pairs: at most one null id per count is left, so a plain left join is safe
     pairs = accounts_per_device_history(tx, policy).select("total_accounts", ID).distinct()
-    fb = feedback.select(F.col(ID).alias("_fb_id")).where(F.col("_fb_id").isNotNull()).distinct()
-    known = pairs.where(F.col(ID).isNotNull())
-    per_id = (known.join(fb, known[ID] == fb["_fb_id"], "left")
-              .select("total_accounts", ID, F.col("_fb_id").isNotNull().cast("int").alias("_is_fb"))
-              .unionByName(pairs.where(F.col(ID).isNull())
-                           .select("total_accounts", ID, F.lit(0).alias("_is_fb"))))
+    fb = fraud_ids(feedback).distinct()
+    per_id = (pairs.join(fb, pairs[ID] == fb["_fb_id"], "left")
+              .select("total_accounts", ID, F.col("_fb_id").isNotNull().cast("int").alias("_is_fb")))
     agg = per_id.groupBy(F.col("total_accounts").alias("CountDistinct")).agg(
         F.count(ID).alias("total_transactions"), F.sum("_is_fb").alias("total_frauds"))
     return (agg.select("CountDistinct", "total_transactions", "total_frauds",

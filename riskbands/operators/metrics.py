@@ -2,9 +2,10 @@
 false positives and false negatives.  Each metric is a one-row DataFrame.
 
 ``count(distinct case when cond then id end)`` is computed as: reduce to one row per id with
-``max(cond)`` (the frame is usually already partitioned by id after the labelling join, so this
-needs no extra shuffle), then ``sum`` over non-null ids.  Value sums are summed per id and then
-globally, which keeps the SQL null rule (no matching row -> null).  No Expand, one global pass.
+``max(cond)``, then ``sum`` over non-null ids.  Rows without an id need no reduction, so they are
+kept apart (``Halves``): the labelling joins have partitioned the others by id, and the reduction
+shuffles nothing.  Value sums are summed per id and then globally, which keeps the SQL null rule (no
+matching row -> null).  No Expand, one global pass.
 """
 
 from __future__ import annotations
@@ -14,35 +15,32 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import exact_cost, money, safe_div
 from ..policy import DEFAULT, Policy
-from .bands import ID, split_null_ids
+from .bands import ID, Halves, label_halves, split_null_ids
 
 VALUE = "transaction_value"
 
 
-def _id_reduce(frame: DataFrame, counts: dict[str, Column], sums: dict[str, Column]) -> DataFrame:
+def _id_reduce(frame: DataFrame | Halves, counts: dict[str, Column], sums: dict[str, Column]) -> DataFrame:
     """One global row: ``T`` = distinct non-null ids, each count = distinct ids meeting its
     condition, each sum = sum of ``transaction_value`` over rows meeting its condition."""
-    per_id = frame.groupBy(ID).agg(
+    known, unknown = frame if isinstance(frame, Halves) else split_null_ids(frame)
+    per_id = known.groupBy(ID).agg(
         *[F.max(c.cast("int")).alias(k) for k, c in counts.items()],
         *[F.sum(F.when(c, F.col(VALUE))).alias(k) for k, c in sums.items()])
-    known = F.col(ID).isNotNull()
-    return per_id.agg(
+    values = unknown.select(F.lit(None).cast("string").alias(ID), *[F.lit(None).cast("int").alias(k) for k in counts],
+                            *[F.when(c, F.col(VALUE)).alias(k) for k, c in sums.items()])
+    rows = per_id.unionByName(values) if sums else per_id
+    return rows.agg(
         F.count(ID).alias("T"),
-        *[F.coalesce(F.sum(F.when(known, F.col(k))), F.lit(0)).cast("long").alias(k) for k in counts],
+        *[F.coalesce(F.sum(k), F.lit(0)).cast("long").alias(k) for k in counts],
         *[F.sum(k).alias(k) for k in sums])
 
 
-def _current(tx: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Transactions left-joined to feedback with ``fb`` (a feedback row matched).
-
-    Rows without an id cannot match, so they skip the join (no hot null key in a shuffle).
-    """
-    fb = feedback.select(F.col(ID).alias("_fb_id")).where(F.col("_fb_id").isNotNull())
-    known, unknown = split_null_ids(tx)
-    cols = [ID, VALUE, "client_decision"]
-    matched = (known.join(fb, known[ID] == fb["_fb_id"], "left")
-               .select(*[known[c] for c in cols], F.col("_fb_id").isNotNull().alias("fb")))
-    return matched.unionByName(unknown.select(*cols, F.lit(False).alias("fb")))
+def _current(tx: DataFrame, feedback: DataFrame) -> Halves:
+    """Transactions left-joined to feedback with ``fb`` (a feedback row matched)."""
+    known, unknown = label_halves(tx.select(ID, VALUE, "client_decision"), feedback)
+    fb = (F.col("is_fraud") == 1).alias("fb")
+    return Halves(known.select("*", fb), unknown.select("*", fb))
 
 
 def has_fb() -> Column:
@@ -80,7 +78,7 @@ def fraud_cost_current(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFA
         (lost + exact_cost(F.col("frauds"), policy.twofa_cost)).alias("total_fraud_cost"))
 
 
-def fraud_cost_new(bands: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+def fraud_cost_new(bands: DataFrame | Halves, policy: Policy = DEFAULT) -> DataFrame:
     fee = F.lit(float(policy.fee_rate))
     r = _id_reduce(bands,
                    {"low_f": fraud() & band("low"), "mid_f": fraud() & band("mid"), "low_denied": legit() & band("low") & denied()},
@@ -111,7 +109,7 @@ def twofa_cost_current(tx: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
                     exact_cost(F.col("total_transactions"), policy.twofa_cost).alias("total_2fa_cost"))
 
 
-def twofa_cost_new(bands: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+def twofa_cost_new(bands: DataFrame | Halves, policy: Policy = DEFAULT) -> DataFrame:
     r = _id_reduce(bands, {"count_mid_band": band("mid")}, {})
     return r.select("count_mid_band",
                     exact_cost(F.col("count_mid_band"), policy.twofa_cost).alias("total_2fa_cost"))
@@ -131,7 +129,7 @@ def revenue_current(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFAULT
          - F.coalesce(twofa.cast("double"), F.lit(0.0))).alias("total_revenue"))
 
 
-def revenue_new(bands: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+def revenue_new(bands: DataFrame | Halves, policy: Policy = DEFAULT) -> DataFrame:
     fee = F.lit(float(policy.fee_rate))
     ok = band("low") | (band("mid") & approved())
     r = _id_reduce(bands, {"count_mid_band": band("mid")},
@@ -159,7 +157,7 @@ def approval_current(tx: DataFrame, feedback: DataFrame) -> DataFrame:
                     safe_div(F.col("total_approvals"), F.col("T")).alias("total_approval_rate"))
 
 
-def approval_new(bands: DataFrame) -> DataFrame:
+def approval_new(bands: DataFrame | Halves) -> DataFrame:
     r = _id_reduce(bands, {"count_approved": band("low") | (band("mid") & approved())}, {})
     return r.select(F.col("T").alias("count_transactions"), "count_approved",
                     safe_div(F.col("count_approved"), F.col("T")).alias("total_approved"))
@@ -174,7 +172,7 @@ def false_positive_current(tx: DataFrame, feedback: DataFrame) -> DataFrame:
                     safe_div(F.col("soft_false_positives"), F.col("T")).alias("soft_false_positive_rate"))
 
 
-def false_positive_new(bands: DataFrame) -> DataFrame:
+def false_positive_new(bands: DataFrame | Halves) -> DataFrame:
     r = _id_reduce(bands, {"hard_false_positives": legit() & band("high") & approved(),
                            "soft_false_positives": legit() & band("mid") & approved()}, {})
     return r.select(F.col("T").alias("total_transactions"), "hard_false_positives",
@@ -192,7 +190,7 @@ def false_negative_current(tx: DataFrame, feedback: DataFrame) -> DataFrame:
                     safe_div(F.col("soft_false_negative"), F.col("T")).alias("soft_false_negative_rate"))
 
 
-def false_negative_new(bands: DataFrame) -> DataFrame:
+def false_negative_new(bands: DataFrame | Halves) -> DataFrame:
     r = _id_reduce(bands, {"hard_false_negative": fraud() & band("low"),
                            "soft_false_negative": fraud() & band("mid") & approved()}, {})
     return r.select(F.col("T").alias("total_transactions"), "hard_false_negative",

@@ -154,9 +154,9 @@ def histogram(frame: DataFrame, column: str, bins: int | str = 50,
         sturges = ptp / (F.log2(n) + F.lit(1.0))
         fd = F.lit(2.0) * (F.col("q")[1] - F.col("q")[0]) * F.pow(n, F.lit(-1.0 / 3.0))
         width = F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)
-        nb = F.when(width > 0, F.ceil(ptp / width)).otherwise(F.lit(1)).cast("int")
+        nb = F.when(width > 0, F.ceil(ptp / width)).otherwise(F.lit(1)).cast("long")
     else:
-        nb = F.lit(int(bins))
+        nb = F.lit(int(bins)).cast("long")
     s = st.select(F.struct(
         F.col("n").alias("n"),
         F.when(same, F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
@@ -172,19 +172,17 @@ def histogram(frame: DataFrame, column: str, bins: int | str = 50,
         return F.when(b + 1 == k, hi).otherwise(lo + (b + 1) * step)
 
     # bin index as numpy computes it: scaled floor, then corrected against the bin edges
-    i0 = F.least(F.floor((F.col("x") - lo) * (k / (hi - lo))), k - 1).cast("int")
+    i0 = F.least(F.floor((F.col("x") - lo) * (k / (hi - lo))), k - 1).cast("long")
     idx = (F.when(F.col("x") < start(i0), i0 - 1)
            .when((F.col("x") >= end(i0)) & (i0 != k - 1), i0 + 1).otherwise(i0))
     counts = (vals.select("x", s.alias("_s")).select(idx.alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
-    # the count table has at most nb rows (one per non-empty bin): fold it into one map and
-    # expand the full grid from it, empty bins included
-    filled = counts.agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("m"))
+    # the grid of all bins, and beside each the count of the bins that hold anything
     b = F.col("bin")
-    return (filled.select("m", s.alias("_s")).where(F.col("_s.n") > 0)
-            .select(F.explode(F.sequence(F.lit(0), k - 1)).alias("bin"), "m", "_s")
-            .select(b, start(b).alias("bin_start"), end(b).alias("bin_end"),
-                    F.coalesce(F.element_at(F.col("m"), b), F.lit(0).cast("long")).alias("count")))
+    grid = (frame.sparkSession.range(1).select(s.alias("_s")).where(F.col("_s.n") > 0)
+            .select("_s", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("bin")))
+    return (grid.select(b, start(b).alias("bin_start"), end(b).alias("bin_end")).join(counts, "bin", "left")
+            .withColumn("count", F.coalesce("count", F.lit(0).cast("long"))).orderBy("bin"))
 
 
 def correlation_matrix(frame: DataFrame, cols=NUMERIC_COLUMNS) -> DataFrame:
@@ -210,5 +208,5 @@ def correlation_matrix(frame: DataFrame, cols=NUMERIC_COLUMNS) -> DataFrame:
     key = {p: k for k, p in enumerate(pairs)}
     order = ", ".join(f"named_struct('x', {sql_str(a)}, 'y', {sql_str(b)}, 'k', {key.get((a, b), key.get((b, a)))})"
                       for a in cols for b in cols)
-    keys = per_pair.agg(F.count(F.lit(1)).alias("_n")).selectExpr(f"inline(array({order}))")
+    keys = frame.sparkSession.range(1).selectExpr(f"inline(array({order}))")
     return keys.join(per_pair, "k", "left").select("x", "y", "r")

@@ -1,9 +1,10 @@
 """Registry of every query: name -> callable(spark, sf_dir) -> DataFrame.
 
 Each entry derives its inputs from the driver's ``events`` table (see sources.fixtures) and runs
-one library operator over the whole table.  ``STABLE`` lists, per query, the inexact double
-columns (means, deviations, correlations, interpolated quantiles, unrounded double sums) that are
-pinned to float precision for the cross-engine comparison; the oracle applies the same rounding.
+one library operator over the whole table.  ``DECIMALS`` lists, per query, the inexact double
+columns (means, deviations, correlations, interpolated quantiles, unrounded double sums) and the number
+of decimals to which the query returns them (fewer from a million on); the oracle applies the same rounding.
+Exact columns (counts, minima, maxima, whiskers) are returned as the operators give them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import stable
+from ..functions.columns import rounded
 from ..operators import bands as B
 from ..operators import evidence as E
 from ..operators import metrics as M
@@ -27,25 +28,24 @@ from ..sources.fixtures import load_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
-STABLE: dict[str, list[str]] = {}
+DECIMALS: dict[str, dict[str, int]] = {}
 
-_DESCRIBE = ["mean", "std", "min", "p25", "p50", "p75", "max"]
-_BOX = ["q1", "median", "q3", "whisker_low", "whisker_high"]
+_DESCRIBE = ["mean", "std", "p25", "p50", "p75"]
+_BOX = ["q1", "median", "q3", "whisker_low", "whisker_high"]  # a whisker can sit on the box's edge
 _HIST = ["bin_start", "bin_end"]
 
 
-def query(name: str, stable_cols: list[str] | None = None):
+def query(name: str, inexact: list[str] | None = None, decimals: int = 4):
     def deco(fn: Callable[..., DataFrame]) -> QueryFn:
+        places = {c: decimals for c in inexact or []}
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(spark, sf_dir)
-            if stable_cols:
-                df = df.select(*[stable(F.col(c)).alias(c) if c in stable_cols else F.col(c)
-                                 for c in df.columns])
-            return df
+            return df.withColumns({c: rounded(F.col(c), d) for c, d in places.items()}) if places else df
         run.__name__ = f"q_{name}"
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
-        STABLE[name] = list(stable_cols or [])
+        DECIMALS[name] = places
         return run
     return deco
 
@@ -59,6 +59,11 @@ def _bands(spark, sf, policy: Policy = DEFAULT):
     return B.risk_bands(tx, fb, policy)
 
 
+def _halves(spark, sf, policy: Policy = DEFAULT):
+    tx, fb = _tx(spark, sf)
+    return B.risk_band_halves(tx, fb, policy)
+
+
 def _base(spark, sf, policy: Policy = DEFAULT):
     tx, fb = _tx(spark, sf)
     return B.non_high_risk_base(tx, fb, policy)
@@ -314,7 +319,7 @@ def _q_m1(spark, sf):
 @query("fraud_cost_new", ["total_frauds_low_band", "total_low_band_denied", "total_frauds_mid_band",
                           "total_fraud", "total_fraud_cost", "total_fraud_cost_realistic_case"])
 def _q_m2(spark, sf):
-    return M.fraud_cost_new(_bands(spark, sf))
+    return M.fraud_cost_new(_halves(spark, sf))
 
 
 @query("twofa_cost_current")
@@ -324,7 +329,7 @@ def _q_m3(spark, sf):
 
 @query("twofa_cost_new")
 def _q_m4(spark, sf):
-    return M.twofa_cost_new(_bands(spark, sf))
+    return M.twofa_cost_new(_halves(spark, sf))
 
 
 @query("revenue_current")
@@ -336,7 +341,7 @@ def _q_m5(spark, sf):
 @query("revenue_new", ["total_low_band_denied", "total_approved", "total_fraud_approved",
                        "total_fraud_denied"])
 def _q_m6(spark, sf):
-    return M.revenue_new(_bands(spark, sf))
+    return M.revenue_new(_halves(spark, sf))
 
 
 @query("approval_current")
@@ -347,7 +352,7 @@ def _q_m7(spark, sf):
 
 @query("approval_new")
 def _q_m8(spark, sf):
-    return M.approval_new(_bands(spark, sf))
+    return M.approval_new(_halves(spark, sf))
 
 
 @query("false_positive_current")
@@ -358,7 +363,7 @@ def _q_m9(spark, sf):
 
 @query("false_positive_new")
 def _q_m10(spark, sf):
-    return M.false_positive_new(_bands(spark, sf))
+    return M.false_positive_new(_halves(spark, sf))
 
 
 @query("false_negative_current")
@@ -369,4 +374,4 @@ def _q_m11(spark, sf):
 
 @query("false_negative_new")
 def _q_m12(spark, sf):
-    return M.false_negative_new(_bands(spark, sf))
+    return M.false_negative_new(_halves(spark, sf))

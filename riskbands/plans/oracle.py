@@ -1,24 +1,24 @@
 """DuckDB SQL for every registered query: the independent oracle.
 
-The SQL follows the original definitions literally (naive device self-join, first-match
-BETWEEN chains, ``count(distinct case ...)``), with only the cross-engine adjustments:
-``x / nullif(y, 0)`` for ANSI-safe division, integer sums cast to BIGINT, money rounded as
-``round(cast(x as decimal(38,6)), 2)``, and the inexact columns listed in ``catalog.STABLE``
-pinned to float precision on both sides.
+Stated from the formulas, by other algorithms than the engine's: accounts so far are counted from each
+account's first sighting on a device, bands are set membership over ids grouped with their reasons, ladders
+place a value in the least matching bin of a generated edge table, and the metrics are rendered from one
+declarative table (``METRICS``: conditions, sums and output formulas over one row per id).  Inexact doubles
+(``catalog.DECIMALS``) are rounded to decimals on both sides; everything else is compared as it is.
 """
 
 from __future__ import annotations
 
-from ..functions.ladders import AGE_LADDER, DISTANCE_LADDER, VALUE_LADDER, BinSpec, _fmt
 from ..operators.profile import CLEAN_COLUMNS, NUMERIC_COLUMNS
 from ..policy import DEFAULT
 from ..sources.fixtures import feedback_sql, transactions_sql
 from ..sources.schema import FLAG_COLUMNS
 
 P = DEFAULT
+ANY_FLAG = "(" + " OR ".join(f"coalesce({f}, false)" for f in FLAG_COLUMNS) + ")"
+NO_FLAG_NULL = " AND ".join(f"{f} IS NOT NULL" for f in FLAG_COLUMNS)
 FLAGS_TRUE = " OR ".join(f"{f} = true" for f in ["has_fake_location", "is_emulator",
                                                   "has_root_permissions", "app_is_tampered"])
-ANY_NULL = " OR ".join(["t.distance_to_frequent_location IS NULL"] + [f"t.{f} IS NULL" for f in FLAG_COLUMNS])
 
 
 def money(expr: str) -> str:
@@ -32,39 +32,40 @@ def cost(count_expr: str) -> str:
 CTES = {
     "transactions": transactions_sql("duckdb"),
     "transactions_fraud_feedback": feedback_sql("duckdb"),
-    # distinct accounts seen on the device up to and including each transaction (self-join)
+    "first_seen": """
+      SELECT device_id, account_id, min(transaction_timestamp) AS since
+      FROM transactions WHERE account_id IS NOT NULL GROUP BY ALL""",
+    # accounts whose first sighting on the device is not after the transaction
     "devs": """
-      SELECT x.account_id, x.transaction_id, x.device_id, x.transaction_timestamp,
-             count(DISTINCT y.account_id) AS total_accounts
-      FROM transactions x
-      JOIN transactions y ON y.device_id = x.device_id
-                         AND y.transaction_timestamp <= x.transaction_timestamp
-      GROUP BY x.account_id, x.transaction_id, x.device_id, x.transaction_timestamp""",
+      SELECT account_id, transaction_id, device_id, transaction_timestamp,
+             (SELECT count(*) FROM first_seen s
+              WHERE s.device_id = g.device_id AND s.since <= g.transaction_timestamp) AS total_accounts
+      FROM (SELECT DISTINCT account_id, transaction_id, device_id, transaction_timestamp FROM transactions
+            WHERE device_id IS NOT NULL AND transaction_timestamp IS NOT NULL) g""",
     "hrb": f"""
-      SELECT transaction_id FROM devs WHERE total_accounts >= {P.shared_device_accounts}
-      UNION SELECT transaction_id FROM transactions WHERE {FLAGS_TRUE}
-      UNION SELECT transaction_id FROM transactions
-            WHERE distance_to_frequent_location > {P.far_distance}""",
+      SELECT transaction_id
+      FROM (SELECT transaction_id, {ANY_FLAG} OR coalesce(distance_to_frequent_location > {P.far_distance}, false) AS hit
+            FROM transactions
+            UNION ALL SELECT transaction_id, total_accounts >= {P.shared_device_accounts} FROM devs)
+      GROUP BY transaction_id HAVING bool_or(hit)""",
+    "not_base": f"""
+      SELECT transaction_id
+      FROM (SELECT transaction_id, {ANY_FLAG} AS hit FROM transactions
+            UNION ALL SELECT transaction_id, total_accounts >= {P.shared_device_accounts} FROM devs)
+      GROUP BY transaction_id HAVING bool_or(hit) AND transaction_id IS NOT NULL""",
     "labelled": """
       SELECT t.*, CASE WHEN tff.transaction_id IS NOT NULL THEN 1 ELSE 0 END AS is_fraud
       FROM transactions t
       LEFT JOIN transactions_fraud_feedback tff ON t.transaction_id = tff.transaction_id""",
     "bands": f"""
-      SELECT t.*,
-        CASE WHEN EXISTS (SELECT 1 FROM hrb h WHERE h.transaction_id = t.transaction_id) THEN 'high'
-             WHEN t.transaction_value < {P.low_max_value}
-              AND t.distance_to_frequent_location < {P.low_max_distance}
-              AND t.device_age_days > {P.low_min_device_age}
-              AND NOT ({ANY_NULL}) THEN 'low'
-             ELSE 'mid' END AS risk_band
-      FROM labelled t""",
-    "nhr": f"""
-      SELECT * FROM labelled l
-      WHERE NOT EXISTS (
-        SELECT 1 FROM (SELECT transaction_id FROM transactions WHERE {FLAGS_TRUE}
-                       UNION SELECT transaction_id FROM devs
-                             WHERE total_accounts > {P.shared_device_accounts - 1}) b
-        WHERE b.transaction_id = l.transaction_id)""",
+      SELECT l.* EXCLUDE (low, high), CASE WHEN high THEN 'high' WHEN low THEN 'low' ELSE 'mid' END AS risk_band
+      FROM (SELECT l.*, coalesce(transaction_id IN (SELECT transaction_id FROM hrb WHERE transaction_id IS NOT NULL), false) AS high,
+                   coalesce(transaction_value < {P.low_max_value} AND distance_to_frequent_location < {P.low_max_distance}
+                            AND device_age_days > {P.low_min_device_age} AND {NO_FLAG_NULL}, false) AS low
+            FROM labelled l) l""",
+    "nhr": """
+      SELECT * FROM labelled
+      WHERE transaction_id IS NULL OR transaction_id NOT IN (SELECT transaction_id FROM not_base)""",
     "enc": f"""
       SELECT t.transaction_id, t.transaction_timestamp, t.account_id, t.device_id,
              t.distance_to_frequent_location, t.device_age_days,
@@ -79,7 +80,8 @@ CTES = {
     "clean": "SELECT * FROM enc WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in CLEAN_COLUMNS),
 }
 _ORDER = list(CTES)
-_DEPS = {"hrb": ["devs"], "bands": ["labelled", "hrb"], "nhr": ["labelled", "devs"], "clean": ["enc"]}
+_DEPS = {"devs": ["first_seen"], "hrb": ["devs"], "not_base": ["devs"], "bands": ["labelled", "hrb"],
+         "nhr": ["labelled", "not_base"], "clean": ["enc"]}
 
 
 def _with(names: list[str], body: str) -> str:
@@ -184,21 +186,109 @@ def _corr() -> str:
 
 
 # ------------------------------------------------------------------ ladders
-def _ladder(spec: BinSpec, where: str = "") -> str:
-    x = spec.column
-    label = "CASE\n" + "\n".join(
-        f"  WHEN {x} BETWEEN {_fmt(lo)} AND {_fmt(hi)} THEN '{_fmt(lo)} and {_fmt(hi)}'" for lo, hi in spec.bins)
-    label += f"\n  WHEN {x} > {_fmt(spec.bins[-1][1])} THEN '{spec.top_label}' ELSE 'unknown' END"
-    rank = "CASE\n" + "\n".join(f"  WHEN {spec.label_column} = '{lab}' THEN {i + 1}"
-                                for i, lab in enumerate(spec.labels[:-1]))
-    rank += f"\n  ELSE {spec.unknown_rank} END"
-    return f"""
-    SELECT {spec.label_column}, {rank} AS bin_rank,
-           count(DISTINCT transaction_id) AS total_transactions,
-           CAST(sum(is_fraud) AS BIGINT) AS total_frauds,
+# Column, label column, (first edge, last edge, width) of each stretch, label above the last edge.
+_LADDERS = {
+    "distance_ladder": ("distance_to_frequent_location", "distance_break",
+                        [(0, 100000, 1000), (100000, 1000000, 100000)], "> 1000km"),
+    "value_ladder": ("transaction_value", "value_break", [(0, 1000, 10), (1000, 10000, 1000)], "> 10000"),
+    "age_ladder": ("device_age_days", "age_break", [(0, 10, 1), (11, 496, 5), (496, 500, 4), (501, 581, 5)], "> 581"),
+}
+
+
+def _ladder(name: str, where: str = "true") -> str:
+    column, label, stretches, top = _LADDERS[name]
+    edges = " UNION ALL ".join(f"SELECT range AS lo, range + {w} AS hi FROM range({a}, {b}, {w})" for a, b, w in stretches)
+    return f""",
+    bins AS (SELECT row_number() OVER (ORDER BY lo) AS r, lo, hi FROM ({edges})),
+    placed AS (SELECT transaction_id, is_fraud,
+                      CASE WHEN n.{column} > (SELECT max(hi) FROM bins) THEN (SELECT count(*) + 1 FROM bins)
+                           ELSE coalesce((SELECT min(r) FROM bins WHERE n.{column} >= lo AND n.{column} <= hi),
+                                         (SELECT count(*) + 2 FROM bins)) END AS place
+               FROM nhr n WHERE {where})
+    SELECT CASE WHEN any_value(lo) IS NOT NULL THEN concat(any_value(lo), ' and ', any_value(hi))
+                WHEN place = (SELECT count(*) + 1 FROM bins) THEN '{top}' ELSE 'unknown' END AS {label},
+           CAST(place AS INTEGER) AS bin_rank,
+           count(DISTINCT transaction_id) AS total_transactions, CAST(sum(is_fraud) AS BIGINT) AS total_frauds,
            100 * CAST(sum(is_fraud) AS BIGINT) / nullif(count(DISTINCT transaction_id), 0) AS fraud_rate
-    FROM (SELECT {label} AS {spec.label_column}, transaction_id, is_fraud FROM nhr {where})
-    GROUP BY {spec.label_column}"""
+    FROM placed LEFT JOIN bins ON r = place GROUP BY place"""
+
+
+# ------------------------------------------------------------------ the metrics
+# Rows of a flow are reduced to one per id: whether any of its rows meets a condition, and the value of those
+# that do.  ``ids`` counts ids per condition, ``sums`` adds values, ``out`` are formulas over these and ``n``,
+# the number of ids.
+_FLOWS = {
+    "current": ("labelled", {"fb": "is_fraud = 1"}),
+    "banded": ("bands", {"fb": "is_fraud = 1", "low": "risk_band = 'low'", "mid": "risk_band = 'mid'", "high": "risk_band = 'high'"}),
+}
+_YES, _NO = "client_decision = 'approved'", "client_decision = 'denied'"
+FEE = P.fee_rate
+
+
+def _share(part: str, times: int = 1) -> str:
+    return f"{times} * ({part}) / nullif(n, 0)" if times != 1 else f"({part}) / nullif(n, 0)"
+
+
+def _fee(value: str) -> str:
+    return money(f"coalesce({value}, 0) * {FEE}")
+
+
+_LOST = f"(low_lost * {FEE} + mid_lost * {FEE})"
+_REVENUE = f"({_fee('ok')} - {_fee('fraud_ok')} - {_fee('fraud_no')} - {cost('mid_ids')})"
+_COST = f"({_LOST} + {cost('mid_frauds')})"
+METRICS: dict[str, tuple[str, dict[str, str], dict[str, str], dict[str, str]]] = {
+    "fraud_cost_current": ("current", {"frauds": "fb"}, {"lost": "fb"}, {
+        "total_transactions": "n", "total_frauds": "frauds", "total_fraud_transaction": money(f"lost * {FEE}"),
+        "fraud_rate": _share("frauds", 100), "total_fraud_cost": f"{money(f'lost * {FEE}')} + {cost('frauds')}"}),
+    "fraud_cost_new": ("banded", {"low_frauds": "fb AND low", "mid_frauds": "fb AND mid", "turned": f"NOT fb AND low AND {_NO}"},
+                       {"low_lost": "fb AND low", "mid_lost": "fb AND mid", "turned_value": f"NOT fb AND low AND {_NO}"}, {
+        "count_transactions": "n", "count_frauds": "low_frauds + mid_frauds", "total_frauds_low_band": "low_lost",
+        "count_low_band_denied": "turned", "total_low_band_denied": "turned_value", "total_frauds_mid_band": "mid_lost",
+        "count_frauds_mid_band": "mid_frauds", "total_fraud": _LOST, "fraud_rate": _share("low_frauds + mid_frauds", 100),
+        "total_fraud_cost": _COST, "total_fraud_cost_realistic_case":
+            f"{_COST} + {_share('low_frauds + mid_frauds')} * {P.new_fraud_value} * turned * {FEE}"}),
+    "twofa_cost_current": ("current", {}, {}, {"total_transactions": "n", "total_2fa_cost": cost("n")}),
+    "twofa_cost_new": ("banded", {"mid_ids": "mid"}, {}, {"count_mid_band": "mid_ids", "total_2fa_cost": cost("mid_ids")}),
+    "revenue_current": ("current", {}, {"lost": "fb", "ok": f"{_YES} AND NOT fb"}, {
+        "total_transactions": "n", "total_fraud_transaction": money(f"lost * {FEE}"),
+        "total_approved_transaction": money(f"ok * {FEE}"),
+        "total_revenue": f"{_fee('ok')} - {_fee('lost')} - CAST({P.twofa_cost} * n AS DOUBLE)"}),
+    "revenue_new": ("banded", {"mid_ids": "mid"}, {
+        "turned_value": f"NOT fb AND low AND {_NO}", "ok": f"low OR (mid AND {_YES})",
+        "fraud_ok": f"fb AND (low OR (mid AND {_YES}))", "fraud_no": f"fb AND mid AND {_NO}"}, {
+        "total_low_band_denied": "turned_value", "count_mid_band": "mid_ids", "total_approved": "ok",
+        "total_fraud_approved": "fraud_ok", "total_fraud_denied": "fraud_no", "total_revenue": _REVENUE,
+        "total_approved_cost_if_all_fraudsters": _fee("turned_value"), "worst_case_scenario": f"{_REVENUE} - {_fee('turned_value')}"}),
+    "approval_current": ("current", {"yes": _YES}, {}, {
+        "total_transactions": "n", "total_approvals": "yes", "total_approval_rate": _share("yes")}),
+    "approval_new": ("banded", {"yes": f"low OR (mid AND {_YES})"}, {}, {
+        "count_transactions": "n", "count_approved": "yes", "total_approved": _share("yes")}),
+    "false_positive_current": ("current", {"soft": f"{_YES} AND NOT fb"}, {}, {
+        "total_transactions": "n", "hard_false_positives": "0", "hard_false_positive_rate": _share("0"),
+        "soft_false_positives": "soft", "soft_false_positive_rate": _share("soft")}),
+    "false_positive_new": ("banded", {"hard": f"high AND NOT fb AND {_YES}", "soft": f"mid AND NOT fb AND {_YES}"}, {}, {
+        "total_transactions": "n", "hard_false_positives": "hard", "soft_false_positives": "soft",
+        "hard_false_positive_rate": _share("hard"), "soft_false_positive_rate": _share("soft")}),
+    "false_negative_current": ("current", {"soft": f"fb AND {_YES}"}, {}, {
+        "total_transactions": "n", "hard_false_negatives": "0", "hard_false_negative_rate": _share("0"),
+        "soft_false_negative": "soft", "soft_false_negative_rate": _share("soft")}),
+    "false_negative_new": ("banded", {"hard": "low AND fb", "soft": f"mid AND fb AND {_YES}"}, {}, {
+        "total_transactions": "n", "hard_false_negative": "hard", "soft_false_negative": "soft",
+        "hard_false_negative_rate": _share("hard"), "soft_false_negative_rate": _share("soft")}),
+}
+
+
+def _metric(name: str) -> str:
+    flow, ids, sums, out = METRICS[name]
+    source, marks = _FLOWS[flow]
+    per_id = "".join([*(f", bool_or({c}) AS {k}" for k, c in ids.items()),
+                      *(f", sum(CASE WHEN {c} THEN transaction_value END) AS {k}" for k, c in sums.items())])
+    total = "".join([*(f", count(*) FILTER ({k} AND transaction_id IS NOT NULL) AS {k}" for k in ids),
+                     *(f", sum({k}) AS {k}" for k in sums)])
+    marked = ", ".join(f"{c} AS {k}" for k, c in marks.items())
+    return _with([source], f"""SELECT {", ".join(f"{f} AS {k}" for k, f in out.items())}
+      FROM (SELECT count(transaction_id) AS n{total}
+            FROM (SELECT transaction_id{per_id} FROM (SELECT *, {marked} FROM {source}) GROUP BY transaction_id))""")
 
 
 # ------------------------------------------------------------------ the queries
@@ -262,22 +352,19 @@ def _queries() -> dict[str, str]:
     q["rule_far_distance"] = _with([], f"""SELECT transaction_id FROM transactions
         WHERE distance_to_frequent_location > {P.far_distance}""")
     q["high_risk_band"] = _with(["hrb"], "SELECT transaction_id FROM hrb")
-    q["medium_low_band"] = _with(["hrb"], f"""SELECT t.*,
-        CASE WHEN tff.transaction_id IS NOT NULL THEN 1 ELSE 0 END AS is_fraud,
-        CASE WHEN {ANY_NULL} THEN 1 ELSE 0 END AS has_null_value
-        FROM transactions t
-        LEFT JOIN transactions_fraud_feedback tff ON t.transaction_id = tff.transaction_id
-        WHERE NOT EXISTS (SELECT 1 FROM hrb WHERE hrb.transaction_id = t.transaction_id)""")
+    q["medium_low_band"] = _with(["bands"], f"""SELECT * EXCLUDE (risk_band),
+        CAST(NOT (distance_to_frequent_location IS NOT NULL AND {NO_FLAG_NULL}) AS INTEGER) AS has_null_value
+        FROM bands WHERE risk_band <> 'high'""")
     q["label_fraud"] = _with(["labelled"], "SELECT * FROM labelled")
     q["risk_bands"] = _with(["bands"], "SELECT * FROM bands")
     q["band_counts"] = _with(["bands"], """SELECT risk_band, count(transaction_id) AS total_transactions
         FROM bands GROUP BY 1""")
     q["non_high_risk_base"] = _with(["nhr"], "SELECT * FROM nhr")
 
-    q["distance_ladder"] = _with(["nhr"], _ladder(DISTANCE_LADDER))
-    q["value_ladder"] = _with(["nhr"], _ladder(
-        VALUE_LADDER, f"WHERE distance_to_frequent_location < {P.value_ladder_max_distance}"))
-    q["age_ladder"] = _with(["nhr"], _ladder(AGE_LADDER))
+    q["distance_ladder"] = _with(["nhr"], "").rstrip() + _ladder("distance_ladder")
+    q["value_ladder"] = _with(["nhr"], "").rstrip() + _ladder(
+        "value_ladder", f"distance_to_frequent_location < {P.value_ladder_max_distance}")
+    q["age_ladder"] = _with(["nhr"], "").rstrip() + _ladder("age_ladder")
     q["fraud_by_device_age"] = _with(["nhr"], """SELECT device_age_days,
         CAST(sum(is_fraud) AS BIGINT) AS total_is_fraud,
         count(DISTINCT transaction_id) AS total_transactions,
@@ -303,126 +390,19 @@ def _queries() -> dict[str, str]:
               LEFT JOIN transactions_fraud_feedback f ON f.transaction_id = d.transaction_id
               GROUP BY d.total_accounts) m""")
 
-    fee = P.fee_rate
-    # one row per joined transaction row of each flow
-    cur_cte = """, cur AS (
-      SELECT t.transaction_id AS id, t.transaction_value AS v, t.client_decision AS decision,
-             f.transaction_id IS NOT NULL AS fb
-      FROM transactions t
-      LEFT JOIN transactions_fraud_feedback f ON f.transaction_id = t.transaction_id)"""
-    nb_cte = """, nb AS (
-      SELECT transaction_id AS id, transaction_value AS v, client_decision AS decision,
-             is_fraud = 1 AS fraud, risk_band AS band
-      FROM bands)"""
-
-    def on_cur(body: str) -> str:
-        return _with([], "").rstrip() + cur_cte + "\n" + body
-
-    def on_nb(body: str) -> str:
-        return _with(["bands"], "").rstrip() + nb_cte + "\n" + body
-
-    def ids(cond: str | None = None) -> str:
-        return "count(DISTINCT id)" + (f" FILTER (WHERE {cond})" if cond else "")
-
-    def val(cond: str) -> str:
-        return f"sum(v) FILTER (WHERE {cond})"
-
-    approved_new = "band = 'low' OR (band = 'mid' AND decision = 'approved')"
-    approved_cur = "decision = 'approved' AND NOT fb"
-    q["fraud_cost_current"] = on_cur(f"""
-        SELECT total_transactions, total_frauds, total_fraud_transaction,
-               100 * total_frauds / nullif(total_transactions, 0) AS fraud_rate,
-               total_fraud_transaction + {cost("total_frauds")} AS total_fraud_cost
-        FROM (SELECT {ids()} AS total_transactions, {ids("fb")} AS total_frauds,
-                     {money(f"{val('fb')} * {fee}")} AS total_fraud_transaction
-              FROM cur) m""")
-    q["fraud_cost_new"] = on_nb(f"""
-        SELECT count_transactions, count_frauds, total_frauds_low_band, count_low_band_denied,
-               total_low_band_denied, total_frauds_mid_band, count_frauds_mid_band, total_fraud, fraud_rate,
-               total_fraud_cost,
-               total_fraud_cost + ((fraud_rate / 100) * {P.new_fraud_value} * count_low_band_denied * {fee})
-                 AS total_fraud_cost_realistic_case
-        FROM (SELECT *, 100 * count_frauds / nullif(count_transactions, 0) AS fraud_rate,
-                     total_fraud + {cost("count_frauds_mid_band")} AS total_fraud_cost
-              FROM (SELECT *, low_frauds + count_frauds_mid_band AS count_frauds,
-                           total_frauds_low_band * {fee} + total_frauds_mid_band * {fee} AS total_fraud
-                    FROM (SELECT {ids()} AS count_transactions,
-                                 {ids("fraud AND band = 'low'")} AS low_frauds,
-                                 {ids("fraud AND band = 'mid'")} AS count_frauds_mid_band,
-                                 {val("fraud AND band = 'low'")} AS total_frauds_low_band,
-                                 {val("fraud AND band = 'mid'")} AS total_frauds_mid_band,
-                                 {ids("NOT fraud AND band = 'low' AND decision = 'denied'")} AS count_low_band_denied,
-                                 {val("NOT fraud AND band = 'low' AND decision = 'denied'")} AS total_low_band_denied
-                          FROM nb) a) b) c""")
-    q["twofa_cost_current"] = _with([], f"""
-        SELECT n AS total_transactions, {cost("n")} AS total_2fa_cost
-        FROM (SELECT count(DISTINCT transaction_id) AS n FROM transactions) m""")
-    q["twofa_cost_new"] = on_nb(f"""
-        SELECT count_mid_band, {cost("count_mid_band")} AS total_2fa_cost
-        FROM (SELECT {ids("band = 'mid'")} AS count_mid_band FROM nb) m""")
-    q["revenue_current"] = on_cur(f"""
-        SELECT total_transactions, lost AS total_fraud_transaction, earned AS total_approved_transaction,
-               coalesce(earned, 0) - coalesce(lost, 0)
-                 - coalesce(CAST({P.twofa_cost} * total_transactions AS DOUBLE), 0) AS total_revenue
-        FROM (SELECT {ids()} AS total_transactions,
-                     {money(f"{val('fb')} * {fee}")} AS lost,
-                     {money(f"{val(approved_cur)} * {fee}")} AS earned
-              FROM cur) m""")
-    q["revenue_new"] = on_nb(f"""
-        SELECT *, total_revenue - total_approved_cost_if_all_fraudsters AS worst_case_scenario
-        FROM (SELECT *,
-                     {money(f"coalesce(total_approved, 0) * {fee}")}
-                       - {money(f"coalesce(total_fraud_approved, 0) * {fee}")}
-                       - {money(f"coalesce(total_fraud_denied, 0) * {fee}")}
-                       - {cost("coalesce(count_mid_band, 0)")} AS total_revenue,
-                     {money(f"coalesce(total_low_band_denied, 0) * {fee}")} AS total_approved_cost_if_all_fraudsters
-              FROM (SELECT {val("NOT fraud AND band = 'low' AND decision = 'denied'")} AS total_low_band_denied,
-                           {ids("band = 'mid'")} AS count_mid_band,
-                           {val(approved_new)} AS total_approved,
-                           {val("(fraud AND band = 'low') OR (band = 'mid' AND fraud AND decision = 'approved')")}
-                             AS total_fraud_approved,
-                           {val("band = 'mid' AND fraud AND decision = 'denied'")} AS total_fraud_denied
-                    FROM nb) a) b""")
-    q["approval_current"] = on_cur(f"""
-        SELECT total_transactions, total_approvals,
-               total_approvals / nullif(total_transactions, 0) AS total_approval_rate
-        FROM (SELECT {ids()} AS total_transactions, {ids("decision = 'approved'")} AS total_approvals
-              FROM cur) m""")
-    q["approval_new"] = on_nb(f"""
-        SELECT count_transactions, count_approved,
-               count_approved / nullif(count_transactions, 0) AS total_approved
-        FROM (SELECT {ids()} AS count_transactions, {ids(approved_new)} AS count_approved FROM nb) m""")
-
-    def rates(current: bool, kind: str, hard: str, soft: str, src: str, hard_name: str, soft_name: str) -> str:
-        hard_expr = "0" if current else hard_name
-        inner_hard = "" if current else f", {ids(hard)} AS {hard_name}"
-        return f"""
-        SELECT total_transactions, {hard_expr} AS {hard_name},
-               {hard_expr} / nullif(total_transactions, 0) AS hard_false_{kind}_rate,
-               {soft_name}, {soft_name} / nullif(total_transactions, 0) AS soft_false_{kind}_rate
-        FROM (SELECT {ids()} AS total_transactions{inner_hard}, {ids(soft)} AS {soft_name}
-              FROM {src}) m"""
-
-    q["false_positive_current"] = on_cur(rates(True, "positive", "", "decision = 'approved' AND NOT fb", "cur",
-                                               "hard_false_positives", "soft_false_positives"))
-    q["false_positive_new"] = on_nb(rates(False, "positive", "NOT fraud AND band = 'high' AND decision = 'approved'",
-                                          "NOT fraud AND band = 'mid' AND decision = 'approved'", "nb",
-                                          "hard_false_positives", "soft_false_positives"))
-    q["false_negative_current"] = on_cur(rates(True, "negative", "", "decision = 'approved' AND fb", "cur",
-                                               "hard_false_negatives", "soft_false_negative"))
-    q["false_negative_new"] = on_nb(rates(False, "negative", "fraud AND band = 'low'",
-                                          "fraud AND band = 'mid' AND decision = 'approved'", "nb",
-                                          "hard_false_negative", "soft_false_negative"))
+    q |= {name: _metric(name) for name in METRICS}
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    from .catalog import STABLE
+    from .catalog import DECIMALS
     out = {}
     for name, sql in _queries().items():
-        cols = STABLE.get(name) or []
-        if cols:
-            repl = ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in cols)
+        places = DECIMALS.get(name) or {}
+        if places:
+            repl = ", ".join(
+                f"CASE WHEN abs({c}) < 1e6 THEN round({c}, {d}) WHEN abs({c}) < 1e8 THEN round({c}, 2) ELSE round({c}) END"
+                f" + 0.0 AS {c}" for c, d in places.items())
             sql = f"SELECT * REPLACE ({repl}) FROM ({sql}) AS _q"
         out[name] = sql
     return out

@@ -34,11 +34,7 @@ def build_tables(spark: SparkSession, tx: DataFrame, feedback: DataFrame,
 
     shared = save(shared_device_tx(tx, policy, distinct_groups=False)
                   .where(F.col(B.ID).isNotNull()).distinct(), "shared_device_tx")
-    high = save(shared.unionByName(B.rule_any_flag(tx))
-                .unionByName(B.rule_far_distance(tx, policy)).distinct(), "high_risk_band")
+    high = save(B.high_risk_band(tx, policy, shared), "high_risk_band")
     bands = save(B.risk_bands(tx, feedback, policy, high=high), "transactions_with_bands")
-    flagged = shared.unionByName(B.rule_any_flag(tx)).where(F.col(B.ID).isNotNull()).distinct()
-    known, unknown = B.split_null_ids(tx)
-    base = save(B.label_fraud(known.join(flagged, B.ID, "left_anti").unionByName(unknown), feedback),
-                "transactions_without_high_risk")
+    base = save(B.non_high_risk_base(tx, feedback, policy, shared), "transactions_without_high_risk")
     return DerivedTables(high, bands, base)

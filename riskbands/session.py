@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,16 +33,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for materialised intermediates.
+    """Shared folder for materialised intermediates: ``spark.checkpoint.dir`` of the session.
 
-    On a cluster this is ``spark.checkpoint.dir`` (a shared file system the cluster names).
-    Only when it is unset (local tests) do we create one and register it.
+    A cluster must name one (a file system that driver and executors share).  Only a local master,
+    whose executors are the driver, gets a temporary folder when the setting is missing.
     """
     sc = spark.sparkContext
-    root = sc.getCheckpointDir()
-    if not root:
-        root = spark.conf.get("spark.checkpoint.dir", None)
+    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="riskbands-ckpt-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root

@@ -12,6 +12,7 @@ import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, scratch_path
 from .schema import FEEDBACK, TRANSACTIONS
@@ -113,19 +114,17 @@ def _version_key(spark: SparkSession, sf_dir: str) -> tuple:
     try:
         st = os.stat(path)
         stamp: tuple = (os.path.realpath(path), st.st_size, st.st_mtime_ns)
-    except OSError:  # not a local path: key on the path alone
-        stamp = (path,)
+    except OSError:  # not a local path: the files' own sizes and times
+        files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size",
+                                                "_metadata.file_modification_time").distinct()
+        row = files.agg(F.count("*"), F.sum("file_size"), F.max("file_modification_time")).first()
+        stamp = (path, *row)
     return (spark.sparkContext.applicationId, checkpoint_root(spark), *stamp)
 
 
 def _materialize(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     ev = _events(spark, sf_dir)
     tx, fb = transactions_from_events(ev), feedback_from_events(ev)
-    # spread a small source (one file / row group) over the cluster's cores; a large source
-    # already has at least that many partitions and is written as it is read (no shuffle)
-    cores = spark.sparkContext.defaultParallelism
-    if ev.rdd.getNumPartitions() < cores:
-        tx = tx.repartition(cores)
     tpath = scratch_path(spark, "transactions")
     fpath = scratch_path(spark, "transactions_fraud_feedback")
     tx.write.mode("errorifexists").parquet(tpath)
