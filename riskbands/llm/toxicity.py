@@ -76,16 +76,37 @@ def codes(terms: list[str]) -> np.ndarray:
     return out
 
 
+_SLOT = np.full(128, len(LETTERS))
+_SLOT[[ord(x) for x in LETTERS]] = range(len(LETTERS))
+
+
 def letter_counts(c: np.ndarray) -> np.ndarray:
-    return np.stack([(c == ord(x)).sum(1) for x in LETTERS], 1).astype(np.int16)
+    slots = np.where((c > 0) & (c < 128), _SLOT[np.minimum(c, 127)], len(LETTERS))
+    rows = np.arange(len(c))[:, None] * (len(LETTERS) + 1)
+    counts = np.bincount((rows + slots).ravel(), minlength=len(c) * (len(LETTERS) + 1))
+    return counts.reshape(len(c), len(LETTERS) + 1)[:, :-1].astype(np.int8)
+
+
+def common_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of letters, repeats counted, that each row of ``a`` shares with each row of ``b``."""
+    out = np.zeros((len(a), len(b)), np.int8)
+    for k in np.flatnonzero(b.any(0)):
+        out += np.minimum(a[:, k, None], b[None, :, k])
+    return out
 
 
 def subsequence_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Unnormalised kernel of the rows of two code matrices (0 pads), row by row."""
+    """Unnormalised kernel of the rows of two code matrices (0 pads), row by row.
+
+    Rows go through in parts of like lengths, each without the padding that all its rows share.
+    """
     out = np.zeros(len(a))
-    n, m = a.shape[1], b.shape[1]
-    for at in range(0, len(a), 8192):
-        x, y = a[at:at + 8192].T, b[at:at + 8192].T
+    sizes = (a != 0).sum(1), (b != 0).sum(1)
+    order_of = np.lexsort(sizes)
+    for at in range(0, len(a), 4096):
+        rows = order_of[at:at + 4096]
+        n, m = (int(s[rows].max()) for s in sizes)
+        x, y = a[rows, :n].T, b[rows, :m].T
         match = ((x[:, None] == y[None]) & (x[:, None] != 0)).astype(np.float32)
         before = np.ones((n + 1, m + 1, x.shape[1]), np.float32)
         for _ in range(order - 1):
@@ -96,7 +117,7 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay:
                     run = decay * (run + decay * match[i - 1, j - 1] * before[i - 1, j - 1])
                     now[i, j] = decay * now[i - 1, j] + run
             before = now
-        out[at:at + 8192] = decay ** 2 * (match * before[:-1, :-1]).sum((0, 1))
+        out[rows] = decay ** 2 * (match * before[:-1, :-1]).sum((0, 1))
     return out
 
 
@@ -124,8 +145,7 @@ class Model:
         if not terms or not self.landmarks:
             return out
         c = codes(terms)
-        counts = letter_counts(c)
-        held = np.stack([np.minimum(counts, x).sum(1) for x in self.counts], 1)
+        held = common_letters(letter_counts(c), self.counts)
         i, j = np.nonzero(held >= COVER * self.lengths)
         if len(i):
             rows, back = np.unique(i, return_inverse=True)
@@ -145,12 +165,10 @@ class Model:
         for at in range(0, len(unknown), 20_000):
             part = unknown[at:at + 20_000]
             terms = [windows(w) for w in part]
-            flat = [t for ts in terms for t in ts]
-            scores = (self.kernel(flat) @ self.weights + self.bias).tolist()
-            k = 0
+            flat = list({t for ts in terms for t in ts})
+            scores = dict(zip(flat, (self.kernel(flat) @ self.weights + self.bias).tolist(), strict=True))
             for w, ts in zip(part, terms, strict=True):
-                self.margins[w] = max([self.bias, *scores[k:k + len(ts)]])
-                k += len(ts)
+                self.margins[w] = max([self.bias, *map(scores.__getitem__, ts)])
         get = self.margins.__getitem__
         return np.array([max(map(get, ws), default=self.bias) for ws in found])
 
