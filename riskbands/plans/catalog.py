@@ -107,6 +107,7 @@ def _q_overwrite_table(spark, sf):
     high = IO.save_table(spark, B.high_risk_band(tx), IO.unique_table_name("high_risk_band"))
     name = IO.save_table(spark, B.label_fraud(tx, fb), IO.unique_table_name("transactions_with_bands"))
     IO.overwrite_table(spark, B.risk_bands(tx, fb, high=IO.read_table(spark, high)), name)
+    IO.drop_table(spark, high)
     return IO.read_table(spark, name)
 
 

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import scratch_path
+from ..session import checkpoint_root, scratch_path
 from .schema import FEEDBACK, TRANSACTIONS
 
 
@@ -60,10 +60,39 @@ def save_table(spark: SparkSession, df: DataFrame, name: str, mode: str = "error
     return name
 
 
+def _location(spark: SparkSession, name: str) -> str | None:
+    if not spark.catalog.tableExists(name):
+        return None
+    row = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()
+    return row.data_type if row else None
+
+
+def _remove(spark: SparkSession, location: str | None) -> None:
+    """Delete a folder that this library wrote; anything outside the shared scratch folder stays."""
+    jvm = spark.sparkContext._jvm
+    path, root = (jvm.org.apache.hadoop.fs.Path(p) for p in (location or "/", checkpoint_root(spark)))
+    if path.toUri().getPath().startswith(root.toUri().getPath().rstrip("/") + "/"):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def overwrite_table(spark: SparkSession, df: DataFrame, name: str) -> str:
-    """Replace the table's contents and schema with ``df`` (a fresh location each time, so
-    a reader of the old version is never cut off mid-scan)."""
-    return save_table(spark, df, name, mode="overwrite")
+    """Replace the table's contents and schema with ``df``.
+
+    The new version is written to a fresh location, so ``df`` may read the table itself; once the
+    catalog points there, the superseded location is removed.
+    """
+    old = _location(spark, name)
+    save_table(spark, df, name, mode="overwrite")
+    if old and old != _location(spark, name):
+        _remove(spark, old)
+    return name
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop a table that :func:`save_table` made, with its files."""
+    old = _location(spark, name)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _remove(spark, old)
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
@@ -71,4 +100,4 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 __all__ = ["read_csv_inferred", "read_csv_schema", "write_csv", "write_parquet", "scan_parquet",
-           "save_table", "overwrite_table", "read_table", "unique_table_name", "TRANSACTIONS", "FEEDBACK"]
+           "save_table", "overwrite_table", "drop_table", "read_table", "unique_table_name", "TRANSACTIONS", "FEEDBACK"]

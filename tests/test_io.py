@@ -49,6 +49,19 @@ def test_save_overwrite_and_read_table(spark):
     assert [tuple(r) for r in IO.read_table(spark, name).collect()] == [("b", 1)]
 
 
+def test_overwrite_leaves_one_location_and_drop_none(spark):
+    import glob
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:") + "/riskbands"
+    df = spark.createDataFrame([("a",)], "transaction_id string")
+    name = IO.save_table(spark, df, IO.unique_table_name("leak"))
+    for k in range(3):
+        IO.overwrite_table(spark, df.selectExpr("transaction_id", f"{k} as x"), name)
+    assert len(glob.glob(f"{root}/table-{name}-*")) == 1
+    assert [tuple(r) for r in IO.read_table(spark, name).collect()] == [("a", 2)]
+    IO.drop_table(spark, name)
+    assert not glob.glob(f"{root}/table-{name}-*") and not spark.catalog.tableExists(name)
+
+
 def test_parquet_round_trip(spark):
     df = spark.createDataFrame([("a", 1.0)], "transaction_id string, v double")
     p = IO.write_parquet(df, scratch_path(spark, "pq"))

@@ -74,3 +74,16 @@ def test_empty_group_rate_is_null_not_error(make_tx):
     from riskbands.operators.bands import label_fraud
     out = E.distance_ladder(label_fraud(tx, fb)).collect()
     assert [(r.total_transactions, r.fraud_rate) for r in out] == [(0, None)]
+
+
+def test_ladders_against_literal_edges():
+    from riskbands.functions import ladders as L
+
+    def edges(*stretches):
+        return [(float(a), float(a + w)) for lo, hi, w in stretches for a in range(lo, hi, w)]
+
+    assert list(L.DISTANCE_LADDER.bins) == edges((0, 100_000, 1_000), (100_000, 1_000_000, 100_000))
+    assert list(L.VALUE_LADDER.bins) == edges((0, 1_000, 10), (1_000, 10_000, 1_000))
+    assert list(L.AGE_LADDER.bins) == edges((0, 10, 1), (11, 496, 5)) + [(496.0, 500.0)] + edges((501, 581, 5))
+    assert [len(s.bins) for s in (L.DISTANCE_LADDER, L.VALUE_LADDER, L.AGE_LADDER)] == [109, 109, 124]
+    assert L.DISTANCE_LADDER.labels[0] == "0 and 1000" and L.DISTANCE_LADDER.labels[-2:] == ["> 1000km", "unknown"]

@@ -95,3 +95,16 @@ def test_duplicate_ids_count_once(make_tx):
     # two rows x two feedback rows fan out to four joined rows: sums see all, counts dedupe
     assert (r["total_transactions"], r["total_frauds"]) == (1, 1)
     assert r["total_fraud_transaction"] == pytest.approx(6.0)
+
+
+def test_feedback_ids_must_be_strings(spark, make_tx):
+    import pytest
+
+    from riskbands.operators import bands
+
+    tx, fb = make_tx([tx_row("007"), tx_row("7"), tx_row("abc")], ["7"])
+    assert {r.transaction_id: r.is_fraud for r in bands.label_fraud(tx, fb).collect()} == {"007": 0, "7": 1, "abc": 0}
+    numbers = spark.createDataFrame([(7,)], "transaction_id int")
+    for report in (bands.label_fraud, M.fraud_cost_current):
+        with pytest.raises(TypeError, match="string"):
+            report(tx, numbers)

@@ -56,3 +56,16 @@ def test_matches_oracle(spark, con, name):
     assert len(srows) == len(orows)
     assert sorted(df.columns) == sorted(rel.columns)
     assert digest(df.columns, srows) == digest(rel.columns, orows)
+
+
+def test_returned_numbers_are_not_cut():
+    """Golden values of FIXTURES.md section 4; whole hours come back as whole hours."""
+    from riskbands.plans.catalog import QUERIES
+    from riskbands.session import build_session
+
+    spark = build_session("local[*]", 8)
+    got = QUERIES["revenue_new"](spark, "/root/testdata/sf0.01").first()
+    assert got.total_approved == 1416099.16 and abs(got.total_revenue - 187744.39) < 1e-6
+    rows = {r.column_name: r for r in QUERIES["describe_all"](spark, "/root/testdata/sf0.01").collect()}
+    ts = rows["transaction_timestamp"]
+    assert ts.min % 3_600_000 == 0 and ts.max % 3_600_000 == 0
