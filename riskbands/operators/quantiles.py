@@ -1,188 +1,80 @@
-"""Exact quantiles with bounded memory.
-
-Spark's exact ``percentile`` merges one buffer holding every distinct value of the column in a
-single task; on a large continuous column that buffer is unbounded.  ``exact_quantiles``
-computes the same numbers (linear interpolation between order statistics, as Spark
-``percentile`` / numpy / DuckDB ``quantile_cont``) with every buffer bounded by ``shard_rows``:
-
-* a column with at most ``shard_rows`` values uses ``percentile`` directly (bounded by n);
-* a larger one is narrowed down: approximate quantiles at fixed fractions of the current value
-  range serve only as split points; *exact* counts per split (plus min, max and the size of the
-  tie block at the max) decide which split holds each wanted rank.  Correctness never depends on
-  the sketch.  A split whose top tie block holds the rank answers it at once; otherwise
-  refinement continues until a split holds at most ``shard_rows`` values, which are then sorted
-  in one bounded group.
-
-Each refinement level is two distributed passes over the rows still in play (value-range filters
-that Parquet can prune on); the driver only sees split points and per-split counts.
+"""Exact quantiles of many columns in one lazy plan, the same at every size.
+
+Linear interpolation between order statistics, as Spark ``percentile`` / numpy / DuckDB ``quantile_cont``:
+
+1. the columns are stacked to (column, value) and counted per distinct value, combined map-side;
+2. every value has a cell, an order-preserving function of the value alone (equal steps of its signed
+   logarithm, SCALE per e-fold), so each cell spans 0.0015 % of its values' size;
+3. a running sum over the cells of a column (their number is bounded by the range of doubles, whatever the
+   rows) finds the cells that hold a wanted rank;
+4. only the values of those cells are put in order, by a running sum inside each cell.
+
+Nothing is collected, approximated or switched by size; no job runs before an action, and the counted
+values are shuffled once (both uses read the same exchange).  NaN counts as greater than any number.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 40
-
-
-@dataclass(frozen=True)
-class _Range:
-    lo: float | None  # exclusive lower end (None: unbounded)
-    hi: float | None  # upper end (None: unbounded)
-    hi_inclusive: bool
-    below: int  # number of values <= lo (values before this range)
-    mass: int  # number of values in the range
-
-    def cond(self, x: Column) -> Column:
-        c = F.lit(True)
-        if self.lo is not None:
-            c = c & (x > F.lit(self.lo))
-        if self.hi is not None:
-            c = c & ((x <= F.lit(self.hi)) if self.hi_inclusive else (x < F.lit(self.hi)))
-        return c
-
-
-def _split_index(x: Column, points: list[float]) -> Column:
-    """Index s of the first split point with x <= point (len(points) when above all),
-    as a balanced comparison tree over literal points."""
-    def go(i: int, j: int) -> Column:  # answer lies in [i, j]
-        if i == j:
-            return F.lit(i)
-        m = (i + j) // 2
-        return F.when(x <= F.lit(points[m]), go(i, m)).otherwise(go(m + 1, j))
-    return go(0, len(points))
-
-
-def _order_statistics(x_df: DataFrame, n: int, ranks: list[int], shard_rows: int,
-                      fanout: int) -> dict[int, float]:
-    """Exact values at the given 0-based ranks of column ``x`` of ``x_df`` (n non-null rows)."""
-    x = F.col("x")
-    result: dict[int, float] = {}
-    pending: dict[_Range, list[int]] = {_Range(None, None, True, 0, n): sorted(set(ranks))}
-    for _ in range(MAX_LEVELS):
-        small = {r: ks for r, ks in pending.items() if r.mass <= shard_rows}
-        big = {r: ks for r, ks in pending.items() if r.mass > shard_rows}
-        if small:
-            result.update(_select_small(x_df, small))
-        if not big:
-            return result
-        ranges = list(big)
-        tag = F.lit(None).cast("int")
-        for i, r in reversed(list(enumerate(ranges))):
-            tag = F.when(r.cond(x), F.lit(i)).otherwise(tag)
-        tagged = x_df.select(x, tag.alias("rid")).where(F.col("rid").isNotNull())
-        # pass 1: split points per range (approximate; only used to split)
-        fracs = [k / fanout for k in range(1, fanout)]
-        acc = max(1000, 8 * fanout)
-        pts_rows = (tagged.groupBy("rid").agg(F.percentile_approx("x", fracs, acc).alias("p"))
-                    .collect())
-        points = {row["rid"]: sorted(set(v for v in row["p"] if v is not None)) for row in pts_rows}
-        # pass 2: exact count, min, max and top-tie size per (range, split)
-        split = F.lit(None).cast("int")
-        for i in range(len(ranges)):
-            split = F.when(F.col("rid") == i, _split_index(x, points.get(i, []))).otherwise(split)
-        stats = (tagged.select("rid", "x", split.alias("s"))
-                 .groupBy("rid", "s").agg(F.count("x").alias("c"), F.min("x").alias("mn"),
-                                          F.max("x").alias("mx"))
-                 .collect())
-        by_range: dict[int, list] = {}
-        for row in stats:
-            by_range.setdefault(row["rid"], []).append(row)
-        # which split holds each wanted rank
-        hits: list[tuple[int, int, list, object, int]] = []  # (range, rank, cells, cell, before)
-        for i, r in enumerate(ranges):
-            cells = sorted(by_range.get(i, []), key=lambda rw: rw["s"])
-            before = r.below
-            for cell in cells:
-                for k in big[r]:
-                    if before <= k < before + cell["c"]:
-                        hits.append((i, k, cells, cell, before))
-                before += cell["c"]
-        tops = _top_ties(tagged, {(i, cell["s"]): cell["mx"] for i, _, _, cell, _ in hits})
-        nxt: dict[_Range, list[int]] = {}
-        for i, k, cells, cell, before in hits:
-            c, mn, mx = cell["c"], cell["mn"], cell["mx"]
-            top = tops[(i, cell["s"])]
-            if mn == mx or k >= before + c - top:
-                result[k] = mx  # inside the tie block at the split's max
-            else:
-                prev = [cl for cl in cells if cl["s"] < cell["s"]]
-                lower = prev[-1]["mx"] if prev else ranges[i].lo
-                nxt.setdefault(_Range(lower, mx, False, before, c - top), []).append(k)
-        pending = nxt
-    raise RuntimeError("exact quantile refinement did not converge")
-
-
-def _top_ties(tagged: DataFrame, cells: dict[tuple[int, int], float]) -> dict[tuple[int, int], int]:
-    """Rows equal to the max of each given split (the splits holding a wanted rank)."""
-    key = F.lit(None).cast("int")
-    order = list(cells)
-    for j, (rid, _s) in enumerate(order):
-        key = F.when((F.col("rid") == rid) & (F.col("x") == F.lit(cells[(rid, _s)])), F.lit(j)).otherwise(key)
-    got = {r["k"]: r["n"] for r in tagged.select(key.alias("k")).where(F.col("k").isNotNull())
-           .groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {cell: got.get(j, 0) for j, cell in enumerate(order)}
-
-
-def _select_small(x_df: DataFrame, small: dict[_Range, list[int]]) -> dict[int, float]:
-    """Pick ranks inside ranges of at most shard_rows values: one bounded sorted list each."""
-    x = F.col("x")
-    ranges = list(small)
-    tag = F.lit(None).cast("int")
-    for i, r in reversed(list(enumerate(ranges))):
-        tag = F.when(r.cond(x), F.lit(i)).otherwise(tag)
-    rows = (x_df.select(x, tag.alias("rid")).where(F.col("rid").isNotNull())
-            .groupBy("rid").agg(F.sort_array(F.collect_list("x")).alias("v")))
-    picks = F.lit(None).cast("array<double>")
-    for i, r in enumerate(ranges):
-        picks = F.when(F.col("rid") == i, F.array(*[F.element_at("v", k - r.below + 1)
-                                                      for k in small[r]])).otherwise(picks)
-    out: dict[int, float] = {}
-    for row in rows.select("rid", picks.alias("p")).collect():
-        r = ranges[row["rid"]]
-        for k, v in zip(small[r], row["p"]):
-            out[k] = v
-    return out
-
-
-def _interpolate(values: dict[int, float], n: int, p: float) -> float | None:
-    if n == 0:
-        return None
-    pos = p * (n - 1)
-    lo, hi = math.floor(pos), math.ceil(pos)
-    a, b = values[lo], values[hi]
-    if lo == hi or a == b:
-        return a
-    return (hi - pos) * a + (pos - lo) * b
-
-
-def column_quantiles(frame: DataFrame, column: str, n: int, probs, shard_rows: int = 1_000_000,
-                     fanout: int = 32) -> list[float | None]:
-    """Exact quantiles of one column with ``n`` non-null values, by bounded refinement."""
-    probs = [float(p) for p in probs]
-    if n == 0:
-        return [None] * len(probs)
-    ranks = sorted({k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-    x_df = frame.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
-    values = _order_statistics(x_df, n, ranks, shard_rows, fanout)
-    return [_interpolate(values, n, p) for p in probs]
-
-
-def exact_quantiles(frame: DataFrame, cols, probs, shard_rows: int = 1_000_000,
-                    fanout: int = 32) -> dict[str, list[float | None]]:
-    """{column: [quantile per p]} computed exactly with bounded buffers (runs Spark jobs)."""
-    cols, probs = list(cols), [float(p) for p in probs]
-    counts = frame.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
-    small = [c for c in cols if counts[c] <= shard_rows]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        row = frame.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in small]).first()
-        for c in small:
-            out[c] = list(row[c]) if row[c] is not None else [None] * len(probs)
-    for c in cols:
-        if c not in out:
-            out[c] = column_quantiles(frame, c, counts[c], probs, shard_rows, fanout)
-    return out
+from ..functions.columns import ident
+
+SCALE = 65_536
+FARTHEST = 1_000  # log1p of the largest double is below 710; infinities go here
+
+
+def cell(x: Column) -> Column:
+    """A long that never falls as ``x`` rises."""
+    size = F.least(F.log1p(F.abs(x)), F.lit(float(FARTHEST)))
+    return (F.when(F.isnan(x), F.lit(FARTHEST * SCALE + 1))
+            .otherwise(F.floor(F.signum(x) * size * F.lit(float(SCALE)))).cast("long"))
+
+
+def _ranks(n: Column, probs) -> Column:
+    """The 0-based ranks on both sides of each probability's place among ``n`` values."""
+    places = [F.lit(float(p)) * (n - 1) for p in probs]
+    return F.array_distinct(F.array(*[f(place).cast("long") for place in places for f in (F.floor, F.ceil)]))
+
+
+def order_statistics(frame: DataFrame, cols, probs) -> DataFrame:
+    """(k, n, r, x): for column number k with n non-null values, the value x at each needed rank r."""
+    tall = ", ".join(f"{k}, CAST({ident(c)} AS DOUBLE)" for k, c in enumerate(cols))
+    values = (frame.selectExpr(f"stack({len(list(cols))}, {tall}) AS (k, x)").where(F.col("x").isNotNull())
+              .groupBy("k", "x").agg(F.count(F.lit(1)).alias("c")))
+    values = values.withColumn("cell", cell(F.col("x")))
+    column, before = Window.partitionBy("k"), (Window.unboundedPreceding, -1)
+    cells = values.groupBy("k", "cell").agg(F.sum("c").alias("held"))
+    cells = cells.select(
+        "k", "cell", "held", F.sum("held").over(column).alias("n"),
+        F.coalesce(F.sum("held").over(column.orderBy("cell").rowsBetween(*before)), F.lit(0)).alias("below"))
+
+    def inside(ranks: Column, start: Column, size: Column) -> Column:
+        return F.filter(ranks, lambda r: (r >= start) & (r < start + size))
+
+    wanted = cells.withColumn("ranks", inside(_ranks(F.col("n"), probs), F.col("below"), F.col("held")))
+    wanted = wanted.where(F.size("ranks") > 0).select("k", "cell", "n", "below", "ranks")
+    in_cell = Window.partitionBy("k", "cell").orderBy("x").rowsBetween(*before)
+    rows = values.join(wanted, ["k", "cell"]).withColumn(
+        "start", F.col("below") + F.coalesce(F.sum("c").over(in_cell), F.lit(0)))
+    return rows.select("k", "n", F.explode(inside(F.col("ranks"), F.col("start"), F.col("c"))).alias("r"), "x")
+
+
+def exact_quantiles(frame: DataFrame, cols, probs) -> DataFrame:
+    """(k, q): the array of quantiles at ``probs`` of column number k; no row for a column without values."""
+    per_column = order_statistics(frame, cols, probs).groupBy("k").agg(
+        F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("r", "x"))).alias("at"))
+
+    def quantile(p: float) -> Column:
+        place = F.lit(float(p)) * (F.col("n") - 1)
+        low, high = F.floor(place).cast("long"), F.ceil(place).cast("long")
+        a, b = F.element_at("at", low), F.element_at("at", high)
+        return F.when((low == high) | (a == b), a).otherwise((high - place) * a + (place - low) * b)
+
+    return per_column.select("k", F.array(*[quantile(p) for p in probs]).alias("q"))
+
+
+def quantile_map(frame: DataFrame, cols, probs) -> Column:
+    """:func:`exact_quantiles` as one scalar subquery: a map from column number to its quantiles."""
+    q = exact_quantiles(frame, cols, probs)
+    return q.agg(F.map_from_entries(F.collect_list(F.struct("k", "q"))).alias("m")).scalar()

@@ -1,10 +1,9 @@
 """Descriptive statistics as Spark jobs (the analysis did these in pandas on the driver).
 
-Each statistic is one aggregate pass; where a second pass needs first-pass numbers
-(z-score, box-plot fences, histogram range) they come in as a scalar subquery holding one
-struct, projected once as a column, so no cross join is involved.  The only values that reach
-the driver are the per-column counts (and, for large columns, split points) of the bounded
-exact quantiles.  Wide lists of output rows are written as one SQL expression, one JVM call.
+Each statistic is one aggregate pass; where another pass needs its numbers (quantiles, z-score,
+box-plot fences, histogram range) they come in as one scalar subquery, projected once as a
+column, so no cross join is involved and nothing reaches the driver.  Wide lists of output rows
+are written as one SQL expression, one JVM call.
 """
 
 from __future__ import annotations
@@ -15,36 +14,26 @@ from pyspark.sql import functions as F
 from ..functions.columns import ident, sql_str
 from ..policy import DEFAULT, Policy
 from .profile import CLEAN_COLUMNS, NUMERIC_COLUMNS
-from .quantiles import column_quantiles
+from .quantiles import quantile_map
 
 
-def quantile_exprs(frame: DataFrame, cols, probs, policy: Policy = DEFAULT) -> dict[str, Column]:
-    """Per column, an aggregate expression giving the array of quantiles at ``probs``.
+def quantiles_of(frame: DataFrame, cols, probs, policy: Policy = DEFAULT) -> Column:
+    """A map from column number to the array of its quantiles, as one scalar subquery.
 
-    "bounded" (default): one count per column first; a column with at most
-    ``quantile_shard_rows`` values uses exact ``percentile`` inside the caller's aggregate
-    (linear interpolation, as pandas / numpy), a larger one is resolved exactly by bounded
-    refinement and enters as a literal array.
+    Exact by default (linear interpolation, as pandas / numpy); ``policy.quantile_method="approx"``
+    takes ``percentile_approx`` instead.  A column without values has no entry.
     """
     probs = [float(p) for p in probs]
+    if policy.quantile_method == "approx":
+        found = [F.struct(F.lit(k).alias("k"), F.percentile_approx(
+            F.col(c).cast("double"), probs, policy.approx_accuracy).alias("q")) for k, c in enumerate(cols)]
+        return frame.agg(F.map_from_entries(F.array(*found)).alias("m")).scalar()
+    return quantile_map(frame, cols, probs)
 
-    def pct(c: str) -> Column:
-        return F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs]))
 
-    if policy.quantile_method == "approx":
-        return {c: F.percentile_approx(F.col(c).cast("double"), probs, policy.approx_accuracy)
-                for c in cols}
-    if policy.quantile_method == "percentile":
-        return {c: pct(c) for c in cols}
-    counts = frame.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
-    out = {}
-    for c in cols:
-        if counts[c] <= policy.quantile_shard_rows:
-            out[c] = pct(c)
-        else:
-            vals = column_quantiles(frame, c, counts[c], probs, policy.quantile_shard_rows)
-            out[c] = F.array(*[F.lit(v).cast("double") for v in vals])
-    return out
+def _at(k: int) -> str:
+    """SQL for the quantiles of column number k in the map column ``_q``; null if it has no values."""
+    return f"try_element_at(`_q`, {k})"
 
 
 def clean(frame: DataFrame, cols=CLEAN_COLUMNS) -> DataFrame:
@@ -55,30 +44,27 @@ def clean(frame: DataFrame, cols=CLEAN_COLUMNS) -> DataFrame:
 def describe(frame: DataFrame, cols=NUMERIC_COLUMNS, policy: Policy = DEFAULT) -> DataFrame:
     """pandas-style describe as tidy rows:
     (column_name, count, mean, std, min, p25, p50, p75, max); std is the sample std."""
-    quart = quantile_exprs(frame, cols, (0.25, 0.5, 0.75), policy)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__n"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 quart[c].alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
-    one = frame.agg(*aggs)
+                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+    one = frame.agg(*aggs).withColumn("_q", quantiles_of(frame, cols, (0.25, 0.5, 0.75), policy))
     rows = ", ".join(
         f"named_struct('column_name', {sql_str(c)}, 'count', {ident(c + '__n')},"
         f" 'mean', {ident(c + '__mean')}, 'std', {ident(c + '__std')}, 'min', {ident(c + '__min')},"
-        f" 'p25', {ident(c + '__q')}[0], 'p50', {ident(c + '__q')}[1], 'p75', {ident(c + '__q')}[2],"
-        f" 'max', {ident(c + '__max')})" for c in cols)
+        f" 'p25', {_at(k)}[0], 'p50', {_at(k)}[1], 'p75', {_at(k)}[2],"
+        f" 'max', {ident(c + '__max')})" for k, c in enumerate(cols))
     return one.selectExpr(f"inline(array({rows}))")
 
 
 def quantile_table(frame: DataFrame, cols=CLEAN_COLUMNS, policy: Policy = DEFAULT) -> DataFrame:
     """One row per probability in ``policy.quantiles`` with each column's quantile."""
     probs = policy.quantiles
-    qs = quantile_exprs(frame, cols, probs, policy)
-    one = frame.agg(*[qs[c].alias(c) for c in cols])
+    one = frame.sparkSession.range(1).select(quantiles_of(frame, cols, probs, policy).alias("_q"))
     rows = ", ".join(
         "named_struct('quantile', CAST({p} AS DOUBLE), {fields})".format(
-            p=repr(float(p)), fields=", ".join(f"{sql_str(c)}, {ident(c)}[{i}]" for c in cols))
+            p=repr(float(p)), fields=", ".join(f"{sql_str(c)}, {_at(k)}[{i}]" for k, c in enumerate(cols)))
         for i, p in enumerate(probs))
     return one.selectExpr(f"inline(array({rows}))")
 
@@ -92,16 +78,14 @@ def box_stats(frame: DataFrame, cols=("transaction_value", "distance_to_frequent
     Whiskers reach the most extreme data point within ``whis`` * IQR of the box; when no
     point qualifies the whisker sits on the box edge.  Outliers are points beyond the fences.
     """
-    qs = quantile_exprs(frame, cols, (0.25, 0.5, 0.75), policy)
-    quart = frame.agg(*[qs[c].alias(c) for c in cols])
-    # the quartiles enter the second pass as one scalar subquery, projected once as a column
+    # the quartiles enter the pass over the data as one scalar subquery, projected once as a column
     # (referencing a subquery many times makes the optimizer plan every copy)
-    q = quart.select(F.struct(*[F.col(c) for c in cols]).alias("q")).scalar()
-    withq = frame.select(*[F.col(c).cast("double").alias(c) for c in cols], q.alias("_q"))
-    aggs, meta = [F.any_value("_q").alias("_q")], []
-    for c in cols:
+    withq = frame.select(*[F.col(c).cast("double").alias(c) for c in cols],
+                         quantiles_of(frame, cols, (0.25, 0.5, 0.75), policy).alias("_q"))
+    aggs = [F.first("_q").alias("_q")]
+    for k, c in enumerate(cols):
         x = F.col(c)
-        q1, q3 = F.col("_q")[c][0], F.col("_q")[c][2]
+        q1, q3 = F.expr(f"{_at(k)}[0]"), F.expr(f"{_at(k)}[2]")
         lo_fence = q1 - F.lit(whis) * (q3 - q1)
         hi_fence = q3 + F.lit(whis) * (q3 - q1)
         aggs += [F.count(x).alias(f"{c}__n"),
@@ -110,8 +94,8 @@ def box_stats(frame: DataFrame, cols=("transaction_value", "distance_to_frequent
                  F.count(F.when((x < lo_fence) | (x > hi_fence), x)).alias(f"{c}__out")]
     one = withq.agg(*aggs)
     rows = []
-    for c in cols:
-        q = f"`_q`.{ident(c)}"
+    for k, c in enumerate(cols):
+        q = _at(k)
         wlo, whi = ident(c + "__wlo"), ident(c + "__whi")
         rows.append(
             f"named_struct('column_name', {sql_str(c)}, 'count', {ident(c + '__n')},"
@@ -143,10 +127,9 @@ def histogram(frame: DataFrame, column: str, bins: int | str = 50,
     """
     x = F.col(column).cast("double")
     vals = frame.select(x.alias("x")).where(F.col("x").isNotNull())
-    quart = (quantile_exprs(vals, ["x"], (0.25, 0.75), policy)["x"] if bins == "auto"
-             else F.lit(None).cast("array<double>"))
-    st = vals.agg(F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
-                  quart.alias("q"))
+    st = vals.agg(F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
+    if bins == "auto":
+        st = st.withColumn("_q", quantiles_of(vals, ["x"], (0.25, 0.75), policy)).withColumn("q", F.expr(_at(0)))
     same = F.col("mn") == F.col("mx")
     if bins == "auto":
         ptp = F.col("mx") - F.col("mn")

@@ -32,11 +32,8 @@ class Policy:
     # most this many distinct millisecond timestamps per device, which bounds the largest
     # window partition no matter how hot a device is.
     history_bucket_ms: int = 3_600_000
-    # Quantiles: "bounded" (exact; a column with more than ``quantile_shard_rows`` values is
-    # refined so no buffer exceeds that size), "percentile" (exact, one buffer holding every
-    # distinct value) or "approx" (percentile_approx with ``approx_accuracy``).
-    quantile_method: str = "bounded"
-    quantile_shard_rows: int = 1_000_000
+    # Quantiles: "exact" or "approx" (percentile_approx with ``approx_accuracy``).
+    quantile_method: str = "exact"
     approx_accuracy: int = 1_000_000
 
 DEFAULT = Policy()

@@ -1,61 +1,75 @@
-"""Exact bounded quantiles equal numpy's linear quantiles, including when refinement is forced."""
+"""Exact quantiles equal numpy's linear quantiles; the plan is lazy and the same at every size."""
 
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from riskbands.operators.quantiles import exact_quantiles
+from riskbands.operators import stats as S
+from riskbands.operators.quantiles import cell, exact_quantiles
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
 
 
-def check(spark, values, shard_rows, fanout=8):
-    df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = exact_quantiles(df, ["x"], PROBS, shard_rows=shard_rows, fanout=fanout)["x"]
-    arr = np.array([v for v in values if v is not None])
-    want = list(np.quantile(arr, PROBS)) if len(arr) else [None] * len(PROBS)
-    assert got == pytest.approx(want, rel=1e-12, abs=1e-12)
+def got(spark, columns):
+    rows = list(zip(*columns, strict=True))
+    cols = [f"c{k}" for k in range(len(columns))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+    return {r.k: r.q for r in exact_quantiles(df, cols, PROBS).collect()}
 
 
-@pytest.mark.parametrize("shard_rows", [10_000_000, 50, 7])
-def test_continuous(spark, shard_rows):
+def test_many_columns_against_numpy(spark):
     rnd = random.Random(3)
-    check(spark, [rnd.gauss(0, 1000) for _ in range(1500)] + [None] * 5, shard_rows)
+    n = 1200
+    columns = [
+        [rnd.gauss(0, 1000) for _ in range(n)],
+        [rnd.choice([0.0, -0.0, -3.0, 1.0, 2.0, 2.0, 1e6]) for _ in range(n)],
+        [1.7e12 + rnd.randrange(10**9) for _ in range(n)],
+        [rnd.uniform(0, 1) if rnd.random() < 0.99 else 1e300 for _ in range(n)],
+        [None if rnd.random() < 0.3 else rnd.uniform(-5, 5) for _ in range(n)],
+        [7.0] * n, [None] * n, [None] * (n - 2) + [1.0, 2.0],
+    ]
+    out = got(spark, columns)
+    assert 6 not in out
+    for k, column in enumerate(columns):
+        values = [v for v in column if v is not None]
+        if values:
+            assert out[k] == pytest.approx(list(np.quantile(values, PROBS)), rel=1e-12, abs=1e-12)
 
 
-@pytest.mark.parametrize("shard_rows", [40, 5])
-def test_heavy_ties_and_negatives(spark, shard_rows):
+def test_nan_and_infinity_come_last(spark):
+    out = got(spark, [[math.nan, 1.0, -math.inf, 2.0, math.inf]])[0]
+    assert out[0] == -math.inf and out[3] == 2.0 and math.isnan(out[-1])
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "x double")
+    assert exact_quantiles(df, ["x"], PROBS).collect() == []
+    assert S.describe(df, ["x"]).first().p50 is None
+
+
+def test_cells_never_fall(spark):
     rnd = random.Random(5)
-    vals = [0.0] * 700 + [rnd.choice([-3.0, 1.0, 2.0, 2.0, 1e6]) for _ in range(400)] + \
-        [rnd.uniform(-5, 5) for _ in range(100)]
-    check(spark, vals, shard_rows, fanout=4)
-
-
-def test_single_value_and_tiny(spark):
-    check(spark, [7.0] * 300, 10)
-    check(spark, [1.0, 2.0], 1)
-    df = spark.createDataFrame([(None,)], "x double")
-    assert exact_quantiles(df, ["x"], [0.5], shard_rows=1)["x"] == [None]
-
-
-def test_stats_use_bounded_refinement_when_columns_are_large(spark):
-    """describe / box plot / quantile table give the same numbers when every column is forced
-    through the bounded refinement (shard of 16 values) as with the one-buffer percentile."""
-    from riskbands.operators import stats as S
-    from riskbands.policy import Policy
-
-    rnd = random.Random(11)
-    rows = [(rnd.uniform(0, 500), float(rnd.randrange(0, 30)), rnd.expovariate(0.01)) for _ in range(400)]
-    df = spark.createDataFrame(rows, "transaction_value double, distance_to_frequent_location double,"
-                                     " device_age_days double")
-    cols = ["transaction_value", "distance_to_frequent_location", "device_age_days"]
-    small, big = Policy(quantile_method="percentile"), Policy(quantile_shard_rows=16)
-    for fn in (lambda p: S.describe(df, cols, p), lambda p: S.quantile_table(df, cols, p),
-               lambda p: S.box_stats(df, cols, p), lambda p: S.histogram(df, "transaction_value", "auto", p)):
-        a = sorted(tuple(r) for r in fn(small).collect())
-        b = sorted(tuple(r) for r in fn(big).collect())
-        assert len(a) == len(b)
-        for ra, rb in zip(a, b):
-            for x, y in zip(ra, rb):
-                assert x == (pytest.approx(y, rel=1e-12) if isinstance(y, float) else y)
+    values = sorted([rnd.choice([-1, 1]) * 10 ** rnd.uniform(-20, 20) for _ in range(2000)] + [0.0, 1e308, -1e308])
+    cells = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").coalesce(1).select(cell(F.col("x"))).collect()]
+    assert cells == sorted(cells)
+
+
+def test_building_runs_no_job(spark):
+    df = spark.range(1000).selectExpr("cast(id as double) as transaction_value", "cast(id as double) as device_age_days",
+                                      "cast(id as double) as distance_to_frequent_location")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    for frame in (S.describe(df, df.columns), S.box_stats(df), S.quantile_table(df, df.columns),
+                  S.histogram(df, "transaction_value", "auto")):
+        assert frame.columns
+    assert list(tracker.getJobIdsForGroup("building")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_histogram_of_many_bins(spark):
+    df = spark.range(2000).selectExpr("cast(id as double) as x")
+    h = S.histogram(df, "x", 20_000)
+    assert h.count() == 20_000 and h.agg({"count": "sum"}).first()[0] == 2000
