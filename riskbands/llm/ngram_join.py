@@ -15,7 +15,7 @@ Every link between different sets is found or implied by the components, without
    enough tokens of the prefixes under order one, and a prefix token under order three (the descending hashes), before the whole
    sets are intersected.
 6. A token held by many classes doesn't pair them all. Every holder is compared with one pivot of the token;
-   links merge components, and holders in another component than the next pivot are compared again. Once
+   links merge components, and holders in other components than the next SEATS pivots are compared again. Once
    a round's links are less than FRUITFUL of its pairs, all pairs that still lie in two components are compared.
 
 A token that is frequent within a chunk of a task is set aside there (its holders are known to share it) and
@@ -48,7 +48,8 @@ CHUNK_BYTES = 8 << 20
 CACHE_WORDS = 400_000
 HOT_SHARE = 0.05  # of a chunk's documents, and at least
 HOT_LEAST = 64
-FRUITFUL = 0.05
+FRUITFUL = 0.02
+SEATS = 32
 MOST = (1 << 62)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -248,16 +249,22 @@ def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, percent: int, w
     sets = written(sets_of(holders, percent, width, slack).dropDuplicates(["node"]), "ngram-sets")
     found, roots, tried, turn, fruitful = None, None, None, 0, True
     while True:
-        if roots is None:
-            now = rows.withColumn("label", F.col("node"))
-        else:
-            now = rows.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        pivots = now.groupBy("token").agg(
-            F.min_by(F.struct("node", "n", "s", "at", "label"), F.xxhash64("node", "token", F.lit(turn))).alias("p"))
-        apart = now.join(pivots, "token").filter(F.col("label") != F.col("p.label"))
+        now = rows.withColumn("label", F.col("node")).withColumn("mass", F.lit(1).cast("long"))
+        if roots is not None:
+            mass = roots.groupBy("root").agg((F.count("*") + 1).alias("mass"))
+            # both sides hold linked nodes only; the root itself isn't listed among them
+            known = roots.unionByName(mass.select(F.col("root").alias("node"), "root")).join(mass, "root")
+            now = rows.join(known, "node", "left").select(
+                *rows.columns, F.coalesce("root", "node").alias("label"), F.coalesce("mass", F.lit(1)).alias("mass"))
+            now = written(now, "ngram-labels")
         if not fruitful:
             break
-        pairs = _pairs(apart.filter(_possible("", "p.", percent, slack)), "node", "p.node", tried)
+        # the first round has one pivot a token; later ones, for the few still apart, have several
+        seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SEATS if turn else 1))
+        pivots = now.groupBy("token", seat.alias("seat")).agg(
+            F.min_by(F.struct("node", "n", "s", "at", "label"), F.xxhash64("node", "token", F.lit(turn))).alias("p"))
+        apart = now.join(pivots, "token").filter((F.col("label") != F.col("p.label")) & _possible("", "p.", percent, slack))
+        pairs = _pairs(apart, "node", "p.node", tried)
         fresh = written(verified(pairs, sets, percent, slack), "ngram-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         turn += 1
@@ -267,8 +274,10 @@ def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, percent: int, w
         fruitful = n_fresh >= FRUITFUL * pairs.count()
         found = fresh if found is None else found.unionByName(fresh)
         roots = components(found)
+    # every pair of two components holds a node outside the token's largest one
+    largest = now.groupBy("token").agg(F.max_by("label", F.struct("mass", "label")).alias("largest"))
     other = now.select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "s", "at", "label")])
-    rest = apart.drop("p").join(other, "token").filter(
+    rest = now.join(largest, "token").filter("label <> largest").join(other, "token").filter(
         (F.col("label") != F.col("other_label")) & _possible("", "other_", percent, slack))
     fresh = written(verified(_pairs(rest, "node", "other_node", tried), sets, percent, slack), "ngram-links")
     if fresh.isEmpty():
