@@ -48,6 +48,7 @@ CHUNK_BYTES = 8 << 20
 CACHE_WORDS = 400_000
 HOT_SHARE = 0.05  # of a chunk's documents, and at least
 HOT_LEAST = 64
+HOT_SLOTS = 64
 FRUITFUL = 0.02
 SEATS = 32
 MOST = (1 << 62)
@@ -190,16 +191,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, slack: int) -> Dat
 
 def shared_tokens(feats: DataFrame) -> DataFrame:
     """(token, short, held): tokens of prefixes that several classes hold, with the number of holders."""
-    short = F.substring("node", 1, 8).alias("short")
-    rows = feats.select(F.explode("pre").alias("token"), short).unionByName(
-        feats.select(F.explode("mark").alias("token"), F.lit(None).cast("binary").alias("short")))
-    own = Window.partitionBy("token")
-    rows = rows.select("token", "short", F.count("short").over(own).alias("held"), F.count("*").over(own).alias("sent"),
+    # slot 0: a token's rows from chunks where it is rare, and its announcements (slot -1) from the others;
+    # further slots: its rows from chunks where it is frequent, dealt out by class
+    def slotted(column: str, slot: Column) -> Column:
+        return F.transform(column, lambda t: F.struct(t.alias("token"), slot.alias("slot")))
+
+    spread = (F.pmod(F.xxhash64("node"), F.lit(HOT_SLOTS)) + 1).cast("int")
+    sent = F.concat(slotted("pre", F.lit(0)), slotted("hot", spread), slotted("mark", F.lit(-1)))
+    rows = feats.select(F.explode(sent).alias("e"), F.substring("node", 1, 8).alias("short"))
+    rows = rows.select("e.token", F.greatest("e.slot", F.lit(0)).alias("slot"),
+                       F.when(F.col("e.slot") >= 0, F.col("short")).alias("short"))
+    own = Window.partitionBy("token", "slot")
+    rows = rows.select("token", "slot", "short", F.count("short").over(own).alias("held"),
+                       F.count("*").over(own).alias("sent"),
                        (F.min("short").over(own) != F.max("short").over(own)).alias("several"))
-    rows = rows.filter("short IS NOT NULL AND (several OR sent > held)").select(
-        "token", "short", F.when(F.col("sent") > F.col("held"), F.lit(MOST)).otherwise(F.col("held")).alias("held"))
-    hot = feats.select(F.explode("hot").alias("token"), short, F.lit(MOST).alias("held"))
-    return rows.unionByName(hot).distinct()
+    hot = (F.col("slot") > 0) | (F.col("sent") > F.col("held"))
+    rows = rows.filter(F.col("short").isNotNull() & (hot | F.col("several")))
+    return rows.select("token", "short", F.when(hot, F.lit(MOST)).otherwise(F.col("held")).alias("held")).distinct()
 
 
 def _overlap(n: Column, percent: int) -> Column:
