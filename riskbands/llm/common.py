@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +19,22 @@ from riskbands.session import scratch_path
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
+@lru_cache(4)
+def _shipped(application: str) -> None:
+    """Send the package to the Python workers, unless they find it as the driver does."""
+    package = Path(__file__).resolve().parents[1]
+    found = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if package.parent in [*found, Path.cwd().resolve()]:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="riskbands-ship-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    SparkSession.active().sparkContext.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _shipped(spark.sparkContext.applicationId)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
