@@ -111,11 +111,11 @@ def quality(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
 def filter_quality(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
     """The documents that the rules keep, all columns as they came.
 
-    The measures needed for the thresholds are narrow and written once; the filter pass measures each text
-    again next to its other columns, so the texts themselves are never shuffled.
+    Rows and measures are written together, so each text is measured once, and the filter reads the counts
+    (pushed into the measuring projections, it would repeat their expressions many times over).
     """
-    narrow = measure(docs, F.col("text"), [F.col("lang").alias("__gl"), F.col("source").alias("__gs")])
-    limits = written(thresholds(written(narrow, "quality-measures"), "__gl", "__gs", spread), "quality-thresholds")
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
-    wide = measure(docs, F.col("text"), [row, F.col("lang").alias("__gl"), F.col("source").alias("__gs")])
+    groups = [F.col("lang").alias("__gl"), F.col("source").alias("__gs")]
+    wide = written(measure(docs, F.col("text"), [row, *groups]), "quality-measures")
+    limits = written(thresholds(wide, "__gl", "__gs", spread), "quality-thresholds")
     return judge(wide, limits, "__gl", "__gs").filter("kept").select("__row.*")
