@@ -1,8 +1,9 @@
 """Operator 2: license scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a long line in windows of BLOCK_WORDS words that overlap by half. A block matches
-a template when it holds at least ``threshold`` of the template's distinct words (containment). The join is
-exact and goes through filters first:
+Blocks are the lines of a text, long lines in windows of BLOCK_WORDS words that overlap by half, and, for notices
+that are wrapped over lines, such windows of the words of a text of several lines. A block matches a template when
+it holds at least ``threshold`` of the template's distinct words (containment). The join is exact and goes through
+filters first:
 
 * tokens have one global order, rarest first, by the number of documents that hold them (counted over the
   whole corpus in a first pass; only the templates' words matter, so the table is bounded by the templates);
@@ -88,19 +89,22 @@ def places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[int, str
     return sorted(out)
 
 
+def windows(ws: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    half = BLOCK_WORDS // 2
+    for k in range(0, max(len(ws) - half, min(len(ws), 1)), half):
+        yield k, ws[k:k + BLOCK_WORDS]
+
+
 def blocks(data: bytes) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first word, words) of the text's blocks."""
+    """(index of the first word, words) of the text's blocks: its lines, then windows across them."""
+    lines = [ws for line in data.split(b"\n") if (ws := words_of(line))]
     at = 0
-    for line in data.split(b"\n"):
-        ws = words_of(line)
-        if len(ws) <= BLOCK_WORDS:
-            if ws:
-                yield at, ws
-        else:
-            half = BLOCK_WORDS // 2
-            for k in range(0, len(ws) - half, half):
-                yield at + k, ws[k:k + BLOCK_WORDS]
+    for ws in lines:
+        for k, block in windows(ws):
+            yield at + k, block
         at += len(ws)
+    if len(lines) > 1:
+        yield from windows([w for ws in lines for w in ws])
 
 
 class Join:

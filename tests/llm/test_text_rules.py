@@ -1,6 +1,7 @@
 import collections
 import random
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -205,6 +206,17 @@ def test_licenses_against_plain_version(make_docs, odd_rows):
     assert licenses.scan(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("columns, mark", [(28, ""), (72, " * "), (40, "# ")])
+def test_licenses_wrapped_over_lines(make_docs, columns, mark):
+    rows = [(100 * k + n, "\n".join([*[f"int a{i};" for i in range(n)], *[mark + x for x in textwrap.wrap(t, columns)], "end"]))
+            for k, (_, t) in enumerate(licenses.TEMPLATES) for n in (0, 50, 70, 99)]
+    got = {r.doc_id: r.matches for r in licenses.scan(make_docs(rows)).collect()}
+    for i, text in rows:
+        label, template = licenses.TEMPLATES[i // 100]
+        ws, own = re.findall(r"[a-z0-9]+", text.lower()), set(re.findall(r"[a-z0-9]+", template.lower()))
+        assert any(m.label == label and m.containment == 1 and own <= set(ws[m.start:m.end]) for m in got[i])
+
+
 def test_secrets(make_docs, odd_rows):
     rnd = random.Random(8)
     rows = list(odd_rows)
