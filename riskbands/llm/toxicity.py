@@ -4,7 +4,8 @@ The kernel of two terms sums over their common subsequences of ORDER characters,
 DECAY ** (its span in both), and is normalised: an insult with inserted, doubled or separated characters
 keeps most of its kernel with the plain one. Terms are white-space words without outer punctuation, longer
 ones in overlapping windows, and runs of single characters joined ("i d i o t"). The kernel counts only
-where a term holds at least COVER of the other's letters; elsewhere it is 0.
+where a term holds at least COVER of the landmark's code points, of whatever script; elsewhere it is 0. A
+landmark of fewer than ORDER characters has the kernel of its own length's order.
 
 Training sees sentences of labelled documents. A sentence is a bag of terms: in toxic documents its witness is
 the term most associated with the label. Landmarks are the associated terms and harmless ones like them; the
@@ -46,7 +47,6 @@ POWER = 2  # the kernel is the normalised subsequence kernel to this power
 DISGUISED = 0.5  # weight of a witness's variants with a character put in
 LEAST_G, LEAST_SHARE = 15.0, 0.6
 CACHE_TERMS = 500_000
-LETTERS = string.ascii_lowercase + string.digits
 SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
 
 
@@ -54,14 +54,14 @@ def windows(word: str) -> list[str]:
     """The kernel's terms of a word: itself without outer punctuation, long ones in halves that overlap."""
     term = word.strip(string.punctuation)
     if len(term) <= WINDOW:
-        return [term] if len(term) >= ORDER else []
+        return [term] if term else []
     return [term[k:k + WINDOW] for k in range(0, len(term) - WINDOW // 2, WINDOW // 2)]
 
 
 def spelled(words: list[str]) -> list[str]:
-    """Words that runs of at least ORDER single characters spell."""
+    """Words that runs of two or more single characters spell."""
     single = bytes(len(w) == 1 for w in words)
-    return ["".join(words[m.start():m.end()]) for m in re.finditer(b"\x01{%d,}" % ORDER, single)]
+    return ["".join(words[m.start():m.end()]) for m in re.finditer(b"\x01{2,}", single)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -76,22 +76,27 @@ def codes(terms: list[str]) -> np.ndarray:
     return out
 
 
-_SLOT = np.full(128, len(LETTERS))
-_SLOT[[ord(x) for x in LETTERS]] = range(len(LETTERS))
+def alphabet_of(c: np.ndarray) -> np.ndarray:
+    """The code points of a code matrix, ascending."""
+    return np.unique(c[c > 0])
 
 
-def letter_counts(c: np.ndarray) -> np.ndarray:
-    slots = np.where((c > 0) & (c < 128), _SLOT[np.minimum(c, 127)], len(LETTERS))
-    rows = np.arange(len(c))[:, None] * (len(LETTERS) + 1)
-    counts = np.bincount((rows + slots).ravel(), minlength=len(c) * (len(LETTERS) + 1))
-    return counts.reshape(len(c), len(LETTERS) + 1)[:, :-1].astype(np.int8)
+def letter_counts(c: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """How often each row holds each code point of the alphabet."""
+    size = len(alphabet)
+    slots = np.searchsorted(alphabet, c)
+    slots[(c == 0) | (alphabet[np.minimum(slots, size - 1)] != c)] = size
+    rows = np.arange(len(c))[:, None] * (size + 1)
+    counts = np.bincount((rows + slots).ravel(), minlength=len(c) * (size + 1))
+    return counts.reshape(len(c), size + 1)[:, :-1].astype(np.int8)
 
 
 def common_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of letters, repeats counted, that each row of ``a`` shares with each row of ``b``."""
-    out = np.zeros((len(a), len(b)), np.int8)
-    for k in np.flatnonzero(b.any(0)):
-        out += np.minimum(a[:, k, None], b[None, :, k])
+    out = np.zeros((len(a), len(b)), np.float32)
+    for least in range(1, int(b.max(initial=0)) + 1):
+        used = np.flatnonzero((b >= least).any(0))
+        out += (a[:, used] >= least).astype(np.float32) @ (b[:, used] >= least).astype(np.float32).T
     return out
 
 
@@ -132,9 +137,10 @@ class Model:
 
     def __post_init__(self) -> None:
         self.codes = codes(self.landmarks)
-        self.counts = letter_counts(self.codes)
+        self.alphabet = alphabet_of(self.codes)
+        self.counts = letter_counts(self.codes, self.alphabet) if self.landmarks else None
         self.lengths = np.array([len(t) for t in self.landmarks])
-        self.own = subsequence_kernel(self.codes, self.codes)
+        self.orders = np.minimum(self.lengths, ORDER)
 
     def __reduce__(self):
         return Model, (self.landmarks, self.weights, self.bias, self.slope, self.shift)
@@ -145,13 +151,16 @@ class Model:
         if not terms or not self.landmarks:
             return out
         c = codes(terms)
-        held = common_letters(letter_counts(c), self.counts)
-        i, j = np.nonzero(held >= COVER * self.lengths)
-        if len(i):
+        held = common_letters(letter_counts(c, self.alphabet), self.counts)
+        found, which = np.nonzero(held >= COVER * self.lengths)
+        for order in np.unique(self.orders[which]):
+            i, j = (x[self.orders[which] == order] for x in (found, which))
             rows, back = np.unique(i, return_inverse=True)
-            own = subsequence_kernel(c[rows], c[rows])
-            k = subsequence_kernel(c[i], self.codes[j])
-            norm = np.sqrt(own[back] * self.own[j])
+            marks, mark = np.unique(j, return_inverse=True)
+            own = subsequence_kernel(c[rows], c[rows], order)
+            theirs = subsequence_kernel(self.codes[marks], self.codes[marks], order)
+            k = subsequence_kernel(c[i], self.codes[j], order)
+            norm = np.sqrt(own[back] * theirs[mark])
             out[i, j] = np.where(norm > 0, k / np.where(norm > 0, norm, 1), 0) ** POWER
         return out
 
@@ -224,8 +233,8 @@ def disguised(term: str) -> list[str]:
     return [*[f"{term[:k]}.{term[k:]}" for k in cuts], *[term[:k] + term[k - 1:] for k in cuts]]
 
 
-def grams(term: str) -> set[str]:
-    return {term[k:k + GRAM] for k in range(len(term) - GRAM + 1)}
+def grams(term: str, sizes: tuple[int, ...] = (GRAM,)) -> set[str]:
+    return {term[k:k + n] for n in sizes for k in range(len(term) - n + 1)}
 
 
 def fit(texts: list[str | None], labels: list[int], weight: tuple[float, float] = (1.0, 1.0)) -> Model:
@@ -246,8 +255,9 @@ def fit(texts: list[str | None], labels: list[int], weight: tuple[float, float]
     if not ranked:
         return constant
     marked = set(ranked)
-    known = set().union(*map(grams, ranked))
-    alike = sorted(((len(grams(t) & known), t) for t in counts[0].keys() - marked), key=lambda x: (-x[0], x[1]))
+    sizes = tuple({GRAM, *(len(t) for t in ranked if len(t) < ORDER)})
+    known = set().union(*(grams(t, sizes) for t in ranked))
+    alike = sorted(((len(grams(t, sizes) & known), t) for t in counts[0].keys() - marked), key=lambda x: (-x[0], x[1]))
     plain = [t for _, t in alike[:NEGATIVES]]
     landmarks = ranked + sorted(plain[:20 * HARMLESS], key=lambda t: (-counts[0][t], t))[:HARMLESS]
     model = Model(landmarks, np.zeros(len(landmarks)), 0.0)

@@ -295,6 +295,29 @@ def test_toxicity_held_out_and_gapped(make_docs, spark, odd_rows):
     assert toxicity.toxicity(make_docs([]), model).count() == 0
 
 
+@pytest.mark.parametrize("insults", [["réêou", "çéñôüx"], ["дурак", "болван"], ["바보멍청", "멍청이들"], ["غبيجدا", "احمقان"],
+                                     ["ηλίθιος"], ["씨발", "傻逼"], ["ab"]])
+def test_toxicity_of_any_script(insults):
+    rows = toxic_corpus(300, 3)
+    rnd = random.Random(4)
+    texts = [re.sub("blockhead|numskull|dimwit|buffoon", lambda m: rnd.choice(insults), t) for _, t, _ in rows]
+    model = toxicity.fit(texts, [y for *_, y in rows])
+    plain = model.score(["the horse on an island"])[0]
+    assert plain < 0.5
+    for t in insults:
+        assert model.score([f"the {t}! on"])[0] > 0.5, t
+        for gapped in (t[:2] + "." + t[2:] if len(t) > 2 else " ".join(t), t + t[-1], t.upper()):
+            assert model.score([f"the {gapped} on"])[0] > max(0.5, plain), gapped
+
+
+def test_letters_shared_by_brute_force():
+    rnd = random.Random(5)
+    a, b = ([["".join(rnd.choice("abcéд漢.") for _ in range(rnd.randint(1, 9))) for _ in range(30)] for _ in range(2)])
+    alphabet = toxicity.alphabet_of(toxicity.codes(b))
+    got = toxicity.common_letters(*(toxicity.letter_counts(toxicity.codes(x), alphabet) for x in (a, b)))
+    assert got.tolist() == [[(collections.Counter(x) & collections.Counter(y)).total() for y in b] for x in a]
+
+
 def test_toxicity_without_labels(make_docs, spark):
     docs = make_docs([(1, "some words"), (2, None)])
     for rows in ([], [(1, 1, 0), (2, 0, 0)]):
