@@ -8,7 +8,8 @@ where a term holds at least COVER of the landmark's code points, of whatever scr
 landmark of fewer than ORDER characters has the kernel of its own length's order.
 
 Training sees sentences of labelled documents. A sentence is a bag of terms: in toxic documents its witness is
-the term most associated with the label. Landmarks are the associated terms and harmless ones like them; the
+the term most associated with the label. All words that pass LEAST_G and LEAST_SHARE are positive and landmarks,
+as are harmless ones like them (words only: combinations of words aren't terms); the
 Nyström map K_mm ** -1/2 turns kernel values into features, on which a linear SVM separates witnesses from
 the terms of harmless sentences; each witness also stands in variants with a character put in. A document's margin is that of its most toxic term, made a probability by a
 sigmoid fitted to the training documents.
@@ -42,7 +43,8 @@ from riskbands.llm.bpe import in_chunks
 ORDER, DECAY, COVER = 3, 0.8, 0.75
 WINDOW = 24
 SAMPLE, LONGEST = 1500, 20_000
-MOST_TOXIC, HARMLESS, NEGATIVES, GRAM = 96, 64, 8000, 4
+HARMLESS, NEGATIVES, GRAM = 64, 8000, 4
+ROWS = 4000  # terms whose kernel values are held at once
 POWER = 2  # the kernel is the normalised subsequence kernel to this power
 DISGUISED = 0.5  # weight of a witness's variants with a character put in
 LEAST_G, LEAST_SHARE = 15.0, 0.6
@@ -171,8 +173,8 @@ class Model:
         if len(self.margins) + len(unknown) > CACHE_TERMS:
             self.margins.clear()
             unknown = list({w for ws in found for w in ws})
-        for at in range(0, len(unknown), 20_000):
-            part = unknown[at:at + 20_000]
+        for at in range(0, len(unknown), ROWS):
+            part = unknown[at:at + ROWS]
             terms = [windows(w) for w in part]
             flat = list({t for ts in terms for t in ts})
             scores = dict(zip(flat, (self.kernel(flat) @ self.weights + self.bias).tolist(), strict=True))
@@ -203,13 +205,19 @@ def association(toxic: Counter, harmless: Counter, n: tuple[float, float], weigh
 
 def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     """Weights (last: bias) of a squared-hinge SVM by Newton steps on the rows inside the margin."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, hold = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+    size = x.shape[1] + 1
+    w, hold = np.zeros(size), ridge * np.eye(size)
     hold[-1, -1] = 1e-9
     for _ in range(25):
-        inside = y * (x @ w) < 1
-        rows = x[inside] * weight[inside, None]
-        new = np.linalg.solve(hold + rows.T @ x[inside], rows.T @ y[inside])
+        inside = np.flatnonzero(y * (x @ w[:-1] + w[-1]) < 1)
+        left, right = hold.copy(), np.zeros(size)
+        for at in range(0, len(inside), ROWS):
+            k = inside[at:at + ROWS]
+            part = np.hstack([x[k], np.ones((len(k), 1))])
+            rows = part * weight[k, None]
+            left += rows.T @ part
+            right += rows.T @ y[k]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -251,7 +259,7 @@ def fit(texts: list[str | None], labels: list[int], weight: tuple[float, float]
         counts[label].update(set().union(*bag) if bag else set())
     linked = association(counts[1], counts[0], (len(y) - y.sum(), y.sum()), weight)
     ranked = sorted((t for t, (g, share) in linked.items() if g >= LEAST_G and share >= LEAST_SHARE),
-                    key=lambda t: (-linked[t][0], t))[:MOST_TOXIC]
+                    key=lambda t: (-linked[t][0], t))
     if not ranked:
         return constant
     marked = set(ranked)
@@ -269,7 +277,10 @@ def fit(texts: list[str | None], labels: list[int], weight: tuple[float, float]
     seen = Counter(witnesses)
     toxic = [(t, 1.0 + seen[t]) for t in sorted(marked)]
     toxic += [(v, DISGUISED * n / len(vs)) for t, n in toxic if (vs := disguised(t)) for v in vs]
-    x = np.vstack([model.kernel([t for t, _ in toxic]), model.kernel(plain)]) @ nystrom
+    terms = [*[t for t, _ in toxic], *plain]
+    x = np.empty((len(terms), len(landmarks)))
+    for at in range(0, len(terms), ROWS):
+        x[at:at + ROWS] = model.kernel(terms[at:at + ROWS]) @ nystrom
     sign = np.concatenate([np.ones(len(toxic)), -np.ones(len(plain))])
     mass = np.array([*[n for _, n in toxic], *[1.0 + counts[0][t] for t in plain]])
     mass[:len(toxic)] /= mass[:len(toxic)].sum()

@@ -310,6 +310,22 @@ def test_toxicity_of_any_script(insults):
             assert model.score([f"the {gapped} on"])[0] > max(0.5, plain), gapped
 
 
+def test_toxicity_learns_more_than_a_hundred_words():
+    rnd = random.Random(11)
+    insults = ["".join(rnd.choice("bdgkmpqvwxz") + rnd.choice("aeiou") for _ in range(4)) for _ in range(260)]
+    rows, texts = toxic_corpus(800, 5), []
+    for k, text, label in rows:
+        words = re.sub("(blockhead|numskull|dimwit|buffoon)", "", text).split()
+        if label:
+            words[10:10] = rnd.sample(insults, 18)
+        elif k % 40 == 0:
+            words[10:10] = rnd.sample(insults, 1)
+        texts.append(" ".join(words))
+    model = toxicity.fit(texts, [y for *_, y in rows])
+    assert (model.margin([f"the {w} on an island" for w in insults]) > 0).sum() >= 250
+    assert model.margin(["the horse on an island"])[0] < 0
+
+
 def test_letters_shared_by_brute_force():
     rnd = random.Random(5)
     a, b = ([["".join(rnd.choice("abcéд漢.") for _ in range(rnd.randint(1, 9))) for _ in range(30)] for _ in range(2)])
