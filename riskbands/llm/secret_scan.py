@@ -1,13 +1,16 @@
 """Operator 3: secret scans whose false positives a random forest removes.
 
-Candidates are long runs of key-like characters that hold a digit, mix cases or stand behind an assignment.
-Each gets features: length, character transitions (log-likelihood under the corpus' own letter bigrams, class
+Candidates are runs of at least 16 key-like characters that hold a digit, mix cases or stand behind an assignment,
+and every value assigned to a name with a key word, whatever its length and characters: a quoted one up to the
+closing quote, another up to white space, without trailing commas, semicolons, quotes and brackets. Runs inside such
+a value stay candidates of their own. Each gets features: length, character transitions (log-likelihood under the corpus' own letter bigrams, class
 changes, entropy, shares of digits, hexadecimal digits and capitals), dictionary coverage (share of its
 letters inside frequent corpus words), the path (depth, markers of tests and examples) and the neighbouring
 words (key words, assignment, quotes, markers). A random forest trained on labelled findings scores them.
 
 ``train`` takes any table of labelled findings. Without one, ``label_findings`` labels those of the corpus: a
-quoted high-entropy value assigned to a key word is a secret, any other candidate isn't; the neighbour
+quoted high-entropy value without white space assigned to a key word is a secret (entropy as far as the length of a
+short one allows), any other candidate isn't; the neighbour
 features of half of these rows are blanked, so that the forest also learns what secrets look like alone.
 Training uses at most SAMPLE findings of each label (least hash first), a fixed bound.
 
@@ -41,6 +44,9 @@ from riskbands.llm.common import written
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 WORD = re.compile(r"(?<![A-Za-z0-9])[a-z]{4,8}(?![A-Za-z0-9])")
 KEY_WORDS = ("token", "secret", "password", "passwd", "key", "auth", "credential", "apikey", "bearer")
+KEYED = re.compile(rf"(?:{'|'.join(KEY_WORDS)})[A-Za-z0-9_-]{{0,64}}\\?[\"']?\s{{0,16}}(?::=|=>|[:=])\s{{0,16}}"
+                   r"(?:(?:bearer|basic)\s{1,16})?(\\?[\"'`])?", re.IGNORECASE)
+NO_SPACE = re.compile(r"\S+")
 MARKERS = re.compile(r"test|example|sample|mock|dummy|fixture|demo", re.IGNORECASE)
 ASSIGNED = re.compile(r"([A-Za-z_]+)[\"']?\s*(?:[:=]|:=|=>)\s*([\"']?)$")
 REACH = 48
@@ -114,7 +120,8 @@ def features(value: str, before: str, after: str, path: str | None, log: np.ndar
     context = f"{before} {after}"
     near = WORD.findall(context.lower())
     return [
-        float(n), float(log[codes[:-1], codes[1:]].mean()), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / (n - 1),
+        float(n), float(log[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0,
+        sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
         entropy(value), kinds.count(0) / n, sum(c in string.hexdigits for c in value) / n, kinds.count(2) / n,
         coverage(value, words), float((path or "").count("/")), float(bool(path and MARKERS.search(path))),
         float(any(k in (name or before.lower()[-24:]) for k in KEY_WORDS)), float(bool(m)),
@@ -122,16 +129,41 @@ def features(value: str, before: str, after: str, path: str | None, log: np.ndar
         float(bool(MARKERS.search(context))), sum(w in words for w in near) / len(near) if near else 0.0]
 
 
+def closing(text: str, quote: str, at: int) -> int:
+    """Where the quote that is open at ``at`` closes, -1 if nowhere; a backslash guards an unescaped kind of quote."""
+    end = text.find(quote, at)
+    while end >= 0 and len(quote) == 1:
+        guards = end
+        while guards > at and text[guards - 1] == "\\":
+            guards -= 1
+        if (end - guards) % 2 == 0:
+            break
+        end = text.find(quote, end + 1)
+    return end
+
+
+def keyed(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values assigned to names with a key word."""
+    for m in KEYED.finditer(text):
+        a, quote = m.end(), m.group(1)
+        b = closing(text, quote, a) if quote else -1
+        if b < 0 and (run := NO_SPACE.match(text, a)):
+            b = a + len(run.group().rstrip(",;\"'`)]}>\\"))
+        if b > a:
+            yield a, b
+
+
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, what stands before, what stands behind) of each candidate."""
-    out = []
+    out = [(a, b, text[max(0, a - REACH):a], text[b:b + REACH]) for a, b in keyed(text)]
+    spans = {(a, b) for a, b, *_ in out}
     for m in CANDIDATE.finditer(text):
         value, a, b = m.group(), m.start(), m.end()
         before = text[max(0, a - REACH):a]
-        if (any(c.isdigit() for c in value) or (value[1:].lower() != value[1:] and value.upper() != value)
+        if (a, b) not in spans and (any(c.isdigit() for c in value) or (value[1:].lower() != value[1:] and value.upper() != value)
                 or ASSIGNED.search(before)):
             out.append((a, b, before, text[b:b + REACH]))
-    return out
+    return sorted(out)
 
 
 def findings(docs: DataFrame, text: str = "text", path: str = "source", keep: tuple[str, ...] = ("doc_id",),
@@ -163,9 +195,11 @@ def findings(docs: DataFrame, text: str = "text", path: str = "source", keep: tu
 
 
 def label_findings(found: DataFrame) -> DataFrame:
-    """``found`` plus ``label``: 1 for a quoted high-entropy value assigned to a key word."""
+    """``found`` plus ``label``: 1 for a quoted high-entropy value without white space assigned to a key word."""
     at = {f: F.col("x")[k] for k, f in enumerate(FEATURES)}
-    secret = (at["key_word"] + at["assigned"] + at["quoted"] == 3) & (at["entropy"] >= 3.0) & (at["coverage"] < 0.5)
+    high = F.least(F.lit(3.0), 0.75 * F.log2(at["length"]))  # under 3 for values of up to 15 characters
+    secret = ((at["key_word"] + at["assigned"] + at["quoted"] == 3) & (at["entropy"] >= high) & (at["length"] >= 4)
+              & (at["coverage"] < 0.5) & ~F.col("value").rlike(r"\s"))
     return found.withColumn("label", secret.cast("double"))
 
 

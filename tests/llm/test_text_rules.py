@@ -230,6 +230,27 @@ def test_secrets(make_docs, odd_rows):
     assert secret_scan.scan(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("text, value", [
+    ('password = "S3cr3t!pass"', "S3cr3t!pass"), ("passwd: 'a.b@c!d$~e'", "a.b@c!d$~e"), ("API_KEY=ab.cd:ef, next", "ab.cd:ef"),
+    ('{"auth_token": "x1.y2~z3"}', "x1.y2~z3"), (r'{\"secret\": \"q!7\"}', "q!7"), (r'secret := "a\"b c"', r'a\"b c'),
+    ("Authorization: Bearer ey.J9.zz", "ey.J9.zz"), ('key => "9"', "9"), ('password = "пароль!7"', "пароль!7"),
+    ("token: 'not closed", "not"), ('password = "' + "a1.b2!" * 50 + '"', "a1.b2!" * 50)])
+def test_secret_candidates_of_any_length(text, value):
+    for around in ("{}", "words before\n{} words", "é漢 x={}"):
+        whole = around.format(text) if around != "{}" else text
+        assert value in [whole[a:b] for a, b, *_ in secret_scan.candidates(whole)]
+
+
+def test_short_secrets_are_scored(make_docs):
+    rnd, rows = random.Random(12), []
+    for k in range(60):
+        value = "".join(rnd.choice("abcdefghkmnpqrstuvwxyz") + rnd.choice("23456789!@$.~") for _ in range(rnd.randint(4, 7)))
+        rows += [(100 + k, f'words password = "{value}" other'), (300 + k, f"words key: {rnd.choice(['name', 'value', 'item'])} other")]
+    got = {r.doc_id: r for r in secret_scan.scan(make_docs(rows)).collect()}
+    assert sum(got[100 + k].secret and f'"{got[100 + k].value}"' in rows[2 * k][1] for k in range(60)) >= 55
+    assert not any(got[300 + k].secret for k in range(60))
+
+
 def test_secret_training_table(spark, make_docs):
     docs = make_docs([(k, f"id {k:020d} end" if k % 2 else f'key: "{k:x}abcdef0123456789{k}"') for k in range(40)])
     model = secret_scan.corpus_model(docs)
