@@ -1,6 +1,7 @@
 """Operator 2: license scans by an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text, long lines in windows of BLOCK_WORDS words that overlap by half, and, for notices
+Blocks are the lines of a text, long lines in windows of BLOCK_WORDS words (more if the templates are long, see
+``block_words``) that overlap by half, and, for notices
 that are wrapped over lines, such windows of the words of a text of several lines. A block matches a template when
 it holds at least ``threshold`` of the template's distinct words (containment). The join is exact and goes through
 filters first:
@@ -64,7 +65,7 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 THRESHOLD = 0.9
-BLOCK_WORDS = 256
+BLOCK_WORDS = 256  # at least; windows hold twice the words of the longest template
 
 _NO_WORD = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_WORDS = bytes.maketrans(_NO_WORD, b" " * len(_NO_WORD))
@@ -89,22 +90,28 @@ def places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[int, str
     return sorted(out)
 
 
-def windows(ws: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    half = BLOCK_WORDS // 2
+def block_words(templates: list[tuple[str, str]]) -> int:
+    """Words of a window, so that a copy of the longest template and a quarter more words fit into one."""
+    longest = max((len(words_of(text.encode())) for _, text in templates), default=0)
+    return max(BLOCK_WORDS, 2 * math.ceil(1.25 * longest))
+
+
+def windows(ws: list[bytes], size: int) -> Iterator[tuple[int, list[bytes]]]:
+    half = size // 2
     for k in range(0, max(len(ws) - half, min(len(ws), 1)), half):
-        yield k, ws[k:k + BLOCK_WORDS]
+        yield k, ws[k:k + size]
 
 
-def blocks(data: bytes) -> Iterator[tuple[int, list[bytes]]]:
+def blocks(data: bytes, size: int = BLOCK_WORDS) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first word, words) of the text's blocks: its lines, then windows across them."""
     lines = [ws for line in data.split(b"\n") if (ws := words_of(line))]
     at = 0
     for ws in lines:
-        for k, block in windows(ws):
+        for k, block in windows(ws, size):
             yield at + k, block
         at += len(ws)
     if len(lines) > 1:
-        yield from windows([w for ws in lines for w in ws])
+        yield from windows([w for ws in lines for w in ws], size)
 
 
 class Join:
@@ -169,6 +176,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
          text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n_words, ``phrases`` (start, label) and ``matches`` (label, start, end, containment), in words."""
     templates = TEMPLATES if templates is None else templates
+    size = block_words(templates)
     join = Join(templates, corpus_counts(docs, templates, text), threshold)
     phrases = {p.encode(): label for p, label in PHRASES.items()}
     kept = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
@@ -187,7 +195,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
         found = []
         if not join.triggers.isdisjoint(ws):
             found = [{"label": label, "start": at, "end": at + len(block), "containment": c}
-                     for at, block in blocks(data) for label, c in join.matches(block)]
+                     for at, block in blocks(data, size) for label, c in join.matches(block)]
         return len(ws), [{"start": s, "label": label} for s, label in places(ws, phrases)], found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

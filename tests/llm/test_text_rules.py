@@ -217,6 +217,15 @@ def test_licenses_wrapped_over_lines(make_docs, columns, mark):
         assert any(m.label == label and m.containment == 1 and own <= set(ws[m.start:m.end]) for m in got[i])
 
 
+@pytest.mark.parametrize("n", [140, 300, 700])
+def test_licenses_longer_than_a_window(make_docs, n):
+    words = [f"t{k}" for k in range(n)]
+    rows = [(k, " ".join([*["filler"] * (k * n // 4), *words, "end"])) for k in range(9)]
+    rows += [(100 + k, t.replace(" ", "\n")) for k, t in rows]
+    got = licenses.scan(make_docs(rows), templates=[("long", " ".join(words))]).collect()
+    assert len(got) == 18 and all(max(m.containment for m in r.matches) == 1 for r in got)
+
+
 def test_secrets(make_docs, odd_rows):
     rnd = random.Random(8)
     rows = list(odd_rows)
