@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskbands.llm import bpe, fingerprints, licenses, mixing, ngram_join, pii, quality, secret_scan, token_files, toxicity
+from riskbands.llm import (bpe, fingerprints, licenses, mixing, ngram_join, periodic_runs, pii, quality, secret_scan, token_files,
+                           toxicity)
 from riskbands.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +88,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.planted(table(spark, sf_dir, "documents")))
+    best = F.col("strongest")
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.start.alias("start"), best.length.alias("length"),
+        best.period.alias("period"), F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_byte_bpe, op2_license_scan, op3_secret_scan, op4_fingerprints, op5_mix_sources, op6_personal_data, op7_token_files,
-    op8_ngram_jaccard, op9_quality_rules, op10_toxicity)}
+    op8_ngram_jaccard, op9_quality_rules, op10_toxicity, op12_periodic_runs)}
