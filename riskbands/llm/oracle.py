@@ -35,4 +35,33 @@ SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target,
 FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_mix_sources": MIX}
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_TERMS = rf"regexp_extract_all(translate(text, '{_LETTERS.upper()}', '{_LETTERS}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n
+  FROM (SELECT doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0),
+s AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+p AS (
+  SELECT r, n, term, count(*) AS tf FROM (SELECT r, n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (
+  SELECT term, count(*) AS df FROM p GROUP BY term),
+x AS (
+  SELECT q.item_id, p.r, CAST(sum(times
+    * CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // total))))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN f USING (term) CROSS JOIN s GROUP BY ALL),
+y AS (
+  SELECT item_id, doc_id, score,
+         CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM x JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM y WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_mix_sources": MIX, "op13_lexical_search": SEARCH}

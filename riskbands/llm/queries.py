@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskbands.llm import (bpe, fingerprints, licenses, mixing, ngram_join, periodic_runs, pii, quality, secret_scan, token_files,
-                           toxicity)
+from riskbands.llm import (bpe, fingerprints, lexical_search, licenses, mixing, ngram_join, periodic_runs, pii, preference, quality,
+                           secret_scan, token_files, toxicity)
 from riskbands.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = preference.quality_scores(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", preference.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.find_runs(periodic_runs.planted(table(spark, sf_dir, "documents")))
     best = F.col("strongest")
@@ -99,6 +105,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_byte_bpe, op2_license_scan, op3_secret_scan, op4_fingerprints, op5_mix_sources, op6_personal_data, op7_token_files,
-    op8_ngram_jaccard, op9_quality_rules, op10_toxicity, op12_periodic_runs)}
+    op8_ngram_jaccard, op9_quality_rules, op10_toxicity,
+    op11_preference, op12_periodic_runs, op13_lexical_search)}
