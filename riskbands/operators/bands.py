@@ -32,11 +32,13 @@ def rule_far_distance(tx: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 def high_risk_band(tx: DataFrame, policy: Policy = DEFAULT, shared: DataFrame | None = None) -> DataFrame:
     """Distinct ids hit by any high-risk rule (shared device, flags, distance)."""
+    return high_risk_rows(tx, policy, shared).distinct()
+
+
+def high_risk_rows(tx: DataFrame, policy: Policy = DEFAULT, shared: DataFrame | None = None) -> DataFrame:
+    """The ids of :func:`high_risk_band`, once for each rule and row that hits."""
     shared = shared_device_tx(tx, policy, distinct_groups=False) if shared is None else shared
-    return (shared
-            .unionByName(rule_any_flag(tx))
-            .unionByName(rule_far_distance(tx, policy))
-            .distinct())
+    return shared.unionByName(rule_any_flag(tx)).unionByName(rule_far_distance(tx, policy))
 
 
 def fraud_ids(feedback: DataFrame) -> DataFrame:
@@ -64,6 +66,20 @@ class Halves(NamedTuple):
     known: DataFrame
     unknown: DataFrame
 
+    @staticmethod
+    def of(frame: DataFrame | Halves) -> Halves:
+        return frame if isinstance(frame, Halves) else Halves(*split_null_ids(frame))
+
+    @property
+    def columns(self) -> list[str]:
+        return self.known.columns
+
+    def select(self, *columns) -> Halves:
+        return Halves(self.known.select(*columns), self.unknown.select(*columns))
+
+    def where(self, condition) -> Halves:
+        return Halves(self.known.where(condition), self.unknown.where(condition))
+
     def whole(self) -> DataFrame:
         return self.known.unionByName(self.unknown)
 
@@ -75,9 +91,9 @@ def _labelled(known: DataFrame, feedback: DataFrame) -> DataFrame:
                     F.when(F.col("_fb_id").isNotNull(), 1).otherwise(0).alias("is_fraud")))
 
 
-def label_halves(tx: DataFrame, feedback: DataFrame, without: DataFrame | None = None) -> Halves:
+def label_halves(tx: DataFrame | Halves, feedback: DataFrame, without: DataFrame | None = None) -> Halves:
     """Labelled rows whose id is not in ``without``; rows without an id join nothing and are no fraud."""
-    known, unknown = split_null_ids(tx)
+    known, unknown = Halves.of(tx)
     if without is not None:
         known = known.join(without, ID, "left_anti")
     return Halves(_labelled(known, feedback), unknown.withColumn("is_fraud", F.lit(0)))
@@ -113,7 +129,7 @@ def medium_low_band(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFAULT
     return label_halves(tx, feedback, high).whole().withColumn("has_null_value", has_null_value())
 
 
-def risk_band_halves(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFAULT,
+def risk_band_halves(tx: DataFrame | Halves, feedback: DataFrame, policy: Policy = DEFAULT,
                      high: DataFrame | None = None) -> Halves:
     """:func:`risk_bands` as its two halves, for reductions by id that reuse the joins' partitioning."""
     high = high_risk_band(tx, policy) if high is None else high
@@ -153,6 +169,10 @@ def non_high_risk_base(tx: DataFrame, feedback: DataFrame, policy: Policy = DEFA
     The distance rule is *not* applied here, so the distance ladder can show the far bins.
     ``shared``: the ids of :func:`shared_device_tx`, if they are at hand.
     """
+    return label_halves(tx, feedback, off_base(tx, policy, shared).distinct()).whole()
+
+
+def off_base(tx: DataFrame, policy: Policy = DEFAULT, shared: DataFrame | None = None) -> DataFrame:
+    """The ids (repeated) that are not in :func:`non_high_risk_base`: flagged or on a shared device."""
     shared = shared_device_tx(tx, policy, distinct_groups=False) if shared is None else shared
-    flagged = rule_any_flag(tx).unionByName(shared).where(F.col(ID).isNotNull()).distinct()
-    return label_halves(tx, feedback, flagged).whole()
+    return rule_any_flag(tx).unionByName(shared).where(F.col(ID).isNotNull())

@@ -1,16 +1,16 @@
-"""Exact quantiles of many columns in one lazy plan, the same at every size.
+"""Exact quantiles of many columns by radix selection, in one lazy plan that is the same at every size.
 
 Linear interpolation between order statistics, as Spark ``percentile`` / numpy / DuckDB ``quantile_cont``:
 
-1. the columns are stacked to (column, value) and counted per distinct value, combined map-side;
-2. every value has a cell, an order-preserving function of the value alone (equal steps of its signed
-   logarithm, SCALE per e-fold), so each cell spans 0.0015 % of its values' size;
-3. a running sum over the cells of a column (their number is bounded by the range of doubles, whatever the
-   rows) finds the cells that hold a wanted rank;
-4. only the values of those cells are put in order, by a running sum inside each cell.
+1. every value becomes a long whose order is that of the doubles (sign, exponent and fraction, as in its 64 bits);
+2. a pass reads the next DIGIT bits of it: it counts the values per (column, prefix, digit), combined map-side, and a
+   running sum over the digits of a prefix finds, for every wanted rank, the digit that holds it;
+3. the prefixes so found (at most two for each probability) go on to the next pass, which looks at their values only;
+4. after the last pass the long is known in full and turned back into its double.
 
-Nothing is collected, approximated or switched by size; no job runs before an action, and the counted
-values are shuffled once (both uses read the same exchange).  NaN counts as greater than any number.
+A task sends at most columns x prefixes x 2 ** DIGIT counts a pass, whatever its rows; no value is shuffled or sorted.
+The prefixes are broadcast, being so few. Nothing is collected, approximated or switched by size, and no job runs before
+an action. NaN counts as greater than any number, and -0.0 as 0.0.
 """
 
 from __future__ import annotations
@@ -20,15 +20,45 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ident
 
-SCALE = 65_536
-FARTHEST = 1_000  # log1p of the largest double is below 710; infinities go here
+DIGIT = 13
+BITS = 65  # a multiple of DIGIT, one more than a double has
+FRACTION = 52
+LEAST_EXPONENT = -1022
+_INFINITE = 2047 << FRACTION
+_NAN = _INFINITE + 1
 
 
-def cell(x: Column) -> Column:
-    """A long that never falls as ``x`` rises."""
-    size = F.least(F.log1p(F.abs(x)), F.lit(float(FARTHEST)))
-    return (F.when(F.isnan(x), F.lit(FARTHEST * SCALE + 1))
-            .otherwise(F.floor(F.signum(x) * size * F.lit(float(SCALE)))).cast("long"))
+def ordered_bits(x: Column) -> Column:
+    """A long that orders as the double ``x`` does, and tells it: the bits of its size, negated below zero.
+
+    Built by exact steps only: the power of two below the size (corrected where the logarithm is one off), the size
+    divided by it, the fraction of that. Sizes below the least normal double are multiples of the least double.
+    """
+    size = F.abs(x)
+    guess = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(LEAST_EXPONENT)).cast("int")
+
+    def scaled(e: Column) -> Column:
+        # in two steps: neither power leaves the range of doubles
+        half = F.shiftright(e, 1)
+        return size * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), -(e - half))
+
+    m = scaled(guess)
+    e = F.when(m >= 2, guess + 1).when((m < 1) & (guess > LEAST_EXPONENT), guess - 1).otherwise(guess)
+    m = F.when(m >= 2, m / 2).when((m < 1) & (guess > LEAST_EXPONENT), m * 2).otherwise(m)
+    normal = F.shiftleft((e - F.lit(LEAST_EXPONENT)).cast("long"), FRACTION) + (m * F.lit(2.0**FRACTION)).cast("long")
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(size == F.lit(float("inf")), F.lit(_INFINITE)).otherwise(normal)
+    return F.when(F.isnan(x), F.lit(_NAN)).when(x < 0, -bits).otherwise(bits)
+
+
+def double_of(bits: Column) -> Column:
+    """The double that :func:`ordered_bits` made ``bits`` of."""
+    size = F.abs(bits)
+    e = F.greatest(F.shiftright(size, FRACTION) - 1, F.lit(0).cast("long"))
+    m = (size - F.shiftleft(e, FRACTION)).cast("double")
+    half = F.shiftright(e + F.lit(LEAST_EXPONENT - FRACTION).cast("long"), 1)
+    value = m * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), e + F.lit(LEAST_EXPONENT - FRACTION) - half)
+    return (F.when(bits == _NAN, F.lit(float("nan"))).when(size == _INFINITE, F.signum(bits) * F.lit(float("inf")))
+            .otherwise(F.signum(bits) * value))
 
 
 def _ranks(n: Column, probs) -> Column:
@@ -37,27 +67,38 @@ def _ranks(n: Column, probs) -> Column:
     return F.array_distinct(F.array(*[f(place).cast("long") for place in places for f in (F.floor, F.ceil)]))
 
 
+def _prefix(bits: Column, left: int) -> Column:
+    """``bits`` without its ``left`` lowest ones; shifting keeps the order of negative numbers, too."""
+    return F.shiftright(bits, left)
+
+
 def order_statistics(frame: DataFrame, cols, probs) -> DataFrame:
     """(k, n, r, x): for column number k with n non-null values, the value x at each needed rank r."""
-    tall = ", ".join(f"{k}, CAST({ident(c)} AS DOUBLE)" for k, c in enumerate(cols))
-    values = (frame.selectExpr(f"stack({len(list(cols))}, {tall}) AS (k, x)").where(F.col("x").isNotNull())
-              .groupBy("k", "x").agg(F.count(F.lit(1)).alias("c")))
-    values = values.withColumn("cell", cell(F.col("x")))
+    tall = frame.select(*[ordered_bits(F.col(c).cast("double")).alias(f"c{k}") for k, c in enumerate(cols)])
+    tall = tall.selectExpr(f"stack({len(list(cols))}, " + ", ".join(f"{k}, c{k}" for k in range(len(list(cols)))) + ") AS (k, bits)")
+    tall = tall.where(F.col("bits").isNotNull())
     column, before = Window.partitionBy("k"), (Window.unboundedPreceding, -1)
-    cells = values.groupBy("k", "cell").agg(F.sum("c").alias("held"))
-    cells = cells.select(
-        "k", "cell", "held", F.sum("held").over(column).alias("n"),
-        F.coalesce(F.sum("held").over(column.orderBy("cell").rowsBetween(*before)), F.lit(0)).alias("below"))
-
-    def inside(ranks: Column, start: Column, size: Column) -> Column:
-        return F.filter(ranks, lambda r: (r >= start) & (r < start + size))
-
-    wanted = cells.withColumn("ranks", inside(_ranks(F.col("n"), probs), F.col("below"), F.col("held")))
-    wanted = wanted.where(F.size("ranks") > 0).select("k", "cell", "n", "below", "ranks")
-    in_cell = Window.partitionBy("k", "cell").orderBy("x").rowsBetween(*before)
-    rows = values.join(wanted, ["k", "cell"]).withColumn(
-        "start", F.col("below") + F.coalesce(F.sum("c").over(in_cell), F.lit(0)))
-    return rows.select("k", "n", F.explode(inside(F.col("ranks"), F.col("start"), F.col("c"))).alias("r"), "x")
+    found = None
+    for left in range(BITS - DIGIT, -1, -DIGIT):
+        rows = tall
+        if found is not None:
+            # at most two prefixes for each probability and column
+            rows = tall.join(F.broadcast(found), (F.col("k") == F.col("fk")) & (_prefix(F.col("bits"), left + DIGIT) == F.col("prefix")))
+        state = [F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("n")] if found is None else ["below", "n"]
+        counts = (rows.select("k", _prefix(F.col("bits"), left).alias("digit"), *state)
+                  .groupBy("k", "digit", "below", "n").agg(F.count(F.lit(1)).alias("held")))
+        if found is None:
+            counts = counts.withColumn("n", F.sum("held").over(column))
+        # the digits below one prefix: at most 2 ** DIGIT rows
+        group = ["k"] if found is None else ["k", _prefix(F.col("digit"), DIGIT)]
+        inside = Window.partitionBy(*group).orderBy("digit").rowsBetween(*before)
+        counts = counts.withColumn("below", F.col("below") + F.coalesce(F.sum("held").over(inside), F.lit(0)))
+        wanted = F.filter(_ranks(F.col("n"), probs), lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("held")))
+        counts = counts.withColumn("ranks", wanted).where(F.size("ranks") > 0)
+        found = counts.select(F.col("k").alias("fk"), F.col("digit").alias("prefix"), "below", "n", "ranks")
+        if left:
+            found = found.drop("ranks")
+    return found.select(F.col("fk").alias("k"), "n", F.explode("ranks").alias("r"), double_of(F.col("prefix")).alias("x"))
 
 
 def exact_quantiles(frame: DataFrame, cols, probs) -> DataFrame:

@@ -2,13 +2,17 @@
 
 Each statistic is one aggregate pass; where another pass needs its numbers (quantiles, z-score,
 box-plot fences, histogram range) they come in as one scalar subquery, projected once as a
-column, so no cross join is involved and nothing reaches the driver.  Wide lists of output rows
-are written as one SQL expression, one JVM call.
+column, so no cross join is involved.  Operators that build on each other (a histogram of z-filtered rows)
+would nest such subqueries and plan each of them again at every reference: there ``moments`` and
+``histogram_grid`` evaluate the one row of numbers once, and the next operator takes it (``at``) as constants.
+Wide lists of output rows are written as one SQL expression, one JVM call.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ident, sql_str
@@ -106,32 +110,60 @@ def box_stats(frame: DataFrame, cols=("transaction_value", "distance_to_frequent
     return one.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def zscore_filter(frame: DataFrame, column: str, cut: float) -> DataFrame:
-    """Rows whose population z-score on ``column`` is within (-cut, cut); nulls drop."""
+class Moments(NamedTuple):
+    """Mean and population standard deviation of a column; null without values."""
+
+    mean: float | None
+    std: float | None
+
+
+def _moments(frame: DataFrame, column: str) -> DataFrame:
+    x = F.col(column).cast("double")
+    return frame.agg(F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).alias("z"))
+
+
+def moments(frame: DataFrame, column: str) -> Moments:
+    """The moments, evaluated once: one pass that ends in one row."""
+    z = _moments(frame, column).first()["z"]
+    return Moments(z.m, z.s)
+
+
+def zscore_filter(frame: DataFrame, column: str, cut: float, at: Moments | None = None) -> DataFrame:
+    """Rows whose population z-score on ``column`` is within (-cut, cut); nulls drop.
+
+    ``at``: the moments, if they are at hand; else they are a scalar subquery over ``frame``.
+    """
     x = F.col(column).cast("double")
-    z = frame.agg(F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).alias("z")).scalar()
+    if at is None:
+        z = _moments(frame, column).scalar()
+    else:
+        z = F.struct(F.lit(at.mean).cast("double").alias("m"), F.lit(at.std).cast("double").alias("s"))
     # a constant column has std 0: every z is undefined and no row is kept
     return (frame.withColumn("_z", z)
             .where(F.abs(F.try_divide(x - F.col("_z.m"), F.col("_z.s"))) < F.lit(cut))
             .drop("_z"))
 
 
-def histogram(frame: DataFrame, column: str, bins: int | str = 50,
-              policy: Policy = DEFAULT) -> DataFrame:
-    """Equal-width histogram over [min, max] of the non-null values, every bin listed:
-    (bin, bin_start, bin_end, count).  The last bin is closed on the right.
+def mask(frame: DataFrame, keep: Column) -> DataFrame:
+    """Every row, with all columns null where ``keep`` is not true (pandas ``DataFrame.where``)."""
+    return frame.select(*[F.when(keep, F.col(c)).alias(c) for c in frame.columns])
 
-    ``bins`` is a count or "auto" (the smaller bin width of the Sturges and Freedman-Diaconis
-    rules, as numpy's "auto").  Two passes over the data: range statistics (a scalar
-    subquery), then bin counts; the full bin grid is generated from the tiny count table.
-    """
-    x = F.col(column).cast("double")
-    vals = frame.select(x.alias("x")).where(F.col("x").isNotNull())
+
+class Grid(NamedTuple):
+    """What a histogram's bins are made of: number of values, range and number of bins."""
+
+    n: int
+    lo: float | None
+    hi: float | None
+    nb: int | None
+
+
+def _grid(frame: DataFrame, column: str, bins: int | str, policy: Policy) -> DataFrame:
+    """The one row (s: struct of n, lo, hi, nb) of :func:`histogram`."""
+    vals = frame.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
     st = vals.agg(F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
     if bins == "auto":
         st = st.withColumn("_q", quantiles_of(vals, ["x"], (0.25, 0.75), policy)).withColumn("q", F.expr(_at(0)))
-    same = F.col("mn") == F.col("mx")
-    if bins == "auto":
         ptp = F.col("mx") - F.col("mn")
         n = F.col("n").cast("double")
         sturges = ptp / (F.log2(n) + F.lit(1.0))
@@ -140,11 +172,36 @@ def histogram(frame: DataFrame, column: str, bins: int | str = 50,
         nb = F.when(width > 0, F.ceil(ptp / width)).otherwise(F.lit(1)).cast("long")
     else:
         nb = F.lit(int(bins)).cast("long")
-    s = st.select(F.struct(
+    same = F.col("mn") == F.col("mx")
+    return st.select(F.struct(
         F.col("n").alias("n"),
         F.when(same, F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
         F.when(same, F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"),
-        nb.alias("nb"))).scalar()
+        nb.alias("nb")).alias("s"))
+
+
+def histogram_grid(frame: DataFrame, column: str, bins: int | str = 50, policy: Policy = DEFAULT) -> Grid:
+    """The range and number of bins, evaluated once: the passes over the data end in one row."""
+    return Grid(*_grid(frame, column, bins, policy).first()["s"])
+
+
+def histogram(frame: DataFrame, column: str, bins: int | str = 50,
+              policy: Policy = DEFAULT, at: Grid | None = None) -> DataFrame:
+    """Equal-width histogram over [min, max] of the non-null values, every bin listed:
+    (bin, bin_start, bin_end, count).  The last bin is closed on the right.
+
+    ``bins`` is a count or "auto" (the smaller bin width of the Sturges and Freedman-Diaconis
+    rules, as numpy's "auto").  Two passes over the data: range statistics (a scalar
+    subquery, or ``at`` from :func:`histogram_grid`), then bin counts; the full bin grid is generated
+    from the tiny count table.
+    """
+    x = F.col(column).cast("double")
+    vals = frame.select(x.alias("x")).where(F.col("x").isNotNull())
+    if at is None:
+        s = _grid(frame, column, bins, policy).scalar()
+    else:
+        s = F.struct(*[F.lit(v).cast(t).alias(k) for (k, v), t in zip(at._asdict().items(), ("long", "double", "double", "long"),
+                                                                      strict=True)])
     lo, hi, k = F.col("_s.lo"), F.col("_s.hi"), F.col("_s.nb")
     step = (hi - lo) / k
 
@@ -173,23 +230,37 @@ def correlation_matrix(frame: DataFrame, cols=NUMERIC_COLUMNS) -> DataFrame:
 
     r = covar_pop(x, y) / (std_pop(x) * std_pop(y)) over the rows where both are present;
     null when a column is constant on those rows or there are none (no ANSI error, no NaN).
-    Each row is turned into one (pair, x, y) row per unordered pair inside the scan stage and
-    aggregated per pair: a 10-field buffer that stays in whole-stage codegen, instead of one
-    aggregate with hundreds of buffer fields that does not.
+
+    Rows are grouped by which columns they have. In a group every pair of those columns is complete, so a group's
+    state is its count, means and co-moments; a task keeps one state per group and Spark merges them pairwise
+    (no second pass over the rows, which go into the aggregate as they are). The groups that have both columns of a
+    pair, at most two to the number of columns, are then merged by the same formula, relative to one of the means.
     """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    tall = ", ".join(f"{k}, CAST({ident(a)} AS DOUBLE), CAST({ident(b)} AS DOUBLE)"
-                     for k, (a, b) in enumerate(pairs))
-    per_pair = (frame.selectExpr(f"stack({len(pairs)}, {tall}) AS (k, a, b)")
-                .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-                .groupBy("k")
-                .agg(F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"),
-                     F.stddev_pop("b").alias("sb"))
-                .select("k", F.try_divide(F.col("c"), F.when(F.col("sa") * F.col("sb") != 0,
-                                                              F.col("sa") * F.col("sb"))).alias("r")))
+    cols = list(cols)
+    xs = [f"x{k}" for k in range(len(cols))]
+    values = frame.select(*[F.col(c).cast("double").alias(x) for c, x in zip(cols, xs, strict=True)])
+    has = F.concat(*[F.when(F.col(x).isNull(), "0").otherwise("1") for x in xs])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    states = values.groupBy(has.alias("has")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m{k}") for k, x in enumerate(xs)],
+        *[F.var_pop(x).alias(f"c{k}_{k}") for k, x in enumerate(xs)],
+        *[F.covar_pop(xs[i], xs[j]).alias(f"c{i}_{j}") for i, j in pairs if i < j])
+    tall = ", ".join(f"{k}, m{i}, m{j}, c{i}_{j}, c{i}_{i}, c{j}_{j}" for k, (i, j) in enumerate(pairs))
+    groups = states.selectExpr("n", f"stack({len(pairs)}, {tall}) AS (k, a, b, ab, aa, bb)").where(
+        F.col("a").isNotNull() & F.col("b").isNotNull())
+    pair = Window.partitionBy("k")
+    n = F.sum("n").over(pair)
+    # relative to the least mean, equal means give exactly 0
+    groups = groups.select("k", "n", "ab", "aa", "bb", (F.col("a") - F.min("a").over(pair)).alias("a"),
+                           (F.col("b") - F.min("b").over(pair)).alias("b"))
+    groups = groups.select("k", "n", "ab", "aa", "bb", (F.col("a") - F.sum(F.col("n") * F.col("a")).over(pair) / n).alias("a"),
+                           (F.col("b") - F.sum(F.col("n") * F.col("b")).over(pair) / n).alias("b"))
+    merged = groups.groupBy("k").agg(*[F.sum(F.col("n") * (F.col(c) + F.col(c[0]) * F.col(c[1]))).alias(c) for c in ("ab", "aa", "bb")])
+    scale = F.sqrt("aa") * F.sqrt("bb")
+    per_pair = merged.select("k", F.try_divide(F.col("ab"), F.when(scale != 0, scale)).alias("r"))
     # every ordered pair, from the unordered result (a tiny frame of at most len(pairs) rows)
     key = {p: k for k, p in enumerate(pairs)}
-    order = ", ".join(f"named_struct('x', {sql_str(a)}, 'y', {sql_str(b)}, 'k', {key.get((a, b), key.get((b, a)))})"
-                      for a in cols for b in cols)
+    order = ", ".join(f"named_struct('x', {sql_str(a)}, 'y', {sql_str(b)}, 'k', {key[min(i, j), max(i, j)]})"
+                      for i, a in enumerate(cols) for j, b in enumerate(cols))
     keys = frame.sparkSession.range(1).selectExpr(f"inline(array({order}))")
     return keys.join(per_pair, "k", "left").select("x", "y", "r")

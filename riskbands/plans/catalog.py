@@ -24,7 +24,9 @@ from ..operators.device_history import accounts_per_device_history, shared_devic
 from ..policy import DEFAULT, Policy
 from ..session import scratch_path
 from ..sources import io as IO
+from ..sources import versions as V
 from ..sources.fixtures import load_tables
+from .tables import DerivedTables, stored_features, stored_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -59,19 +61,19 @@ def _bands(spark, sf, policy: Policy = DEFAULT):
     return B.risk_bands(tx, fb, policy)
 
 
-def _halves(spark, sf, policy: Policy = DEFAULT):
-    tx, fb = _tx(spark, sf)
-    return B.risk_band_halves(tx, fb, policy)
-
-
 def _base(spark, sf, policy: Policy = DEFAULT):
     tx, fb = _tx(spark, sf)
     return B.non_high_risk_base(tx, fb, policy)
 
 
+def _stored(spark, sf) -> DerivedTables:
+    """The saved tables: the analysis writes them once and its reports read them."""
+    return stored_tables(spark, sf)
+
+
 def _encoded(spark, sf):
-    tx, fb = _tx(spark, sf)
-    return P.encode_features(tx, fb)
+    """The encoded rows, saved once: every statistic of the analysis reads that one frame."""
+    return stored_features(spark, sf)
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -111,6 +113,17 @@ def _q_overwrite_table(spark, sf):
     return IO.read_table(spark, name)
 
 
+@query("versioned_table")
+def _q_versioned(spark, sf):
+    """A versioned table: the labelled rows, replaced by the banded ones (another schema), and its newest version."""
+    root = scratch_path(spark, "versioned-transactions")
+    t = _stored(spark, sf)
+    V.publish(spark, B.label_halves(t.transactions, t.feedback).whole(), root)
+    V.publish(spark, t.transactions_with_bands, root)
+    V.vacuum(spark, root)
+    return V.read(spark, root)
+
+
 @query("scan_parquet")
 def _q_scan_parquet(spark, sf):
     """Both tables written as Parquet, scanned by path and left-joined (is_fraud 1 or null)."""
@@ -123,7 +136,8 @@ def _q_scan_parquet(spark, sf):
 # ---------------------------------------------------------------- statistics
 @query("encode_features")
 def _q_encode(spark, sf):
-    return _encoded(spark, sf)
+    tx, fb = _tx(spark, sf)
+    return P.encode_features(tx, fb)
 
 
 @query("null_counts")
@@ -164,17 +178,29 @@ def _q_box_good(spark, sf):
 @query("histogram_value", _HIST)
 def _q_hist_value(spark, sf):
     """Transaction values with |z| < 3, numpy "auto" bins."""
-    kept = S.zscore_filter(_encoded(spark, sf), "transaction_value", DEFAULT.zscore_cut)
-    return S.histogram(kept, "transaction_value", DEFAULT.value_hist_bins)
+    c, enc = "transaction_value", _encoded(spark, sf)
+    kept = S.zscore_filter(enc, c, DEFAULT.zscore_cut, S.moments(enc, c))
+    return S.histogram(kept, c, at=S.histogram_grid(kept, c, DEFAULT.value_hist_bins))
 
 
 @query("histogram_distance", _HIST)
 def _q_hist_distance(spark, sf):
-    """Complete rows, |z(distance)| < 3, distances >= 100 masked out, 500 bins."""
-    kept = S.zscore_filter(S.clean(_encoded(spark, sf)), "distance_to_frequent_location",
-                           DEFAULT.zscore_cut)
-    masked = kept.where(F.col("distance_to_frequent_location") < DEFAULT.distance_plot_cut)
-    return S.histogram(masked, "distance_to_frequent_location", DEFAULT.distance_hist_bins)
+    """Complete rows, |z(distance)| < 3, distances >= 100 masked to null, 500 bins."""
+    c = "distance_to_frequent_location"
+    masked = _masked_distances(spark, sf)
+    return S.histogram(masked, c, at=S.histogram_grid(masked, c, DEFAULT.distance_hist_bins))
+
+
+def _masked_distances(spark, sf):
+    c, rows = "distance_to_frequent_location", S.clean(_encoded(spark, sf))
+    kept = S.zscore_filter(rows, c, DEFAULT.zscore_cut, S.moments(rows, c))
+    return S.mask(kept, F.col(c) < DEFAULT.distance_plot_cut)
+
+
+@query("masked_distances")
+def _q_masked(spark, sf):
+    """The rows of the distance plot: those at 100 or farther keep their place and lose their values."""
+    return _masked_distances(spark, sf)
 
 
 @query("correlation_matrix", ["r"])
@@ -184,7 +210,8 @@ def _q_corr(spark, sf):
 
 @query("zscore_filter")
 def _q_zscore(spark, sf):
-    return S.zscore_filter(_encoded(spark, sf), "transaction_value", DEFAULT.zscore_cut)
+    c, enc = "transaction_value", _encoded(spark, sf)
+    return S.zscore_filter(enc, c, DEFAULT.zscore_cut, S.moments(enc, c))
 
 
 # ---------------------------------------------------------------- profiles
@@ -236,7 +263,7 @@ def _q_rule_flag(spark, sf):
 
 @query("rule_far_distance")
 def _q_rule_far(spark, sf):
-    return B.rule_far_distance(_tx(spark, sf)[0])
+    return B.rule_far_distance(_stored(spark, sf).by_distance)
 
 
 @query("high_risk_band")
@@ -275,27 +302,27 @@ def _q_base(spark, sf):
 # ---------------------------------------------------------------- evidence
 @query("distance_ladder")
 def _q_dist_ladder(spark, sf):
-    return E.distance_ladder(_base(spark, sf))
+    return E.distance_ladder(_stored(spark, sf).transactions_without_high_risk)
 
 
 @query("value_ladder")
 def _q_value_ladder(spark, sf):
-    return E.value_ladder(_base(spark, sf))
+    return E.value_ladder(_stored(spark, sf).transactions_without_high_risk)
 
 
 @query("age_ladder")
 def _q_age_ladder(spark, sf):
-    return E.age_ladder(_base(spark, sf))
+    return E.age_ladder(_stored(spark, sf).transactions_without_high_risk)
 
 
 @query("fraud_by_device_age")
 def _q_fraud_age(spark, sf):
-    return E.fraud_by_device_age(_base(spark, sf))
+    return E.fraud_by_device_age(_stored(spark, sf).transactions_without_high_risk)
 
 
 @query("fraud_by_hour")
 def _q_fraud_hour(spark, sf):
-    return E.fraud_by_hour(_base(spark, sf))
+    return E.fraud_by_hour(_stored(spark, sf).transactions_without_high_risk)
 
 
 @query("flag_fraud_share")
@@ -313,66 +340,85 @@ def _q_fraud_accounts(spark, sf):
 # ---------------------------------------------------------------- current vs new flow
 @query("fraud_cost_current")
 def _q_m1(spark, sf):
-    tx, fb = _tx(spark, sf)
-    return M.fraud_cost_current(tx, fb)
+    t = _stored(spark, sf)
+    return M.fraud_cost_current(t.transactions, t.feedback)
 
 
 @query("fraud_cost_new", ["total_frauds_low_band", "total_low_band_denied", "total_frauds_mid_band",
                           "total_fraud", "total_fraud_cost", "total_fraud_cost_realistic_case"])
 def _q_m2(spark, sf):
-    return M.fraud_cost_new(_halves(spark, sf))
+    return M.fraud_cost_new(_stored(spark, sf).banded)
 
 
 @query("twofa_cost_current")
 def _q_m3(spark, sf):
-    return M.twofa_cost_current(_tx(spark, sf)[0])
+    return M.twofa_cost_current(_stored(spark, sf).transactions)
 
 
 @query("twofa_cost_new")
 def _q_m4(spark, sf):
-    return M.twofa_cost_new(_halves(spark, sf))
+    return M.twofa_cost_new(_stored(spark, sf).banded)
 
 
 @query("revenue_current")
 def _q_m5(spark, sf):
-    tx, fb = _tx(spark, sf)
-    return M.revenue_current(tx, fb)
+    t = _stored(spark, sf)
+    return M.revenue_current(t.transactions, t.feedback)
 
 
 @query("revenue_new", ["total_low_band_denied", "total_approved", "total_fraud_approved",
                        "total_fraud_denied"])
 def _q_m6(spark, sf):
-    return M.revenue_new(_halves(spark, sf))
+    return M.revenue_new(_stored(spark, sf).banded)
 
 
 @query("approval_current")
 def _q_m7(spark, sf):
-    tx, fb = _tx(spark, sf)
-    return M.approval_current(tx, fb)
+    t = _stored(spark, sf)
+    return M.approval_current(t.transactions, t.feedback)
 
 
 @query("approval_new")
 def _q_m8(spark, sf):
-    return M.approval_new(_halves(spark, sf))
+    return M.approval_new(_stored(spark, sf).banded)
 
 
 @query("false_positive_current")
 def _q_m9(spark, sf):
-    tx, fb = _tx(spark, sf)
-    return M.false_positive_current(tx, fb)
+    t = _stored(spark, sf)
+    return M.false_positive_current(t.transactions, t.feedback)
 
 
 @query("false_positive_new")
 def _q_m10(spark, sf):
-    return M.false_positive_new(_halves(spark, sf))
+    return M.false_positive_new(_stored(spark, sf).banded)
 
 
 @query("false_negative_current")
 def _q_m11(spark, sf):
-    tx, fb = _tx(spark, sf)
-    return M.false_negative_current(tx, fb)
+    t = _stored(spark, sf)
+    return M.false_negative_current(t.transactions, t.feedback)
 
 
 @query("false_negative_new")
 def _q_m12(spark, sf):
-    return M.false_negative_new(_halves(spark, sf))
+    return M.false_negative_new(_stored(spark, sf).banded)
+
+
+# ---------------------------------------------------------------- reports over the saved tables
+#: Measures of :func:`flow_report` that are returned rounded, as the single metrics return them.
+FLOW_DECIMALS = {(m, c): d for m in M.METRICS for c, d in DECIMALS[m].items()}
+
+
+@query("flow_report")
+def _q_flow_report(spark, sf):
+    """All twelve metrics of both flows from one reduction of the banded rows: (metric, measure, value)."""
+    rows = M.flow_report(_stored(spark, sf).banded)
+    inexact = F.concat_ws(".", "metric", "measure").isin([f"{m}.{c}" for m, c in FLOW_DECIMALS])
+    return rows.withColumn("value", F.when(inexact, rounded(F.col("value"), 4)).otherwise(F.col("value")))
+
+
+@query("evidence_report")
+def _q_evidence_report(spark, sf):
+    """The three ladders and the rates by age and hour from one scan of the base."""
+    return E.evidence_report(_stored(spark, sf).base)

@@ -298,6 +298,7 @@ def _queries() -> dict[str, str]:
     q["read_csv_schema"] = _with([], "SELECT * FROM transactions")
     q["save_table"] = _with([], "SELECT * FROM transactions")
     q["overwrite_table"] = _with(["bands"], "SELECT * FROM bands")
+    q["versioned_table"] = _with(["bands"], "SELECT * FROM bands")
     q["scan_parquet"] = _with([], """SELECT t.*, f.is_fraud FROM transactions t
         LEFT JOIN (SELECT transaction_id, 1 AS is_fraud FROM transactions_fraud_feedback) f
         ON t.transaction_id = f.transaction_id""")
@@ -391,18 +392,37 @@ def _queries() -> dict[str, str]:
               GROUP BY d.total_accounts) m""")
 
     q |= {name: _metric(name) for name in METRICS}
+    near = f"distance_to_frequent_location < {P.distance_plot_cut}"
+    q["masked_distances"] = _with(["clean"], "SELECT " + ", ".join(
+        f"CASE WHEN {near} THEN {c} END AS {c}" for c in enc_cols)
+        + f" FROM ({_zscore('clean', 'distance_to_frequent_location')})")
+    q["flow_report"] = "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS metric, measure, value FROM (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in out)}"
+        f" FROM ({_rounded(name, _metric(name))}) AS m) UNPIVOT INCLUDE NULLS (value FOR measure IN ({', '.join(out)}))"
+        for name, (_, _, _, out) in METRICS.items())
+    tables = [("distance_ladder", "bin_rank", "distance_break", "total_frauds", "fraud_rate"),
+              ("value_ladder", "bin_rank", "value_break", "total_frauds", "fraud_rate"),
+              ("age_ladder", "bin_rank", "age_break", "total_frauds", "fraud_rate"),
+              ("fraud_by_device_age", "device_age_days", "CAST(NULL AS VARCHAR)", "total_is_fraud", "fraud_rating"),
+              ("fraud_by_hour", "ts_hour", "CAST(NULL AS VARCHAR)", "CAST(round(fraud_rate * total_transactions) AS BIGINT)", "fraud_rate")]
+    q["evidence_report"] = "\nUNION ALL\n".join(
+        f"""SELECT '{name}' AS evidence, {key} AS key, {label} AS label, total_transactions, {frauds} AS total_frauds,
+        {rate} AS fraud_rate FROM ({q[name]}) AS e""" for name, key, label, frauds, rate in tables)
     return q
 
 
-def oracle_sql() -> dict[str, str]:
+def _rounded(name: str, sql: str) -> str:
+    """The query with its inexact columns rounded as the engine's are."""
     from .catalog import DECIMALS
-    out = {}
-    for name, sql in _queries().items():
-        places = DECIMALS.get(name) or {}
-        if places:
-            repl = ", ".join(
-                f"CASE WHEN abs({c}) < 1e6 THEN round({c}, {d}) WHEN abs({c}) < 1e8 THEN round({c}, 2) ELSE round({c}) END"
-                f" + 0.0 AS {c}" for c, d in places.items())
-            sql = f"SELECT * REPLACE ({repl}) FROM ({sql}) AS _q"
-        out[name] = sql
-    return out
+
+    places = DECIMALS.get(name) or {}
+    if not places:
+        return sql
+    repl = ", ".join(
+        f"CASE WHEN abs({c}) < 1e6 THEN round({c}, {d}) WHEN abs({c}) < 1e8 THEN round({c}, 2) ELSE round({c}) END"
+        f" + 0.0 AS {c}" for c, d in places.items())
+    return f"SELECT * REPLACE ({repl}) FROM ({sql}) AS _q"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: _rounded(name, sql) for name, sql in _queries().items()}

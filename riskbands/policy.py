@@ -9,6 +9,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 
+from .functions.bloom import LOG2_WORDS
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -32,6 +34,10 @@ class Policy:
     # most this many distinct millisecond timestamps per device, which bounds the largest
     # window partition no matter how hot a device is.
     history_bucket_ms: int = 3_600_000
+    # Rows on one (device, instant) from which on they are dealt out over several copies of it.
+    hot_point_rows: int = 200_000
+    # Size of the Bloom filter of shared devices: 2 ** this many words of 8 bytes.
+    device_filter_log2_words: int = LOG2_WORDS
     # Quantiles: "exact" or "approx" (percentile_approx with ``approx_accuracy``).
     quantile_method: str = "exact"
     approx_accuracy: int = 1_000_000

@@ -93,7 +93,7 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> t
     if not materialize:
         ev = _events(spark, sf_dir)
         return transactions_from_events(ev), feedback_from_events(ev)
-    key = _version_key(spark, sf_dir)
+    key = version_key(spark, sf_dir)
     with _LOCK:
         frames = _MATERIALIZED.get(key)
         if frames is None:
@@ -109,7 +109,7 @@ _LOCK = threading.Lock()
 _MATERIALIZED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
-def _version_key(spark: SparkSession, sf_dir: str) -> tuple:
+def version_key(spark: SparkSession, sf_dir: str) -> tuple:
     path = f"{sf_dir.rstrip('/')}/events.parquet"
     try:
         st = os.stat(path)

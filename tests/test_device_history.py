@@ -4,7 +4,9 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from riskbands.operators import device_history
 from riskbands.operators.device_history import (accounts_per_device_history,
                                                 device_account_counts, shared_device_tx)
 from riskbands.policy import Policy
@@ -108,3 +110,23 @@ def test_property_threshold_equals_self_join(make_tx, data, k):
     got = sorted(r.transaction_id for r in shared_device_tx(tx, Policy(shared_device_accounts=k)).collect())
     want = sorted(g[1] for g, n in brute_force(rows).items() if n >= k)
     assert got == want
+
+
+def test_a_hot_instant_is_dealt_out(spark, make_tx):
+    """A third of the rows on one (device, instant): no task gets over twice the median's rows, and results stay."""
+    rows = [tx_row(f"h{k}", ts=7, account=f"a{k % 40}", device="hot") for k in range(3000)]
+    rows += [tx_row(f"t{k}", ts=k % 11, account=f"a{k % 9}", device=f"d{k % 301}") for k in range(6000)]
+    tx, _ = make_tx(rows)
+    policy = Policy(hot_point_rows=25)
+    groups = tx.select("account_id", "transaction_id", "device_id", "transaction_timestamp").distinct()
+    hot = device_history.hot_points(device_history._points(tx, groups), policy.hot_point_rows)
+    assert [tuple(r) for r in hot.collect()] == [("hot", 7, 120)]
+    dealt = device_history.salted(groups, hot).repartition(8, "device_id", "transaction_timestamp", "salt")
+    held = sorted(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect())
+    assert len(held) == 8 and held[-1] <= 2 * held[4]
+    plain = sorted(r["count"] for r in groups.repartition(8, "device_id", "transaction_timestamp")
+                   .groupBy(F.spark_partition_id()).count().collect())
+    assert plain[-1] > 2 * plain[4]
+    got = sorted(map(tuple, device_history.accounts_per_device_history(tx, policy).collect()))
+    assert got == sorted(map(tuple, device_history.accounts_per_device_history(tx).collect()))
+    assert {r[4] for r in got if r[2] == "hot"} == {40}

@@ -2,13 +2,13 @@
 
 import pytest
 
-import __spark_entry__ as ent
+from riskbands.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
 def plan(spark, name):
-    df = ent.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     return df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -22,7 +22,7 @@ def test_no_expand_for_distinct_counts(spark, name):
     assert "Expand" not in plan(spark, name)
 
 
-@pytest.mark.parametrize("name", sorted(ent.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_or_nested_loop_join(spark, name):
     p = plan(spark, name)
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p

@@ -2,13 +2,15 @@
 
 import math
 import random
+import re
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskbands.operators import stats as S
-from riskbands.operators.quantiles import cell, exact_quantiles
+from riskbands.operators.quantiles import DIGIT, double_of, exact_quantiles, ordered_bits
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
 
@@ -50,11 +52,34 @@ def test_empty(spark):
     assert S.describe(df, ["x"]).first().p50 is None
 
 
-def test_cells_never_fall(spark):
+def test_bits_order_as_the_doubles_and_tell_them(spark):
     rnd = random.Random(5)
-    values = sorted([rnd.choice([-1, 1]) * 10 ** rnd.uniform(-20, 20) for _ in range(2000)] + [0.0, 1e308, -1e308])
-    cells = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").coalesce(1).select(cell(F.col("x"))).collect()]
-    assert cells == sorted(cells)
+    values = [rnd.choice([-1, 1]) * 10 ** rnd.uniform(-320, 308) for _ in range(2000)]
+    values += [rnd.choice([-1, 1]) * 2.0 ** rnd.randrange(-1074, 1024) for _ in range(500)]
+    values += [0.0, 1e308, -1e308, 1.7976931348623157e308, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308,
+               math.inf, -math.inf, 1 - 2**-53, 1.0, 1 + 2**-52, 2.0, math.nextafter(2.0, 0), math.nextafter(8.0, 0)]
+    values = sorted(set(values))
+    df = spark.createDataFrame([(v,) for v in values], "x double").coalesce(1)
+    rows = df.select("x", ordered_bits(F.col("x")).alias("b")).select("x", "b", double_of(F.col("b")).alias("back")).collect()
+    for r in rows:
+        own = int.from_bytes(struct.pack(">d", abs(r.x)), "big")
+        assert r.b == (own if r.x >= 0 else -own) and r.back == r.x
+    assert [r.b for r in rows] == sorted(r.b for r in rows)
+
+
+def test_at_most_digits_times_prefixes_are_shuffled(spark):
+    """100,000 distinct values: no task sends more than its counts of digits, and no window runs over values."""
+    df = spark.range(100_000).selectExpr("exp(id / 7000e0) as x", "id * 1000e0 + 1.7e12 as y")
+    plan = exact_quantiles(df, ["x", "y"], PROBS)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in text
+    for line in text.splitlines():
+        assert not ("windowspecdefinition" in line and re.search(r"\b(x|y|bits)#", line)), line
+    got = {r.k: r.q for r in plan.collect()}
+    x, y = np.exp(np.arange(100_000) / 7000.0), np.arange(100_000) * 1000.0 + 1.7e12
+    assert got[0] == pytest.approx(list(np.quantile(x, PROBS)), rel=1e-12)
+    assert got[1] == pytest.approx(list(np.quantile(y, PROBS)), rel=1e-15)
+    assert 65 % DIGIT == 0
 
 
 def test_building_runs_no_job(spark):
