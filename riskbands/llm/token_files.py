@@ -1,7 +1,8 @@
 """Operator 7: token-id files with frequency-ranked ids in byte-aligned variable-length coding.
 
-``encode`` tokenises whole texts with the tokenizers library. White space separates words for this tokenizer,
-so each distinct word of a batch is encoded once and kept in a bounded cache. ``write`` counts every id over
+``encode`` tokenises whole texts with the tokenizers library, its settings as the file gives them (so an added
+token's string in a text is that token). White space separates words for this tokenizer, so each distinct word
+of a batch is encoded once, from the ids of its pieces, and kept in a bounded cache. ``write`` counts every id over
 all documents, gives the most frequent ids the lowest ranks, sorts the documents by id across the cluster
 (range partitioning) and packs them in blocks: a control stream holds two bits for each rank (its length of
 1 to 4 bytes), a separate data stream the bytes. ``read`` takes the files alone and decodes four ranks a
@@ -20,13 +21,16 @@ extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,38 +41,126 @@ from riskbands.session import scratch_path
 
 CACHE_WORDS = 500_000
 LONGEST_CACHED = 64
+CHUNK_BYTES = 4 << 20
 BLOCK_TOKENS = 1 << 18
 _STARTS = np.array([0, 1 << 8, 1 << 16, 1 << 24])
 
 
-class Words(dict):
-    """Word -> its packed ids; filled batch by batch, emptied when too large."""
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(shown)]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(others)}}
+
+
+#: Words whose pieces are found here: printing ASCII and the letters from À to ÿ, which no normal form changes.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's split after lower-casing, written for such words with spaces between them.
+PIECE = re.compile(" |'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-zß-öø-ÿ0-9]+")
+_GAP = np.uint32(0xFFFFFFFF)
+
+
+def slices(ids: np.ndarray, stops: np.ndarray, gap: int) -> list[bytes]:
+    """The packed ids up to each stop, from ``gap`` ids after the stop before."""
+    flat, ends = ids.tobytes(), (4 * stops).tolist()
+    starts = [0, *[e + 4 * gap for e in ends]]
+    return [flat[a:b] for a, b in zip(starts, ends, strict=False)]
+
+
+class Words:
+    """The ids of the words of a chunk of texts.
+
+    Arrow splits a chunk's texts and numbers its distinct words; the texts' ids are gathered by number. The library
+    is asked for pieces: words that differ by case or punctuation share them, and the new pieces of a chunk go to it
+    as one text. In a vocabulary with word ends each piece's last id shows that it is the last, so the ids are cut
+    there. Words of other characters, or with an added token in them, go to it by themselves. Both are kept for
+    later chunks and emptied when too many.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-
-    def packed(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)")
+        # the same model on pieces that are normalised, split and spelt in the byte-level alphabet already
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {b: c for b, c in byte_letters().items() if b != 32}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(1 + max(vocabulary.values()), bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.pieces: dict[str, bytes] = {" ": _GAP.tobytes()}
+        self.odd: dict[str, bytes] = {}
+
+    def packed(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]  # at ASCII white space, which no token holds
-        distinct = set().union(*split)
-        missing = list(distinct - self.keys())
-        if len(self) + len(missing) > CACHE_WORDS:
-            self.clear()
-            missing = list(distinct)
-        self.update(zip(missing, self.packed(missing), strict=True))
-        out = [b"".join(map(self.__getitem__, ws)) for ws in split]
-        for w in missing:
-            if len(w) > LONGEST_CACHED:
-                del self[w]
-        return out
+    def learn(self, pieces: list[str]) -> None:
+        """Add new pieces: one text, cut after the ids that end a piece."""
+        spelt = " ".join(pieces).encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, np.uint32)
+        self.pieces.update(zip(pieces, slices(ids, np.flatnonzero(self.last[ids]) + 1, 0), strict=True))
+
+    def plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start and end of each word's) of plain words, whose pieces are found in one text with gaps between."""
+        found = PIECE.findall(" ".join(words).lower())
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces = {" ": _GAP.tobytes()}
+        new = list(set(found) - self.pieces.keys())
+        if new:
+            self.learn(new)
+        ids = np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), np.uint32)
+        gaps = np.flatnonzero(ids == _GAP)
+        return ids, np.concatenate([[0], gaps + 1]), np.append(gaps, len(ids))
+
+    def odd_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of words that the library gets as they are."""
+        if len(self.odd) > CACHE_WORDS:
+            self.odd.clear()
+        new = [w for w in words if w not in self.odd]
+        fresh = dict(zip(new, self.packed(new), strict=True))
+        self.odd.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST_CACHED)
+        found = [fresh[w] if w in fresh else self.odd[w] for w in words]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
+        return np.frombuffer(b"".join(found), np.uint32), np.concatenate([[0], ends[:-1]])[:len(ends)], ends
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start and number of each word's) of distinct words."""
+        plain = np.fromiter(map(bool, map(PLAIN.fullmatch, words)), bool, len(words))
+        if self.added.search(" ".join(words)):
+            plain &= np.fromiter((not self.added.search(w) for w in words), bool, len(words))
+        starts, ends = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        parts, held = [], 0
+        for which, ids_of in ((plain, self.plain_ids), (~plain, self.odd_ids)):
+            chosen = list(compress(words, which))
+            if chosen:
+                ids, a, b = ids_of(chosen)
+                starts[which], ends[which] = a + held, b + held
+                parts.append(ids)
+                held += len(ids)
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), starts, ends - starts
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> pa.Array:
+        """The packed ids of each text (null: empty), ``end`` appended."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))  # no token holds ASCII white space
+        coded = lists.flatten().dictionary_encode()
+        ids, starts, sizes = self.ids_of(coded.dictionary.to_pylist())
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        stops = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        if end is not None:
+            codes = np.insert(codes, stops[1:], len(starts))
+            stops += np.arange(len(stops))
+            starts, sizes, ids = np.append(starts, len(ids)), np.append(sizes, 1), np.append(ids, np.uint32(end))
+        n = sizes[codes]
+        after = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(starts[codes] - after[:-1], n)
+        place += np.arange(after[-1])
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * after[stops]).astype(np.int32)),
+                                                               pa.py_buffer(ids[place])])
 
 
 @lru_cache(2)
@@ -78,14 +170,13 @@ def _words(path: str) -> Words:
 
 def encode(docs: DataFrame, path: str, end: int | None = None, text: str = "text") -> DataFrame:
     """(doc_id, ids): packed little-endian unsigned 32-bit ids, ``end`` appended."""
-    tail = b"" if end is None else np.uint32(end).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
         for batch in batches:
-            for part in in_chunks(batch, "__text"):
-                ids = [x + tail for x in words.encode([t or "" for t in part.column("__text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for part in in_chunks(batch, "__text", CHUNK_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), words.encode(part.column("__text"), end)],
+                                                 ["doc_id", "ids"])
 
     kept = docs.select("doc_id", docs[text].alias("__text"))
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, ids binary")
@@ -98,8 +189,9 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes[:len(ranks)] = sizes - 1
     quads = codes.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    four = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), four[np.arange(4) < sizes[:, None]].tobytes()
+    widest = int(sizes.max(initial=1))
+    low = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :widest]
+    return control.tobytes(), low[np.arange(widest) < sizes[:, None]].tobytes()
 
 
 #: Lengths of the four ranks of each control byte.
@@ -108,9 +200,12 @@ LENGTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     sizes = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < sizes[:, None]] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").ravel()
+    ends = np.cumsum(sizes)
+    flat = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
+    out = np.zeros(n, np.uint32)
+    for k in range(int(sizes.max(initial=1))):  # the kth byte of every rank that has one
+        out |= np.where(k < sizes, flat[ends - sizes + k], 0).astype(np.uint32) << np.uint32(8 * k)
+    return out
 
 
 def rank_table(tokens: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 import base64
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -26,9 +28,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
 
 
 TEXT = st.text(alphabet="ab'stredlvmTS \n\t 12²٣#$é中😀\x1c\x85  ", max_size=40)
@@ -76,13 +76,41 @@ def test_pack_and_unpack():
         assert (token_files.unpack(control, data, n) == ranks).all() and len(control) == -(-n // 4)
 
 
+@lru_cache(1)
+def unchanged():
+    return Tokenizer.from_file(WORDS)
+
+
+WORD_TEXT = st.lists(st.one_of(
+    st.text(alphabet="ab'sStTredlvmM \n\t 12²٣#$éÉñßÄ中Σςİ\u0301😀\x1c\x85\u00a0÷×.,;&-", max_size=12),
+    st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endoftext", "don't", "WE'LL", "x,", "über", "</w>", "e\u0301"])),
+    max_size=12).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(texts=st.lists(WORD_TEXT, max_size=4))
+def test_token_ids_equal_the_library_on_any_text(texts):
+    plain = unchanged()
+    for text, packed in zip(texts, token_files._words(WORDS).encode(pa.array(texts, pa.string())).to_pylist(), strict=True):
+        assert np.frombuffer(packed, np.uint32).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_token_ids_with_emptied_caches(monkeypatch, tokenizer):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 4)
+    words = token_files.Words(WORDS)
+    for text in ("one two, three? FOUR five's", "six seven <|endoftext|> one", "Two " * 50 + "über-x 12a", ""):
+        got = [np.frombuffer(x.as_py(), np.uint32).tolist() for x in words.encode(pa.array([text, None]), 2)]
+        assert got == [[*tokenizer.encode(text, add_special_tokens=False).ids, 2], [2]]
+
+
 def test_token_files_round_trip(make_docs, odd_rows, tokenizer, monkeypatch):
-    rows = [r for r in odd_rows if r[0] is not None]
+    rows = [*odd_rows, (30, "hello <|endoftext|> world<|startoftext|>"), (31, "Σίσυφος ΟΔΟΣ, naïve ÀÉÎ don't WE'LL 3rd")]
     docs = make_docs(rows)
     tokens = written(token_files.encode(docs, WORDS, end=2), "test-tokens")
-    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.write_and_read(tokens).collect())
+    got = [(r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.write_and_read(tokens).collect()]
     at, want = 0, []
-    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
+    got = sorted(got, key=lambda r: r[0])
+    for i, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):  # null ids first
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
