@@ -8,7 +8,7 @@ where a term holds at least COVER of the landmark's code points, of whatever scr
 landmark of fewer than ORDER characters has the kernel of its own length's order.
 
 Training sees sentences of labelled documents. A sentence is a bag of terms: in toxic documents its witness is
-the term most associated with the label. All words that pass LEAST_G and LEAST_SHARE are positive and landmarks,
+the term most associated with the label (sentences that documents share count once). All words that pass LEAST_G and LEAST_SHARE are positive and landmarks,
 as are harmless ones like them (words only: combinations of words aren't terms); the
 Nyström map K_mm ** -1/2 turns kernel values into features, on which a linear SVM separates witnesses from
 the terms of harmless sentences; each witness also stands in variants with a character put in. A document's margin is that of its most toxic term, made a probability by a
@@ -31,6 +31,7 @@ import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ from pyspark.sql import types as T
 from riskbands.llm.bpe import in_chunks
 
 ORDER, DECAY, COVER = 3, 0.8, 0.75
+FOLLOW, REACH = 0.5, 3  # share of a landmark's neighbouring letters that a term holds in order, and how far apart
 WINDOW = 24
 SAMPLE, LONGEST = 1500, 20_000
 HARMLESS, NEGATIVES, GRAM = 64, 8000, 4
@@ -52,6 +54,9 @@ CACHE_TERMS = 500_000
 SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
 
 
+_bare = methodcaller("strip", string.punctuation)
+
+
 def windows(word: str) -> list[str]:
     """The kernel's terms of a word: itself without outer punctuation, long ones in halves that overlap."""
     term = word.strip(string.punctuation)
@@ -62,7 +67,7 @@ def windows(word: str) -> list[str]:
 
 def spelled(words: list[str]) -> list[str]:
     """Words that runs of two or more single characters spell."""
-    single = bytes(len(w) == 1 for w in words)
+    single = bytes(map((1).__eq__, map(len, words)))
     return ["".join(words[m.start():m.end()]) for m in re.finditer(b"\x01{2,}", single)]
 
 
@@ -72,9 +77,9 @@ def words_of(text: str | None) -> list[str]:
 
 
 def codes(terms: list[str]) -> np.ndarray:
-    out = np.zeros((len(terms), max(map(len, terms), default=1)), np.int32)
-    for k, t in enumerate(terms):
-        out[k, :len(t)] = np.frombuffer(t.encode("utf-32-le"), np.int32)
+    sizes = np.fromiter(map(len, terms), np.int64, len(terms))
+    out = np.zeros((len(terms), max(1, sizes.max(initial=1))), np.int32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(terms).encode("utf-32-le"), np.int32)
     return out
 
 
@@ -85,14 +90,47 @@ def alphabet_of(c: np.ndarray) -> np.ndarray:
 
 def letter_counts(c: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
     """How often each row holds each code point of the alphabet."""
-    size = len(alphabet)
-    slots = np.searchsorted(alphabet, c)
-    slots[(c == 0) | (alphabet[np.minimum(slots, size - 1)] != c)] = size
+    size, slots = len(alphabet), letter_slots(c, alphabet)
     rows = np.arange(len(c))[:, None] * (size + 1)
     counts = np.bincount((rows + slots).ravel(), minlength=len(c) * (size + 1))
     return counts.reshape(len(c), size + 1)[:, :-1].astype(np.int8)
 
 
+def letter_slots(c: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """Each code point's place in the alphabet, its size for those that are not in it."""
+    slots = np.searchsorted(alphabet, c)
+    slots[(c == 0) | (alphabet[np.minimum(slots, len(alphabet) - 1)] != c)] = len(alphabet)
+    return slots
+
+
+class Neighbours:
+    """Which pairs of neighbouring letters of the landmarks a term holds in order."""
+
+    def __init__(self, c: np.ndarray, alphabet: np.ndarray):
+        self.alphabet, self.side = alphabet, len(alphabet) + 1
+        slots = letter_slots(c, alphabet)
+        first, second = slots[:, :-1], slots[:, 1:]
+        there = (first < len(alphabet)) & (second < len(alphabet))
+        pairs = first * self.side + second
+        known = np.unique(pairs[there])
+        self.place = np.full(self.side * self.side, len(known))  # the last column is for all other pairs
+        self.place[known] = np.arange(len(known))
+        self.held = np.zeros((len(c), len(known) + 1), np.float32)
+        rows = np.broadcast_to(np.arange(len(c))[:, None], pairs.shape)
+        self.held[rows[there], self.place[pairs[there]]] = 1
+        self.needed = FOLLOW * self.held.sum(1)
+
+    def follow(self, c: np.ndarray) -> np.ndarray:
+        """Whether each term (rows of a code matrix) holds enough pairs of each landmark."""
+        slots = letter_slots(c, self.alphabet)
+        found = np.zeros((len(c), self.held.shape[1]), np.float32)
+        for gap in range(1, min(REACH, c.shape[1] - 1) + 1):
+            pairs = self.place[slots[:, :-gap] * self.side + slots[:, gap:]]
+            found[np.arange(len(c))[:, None], pairs] = 1
+        found[:, -1] = 0
+        return found @ self.held.T >= self.needed
+
+
 def common_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of letters, repeats counted, that each row of ``a`` shares with each row of ``b``."""
     out = np.zeros((len(a), len(b)), np.float32)
@@ -141,8 +179,13 @@ class Model:
         self.codes = codes(self.landmarks)
         self.alphabet = alphabet_of(self.codes)
         self.counts = letter_counts(self.codes, self.alphabet) if self.landmarks else None
+        self.pairs = Neighbours(self.codes, self.alphabet) if self.landmarks else None
         self.lengths = np.array([len(t) for t in self.landmarks])
         self.orders = np.minimum(self.lengths, ORDER)
+        self.own = np.ones(len(self.landmarks))
+        for order in np.unique(self.orders):
+            marks = np.flatnonzero(self.orders == order)
+            self.own[marks] = subsequence_kernel(self.codes[marks], self.codes[marks], order)
 
     def __reduce__(self):
         return Model, (self.landmarks, self.weights, self.bias, self.slope, self.shift)
@@ -154,15 +197,13 @@ class Model:
             return out
         c = codes(terms)
         held = common_letters(letter_counts(c, self.alphabet), self.counts)
-        found, which = np.nonzero(held >= COVER * self.lengths)
+        found, which = np.nonzero((held >= COVER * self.lengths) & self.pairs.follow(c))
         for order in np.unique(self.orders[which]):
             i, j = (x[self.orders[which] == order] for x in (found, which))
             rows, back = np.unique(i, return_inverse=True)
-            marks, mark = np.unique(j, return_inverse=True)
             own = subsequence_kernel(c[rows], c[rows], order)
-            theirs = subsequence_kernel(self.codes[marks], self.codes[marks], order)
             k = subsequence_kernel(c[i], self.codes[j], order)
-            norm = np.sqrt(own[back] * theirs[mark])
+            norm = np.sqrt(own[back] * self.own[j])
             out[i, j] = np.where(norm > 0, k / np.where(norm > 0, norm, 1), 0) ** POWER
         return out
 
@@ -175,11 +216,13 @@ class Model:
             unknown = list({w for ws in found for w in ws})
         for at in range(0, len(unknown), ROWS):
             part = unknown[at:at + ROWS]
-            terms = [windows(w) for w in part]
-            flat = list({t for ts in terms for t in ts})
-            scores = dict(zip(flat, (self.kernel(flat) @ self.weights + self.bias).tolist(), strict=True))
-            for w, ts in zip(part, terms, strict=True):
-                self.margins[w] = max([self.bias, *map(scores.__getitem__, ts)])
+            terms = [t if len(t) <= WINDOW else windows(t) for t in map(_bare, part)]
+            long = {w: t for w, t in zip(part, terms, strict=True) if isinstance(t, list)}
+            flat = list({t for t in terms if isinstance(t, str)}.union(*long.values()) - {""})
+            values = np.maximum(self.kernel(flat) @ self.weights + self.bias, self.bias)
+            scores = {"": self.bias, **dict(zip(flat, values.tolist(), strict=True))}
+            self.margins.update((w, scores[t]) for w, t in zip(part, terms, strict=True) if isinstance(t, str))
+            self.margins.update((w, max(map(scores.__getitem__, ts), default=self.bias)) for w, ts in long.items())
         get = self.margins.__getitem__
         return np.array([max(map(get, ws), default=self.bias) for ws in found])
 
@@ -253,10 +296,14 @@ def fit(texts: list[str | None], labels: list[int], weight: tuple[float, float]
     constant = Model([], np.zeros(0), 0.0, 0.0, math.log(max(base, 1e-6) / max(1 - base, 1e-6)))
     if not 0 < base < 1:
         return constant
-    bags = [[{t for w in words_of(s) for t in windows(w)} for s in SENTENCE.split(text or "")] for text in texts]
+    # a sentence that several documents of a class share counts in the first of them only: copies are no evidence
+    bags, heard = [], {1: set(), 0: set()}
     counts = {1: Counter(), 0: Counter()}
-    for bag, label in zip(bags, labels, strict=True):
-        counts[label].update(set().union(*bag) if bag else set())
+    for text, label in zip(texts, labels, strict=True):
+        sentences = [s for s in dict.fromkeys(SENTENCE.split(text or "")) if s not in heard[label]]
+        heard[label].update(sentences)
+        bags.append([{t for w in words_of(s) for t in windows(w)} for s in sentences])
+        counts[label].update(set().union(*bags[-1]))
     linked = association(counts[1], counts[0], (len(y) - y.sum(), y.sum()), weight)
     ranked = sorted((t for t, (g, share) in linked.items() if g >= LEAST_G and share >= LEAST_SHARE),
                     key=lambda t: (-linked[t][0], t))
