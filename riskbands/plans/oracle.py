@@ -3,7 +3,8 @@
 Stated from the formulas, by other algorithms than the engine's: accounts so far are counted from each
 account's first sighting on a device, bands are set membership over ids grouped with their reasons, ladders
 place a value in the least matching bin of a generated edge table, and the metrics are rendered from one
-declarative table (``METRICS``: conditions, sums and output formulas over one row per id).  Inexact doubles
+declarative table (``METRICS``: conditions whose distinct ids are counted and whose values are summed over the rows
+as they are, without the engine's reduction to ids, and output formulas).  Inexact doubles
 (``catalog.DECIMALS``) are rounded to decimals on both sides; everything else is compared as it is.
 """
 
@@ -214,9 +215,8 @@ def _ladder(name: str, where: str = "true") -> str:
 
 
 # ------------------------------------------------------------------ the metrics
-# Rows of a flow are reduced to one per id: whether any of its rows meets a condition, and the value of those
-# that do.  ``ids`` counts ids per condition, ``sums`` adds values, ``out`` are formulas over these and ``n``,
-# the number of ids.
+# ``ids`` counts the distinct ids of the rows that meet a condition, ``sums`` adds those rows' values, ``out`` are formulas
+# over these and ``n``, the number of ids.
 _FLOWS = {
     "current": ("labelled", {"fb": "is_fraud = 1"}),
     "banded": ("bands", {"fb": "is_fraud = 1", "low": "risk_band = 'low'", "mid": "risk_band = 'mid'", "high": "risk_band = 'high'"}),
@@ -281,14 +281,11 @@ METRICS: dict[str, tuple[str, dict[str, str], dict[str, str], dict[str, str]]] =
 def _metric(name: str) -> str:
     flow, ids, sums, out = METRICS[name]
     source, marks = _FLOWS[flow]
-    per_id = "".join([*(f", bool_or({c}) AS {k}" for k, c in ids.items()),
-                      *(f", sum(CASE WHEN {c} THEN transaction_value END) AS {k}" for k, c in sums.items())])
-    total = "".join([*(f", count(*) FILTER ({k} AND transaction_id IS NOT NULL) AS {k}" for k in ids),
-                     *(f", sum({k}) AS {k}" for k in sums)])
+    total = "".join([*(f", count(DISTINCT transaction_id) FILTER (WHERE {c}) AS {k}" for k, c in ids.items()),
+                     *(f", sum(transaction_value) FILTER (WHERE {c}) AS {k}" for k, c in sums.items())])
     marked = ", ".join(f"{c} AS {k}" for k, c in marks.items())
     return _with([source], f"""SELECT {", ".join(f"{f} AS {k}" for k, f in out.items())}
-      FROM (SELECT count(transaction_id) AS n{total}
-            FROM (SELECT transaction_id{per_id} FROM (SELECT *, {marked} FROM {source}) GROUP BY transaction_id))""")
+      FROM (SELECT count(DISTINCT transaction_id) AS n{total} FROM (SELECT *, {marked} FROM {source}))""")
 
 
 # ------------------------------------------------------------------ the queries
