@@ -11,7 +11,10 @@ filters first:
 * prefix: with ``need`` = ceil(threshold * |T|), a match holds one of the template's |T| - need + 1 rarest words;
 * length: it has at least ``need`` distinct words;
 * positions: from the first common word in the global order on, both sides must have enough words left;
-* the survivors are verified by their intersection.
+* the survivors are verified by their intersection within the best stretch of the block, of hardly more words than
+  the template has, so that words scattered over a long text are no match;
+* templates of different licenses that share most of their words (siblings: versions, "NonCommercial" and the like)
+  are told apart by the few words in which they differ: the stretch must hold its own and none of the other's.
 
 Besides, phrases (``PHRASES``) are found wherever their words stand consecutively. Scanning is map-side, the
 templates are a parameter of fixed size, and nothing else is broadcast.
@@ -62,9 +65,22 @@ TEMPLATES = [
     ("cc-by-4.0", "Licensed under CC BY 4.0."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+                        "International License."),
+    ("cc-by-nc-nd-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+                        "International License."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 THRESHOLD = 0.9
+SIBLINGS = 0.5  # Jaccard of two templates' words from which on the words in which they differ decide
+TELLING = 3  # at most so many words on a side, else the threshold tells them apart
+SLACK_WORDS = 6  # a stretch is a quarter or so many words longer than the template
 BLOCK_WORDS = 256  # at least; windows hold twice the words of the longest template
 
 _NO_WORD = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -118,21 +134,29 @@ class Join:
     """The templates in the global order, indexed by the words of their prefixes."""
 
     def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float):
-        vocabulary = {w for _, text in templates for w in words_of(text.encode())}
-        ordered = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+        written = [(label, words_of(text.encode())) for label, text in templates]
+        ordered = sorted({w for _, ws in written for w in ws}, key=lambda w: (counts.get(w, 0), w))
         self.order = {w: k for k, w in enumerate(ordered)}
         self.templates = []
         self.prefixes: dict[int, list[int]] = {}
-        for label, text in templates:
-            tokens = sorted(self.order[w] for w in set(words_of(text.encode())))
+        for label, ws in written:
+            own = set(ws)
+            tokens = sorted(self.order[w] for w in own)
             need = math.ceil(threshold * len(tokens) - 1e-9)
             for token in tokens[:len(tokens) - need + 1]:
                 self.prefixes.setdefault(token, []).append(len(self.templates))
-            self.templates.append((label, tokens, set(tokens), need))
+            required, excluded = set(), set()
+            for other_label, other in written:
+                other = set(other)
+                if other_label != label and len(own & other) >= SIBLINGS * len(own | other):
+                    required |= own - other if len(own - other) <= TELLING else set()
+                    excluded |= other - own if len(other - own) <= TELLING else set()
+            room = len(ws) + max(SLACK_WORDS, len(ws) // 4)
+            self.templates.append((label, tokens, own, need, required, excluded, room))
         self.triggers = frozenset(w for w, k in self.order.items() if k in self.prefixes)
 
-    def matches(self, block: list[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of every template that the block holds enough of."""
+    def matches(self, block: list[bytes]) -> list[tuple[str, float, int, int]]:
+        """(label, containment, start, end) of every template that a stretch of the block holds enough of."""
         held = set(block)
         if self.triggers.isdisjoint(held):
             return []
@@ -144,16 +168,49 @@ class Join:
                 if t in tried:
                     continue
                 tried.add(t)
-                label, own, own_set, need = self.templates[t]
+                label, own, own_set, need, required, excluded, room = self.templates[t]
                 left = 1 + min(len(own) - own.index(token) - 1, len(tokens) - at - 1)
-                if len(held) < need or left < need:
+                if len(held) < need or left < need or not required <= held:
                     continue
-                common = len(own_set.intersection(tokens))
-                if common >= need:
-                    out.append((label, common / len(own)))
+                if len(own_set & held) >= need:
+                    out += [(label, n / len(own), lo, hi)
+                            for n, lo, hi in stretches(block, own_set, need, room, required, excluded)]
         return out
 
 
+def stretches(block: list[bytes], words: set[bytes], need: int, room: int, required: set[bytes] = frozenset(),
+              excluded: set[bytes] = frozenset()) -> list[tuple[int, int, int]]:
+    """(distinct words of the set, start, end) of the block's parts that match.
+
+    A part begins and ends with a word of the set, is at most ``room`` words long, holds ``need`` distinct words of the
+    set, among them the required ones, and no excluded word. Of parts that overlap the one with the most words of the
+    set counts, then the shortest, then the first.
+    """
+    held: dict[bytes, int] = {}
+    at: list[int] = []
+    first, best, out = 0, None, []
+    for k, w in enumerate(block):
+        if w in excluded:
+            held, first = {}, len(at)
+        elif w in words:
+            at.append(k)
+            held[w] = held.get(w, 0) + 1
+            while k - at[first] >= room or held[block[at[first]]] > 1:
+                gone = block[at[first]]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                first += 1
+            if len(held) >= need and required <= held.keys():
+                lo, hi = at[first], k + 1
+                if best is not None and lo >= best[2]:
+                    out.append(best)
+                    best = None
+                if best is None or (len(held), lo - hi) > (best[0], best[1] - best[2]):
+                    best = (len(held), lo, hi)
+    return out if best is None else [*out, best]
+
+
 def corpus_counts(docs: DataFrame, templates: list[tuple[str, str]], text: str) -> dict[bytes, int]:
     """Number of documents that hold each word of the templates."""
     vocabulary = frozenset(w for _, t in templates for w in words_of(t.encode()))
@@ -194,8 +251,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
         ws = words_of(data)
         found = []
         if not join.triggers.isdisjoint(ws):
-            found = [{"label": label, "start": at, "end": at + len(block), "containment": c}
-                     for at, block in blocks(data, size) for label, c in join.matches(block)]
+            # overlapping blocks find the same stretch
+            found = sorted({(at + lo, at + hi, label, c) for at, block in blocks(data, size)
+                            for label, c, lo, hi in join.matches(block)})
+            found = [{"label": label, "start": lo, "end": hi, "containment": c} for lo, hi, label, c in found]
         return len(ws), [{"start": s, "label": label} for s, label in places(ws, phrases)], found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
