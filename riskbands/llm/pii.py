@@ -12,15 +12,17 @@ the segment's shape carries weight too. Scanning is map-side over whole texts; n
 
 Defined cases: a null text has no spans; offsets are code points, ends exclusive; a long text without any
 digit or at-sign costs one search; every scan is linear in the text, the segment search linear in a region's
-tokens; repeated rows get equal spans; an empty table trains a model that adds nothing; ``redact`` keeps all
+tokens, of which it holds a bounded number of segments at a time (a table of numbers is one region); repeated rows get equal spans; an empty table trains a model that adds nothing; ``redact`` keeps all
 columns of its input, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -259,6 +261,113 @@ class Lattice:
         return gw, gm
 
 
+BLOCK_TOKENS = 1024  # starts whose segments are held at once
+_ALPHA, _NUMERAL, _AT, _DOT, _SPACE, _BLANK, _DASH, _PAREN, _ODD = range(9)
+_DIGIT_EDGES, _TOKEN_EDGES = np.array([1, 4, 7, 9, 12, 16, 17, 20]), np.array([2, 4, 7, 10, 13])
+
+
+def _classes(s: str) -> np.ndarray:
+    """Of each code point, whether it is in each of the nine classes that features count."""
+    points, place = np.unique(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    rows = [(c.isalpha(), c in NUMERALS, c == "@", c == ".", c.isspace(), c == " ", c == "-", c in "()",
+             not (c.isalnum() or c in " ._%+-@()")) for c in map(chr, points.tolist())]
+    return np.array(rows, bool).reshape(-1, 9)[place]
+
+
+def _segment_rows(text: str, tokens: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The features (as :func:`span_features`) of the segments of ``size`` tokens from each token in ``first``."""
+    a, b = tokens[first, 0], tokens[first + size - 1, 1]
+    lo, hi = int(a.min()) - 1, int(b.max()) + 1
+    kind = _classes(text[max(lo, 0):hi])
+    edge = np.zeros((1, 9), bool)
+    kind = np.concatenate([*([edge] if lo < 0 else []), kind, *([edge] if hi > len(text) else [])])
+    upto = np.concatenate([np.zeros((1, 9), np.int32), np.cumsum(kind, 0, dtype=np.int32)])
+    held = upto[b - lo] - upto[a - lo]
+    length = b - a
+    digits, letters = held[:, _NUMERAL], held[:, _ALPHA]
+    begin, last = kind[a - lo], kind[b - lo - 1]
+
+    def side(at: np.ndarray) -> np.ndarray:
+        # beyond the text there is no character of any class, which counts as white space
+        beyond = (at < 0) | (at >= len(text))
+        k = kind[at - lo]
+        return np.where(beyond | k[:, _SPACE], 0, np.where(k[:, _ALPHA], 1, np.where(k[:, _NUMERAL], 2, 3)))
+
+    out = np.zeros((len(a), len(SPAN_SIZES)), np.int64)
+    out[:, 0] = np.searchsorted(_DIGIT_EDGES, digits, side="right")
+    out[:, 1] = np.minimum(held[:, _AT], 2)
+    out[:, 2] = np.minimum(held[:, _DOT], 4)
+    out[:, 3] = np.where(letters == 0, 0, np.where(letters == length, 2, 1))
+    out[:, 4] = np.where(begin[:, _ALPHA], 0, np.where(begin[:, _NUMERAL], 1, 4))
+    for k in np.flatnonzero(out[:, 4] == 4).tolist():
+        out[k, 4] = {"+": 2, "(": 3}.get(text[a[k]], 4)
+    out[:, 5] = np.where(last[:, _ALPHA], 0, np.where(last[:, _NUMERAL], 1, 2))
+    out[:, 6] = np.minimum(held[:, _SPACE], 4)
+    out[:, 7], out[:, 8], out[:, 9] = held[:, _DASH] > 0, held[:, _PAREN] > 0, held[:, _ODD] > 0
+    for k in np.flatnonzero((digits >= 12) & (digits <= 19) & (digits + held[:, _BLANK] + held[:, _DASH] == length)).tolist():
+        out[k, 10] = luhn(text[a[k]:b[k]].replace(" ", "").replace("-", ""))
+    for k in np.flatnonzero((held[:, _DOT] == 3) & (digits + 3 == length)).tolist():
+        out[k, 11] = all(p and _small(p) for p in text[a[k]:b[k]].split("."))
+    for k in np.flatnonzero((held[:, _AT] == 1) & ~begin[:, _AT]).tolist():
+        s = text[a[k]:b[k]]
+        out[k, 12] = bool(DOMAIN.fullmatch(s, s.index("@") + 1))
+    out[:, 13], out[:, 14] = side(a - 1), side(b)
+    out[:, 15] = np.searchsorted(_TOKEN_EDGES, size, side="right")
+    return out
+
+
+def best_spans(text: str, start: int, end: int, w: np.ndarray, move: np.ndarray) -> list[Span]:
+    """The spans of the region's best segmentation, as :meth:`Lattice.best`, for regions of any length.
+
+    The dynamic program runs from left to right and looks MAX_TOKENS ahead, so the segments of BLOCK_TOKENS starts are
+    made, scored and dropped at a time; what stays is, for each token and kind, where the best segment that ends there
+    begins (a few dozen bytes).
+    """
+    tokens = np.fromiter((x for m in TOKEN.finditer(text, start, end) for x in m.span()), np.int64).reshape(-1, 2)
+    n, kinds = len(tokens), len(KINDS) + 1
+    top = np.full((n + 1, kinds), -np.inf)
+    top[0, 0] = 0
+    begins = np.zeros((n + 1, kinds), np.int32)
+    came = np.zeros((n + 1, kinds), np.int8)  # the best kind before one that begins here
+    sizes = np.arange(1, MAX_TOKENS + 1)
+    for at in range(0, n, BLOCK_TOKENS):
+        names = [text[a:b] for a, b in tokens[at:at + BLOCK_TOKENS + MAX_TOKENS].tolist()]
+        here = min(BLOCK_TOKENS, n - at)
+        blank = np.fromiter(map(str.isspace, names), bool, len(names))
+        holds = np.concatenate(([0], np.cumsum([bool(TRIGGER.match(t)) for t in names])))
+        outside = w[0, np.array([token_feature(t) for t in names[:here]]) + sum(SPAN_SIZES)]
+        i = np.arange(here)[:, None]
+        j = np.minimum(i + sizes, len(names))
+        good = (i + sizes <= len(names)) & ~blank[i] & ~blank[j - 1] & (holds[j] != holds[i])
+        first, size = np.nonzero(good)
+        score = np.full((here, MAX_TOKENS, kinds - 1), -np.inf)
+        if len(first):
+            rows = _segment_rows(text, tokens, first + at, size + 1) + SPAN_FROM
+            score[first, size] = w[1:, rows].sum(2).T
+        some = good.any(1).tolist()
+        for k in range(here):
+            now = at + k
+            reach = top[now][:, None] + move
+            y = reach.argmax(0)
+            came[now] = y
+            enter = reach[y, np.arange(kinds)]
+            if enter[0] + outside[k] > top[now + 1, 0]:
+                top[now + 1, 0], begins[now + 1, 0] = enter[0] + outside[k], now
+            if some[k]:
+                far = min(MAX_TOKENS, n - now)
+                new, old = enter[1:] + score[k, :far], top[now + 1:now + 1 + far, 1:]
+                better = new > old
+                old[better] = new[better]
+                begins[now + 1:now + 1 + far, 1:][better] = now
+    out, j, y = [], n, int(top[n].argmax())
+    while j > 0:
+        i = int(begins[j, y])
+        if y:
+            out.append((int(tokens[i, 0]), y - 1, int(tokens[j - 1, 1])))
+        j, y = i, int(came[i, y])
+    return out[::-1]
+
+
 def train(windows: list[str], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """(weights per kind and feature, moves between kinds) by gradient steps on the windows' likelihood."""
     kinds = len(KINDS) + 1
@@ -309,15 +418,15 @@ def all_spans(text: str, w: np.ndarray, move: np.ndarray) -> tuple[list[Span], l
     base = base_spans(text)
     if not TRIGGER.search(text):
         return base, base
-    added = [s for a, b in regions(text) for s in Lattice(text, a, b).best(w, move)
-             if all(s[2] <= x[0] or x[2] <= s[0] for x in _near(base, a, b))]
+    added = [s for a, b in regions(text) for s in best_spans(text, a, b, w, move)]
+    if base:
+        # the base spans' covered stretches, merged: a span that touches none of them is added
+        starts = [x[0] for x in base]
+        ends = list(accumulate((x[2] for x in base), max))
+        added = [s for s in added if not (k := bisect_left(starts, s[2])) or ends[k - 1] <= s[0]]
     return base, sorted([*base, *added])
 
 
-def _near(spans: list[Span], a: int, b: int) -> list[Span]:
-    return [s for s in spans if s[0] < b and a < s[2]]
-
-
 def listed(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
