@@ -1,11 +1,15 @@
 """Operator 9: quality rules with adaptive thresholds (DataFrame and SQL functions only).
 
-Each text gets a few measures in one map-side pass. Per (language, source) a KLL quantile sketch of every
-measure is aggregated; the language's sketches are the merge of its sources' sketches. The thresholds are
-quartile fences read from the sketches (third quartile plus ``spread`` times the inter-quartile range), so
-they follow each group instead of being fixed. The threshold table (one row per group) is written, reread
+Each text gets a few measures in one map-side pass. Per (language, source) a quantile sketch of every
+measure is aggregated: the counts of its values in buckets, each GROWTH times as wide as the one below. Merging
+two sketches adds counts, in whatever order, so the same documents give the same sketch however they are dealt
+out, and retried tasks change nothing. A quantile read from it is at most GROWTH times the exact one and not below
+it (values under LEAST count as 0). The language's sketches are the merge of its sources' sketches. The thresholds
+are quartile fences (third quartile plus ``spread`` times the inter-quartile range), so they follow each group
+instead of being fixed. The threshold table (one row per group) is written, reread
 and joined back, and a document is rejected when a measure exceeds the fence of its group and that of its
-language. A group with few documents therefore never rejects what is usual in its language.
+language. A group with few documents therefore never rejects what is usual in its language, and a group of mostly
+bad ones can't raise its limit above WIDEST times its language's fence.
 
 Defined cases: a null text counts as an empty one (no words, fails the base rule); null language and null
 source are groups of their own (null-safe join); repeated rows are judged alike and all returned; an empty
@@ -14,7 +18,9 @@ table gives an empty result; extra columns pass through ``filter_quality`` untou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskbands.llm.common import adjacent, words, written
@@ -25,6 +31,8 @@ MEASURES = {"symbol_share": 0.05, "upper_share": 0.05, "repeat_share": 0.10, "du
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SPREAD = 3.0
+LEAST, GROWTH = 1e-4, 1.01
+WIDEST = 2.0
 
 
 def measure(docs: DataFrame, text: Column, carry: list[Column]) -> DataFrame:
@@ -70,20 +78,48 @@ def _shares() -> dict[str, Column]:
             "word_length": share("word_chars", "n_words")}
 
 
+def bucket(x: Column) -> Column:
+    """The sketch's bucket of a value: 0 below LEAST, then one for each factor of GROWTH."""
+    place = F.floor(F.ln(F.greatest(x, F.lit(LEAST)) / F.lit(LEAST)) / F.lit(math.log(GROWTH)) + 1e-9)
+    return F.when(x < LEAST, F.lit(0)).otherwise(place + 1).cast("int")
+
+
+def upper(b: Column) -> Column:
+    """The value that a bucket stands for: its upper end, 0 for the first."""
+    return F.when(b == 0, F.lit(0.0)).otherwise(F.lit(LEAST) * F.pow(F.lit(GROWTH), b))
+
+
+def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """(lang, source, measure, bucket, held): the sketch of each group and measure."""
+    shares = measured.select(lang, source, *[bucket(c).alias(k) for k, c in _shares().items()])
+    tall = ", ".join(f"'{k}', {k}" for k in MEASURES)
+    tall = shares.select(lang, source, F.expr(f"stack({len(MEASURES)}, {tall}) AS (measure, bucket)"))
+    return tall.groupBy(lang, source, "measure", "bucket").agg(F.count(F.lit(1)).alias("held"))
+
+
+def quartiles(sketch: DataFrame, group: list[str]) -> DataFrame:
+    """``group``, measure, q1 and q3: the least values that a quarter and three quarters of the group don't exceed."""
+    every = Window.partitionBy(*group, "measure")  # at most as many rows as there are buckets
+    upto = every.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = sketch.select(*group, "measure", "bucket", F.sum("held").over(upto).alias("upto"), F.sum("held").over(every).alias("n"))
+
+    def quantile(share: float) -> Column:
+        return upper(F.min(F.when(F.col("upto") >= F.lit(share) * F.col("n"), F.col("bucket"))))
+
+    return s.groupBy(*group, "measure").agg(quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
+
+
 def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source", spread: float = SPREAD) -> DataFrame:
-    """One row per (lang, source): ``max_<measure>``, the larger of the group's and the language's fence."""
-    m = measured.select(lang, source, *[c.alias(k) for k, c in _shares().items()])
-    groups = m.groupBy(lang, source).agg(*[F.kll_sketch_agg_double(k).alias(k) for k in MEASURES])
-    groups = written(groups, "quality-sketches")
-    langs = groups.groupBy(F.col(lang).alias("__lang")).agg(
-        *[F.kll_merge_agg_double(k).alias(f"__{k}") for k in MEASURES])
-
-    def fence(sketch: str, least: float) -> Column:
-        q = F.kll_sketch_get_quantile_double(F.col(sketch), F.array(F.lit(0.25), F.lit(0.75)))
-        return q[1] + F.lit(spread) * F.greatest(q[1] - q[0], F.lit(least))
-
-    return groups.join(langs, F.col(lang).eqNullSafe(F.col("__lang"))).select(
-        lang, source, *[F.greatest(fence(k, x), fence(f"__{k}", x)).alias(f"max_{k}") for k, x in MEASURES.items()])
+    """One row per (lang, source): ``max_<measure>``, the larger of the group's and the language's fence, within WIDEST of the latter."""
+    groups = written(sketches(measured, lang, source), "quality-sketches")
+    langs = groups.groupBy(lang, "measure", "bucket").agg(F.sum("held").alias("held"))
+    least = F.create_map(*[F.lit(x) for k, v in MEASURES.items() for x in (k, v)])[F.col("measure")]
+    fence = F.col("q3") + F.lit(spread) * F.greatest(F.col("q3") - F.col("q1"), least)
+    own = quartiles(groups, [lang, source]).select(lang, source, "measure", fence.alias("own"))
+    wide = quartiles(langs, [lang]).select(F.col(lang).alias("__lang"), F.col("measure").alias("__m"), fence.alias("wide"))
+    both = own.join(wide, F.col(lang).eqNullSafe(F.col("__lang")) & (F.col("measure") == F.col("__m")))
+    limit = F.least(F.greatest("own", "wide"), F.lit(WIDEST) * F.col("wide"))
+    return both.groupBy(lang, source).agg(*[F.max(F.when(F.col("measure") == k, limit)).alias(f"max_{k}") for k in MEASURES])
 
 
 def base_failed() -> Column:

@@ -2,10 +2,14 @@ import collections
 import random
 import re
 import textwrap
+import time
+import tracemalloc
 
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from riskbands.llm import licenses, mixing, pii, quality, secret_scan, toxicity
 from riskbands.llm.oracle import ORACLE_SQL
@@ -42,6 +46,46 @@ def test_quality_fences_follow_the_group(make_docs):
     assert kept == {k for k, *_ in rows} - {999}
 
 
+def measured_rows(spark, rnd, n, lang, source, worst):
+    counts = [(rnd.randrange(1, 400), rnd.random() ** 4, rnd.random() ** 3 * worst) for _ in range(n)]
+    return spark.createDataFrame(
+        [(lang, source, w, int(w * 5 * (1 + a)), int(w * b), int(w * a), 1 + w // 9, int((1 + w // 9) * a), int(w * a)) for w, a, b in counts],
+        "lang string, source string, n_words long, word_chars long, n_symbols long, n_upper long, n_lines long, n_dup_lines long, n_repeat_words long")
+
+
+def test_quality_thresholds_do_not_depend_on_the_partitioning(spark):
+    rnd = random.Random(6)
+    rows = measured_rows(spark, rnd, 4000, "en", "a", 0.3).unionByName(measured_rows(spark, rnd, 900, "en", None, 0.6))
+    rows = rows.unionByName(measured_rows(spark, rnd, 300, None, "b", 0.1)).cache()
+    got = [sorted(map(tuple, quality.thresholds(x).collect()), key=repr)
+           for x in (rows.coalesce(1), rows.repartition(7), rows.repartition(23, "n_words"))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 3
+
+
+def test_quality_quartiles_within_the_stated_bound(spark):
+    rows = measured_rows(spark, random.Random(9), 3000, "en", "a", 0.4)
+    got = {r.measure: (r.q1, r.q3) for r in quality.quartiles(quality.sketches(rows), ["lang", "source"]).collect()}
+    data = rows.toPandas()
+    shares = {"symbol_share": data.n_symbols / data.n_words, "upper_share": data.n_upper / data.word_chars,
+              "repeat_share": data.n_repeat_words / data.n_words, "dup_line_share": data.n_dup_lines / data.n_lines,
+              "word_length": data.word_chars / data.n_words}
+    for name, values in shares.items():
+        for q, p in zip(got[name], (0.25, 0.75), strict=True):
+            exact = float(np.quantile(values, p, method="inverted_cdf"))
+            assert exact <= q * (1 + 1e-9) and (q <= exact * quality.GROWTH * (1 + 1e-9) or q == exact == 0 or exact < quality.LEAST)
+
+
+def test_a_bad_source_does_not_set_its_own_limit(make_docs):
+    rnd = random.Random(4)
+
+    def text(symbols):
+        return " ".join(f"w{rnd.randrange(10**6)}" + ("#" if k < symbols else "") for k in range(100))
+
+    rows = [(k, text(0), "en", f"s{k % 4}") for k in range(400)] + [(1000 + k, text(60 + k % 30), "en", "bad") for k in range(60)]
+    kept = {r.doc_id for r in quality.filter_quality(make_docs(rows)).collect()}
+    assert kept == set(range(400))
+
+
 def test_quality_filter_keeps_columns_and_handles_nothing(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     assert quality.filter_quality(docs).columns == docs.columns
@@ -130,6 +174,69 @@ def test_pii_model_leaves_plain_numbers_alone(pii_model):
         assert pii.all_spans(text, *pii_model) == ([], [])
 
 
+NUMERIC = st.text(alphabet="12 90.@-+(),ab/é\n\u00a0", max_size=70)
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=NUMERIC)
+def test_pii_sliding_search_equals_the_whole_lattice(text):
+    w, move = random_weights(3)
+    assert pii.best_spans("", 0, 0, w, move) == []
+    for a, b in [*[(0, len(text))] * bool(text), *pii.regions(text)]:
+        assert pii.best_spans(text, a, b, w, move) == pii.Lattice(text, a, b).best(w, move)
+
+
+def test_pii_sliding_search_over_blocks(monkeypatch, pii_model):
+    text = "call +1 555 123-4567, 10.0.0.1 or a.b@c.org; 4111 1111 1111 1111 / 12,13,14 " * 4
+    want = pii.Lattice(text, 0, len(text)).best(*pii_model)
+    monkeypatch.setattr(pii, "BLOCK_TOKENS", 7)
+    assert want and pii.best_spans(text, 0, len(text), *pii_model) == want
+
+
+def random_weights(seed):
+    rnd = np.random.default_rng(seed)
+    return rnd.normal(0, 1, (len(pii.KINDS) + 1, pii.N_FEATURES)), rnd.normal(0, 1, (len(pii.KINDS) + 1,) * 2)
+
+
+@pytest.mark.parametrize("text", ["a1 2.", "7-@b", "+1(2", "9 9 9", "é3,4"])
+def test_pii_best_equals_exhaustive_search(text):
+    """Every way to cut the region into outside tokens and segments, scored by itself."""
+    w, move = random_weights(11)
+    lattice = pii.Lattice(text, 0, len(text))
+    spans, outside = lattice.scores(w, np.ones(len(pii.SPAN_SIZES)))
+    best = (-np.inf, None)
+
+    def extend(at, y, score, chosen):
+        nonlocal best
+        if at == lattice.n:
+            best = max(best, (score, chosen))
+            return
+        extend(at + 1, 0, score + move[y, 0] + outside[at], chosen)
+        for k, (i, j) in enumerate(lattice.segments):
+            if i == at:
+                for kind in range(1, len(pii.KINDS) + 1):
+                    extend(j, kind, score + move[y, kind] + spans[k, kind - 1],
+                           (*chosen, (lattice.found[i][0], kind - 1, lattice.found[j - 1][1])))
+
+    extend(0, 0, 0.0, ())
+    assert pii.best_spans(text, 0, len(text), w, move) == list(best[1])
+
+
+def test_pii_long_numeric_text_in_bounded_memory(pii_model):
+    """A megabyte of numbers: under 300 MB beyond the start, and time in proportion to the length."""
+    took = []
+    for size in (60_000, 240_000):
+        text = ",".join(map(str, range(size)))[:size]
+        began = time.process_time()
+        tracemalloc.start()
+        pii.all_spans(text, *pii_model)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        took.append(time.process_time() - began)
+        assert peak < 30e6 + 200 * size  # under 230 MB for a megabyte
+    assert took[1] < 8 * took[0]
+
+
 def test_pii_gradient_is_that_of_the_likelihood():
     text = "see a.b@c.org on"
     lattice = pii.Lattice(text, 0, len(text))
@@ -181,6 +288,25 @@ def test_pii_operator_and_redaction(make_docs, odd_rows, pii_model):
     assert pii.find_pii(make_docs([])).count() == 0
 
 
+def plain_labels(ws):
+    """Labels of the templates that some stretch of the words matches, every stretch tried."""
+    split = [(label, re.findall("[a-z0-9]+", text.lower())) for label, text in licenses.TEMPLATES]
+    found = set()
+    for label, own in split:
+        words, room = set(own), len(own) + max(6, len(own) // 4)
+        others = [set(o) for lab, o in split if lab != label and len(words & set(o)) >= 0.5 * len(words | set(o))]
+        must = set().union(*(words - o for o in others if len(words - o) <= 3))
+        never = set().union(*(o - words for o in others if len(o - words) <= 3))
+        for lo in range(len(ws)):
+            part = set(ws[lo:lo + room])
+            if len(part & words) >= 0.9 * len(words) - 1e-9 and any(
+                    len(words & (p := set(ws[lo:hi]))) >= 0.9 * len(words) - 1e-9 and must <= p and not never & p
+                    for hi in range(lo + 1, min(len(ws), lo + room) + 1)):
+                found.add(label)
+                break
+    return sorted(found)
+
+
 def test_licenses_against_plain_version(make_docs, odd_rows):
     rnd = random.Random(6)
     vocabulary = [w for _, t in licenses.TEMPLATES for w in t.split()] + ["filler", "words"]
@@ -189,19 +315,12 @@ def test_licenses_against_plain_version(make_docs, odd_rows):
     got = licenses.scan(make_docs(rows)).collect()
     want = []
     for i, t, *_ in rows:
-        data = (t or "").encode()
         ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
         base = sorted((k, label) for p, label in licenses.PHRASES.items() for k in range(len(ws))
                       if ws[k:k + len(p.split())] == p.split())
-        found = []
-        for at, block in licenses.blocks(data):
-            for label, text in licenses.TEMPLATES:
-                own = set(licenses.words_of(text.encode()))
-                if len(own & set(block)) >= licenses.THRESHOLD * len(own) - 1e-9:
-                    found.append((label, at, at + len(block), len(own & set(block)) / len(own)))
-        want.append((i is None, i or 0, len(ws), base, sorted(found)))
+        want.append((i is None, i or 0, len(ws), base, plain_labels(ws)))
     have = [(r.doc_id is None, r.doc_id or 0, r.n_words, [(p.start, p.label) for p in r.phrases],
-             sorted((m.label, m.start, m.end, m.containment) for m in r.matches)) for r in got]
+             sorted({m.label for m in r.matches})) for r in got]
     assert sorted(have) == sorted(want)
     assert licenses.scan(make_docs([])).count() == 0
 
@@ -217,6 +336,32 @@ def test_licenses_wrapped_over_lines(make_docs, columns, mark):
         assert any(m.label == label and m.containment == 1 and own <= set(ws[m.start:m.end]) for m in got[i])
 
 
+def labels_of(make_docs, texts):
+    found = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan(make_docs(list(enumerate(texts)))).collect()}
+    return [found[k] for k in range(len(texts))]
+
+
+def test_each_template_has_exactly_its_label(make_docs):
+    got = labels_of(make_docs, [f"// {t}\nint main" for _, t in licenses.TEMPLATES])
+    assert got == [{label} for label, _ in licenses.TEMPLATES]
+
+
+def test_license_near_misses(make_docs):
+    scattered = " ".join(" ".join(["filler"] * 40 + [w]) for w in "the band released an album under its own name the mit license".split())
+    gpl = dict(licenses.TEMPLATES)["gpl-3.0-or-later"]
+    cases = {
+        "Licensed under CC BY-NC 4.0.": {"cc-by-nc-4.0"}, "Licensed under CC BY-SA 4.0.": {"cc-by-sa-4.0"},
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": {"cc-by-nc-4.0"},
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.":
+            {"cc-by-nc-nd-4.0"},
+        "Licensed under CC BY 4.0. Parts are licensed under CC BY-NC 4.0.": {"cc-by-4.0", "cc-by-nc-4.0"},
+        gpl: {"gpl-3.0-or-later"}, gpl.replace("version 3", "version 2"): {"gpl-2.0-or-later"},
+        gpl.replace("version 3", "version 1"): set(), scattered: set(),
+        "Licensed under the terms of the GNU Lesser General Public License": {"lgpl"},
+        "under the license, released by MIT": {"mit"}, "released under license": set()}
+    assert dict(zip(cases, labels_of(make_docs, list(cases)), strict=True)) == cases
+
+
 @pytest.mark.parametrize("n", [140, 300, 700])
 def test_licenses_longer_than_a_window(make_docs, n):
     words = [f"t{k}" for k in range(n)]
