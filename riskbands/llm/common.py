@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -38,6 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_LEFT: dict[tuple[str, int], list[str]] = {}
+
+
+def left(spark: SparkSession) -> list[str]:
+    """The folders that ``written`` has made in this application and thread and that are still there."""
+    return _LEFT.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once under the shared checkpoint folder and read it back.
 
@@ -46,11 +55,59 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
+    left(spark).append(path)
     with shuffles_dropped(spark):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folders(*frames: DataFrame) -> set[str]:
+    """The folders and files that the frames' plans read, as they were named to the reader."""
+    found = set()
+    for df in frames:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        for k in range(leaves.size()):
+            if leaves.apply(k).nodeName().startswith("LogicalRelation"):
+                roots = leaves.apply(k).relation().location().rootPaths()
+                found |= {roots.apply(j).toUri().getPath() for j in range(roots.size())}
+    return found
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that ``written`` has made."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        left(spark).remove(p)
+
+
+def left_by(spark: SparkSession, *frames: DataFrame) -> list[str]:
+    """Those of :func:`left` that the frames read."""
+    read, path = folders(*frames), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return [p for p in left(spark) if path(p).toUri().getPath() in read]
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders that ``written`` made for these frames. Whoever discards a frame has no plan left that reads it."""
+    if frames:
+        delete(frames[0].sparkSession, left_by(frames[0].sparkSession, *frames))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete what ``written`` made inside the block when it ends or fails, but for what the frames in the list read."""
+    before = set(left(spark))
+    kept: list[DataFrame] = []
+    try:
+        yield kept
+    except BaseException:
+        kept = []
+        raise
+    finally:
+        needed = {*before, *left_by(spark, *kept)}
+        delete(spark, [p for p in left(spark) if p not in needed])
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Let Spark remove the shuffle files of each action that ends inside the block.
