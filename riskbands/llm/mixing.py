@@ -9,7 +9,8 @@ key. Range totals (pre-aggregated map-side) give each range its start by a runni
 source; inside a range a running sum over its documents does the rest. A source that holds a third of all
 rows is thus spread over that many window groups, and only ids, sizes and keys are shuffled, never texts.
 
-Defined cases: null text has size 0 and takes 0 words; null source is a source, ordered last; equal keys
+Defined cases: null text has size 0 and takes 0 words; null source is a source, ordered last; a null id's key
+comes from its text; equal keys
 (repeated rows) are ordered by size, and rows equal in both share the running sum's order by row content, so
 their takes are the same multiset in every run; an empty table gives an empty result; extra columns are
 ignored by ``mix`` and kept by ``apply_mix``.
@@ -64,14 +65,16 @@ def sized(docs: DataFrame, carry: list[Column]) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE,
-        cap: int = CAP, digits: int = DIGITS) -> DataFrame:
+        cap: int = CAP, digits: int = DIGITS, carry: tuple[Column, ...] = ()) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, ``taken`` words and the epochs they span.
 
     ``taken`` sums to the source's target exactly (rounded down to whole words): the document at the cut is
     taken in part. ``__key`` orders the documents of a source at random, the same in every run.
     """
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    d = written(sized(docs, [F.col("doc_id"), key.alias("__key")]), "mix-sizes")
+    nameless = F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), nameless)))
+    d = written(sized(docs, [F.col("doc_id"), key.alias("__key"), *carry]), "mix-sizes")
+    named = [c for c in d.columns if c not in ("doc_id", "source", "size", "__key")]
     d = d.withColumn("__range", F.substring("__key", 1, digits))
     ranges = d.groupBy("source", "__range").agg(F.sum("size").alias("__in"))
     ranges = written(ranges, "mix-ranges")
@@ -91,19 +94,21 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     rest = F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")
     place = F.col("__start") + F.col("__within")
     taken = F.col("epochs") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - place))
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return d.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *named)
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: a row for each epoch that takes any of a document's words.
 
     The last epoch's document at the cut is kept whole, so a source ends at most one document above its
-    target. Repeated ids: the takes of one id are summed before the join, then spread over its rows.
+    target. Rows of equal id, source and text: their takes are summed before the join, then spread over them.
     """
-    plan = mix(docs, **options).groupBy("doc_id").agg(
+    plan = mix(docs, carry=(F.xxhash64("text").alias("__hash"),), **options).groupBy("doc_id", "source", "__hash").agg(
         F.sum("taken").alias("__taken"), F.sum("size").alias("__size")).filter("__taken > 0")
-    plan = written(plan.withColumnRenamed("doc_id", "__id"), "mix-plan")
+    plan = written(plan.withColumnsRenamed({"doc_id": "__id", "source": "__from", "__hash": "__of"}), "mix-plan")
     times = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
-    wide = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
+    wide = docs.withColumn("__hash", F.xxhash64("text")).join(
+        plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__from"))
+        & (F.col("__hash") == F.col("__of")))
     return (wide.withColumn("__epoch", F.explode(F.sequence(F.lit(1), times)))
-            .drop("__epoch", "__id", "__taken", "__size"))
+            .drop("__epoch", "__id", "__from", "__hash", "__of", "__taken", "__size"))
