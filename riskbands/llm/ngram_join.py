@@ -11,12 +11,15 @@ Every link between different sets is found or implied by the components, without
 4. Order two is by that number, then by hash. Two classes share m tokens, so they share one of the
    ``s - m + 1`` rarest of each one's s remaining tokens: passages that very many documents hold come last in
    every set and bring no candidates, unless nearly the whole set is such a passage.
-5. Candidates share a token of that prefix and pass the length and positional filters. They must also share
-   enough tokens of the prefixes under order one, and a prefix token under order three (the descending hashes), before the whole
-   sets are intersected.
+5. Candidates share a token of that prefix and pass the length and positional filters, and a parity bitmap: each
+   set has SIGNATURE words of 64 bits, in which every token turns one bit over. Bits that differ are tokens that
+   only one set holds, so sets with more such bits than linked sets can have are no pair; near copies just below
+   the threshold end here, inside the join. They must also share enough tokens of the prefixes under order one,
+   and a prefix token under order three (the descending hashes), before the whole sets are intersected.
 6. A token held by many classes doesn't pair them all. Every holder is compared with one pivot of the token;
    links merge components, and holders in other components than the next SEATS pivots are compared again. Once
-   a round's links are less than FRUITFUL of its pairs, all pairs that still lie in two components are compared.
+   a round links less than FRUITFUL as many pairs as there are classes, all pairs that still lie in two components and
+   pass the filters are compared.
 
 A token that is frequent within a chunk of a task is set aside there (its holders are known to share it) and
 announced to the others, so no window group holds a token of a large share of all rows.
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskbands.llm.bpe import in_chunks
-from riskbands.llm.common import written
+from riskbands.llm.common import discard, scratch, written
 from riskbands.llm.components import components
 
 WIDTH = 5
@@ -51,6 +54,8 @@ HOT_LEAST = 64
 HOT_SLOTS = 64
 FRUITFUL = 0.02
 SEATS = 32
+SIGNATURE = 16
+BITS = [f"g{k}" for k in range(SIGNATURE)]
 MOST = (1 << 62)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,9 +91,9 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def _features(percent: int, width: int, slack: int):
+def _features(id_field: T.StructField, percent: int, width: int, slack: int):
     schema = T.StructType([
-        T.StructField("doc_id", T.LongType()), T.StructField("thash", T.LongType()), T.StructField("n", T.LongType()),
+        T.StructField("doc_id", id_field.dataType), T.StructField("thash", T.LongType()), T.StructField("n", T.LongType()),
         T.StructField("node", T.BinaryType()), T.StructField("pre", T.ArrayType(T.LongType())),
         T.StructField("hot", T.ArrayType(T.LongType())), T.StructField("mark", T.ArrayType(T.LongType()))])
 
@@ -127,13 +132,19 @@ def _features(percent: int, width: int, slack: int):
 
 def features(docs: DataFrame, percent: int, width: int, slack: int) -> DataFrame:
     """Per document: its set's size and digest, and the tokens of its prefix under order one."""
-    run, schema = _features(percent, width, slack)
+    run, schema = _features(docs.schema["doc_id"], percent, width, slack)
     return docs.select("doc_id", F.xxhash64("text").alias("thash"), F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
-def sets_of(docs: DataFrame, percent: int, width: int, slack: int) -> DataFrame:
-    """(node, n, prefix, set): the sorted sets, packed, and their prefixes under order one."""
-    schema = "node binary, n long, prefix binary, set binary"
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set: SIGNATURE signed 64-bit words, a bit set where an odd number of tokens falls."""
+    odd = np.bincount((tokens.view(np.uint64) >> np.uint64(20)).astype(np.int64) % (64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def sets_of(docs: DataFrame, width: int) -> DataFrame:
+    """(node, n, set) and the words of the parity bitmap: the sorted sets, packed."""
+    schema = "node binary, n long, set binary, " + ", ".join(f"{g} long" for g in BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -141,11 +152,11 @@ def sets_of(docs: DataFrame, percent: int, width: int, slack: int) -> DataFrame:
             for part in in_chunks(batch, "__text", CHUNK_BYTES):
                 sets = [shingles(t, hashes, width) for t in part.column("__text").to_pylist()]
                 packed = [s.tobytes() for s in sets]
-                heads = [s[:len(s) - least_overlap(len(s), percent) + slack].tobytes() for s in sets]
+                bits = np.array([signature(s) for s in sets], np.int64).reshape(-1, SIGNATURE)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh128_digest(p) for p in packed], pa.binary()),
-                     pa.array([len(s) for s in sets], pa.int64()), pa.array(heads, pa.binary()),
-                     pa.array(packed, pa.binary())], ["node", "n", "prefix", "set"])
+                     pa.array([len(s) for s in sets], pa.int64()), pa.array(packed, pa.binary()),
+                     *[pa.array(np.ascontiguousarray(c)) for c in bits.T]], ["node", "n", "set", *BITS])
 
     return docs.select(F.col("text").alias("__text")).mapInArrow(run, schema)
 
@@ -155,38 +166,52 @@ def common(a: bytes, b: bytes) -> int:
     return len(np.intersect1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True))
 
 
-def similar(a: bytes, b: bytes, percent: int) -> bool:
-    """Whether two packed sets reach the threshold; order three (descending hashes) filters first."""
+def similar(a: bytes, b: bytes, percent: int, slack: int) -> bool:
+    """Whether two packed sets reach the threshold; their prefixes under orders one and three filter first.
+
+    Sets that link share at least min(slack, ceil(t n)) of their first tokens for the larger n, and one of their last.
+    """
     x, y = len(a) // 8, len(b) // 8
+    need = least_overlap(max(x, y), percent)
+    first, second = (s[:8 * (n - least_overlap(n, percent) + slack)] for s, n in ((a, x), (b, y)))
+    if common(first, second) < min(slack, need):
+        return False
     if not common(a[8 * (least_overlap(x, percent) - 1):], b[8 * (least_overlap(y, percent) - 1):]):
         return False
     both = common(a, b)
     return 100 * both >= percent * (x + y - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, slack: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold.
+def _both(a: str, b: str, percent: int) -> Column:
+    """The least number of tokens that two sets of sizes ``{a}n`` and ``{b}n`` share if they link."""
+    return F.ceil((F.col(f"{a}n") + F.col(f"{b}n")) * percent / F.lit(100.0 + percent) - 1e-6).cast("long")
 
-    First only the prefixes under order one are brought together: sets that link share at least
-    min(slack, ceil(t n)) of those tokens for the larger n. The whole sets follow for the pairs that do.
-    """
-    def beside(pairs: DataFrame, what: str) -> DataFrame:
-        first = sets.select(F.col("node").alias("a"), F.col(what).alias("x"), F.col("n").alias("n_a"))
-        second = sets.select(F.col("node").alias("b"), F.col(what).alias("y"), F.col("n").alias("n_b"))
-        return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y", F.greatest("n_a", "n_b").alias("n"))
 
-    def passing(test):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                holds = [test(x, y, n) for x, y, n in zip(*(batch.column(c).to_pylist() for c in "xyn"), strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(holds, pa.bool_()))
-        return run
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether the parity bitmaps of two sets differ in no more bits than tokens can be in only one of them."""
+    apart = sum((F.bit_count(F.col(f"{a}{g}").bitwiseXOR(F.col(f"{b}{g}"))) for g in BITS), F.lit(0))
+    return apart <= F.col(f"{a}n") + F.col(f"{b}n") - 2 * _both(a, b, percent)
+
 
-    def enough(x: bytes, y: bytes, n: int) -> bool:
-        return common(x, y) >= min(slack, least_overlap(n, percent))
+def beside(rows: DataFrame, sets: DataFrame, key: str, prefix: str, columns: list[str]) -> DataFrame:
+    """``rows`` with the columns of the set named in ``key``, under names that begin with ``prefix``."""
+    marks = sets.select(F.col("node").alias("__node"), *[F.col(c).alias(prefix + c) for c in columns])
+    return rows.join(marks, F.col(key) == F.col("__node")).drop("__node")
 
-    likely = beside(pairs, "prefix").mapInArrow(passing(enough), "a binary, b binary")
-    return beside(likely, "set").mapInArrow(passing(lambda x, y, _: similar(x, y, percent)), "a binary, b binary")
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, slack: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold: the parity bitmaps are compared first, then the sets."""
+    marked = beside(beside(pairs, sets, "a", "a_", ["n", *BITS]), sets, "b", "b_", ["n", *BITS])
+    likely = marked.filter(_near("a_", "b_", percent)).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            holds = [similar(x, y, percent, slack) for x, y in zip(batch.column("a_set").to_pylist(),
+                                                                   batch.column("b_set").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(holds, pa.bool_()))
+
+    whole = beside(beside(likely, sets, "a", "a_", ["set"]), sets, "b", "b_", ["set"])
+    return whole.mapInArrow(run, "a binary, b binary")
 
 
 def shared_tokens(feats: DataFrame) -> DataFrame:
@@ -236,9 +261,9 @@ def _possible(a: str, b: str, percent: int, slack: int) -> Column:
     """
     n1, n2, s1, s2, at1, at2 = (F.col(f"{side}{c}") for c in ("n", "s", "at") for side in (a, b))
     cut = F.greatest(F.lit(0), _overlap(F.greatest(n1, n2), percent) - slack)
-    needed = F.ceil((n1 + n2) * percent / F.lit(100.0 + percent) - 1e-6).cast("long") - cut
+    both = _both(a, b, percent)
     left = 1 + F.least(s1 - at1, s2 - at2)
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (left >= needed)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (left >= both - cut)
 
 
 def _pairs(rows: DataFrame, a: str, b: str, tried: DataFrame | None) -> DataFrame:
@@ -249,13 +274,16 @@ def _pairs(rows: DataFrame, a: str, b: str, tried: DataFrame | None) -> DataFram
 
 def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, percent: int, width: int, slack: int) -> DataFrame | None:
     """(node, root) of every class that links with another one, None if there is none."""
-    rows = written(candidates(feats, classes, percent, slack), "ngram-candidates")
+    with scratch(docs.sparkSession) as needed:
+        rows = written(candidates(feats, classes, percent, slack), "ngram-candidates")
+        needed.append(rows)
     kept = rows.select("node").distinct().join(classes, "node").select(
         F.col("doc_id").alias("__id"), F.col("thash").alias("__th"))
     holders = docs.select("doc_id", "text", F.xxhash64("text").alias("thash"))
     holders = holders.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("thash") == F.col("__th")))
-    sets = written(sets_of(holders, percent, width, slack).dropDuplicates(["node"]), "ngram-sets")
-    found, roots, tried, turn, fruitful = None, None, None, 0, True
+    sets = written(sets_of(holders, width).dropDuplicates(["node"]), "ngram-sets")
+    found, roots, tried, turn, fruitful, now_written = None, None, None, 0, True, None
+    size = sets.count()
     while True:
         now = rows.withColumn("label", F.col("node")).withColumn("mass", F.lit(1).cast("long"))
         if roots is not None:
@@ -264,7 +292,10 @@ def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, percent: int, w
             known = roots.unionByName(mass.select(F.col("root").alias("node"), "root")).join(mass, "root")
             now = rows.join(known, "node", "left").select(
                 *rows.columns, F.coalesce("root", "node").alias("label"), F.coalesce("mass", F.lit(1)).alias("mass"))
-            now = written(now, "ngram-labels")
+            before, now = now_written, written(now, "ngram-labels")
+            now_written = now
+            if before is not None:
+                discard(before)
         if not fruitful:
             break
         # the first round has one pivot a token; later ones, for the few still apart, have several
@@ -279,14 +310,17 @@ def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, percent: int, w
         n_fresh = fresh.count()
         if not n_fresh:
             break
-        fruitful = n_fresh >= FRUITFUL * pairs.count()
+        fruitful = n_fresh >= FRUITFUL * size
         found = fresh if found is None else found.unionByName(fresh)
         roots = components(found)
     # every pair of two components holds a node outside the token's largest one
     largest = now.groupBy("token").agg(F.max_by("label", F.struct("mass", "label")).alias("largest"))
-    other = now.select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "s", "at", "label")])
-    rest = now.join(largest, "token").filter("label <> largest").join(other, "token").filter(
-        (F.col("label") != F.col("other_label")) & _possible("", "other_", percent, slack))
+    outside = written(beside(now.join(largest, "token").filter("label <> largest"), sets, "node", "", BITS), "ngram-outside")
+    there = now.join(outside.select("token").distinct(), "token", "left_semi")
+    there = beside(there, sets, "node", "", BITS)
+    other = there.select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "s", "at", "label", *BITS)])
+    rest = outside.join(other, "token").filter((F.col("label") != F.col("other_label"))
+                                               & _possible("", "other_", percent, slack) & _near("", "other_", percent))
     fresh = written(verified(_pairs(rest, "node", "other_node", tried), sets, percent, slack), "ngram-links")
     if fresh.isEmpty():
         return roots
@@ -294,36 +328,45 @@ def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, percent: int, w
 
 
 def with_component(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, slack: int = SLACK) -> DataFrame:
-    """(doc_id, thash, n_shingles, component_id) per row; ``thash`` is the text's hash."""
-    feats = written(features(docs, percent, width, slack), "ngram-features")
-    classes = feats.filter("n > 0").groupBy("node").agg(
-        F.min("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "thash")).alias("r"))
-    classes = written(classes.select("node", "n", "r.doc_id", "r.thash"), "ngram-classes")
-    roots = links(docs, feats, classes, percent, width, slack)
-    if roots is None:
-        named = classes.select("node", F.col("doc_id").alias("component_id"))
-    else:
-        rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        named = rooted.select("node", "root").join(least, "root").drop("root")
-    named = written(named, "ngram-components")
+    """(doc_id, thash, n_shingles, component_id, chosen) per row.
+
+    ``thash`` is the text's hash; ``chosen`` says whether (doc_id, thash) is the component's first (null ids last).
+    """
+    with scratch(docs.sparkSession) as kept:
+        feats = written(features(docs, percent, width, slack), "ngram-features")
+        classes = feats.filter("n > 0").groupBy("node").agg(
+            F.min("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "thash")).alias("r"))
+        classes = written(classes.select("node", "n", "r.doc_id", "r.thash"), "ngram-classes")
+        roots = links(docs, feats, classes, percent, width, slack)
+        if roots is None:
+            named = classes.select("node", F.col("doc_id").alias("component_id"), F.col("thash").alias("first"))
+        else:
+            rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "thash")).alias("r"))
+            named = rooted.select("node", "root").join(least, "root").select(
+                "node", F.col("r.doc_id").alias("component_id"), F.col("r.thash").alias("first"))
+        named = written(named, "ngram-components")
+        kept += [feats, named]
     out = feats.select("doc_id", "thash", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
-    return out.select("doc_id", "thash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    chosen = (F.col("n_shingles") == 0) | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("thash") == F.col("first")))
+    return out.select("doc_id", "thash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+                      chosen.alias("chosen"))
 
 
 def ngram_join(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the least doc_id that links lead to."""
-    return with_component(docs, **options).drop("thash")
+    return with_component(docs, **options).drop("thash", "chosen")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay: of each component the one with the least doc_id, all those without shingles.
+    """The documents that stay: of each component the one with the least doc_id (null last), all those without shingles.
 
-    Rows of the same id and text are one document. Rows without an id can't be told apart and all stay.
+    Rows of equal id and text, a null id being equal to itself, are one document.
     """
-    kept = with_component(docs, **options).filter("doc_id IS NOT NULL AND (n_shingles = 0 OR doc_id = component_id)")
-    kept = written(kept.select(F.col("doc_id").alias("__id"), F.col("thash").alias("__th")).distinct(), "ngram-kept")
-    known = docs.filter("doc_id IS NOT NULL").withColumn("__hash", F.xxhash64("text"))
-    known = known.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__th")), "left_semi")
-    known = known.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
-    return known.unionByName(docs.filter("doc_id IS NULL"))
+    with scratch(docs.sparkSession) as needed:
+        kept = with_component(docs, **options).filter("chosen")
+        kept = written(kept.select(F.col("doc_id").alias("__id"), F.col("thash").alias("__th")).distinct(), "ngram-kept")
+        needed.append(kept)
+    known = docs.withColumn("__hash", F.xxhash64("text"))
+    known = known.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left_semi")
+    return known.dropDuplicates(["doc_id", "__hash"]).drop("__hash")

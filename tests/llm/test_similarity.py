@@ -2,6 +2,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -72,12 +73,47 @@ def test_ngram_join_small_slack_and_hot_tokens(make_docs, monkeypatch):
     assert ordered(got) == ordered(plain_components(rows))
 
 
+@pytest.mark.parametrize("fruitful", [0.0, 1.0])
+def test_ngram_join_near_the_threshold(make_docs, monkeypatch, fruitful):
+    """Copies whose similarity to each other lies on both sides of 0.8, sought by pivots only, or by pairs at once."""
+    rnd = random.Random(9)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(90):
+        copy = list(base)
+        for at in rnd.sample(range(150), rnd.randrange(1, 9)):
+            copy[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    monkeypatch.setattr(ngram_join, "FRUITFUL", fruitful)
+    got = [tuple(r) for r in ngram_join.ngram_join(make_docs(rows)).collect()]
+    assert ordered(got) == ordered(plain_components(rows)) and len({r[2] for r in got}) > 1
+
+
+def test_signatures_differ_in_no_more_bits_than_the_sets_in_tokens():
+    rnd = np.random.default_rng(3)
+    for n, m, k in ((0, 0, 0), (5, 3, 2), (200, 30, 40), (3000, 500, 10), (20, 2000, 0)):
+        both, a, b = (rnd.integers(-2**63, 2**63, size=x) for x in (n, m, k))
+        x, y = (ngram_join.signature(np.unique(np.concatenate([both, z]))) for z in (a, b))
+        bits = sum(bin(int(d) & (2**64 - 1)).count("1") for d in x ^ y)
+        assert bits <= m + k and (bits >= 0.8 * (m + k) or m + k > 200)
+    assert len(x) == ngram_join.SIGNATURE
+
+
+def test_ngram_join_of_string_ids(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [("b", text), ("a", text + " end"), ("c", "something else entirely different here"), (None, text), ("d", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()}
+    assert got == {"b": "a", "a": "a", "c": "c", None: "a", "d": "d"}
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect()) == ["a", "c", "d"]
+
+
 def test_one_of_each(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     out = ngram_join.one_of_each(docs)
     assert out.columns == docs.columns
     ids = collections.Counter(r.doc_id for r in out.collect())
-    assert ids[7] == 1 and ids[8] == ids[9] == 0 and ids[10] == 1 and ids[11] == 0 and ids[None] == 2 and ids[1] == 1
+    assert ids[7] == 1 and ids[8] == ids[9] == 0 and ids[10] == 1 and ids[11] == 0 and ids[None] == 1 and ids[1] == 1
     assert ngram_join.one_of_each(make_docs([])).count() == 0
     assert ngram_join.ngram_join(make_docs([(1, None), (2, "")])).count() == 2
 
@@ -90,8 +126,16 @@ def test_components_of_a_chain_and_a_star(spark, one_task):
     assert all(got[f"{k:03d}"] == "000" for k in range(1, 41)) and all(got[f"6{k:02d}"] == "500" for k in range(50))
 
 
+def plain_units(text):
+    text = text or ""
+    single = "[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]"
+    letters = re.findall(r"[^\x20\x09-\x0D]", text)
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub(f"({single})", r" \1 ", text))
+    return letters if len(text) < 120 or len(w) * 40 < len(text) else w
+
+
 def plain_anchors(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    w = plain_units(text)
 
     def h(data, seed=42):
         x = xxhash.xxh64_intdigest(data, seed)
@@ -102,7 +146,7 @@ def plain_anchors(text):
         data = b if isinstance(b, bytes) else (b % (1 << 64)).to_bytes(8, "little")
         return h(data, first % (1 << 64))
 
-    if len(w) < fingerprints.K:
+    if len(w) < 4:
         return [(0, h(" ".join(w).encode()))] if w else []
     q = [both(a.encode(), b.encode()) for a, b in zip(w, w[1:], strict=False)]
     return [(k, both(q[k], q[k + 2])) for k in range(len(w) - 3) if min(q[k], q[k + 2]) <= q[k + 1]]
@@ -139,7 +183,59 @@ def test_with_next_repeated_null_and_no_rows(make_docs, odd_rows):
     assert fingerprints.with_next(make_docs([])).count() == 0
 
 
+def plain_sketch(text):
+    found = {}
+    for pos, h in plain_anchors(text):
+        found.setdefault(h, pos)
+    return sorted(found.items() if len(found) <= 64 else ((h, p) for h, p in found.items() if h % 4 == 0))
+
+
+def plain_likeness(a, b):
+    if not a and not b:
+        return 1.0
+    whole = [not x or any(h % 4 for h, _ in x) for x in (a, b)]
+    if whole[0] != whole[1]:
+        a, b = ([m for m in x if m[0] % 4 == 0] if w else x for x, w in ((a, whole[0]), (b, whole[1])))
+    at = dict(b)
+    distances = [at[h] - p for h, p in a if h in at]
+    many = collections.Counter(distances)
+    kept = len(distances) if len(distances) < 4 else sum(n for n in many.values() if n > 1)
+    return kept / (len(a) + len(b) - kept) if len(a) + len(b) else 0.0
+
+
+def texts_and_edits():
+    rnd = random.Random(12)
+    passage = " ".join(f"shared{k}" for k in range(200))
+    long = [" ".join(f"{n}w{rnd.randrange(10**9)}" for _ in range(10_000)) for n in "abcd"]
+    japanese = "".join(chr(rnd.randrange(0x3041, 0x3090) if rnd.random() < 0.6 else rnd.randrange(0x4E00, 0x5000)) for _ in range(3000))
+    plain = " ".join(f"word{rnd.randrange(400)}" for _ in range(300))
+    inserted = plain.split()
+    inserted[100:100] = ["put", "in"]
+    return {"passage": (f"{long[0]} {passage} {long[1]}", f"{long[2]} {passage} {long[3]}"),
+            "japanese": (japanese, japanese[:2000] + "x" * 1000), "three": ("three words only", "three words o" + "zzz"),
+            "insert": (plain, " ".join(inserted)), "same": (plain, plain), "apart": (plain, long[0][:3000]), "none": ("", " "),
+            "spaceless": ("abcdefghij" * 300 + "k" * 9, "abcdefghij" * 300 + "m" * 9)}
+
+
+def test_fingerprints_and_likeness_against_plain_versions(spark):
+    cases = texts_and_edits()
+    rows = [(k, *v) for k, v in cases.items()]
+    df = spark.createDataFrame(rows, "name string, x string, y string")
+    df = fingerprints.sketches(fingerprints.sketches(df, "x", "a"), "y", "b")
+    got = {r.name: r for r in df.select("name", "a", "b", fingerprints.likeness("a", "b").alias("near"),
+                                        fingerprints.fingerprint("a").alias("print")).collect()}
+    for name, (x, y) in cases.items():
+        a, b = plain_sketch(x), plain_sketch(y)
+        assert [tuple(m) for m in got[name].a] == a and [tuple(m) for m in got[name].b] == b, name
+        assert got[name].near == pytest.approx(plain_likeness(a, b)), name
+        assert got[name].print == ",".join(f"{h % (1 << 64):016x}.{p:x}" for h, p in a)
+    assert got["passage"].near > 0 and got["japanese"].near > 0.4 and got["three"].near > 0.2
+    assert got["same"].near == 1 and got["apart"].near == 0 and got["insert"].near > 0.85 and got["none"].near == 1
+
+
 def test_likeness(make_docs, spark):
-    rows = [([1, 2, 3], [1, 2, 3], 1.0), ([], [], 1.0), ([], [1], 0.0), ([1, 2], [3, 4], 0.0), ([1, 2, 3], [2, 3, 4], 0.5)]
-    df = spark.createDataFrame(rows, "a array<long>, b array<long>, want double")
+    rows = [([(1, 0), (2, 1), (3, 2)], [(1, 0), (2, 1), (3, 2)], 1.0), ([], [], 1.0), ([], [(1, 0)], 0.0),
+            ([(1, 0), (2, 1)], [(3, 0), (5, 1)], 0.0), ([(1, 0), (2, 1), (3, 2)], [(2, 5), (3, 9), (5, 1)], 0.5),
+            ([(k, k) for k in range(1, 7)], [(1, 8), (2, 9), (3, 30), (5, 12), (6, 41), (7, 3)], 3 / 9)]
+    df = spark.createDataFrame(rows, f"a {fingerprints.MARKS}, b {fingerprints.MARKS}, want double")
     assert all(r.got == r.want for r in df.withColumn("got", fingerprints.likeness("a", "b")).collect())
