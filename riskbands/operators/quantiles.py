@@ -28,26 +28,56 @@ _INFINITE = 2047 << FRACTION
 _NAN = _INFINITE + 1
 
 
+def _guess(size: Column) -> Column:
+    """The power of two below ``size``, at most one off."""
+    return F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(LEAST_EXPONENT)).cast("int")
+
+
+def _scaled(size: Column, e: Column) -> Column:
+    """``size`` divided by that power, in two steps: neither power leaves the range of doubles."""
+    half = F.shiftright(e, 1)
+    return size * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), -(e - half))
+
+
+def _exponent(guess: Column, m: Column) -> Column:
+    return F.when(m >= 2, guess + 1).when((m < 1) & (guess > LEAST_EXPONENT), guess - 1).otherwise(guess)
+
+
+def _fraction(guess: Column, m: Column) -> Column:
+    return F.when(m >= 2, m / 2).when((m < 1) & (guess > LEAST_EXPONENT), m * 2).otherwise(m)
+
+
+def _bits(x: Column, e: Column, m: Column) -> Column:
+    size = F.abs(x)
+    normal = F.shiftleft((e - F.lit(LEAST_EXPONENT)).cast("long"), FRACTION) + (m * F.lit(2.0**FRACTION)).cast("long")
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(size == F.lit(float("inf")), F.lit(_INFINITE)).otherwise(normal)
+    return F.when(F.isnan(x), F.lit(_NAN)).when(x < 0, -bits).otherwise(bits)
+
+
 def ordered_bits(x: Column) -> Column:
     """A long that orders as the double ``x`` does, and tells it: the bits of its size, negated below zero.
 
     Built by exact steps only: the power of two below the size (corrected where the logarithm is one off), the size
     divided by it, the fraction of that. Sizes below the least normal double are multiples of the least double.
+    One expression repeats each step wherever the next one names it; many rows take :func:`with_bits`.
     """
-    size = F.abs(x)
-    guess = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(LEAST_EXPONENT)).cast("int")
+    guess = _guess(F.abs(x))
+    m = _scaled(F.abs(x), guess)
+    return _bits(x, _exponent(guess, m), _fraction(guess, m))
 
-    def scaled(e: Column) -> Column:
-        # in two steps: neither power leaves the range of doubles
-        half = F.shiftright(e, 1)
-        return size * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), -(e - half))
 
-    m = scaled(guess)
-    e = F.when(m >= 2, guess + 1).when((m < 1) & (guess > LEAST_EXPONENT), guess - 1).otherwise(guess)
-    m = F.when(m >= 2, m / 2).when((m < 1) & (guess > LEAST_EXPONENT), m * 2).otherwise(m)
-    normal = F.shiftleft((e - F.lit(LEAST_EXPONENT)).cast("long"), FRACTION) + (m * F.lit(2.0**FRACTION)).cast("long")
-    bits = F.when(size == 0, F.lit(0).cast("long")).when(size == F.lit(float("inf")), F.lit(_INFINITE)).otherwise(normal)
-    return F.when(F.isnan(x), F.lit(_NAN)).when(x < 0, -bits).otherwise(bits)
+def with_bits(rows: DataFrame, x: str) -> DataFrame:
+    """``rows``, none null in ``x``, with the column ``bits``: :func:`ordered_bits` of ``x``, which is dropped.
+
+    Each step is a projection of its own, so Spark works it out once for a row. ``bits`` is declared without nulls:
+    a join on it would else push "is not null" of the whole formula, its steps repeated in each other, below them.
+    """
+    keep = [c for c in rows.columns if c != x]
+    d = rows.select(*keep, x, _guess(F.abs(x)).alias("__g"))
+    d = d.select(*keep, x, "__g", _scaled(F.abs(x), F.col("__g")).alias("__m"))
+    g, m = F.col("__g"), F.col("__m")
+    d = d.select(*keep, x, _exponent(g, m).alias("__e"), _fraction(g, m).alias("__f"))
+    return d.select(*keep, F.coalesce(_bits(F.col(x), F.col("__e"), F.col("__f")), F.lit(0).cast("long")).alias("bits"))
 
 
 def double_of(bits: Column) -> Column:
@@ -74,9 +104,10 @@ def _prefix(bits: Column, left: int) -> Column:
 
 def order_statistics(frame: DataFrame, cols, probs) -> DataFrame:
     """(k, n, r, x): for column number k with n non-null values, the value x at each needed rank r."""
-    tall = frame.select(*[ordered_bits(F.col(c).cast("double")).alias(f"c{k}") for k, c in enumerate(cols)])
-    tall = tall.selectExpr(f"stack({len(list(cols))}, " + ", ".join(f"{k}, c{k}" for k in range(len(list(cols)))) + ") AS (k, bits)")
-    tall = tall.where(F.col("bits").isNotNull())
+    # one column under the other first: the steps to the bits are code for one column, however many there are
+    tall = frame.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+    tall = tall.selectExpr(f"stack({len(list(cols))}, " + ", ".join(f"{k}, c{k}" for k in range(len(list(cols)))) + ") AS (k, x)")
+    tall = with_bits(tall.where(F.col("x").isNotNull()), "x")
     column, before = Window.partitionBy("k"), (Window.unboundedPreceding, -1)
     found = None
     for left in range(BITS - DIGIT, -1, -DIGIT):

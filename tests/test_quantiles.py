@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskbands.operators import stats as S
-from riskbands.operators.quantiles import DIGIT, double_of, exact_quantiles, ordered_bits
+from riskbands.operators.quantiles import DIGIT, double_of, exact_quantiles, ordered_bits, with_bits
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
 
@@ -98,3 +98,25 @@ def test_histogram_of_many_bins(spark):
     df = spark.range(2000).selectExpr("cast(id as double) as x")
     h = S.histogram(df, "x", 20_000)
     assert h.count() == 20_000 and h.agg({"count": "sum"}).first()[0] == 2000
+
+
+def test_each_pass_works_the_bits_out_once_a_row(spark):
+    """The formula stands once in each pass, whatever the columns, and in no pushed-down filter."""
+    df = spark.range(1000).selectExpr("exp(id / 700e0) as x", "if(id % 3 = 0, null, id * 1e0) as y", "id % 7 - 3e0 as z")
+    plan = exact_quantiles(df, ["x", "y", "z"], PROBS)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.lower().count("log2(") == 65 // DIGIT
+    for line in text.splitlines():
+        assert "pow" not in line.lower() or "Project" in line, line
+    got = {r.k: r.q for r in plan.collect()}
+    rows = [(r.x, r.y, r.z) for r in df.collect()]
+    for k in range(3):
+        values = [r[k] for r in rows if r[k] is not None]
+        assert got[k] == pytest.approx(list(np.quantile(values, PROBS)), rel=1e-12, abs=1e-12)
+
+
+def test_bits_step_by_step_are_those_of_the_one_formula(spark):
+    values = [0.0, -0.0, 1.5, -1.5, 5e-324, -2.2250738585072014e-308, 1.7976931348623157e308, math.inf, -math.inf, math.nan, 1 - 2**-53]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double")
+    step = {r.k: r.bits for r in with_bits(df, "x").collect()}
+    assert step == {r.k: r.bits for r in df.select("k", ordered_bits(F.col("x")).alias("bits")).collect()}
