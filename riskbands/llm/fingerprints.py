@@ -8,16 +8,16 @@ not on what surrounds it, so equal passages hold equal anchors wherever they sta
 The two outer substrings tile the k-mer, and its hash is made of theirs. ``anchors`` returns positions (unit
 index) and hashes.
 
-The fingerprint is the text's distinct anchors with their first positions: all of them up to WHOLE, of longer texts
-those whose hash is divisible by RATE, a sample that grows with the text and chooses alike in all texts. ``likeness``
-matches two fingerprints by position: equal hashes give the distance between the places where they stand, and only
-anchors that share their distance with another one count (all do if there are fewer than LONE). It is their number as
-a share of the anchors that the two have together.
+The fingerprint (``prints``) is all of the text's distinct anchors with their first positions, whatever its length;
+``sketches`` is a smaller form of it for keeping, which no query takes: of texts with more than WHOLE anchors those
+whose hash is divisible by RATE. ``likeness`` and ``near`` match two fingerprints by position: equal hashes give the
+distance between the places where they stand, and only anchors that share their distance with another one count (all
+do if there are fewer than LONE). It is their number as a share of the anchors that the two have together.
 
-``with_next`` pairs each document with the next one of a global order without a global sort in one task: ids
-are range-partitioned, each range finds its successors by a window of its own, and only one row per range is
-linked to the next range. Texts are shuffled once by id, and the next document sends just the code points
-that its predecessor needs.
+``with_next`` pairs each document with the next one of a global order without a global sort in one task: ids alone
+are range-partitioned and cut into blocks of consecutive ones, whose first keys are broadcast. Texts are shuffled once,
+by block, and the first document of a block goes to the block before it, too. In a block each document finds the next
+one beside it, so neither heads of texts nor fingerprints are shuffled.
 
 Defined cases: null text is the empty text; a text of fewer than K units has one anchor (all its units), one
 without units none and the empty fingerprint; two empty fingerprints are alike (1), an empty and another one
@@ -36,6 +36,7 @@ from riskbands.llm.common import adjacent, words, written
 K, S = 4, 2
 WHOLE, RATE = 64, 4
 LONE = 4
+BLOCK, MOST_BLOCKS = 128, 1 << 17  # documents in a block, more if the blocks would be too many to broadcast their first keys
 SHORT = 120  # texts of fewer code points are taken by characters
 LONG_WORDS = 40  # and those with fewer words than one for so many code points
 SINGLE = "[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]"
@@ -81,16 +82,20 @@ def anchors(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     return d.select(*keep, F.when(F.size("__w") < K, alone).otherwise(found).alias("anchors"))
 
 
-def sketches(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """The rows of ``docs`` with ``out``: the distinct anchors (hash, first position) of the fingerprint, by hash."""
+def prints(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """The rows of ``docs`` with ``out``: the distinct anchors (hash, first position) of the text, by hash."""
     keep = docs.columns
     d = _marked(docs, text, keep)
     alone = F.transform(_short(), lambda h: F.struct(h.alias("hash"), F.lit(0).alias("pos")))
     found = F.filter(F.transform("__a", lambda h, i: F.struct(h.alias("hash"), i.alias("pos"))), lambda x: x["hash"].isNotNull())
     d = d.select(*keep, F.sort_array(F.when(F.size("__w") < K, alone).otherwise(found)).cast(MARKS).alias("__s"))
-    first = F.expr("filter(__s, (x, i) -> i = 0 or x.hash <> __s[i - 1].hash)")
-    d = d.select(*keep, first.alias("__s"))
-    return d.select(*keep, F.when(F.size("__s") <= WHOLE, F.col("__s")).otherwise(_sampled("__s")).alias(out))
+    return d.select(*keep, F.expr("filter(__s, (x, i) -> i = 0 or x.hash <> __s[i - 1].hash)").alias(out))
+
+
+def sketches(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """As :func:`prints`, but of texts with many anchors a sample."""
+    d = prints(docs, text, "__s")
+    return d.select(*docs.columns, F.when(F.size("__s") <= WHOLE, F.col("__s")).otherwise(_sampled("__s")).alias(out))
 
 
 def _sampled(marks: str) -> Column:
@@ -112,61 +117,71 @@ def likeness(a: str, b: str) -> Column:
     def whole_sql(x: str) -> str:
         return f"(exists({x}, m -> pmod(m.hash, {RATE}) <> 0) or size({x}) = 0)"
 
-    sides = [f"transform({taken(x, y)}, m -> struct(m.hash as h, {k} as side, m.pos as p))" for k, (x, y) in enumerate([(a, b), (b, a)])]
-    return F.expr(f"""
-        if(size({a}) + size({b}) = 0, 1D,
+    return F.expr(f"if(size({a}) + size({b}) = 0, 1D, {_matched(taken(a, b), taken(b, a))})")
+
+
+def near(a: str, b: str) -> Column:
+    """Share of the anchors of two fingerprints, as they are, that match by position."""
+    return F.expr(f"if(size({a}) + size({b}) = 0, 1D, {_matched(a, b)})")
+
+
+def _matched(a: str, b: str) -> str:
+    sides = [f"transform({x}, m -> struct(m.hash as h, {k} as side, m.pos as p))" for k, x in enumerate([a, b])]
+    return f"""
           transform(array(sort_array(concat({sides[0]}, {sides[1]}))),
             e -> transform(array(sort_array(flatten(zip_with(slice(e, 1, greatest(size(e) - 1, 0)), slice(e, 2, greatest(size(e) - 1, 0)),
                    (x, y) -> if(x.h = y.h and x.side < y.side, array(y.p - x.p), cast(array() as array<int>)))))),
               o -> coalesce(try_divide(
                 cast(if(size(o) < {LONE}, size(o), size(filter(o, (d, i) -> d = get(o, i - 1) or d = get(o, i + 1)))) as double),
-                size(e) - if(size(o) < {LONE}, size(o), size(filter(o, (d, i) -> d = get(o, i - 1) or d = get(o, i + 1))))), 0D))[0])[0])""")
+                size(e) - if(size(o) < {LONE}, size(o), size(filter(o, (d, i) -> d = get(o, i - 1) or d = get(o, i + 1))))), 0D))[0])[0]"""
 
 
-def successors(ids: DataFrame) -> DataFrame:
-    """(doc_id, kid, thash) rows plus (next_kid, next_hash): the next in descending doc_id, the first after the last."""
-    ranges = ids.distinct().repartitionByRange(F.col("doc_id").desc_nulls_last())
+def block_starts(keys: DataFrame) -> DataFrame:
+    """One row: ``starts``, the first keys of the blocks in ascending order. ``keys`` has doc_id, thash and key."""
+    ranges = keys.distinct().repartitionByRange(F.col("doc_id").desc_nulls_last())
     ranges = written(ranges.withColumn("__range", F.spark_partition_id()), "fingerprint-ids")
-    inside = Window.partitionBy("__range").orderBy(F.col("doc_id").desc_nulls_last(), "thash")
-    row = F.struct("kid", "thash")
-    rows = ranges.select("*", F.lead(row).over(inside).alias("__next"))
-    # one row for each range: its first, linked to the first of the next range (of the first range after the last)
-    key = F.struct(F.col("doc_id").isNull(), -F.col("kid").cast("decimal(20,0)"), F.col("thash"))
-    firsts = ranges.groupBy("__range").agg(F.min_by(row, key).alias("__first"))
-    line = Window.partitionBy(F.lit(0)).orderBy("__range")
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.select(F.col("__range").alias("__r"), F.coalesce(
-        F.lead("__first").over(line), F.first("__first").over(whole)).alias("__after"))
-    rows = rows.join(written(firsts, "fingerprint-firsts"), F.col("__range") == F.col("__r"))
-    rows = rows.withColumn("__next", F.coalesce("__next", "__after"))
-    return rows.select("kid", "thash", F.col("__next.kid").alias("next_kid"), F.col("__next.thash").alias("next_hash"))
+    size = max(BLOCK, -(-ranges.count() // MOST_BLOCKS))
+    inside = Window.partitionBy("__range").orderBy("key")
+    firsts = ranges.select("key", F.row_number().over(inside).alias("__n")).filter(F.col("__n") % size == F.lit(1))
+    return written(firsts.agg(F.sort_array(F.collect_list("key")).alias("starts")), "fingerprint-blocks")
+
+
+#: The number of starts that are at most ``key``, by bisection: (lo, hi] closes in on it.
+_BLOCK = """aggregate(sequence(1, 1 + cast(ceil(log2(size(starts) + 1)) as int)), struct(0 as lo, size(starts) as hi),
+    (s, x) -> if(s.lo >= s.hi, s, if(starts[(s.lo + s.hi + 1) div 2 - 1] <= key,
+        struct(cast((s.lo + s.hi + 1) div 2 as int) as lo, s.hi as hi),
+        struct(s.lo as lo, cast((s.lo + s.hi + 1) div 2 - 1 as int) as hi))), s -> s.lo)"""
 
 
 def with_next(docs: DataFrame, part: int = 3) -> DataFrame:
-    """Fingerprint sketches of each document, of its edited text and of the next document.
+    """Fingerprints of each document, of its edited text and of the next document.
 
     The edited text has the last floor(n / part) code points replaced by the next document's first as many.
-    Columns: doc_id, n_chars, edited (the text), sketch, edited_sketch, next_sketch. Rows are told apart by id
-    (0 for null) and a hash of id and text whose last bit marks a null id: ``kid`` and ``thash``. Both branches
-    need the same four columns in that order of keys, so texts and sketches go through one shuffle.
+    Columns: doc_id, n_chars, edited (the text), sketch, edited_sketch, next_sketch. Rows are told apart by ``key``:
+    whether the id is null, the id (its complement, so that the order falls), a hash of id and text.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("kid"),
-                       F.xxhash64("doc_id", "text").bitwiseAND(F.lit(-2)).bitwiseOR(
-                           F.col("doc_id").isNull().cast("long")).alias("thash"), "text")
-    need = F.floor(F.length("text") / part).cast("int").alias("need")
-    lengths = written(base.select("doc_id", "kid", "thash", need).distinct(), "fingerprint-lengths")
-    links = successors(lengths.select("doc_id", "kid", "thash")).join(
-        lengths.select("kid", "thash", "need"), ["kid", "thash"])
-    links = written(links.select(F.col("kid").alias("to_kid"), F.col("thash").alias("to_hash"), "need",
-                                 F.col("next_kid").alias("kid"), F.col("next_hash").alias("thash")), "fingerprint-links")
-    own = sketches(base.select("kid", "thash", "text"), "text", "sketch").repartition("kid", "thash")
-    same = Window.partitionBy("kid", "thash").orderBy("thash")
-    sent = own.withColumn("__row", F.row_number().over(same)).filter("__row = 1").join(links, ["kid", "thash"])
-    sent = sent.select(F.col("to_kid").alias("kid"), F.col("to_hash").alias("thash"), "need",
-                       F.expr("left(text, need)").alias("head"), F.col("sketch").alias("next_sketch"))
-    d = own.join(sent, ["kid", "thash"])
-    doc_id = F.when(F.col("thash").bitwiseAND(F.lit(1)) == 0, F.col("kid")).alias("doc_id")
-    d = d.select(doc_id, F.length("text").cast("long").alias("n_chars"), "sketch", "next_sketch",
-                 F.expr("concat(left(text, length(text) - need), head)").alias("edited"))
-    return sketches(d, "edited", "edited_sketch")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not(F.coalesce("doc_id", F.lit(0)).cast("long")).alias("id"),
+                   F.xxhash64("doc_id", "text").alias("thash"))
+    base = base.select("doc_id", key.alias("key"), "text")
+    starts = block_starts(base.select("doc_id", "key"))
+    placed = base.join(F.broadcast(starts)).withColumn("__block", F.expr(_BLOCK))
+    # the first document of a block is the one after the last of the block before (of the last block before the first)
+    first = F.expr("starts[__block - 1] = key")
+    before = F.expr("if(__block = 1, size(starts), __block - 1)")
+    here = F.struct(F.col("__block").alias("block"), F.lit(False).alias("after"))
+    places = F.when(first, F.array(here, F.struct(before.alias("block"), F.lit(True).alias("after")))).otherwise(F.array(here))
+    placed = placed.select("doc_id", "key", "text", F.inline(places))
+    falling = [F.desc("after"), F.desc("key")]
+    # sorted before the fingerprints are taken: the sort holds texts alone
+    d = prints(placed.repartition("block").sortWithinPartitions("block", *falling), "text", "sketch")
+    line = Window.partitionBy("block").orderBy(*falling)
+    place = F.struct("after", "key")
+    d = d.withColumn("__next", F.when(F.lag(place).over(line) != place, F.lag(F.struct("text", "sketch")).over(line)))
+    # rows of equal key share the next one
+    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("__next", F.last("__next", ignorenulls=True).over(so_far)).filter("not after")
+    need = f"cast(floor(length(text) / {part}) as int)"
+    d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sketch", F.col("__next.sketch").alias("next_sketch"),
+                 F.expr(f"concat(left(text, length(text) - {need}), left(__next.text, {need}))").alias("edited"))
+    return prints(d, "edited", "edited_sketch")

@@ -239,3 +239,55 @@ def test_likeness(make_docs, spark):
             ([(k, k) for k in range(1, 7)], [(1, 8), (2, 9), (3, 30), (5, 12), (6, 41), (7, 3)], 3 / 9)]
     df = spark.createDataFrame(rows, f"a {fingerprints.MARKS}, b {fingerprints.MARKS}, want double")
     assert all(r.got == r.want for r in df.withColumn("got", fingerprints.likeness("a", "b")).collect())
+
+
+def plain_prints(text):
+    found = {}
+    for pos, h in plain_anchors(text):
+        found.setdefault(h, pos)
+    return sorted(found.items())
+
+
+def plain_near(a, b):
+    if not a and not b:
+        return 1.0
+    at = dict(b)
+    distances = [at[h] - p for h, p in a if h in at]
+    many = collections.Counter(distances)
+    kept = len(distances) if len(distances) < 4 else sum(n for n in many.values() if n > 1)
+    return kept / (len(a) + len(b) - kept)
+
+
+def test_fingerprints_hold_every_anchor_whatever_the_length(spark, make_docs, odd_rows, tmp_path):
+    """Texts from below to far above 64 anchors, among them one anchor that a sample would have taken, too."""
+    single = next(t for k in range(100) if plain_anchors(t := f"a{k} b c")[0][1] % 4 == 0 and len(plain_anchors(t)) >= 1)
+    rows = [(k, " ".join(f"w{(k * j) % 977}" for j in range(30 * k))) for k in range(1, 20)] + [(30, single), (31, None), (32, "x y")]
+    make_docs(rows).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    from riskbands.llm.queries import QUERIES
+
+    got = {r.doc_id: r for r in QUERIES["op4_fingerprints"](spark, str(tmp_path)).collect()}
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    for k, (i, t) in enumerate(order):
+        after, cut = order[(k + 1) % len(order)][1], len(t) // 3
+        own, edited, following = (plain_prints(x) for x in (t, t[:len(t) - cut] + after[:cut], after))
+        assert got[i].fingerprint == ",".join(f"{h % (1 << 64):016x}.{p:x}" for h, p in own), i
+        assert got[i].edited_fingerprint == ",".join(f"{h % (1 << 64):016x}.{p:x}" for h, p in edited), i
+        assert got[i].near_edited == pytest.approx(plain_near(own, edited)), i
+        assert got[i].near_next == pytest.approx(plain_near(own, following)), i
+
+
+def test_with_next_over_many_blocks(spark, make_docs, monkeypatch):
+    """Blocks of three documents, ids and rows repeated, null ids, across blocks and ranges."""
+    monkeypatch.setattr(fingerprints, "BLOCK", 3)
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, *range(-60, 60)]), f"text {rnd.randrange(40)} " + "abc" * rnd.randrange(4)) for _ in range(300)]
+    rows += [rows[0]] * 7
+    df = make_docs(rows).select("doc_id", "text").repartition(5)
+    hashes = {(r.doc_id, r.text): r.h for r in df.selectExpr("doc_id", "text", "xxhash64(doc_id, text) as h").collect()}
+    order = sorted(hashes, key=lambda x: (x[0] is None, -(x[0] or 0), hashes[x]))
+    after = dict(zip(order, [*order[1:], order[0]], strict=True))
+    want = collections.Counter()
+    for i, t in rows:
+        cut = len(t) // 3
+        want[i, t[:len(t) - cut] + after[i, t][1][:cut], len(t)] += 1
+    assert collections.Counter((r.doc_id, r.edited, r.n_chars) for r in fingerprints.with_next(df).collect()) == want
