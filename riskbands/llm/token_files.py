@@ -148,7 +148,7 @@ class Words:
         """The packed ids of each text (null: empty), ``end`` appended."""
         lists = pc.ascii_split_whitespace(texts.fill_null(""))  # no token holds ASCII white space
         coded = lists.flatten().dictionary_encode()
-        ids, starts, sizes = self.ids_of(coded.dictionary.to_pylist())
+        ids, starts, sizes = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         codes = coded.indices.to_numpy(zero_copy_only=False)
         stops = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
         if end is not None:
