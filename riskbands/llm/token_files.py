@@ -21,12 +21,10 @@ extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -53,28 +51,73 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(others)}}
 
 
-#: Words whose pieces are found here: printing ASCII and the letters from À to ÿ, which no normal form changes.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-#: The tokenizer's split after lower-casing, written for such words with spaces between them.
-PIECE = re.compile(" |'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-zß-öø-ÿ0-9]+")
-_GAP = np.uint32(0xFFFFFFFF)
-
-
-def slices(ids: np.ndarray, stops: np.ndarray, gap: int) -> list[bytes]:
-    """The packed ids up to each stop, from ``gap`` ids after the stop before."""
-    flat, ends = ids.tobytes(), (4 * stops).tolist()
-    starts = [0, *[e + 4 * gap for e in ends]]
-    return [flat[a:b] for a, b in zip(starts, ends, strict=False)]
+#: Kinds of the bytes of words whose pieces are found here, printing ASCII and the letters from À to ÿ, which no normal
+#: form changes: 1 letters, 2 digits, 3 the others. The letters from À on are 0xC3 and a second byte.
+KINDS = np.zeros(256, np.uint8)
+KINDS[0x21:0x7F] = 3
+KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = 1
+KINDS[0x30:0x3A] = 2
+#: Lower case of a first byte, and of the byte after 0xC3.
+LOWER, LOWER_SECOND = np.arange(256, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+LOWER_SECOND[0x80:0x9F] += 0x20
+
+
+def flat_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the words' bytes one after another, where each word begins and the last one ends)."""
+    words = words.cast(pa.large_string())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    flat = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    return flat, offsets - offsets[0]
+
+
+def kinds_of(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the kind of each byte, 0 where it makes its word one for the library; the places after a 0xC3)."""
+    kinds, second = KINDS[flat], np.flatnonzero(flat == 0xC3) + 1
+    kinds[second] = (flat[second] & 0xDF) != 0x97  # but for × and ÷
+    return kinds, second
+
+
+def piece_starts(lower: np.ndarray, kinds: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether a piece starts at each byte: the tokenizer's split of lower-cased words into
+    's, 't, 're, 've, 'm, 'll, 'd, runs of letters, single digits and runs of the rest."""
+    cut = np.ones(len(lower) + 1, bool)
+    cut[1:-1] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == 2)
+    cut[offsets] = True
+    quotes = np.flatnonzero(lower == 0x27)
+    quotes = quotes[cut[quotes]]
+    room = offsets[np.searchsorted(offsets, quotes, "right")] - quotes - 1
+    first, second = (np.append(lower, [0, 0])[quotes + k] for k in (1, 2))
+    one = (room >= 1) & np.isin(first, list(b"stmd"))
+    two = (room >= 2) & np.isin(256 * first.astype(np.int32) + second, [256 * a + b for a, b in (b"re", b"ve", b"ll")])
+    for chosen, letters in ((one, 1), (two, 2)):
+        cut[quotes[chosen] + 1] = False
+        cut[quotes[chosen] + 1 + letters] = True
+    return cut[:-1]
+
+
+def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of each stretch one after another, where each begins there and the last one ends)."""
+    after = np.concatenate([[0], np.cumsum(sizes)])
+    place = np.repeat(starts - after[:-1], sizes)
+    place += np.arange(after[-1])
+    return ids[place], after
+
+
+def joined(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(the packed ids one after another, where each one's begin and the last one's end)."""
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    return np.frombuffer(b"".join(packed), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
 
 
 class Words:
     """The ids of the words of a chunk of texts.
 
-    Arrow splits a chunk's texts and numbers its distinct words; the texts' ids are gathered by number. The library
-    is asked for pieces: words that differ by case or punctuation share them, and the new pieces of a chunk go to it
-    as one text. In a vocabulary with word ends each piece's last id shows that it is the last, so the ids are cut
-    there. Words of other characters, or with an added token in them, go to it by themselves. Both are kept for
-    later chunks and emptied when too many.
+    Arrow splits a chunk's texts at white space, numpy its words into pieces, and Arrow numbers the distinct pieces,
+    which words share; the texts' ids are gathered by number. The new pieces of a chunk go to the library as one
+    text. In a vocabulary with word ends each piece's last id shows that it is the last, so the ids are cut there.
+    Words of other characters, or with an added token in them, go to it by themselves. Both are kept for later
+    chunks and emptied when too many.
     """
 
     def __init__(self, path: str):
@@ -82,8 +125,7 @@ class Words:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added) or "(?!)")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # the same model on pieces that are normalised, split and spelt in the byte-level alphabet already
         self.model = Tokenizer.from_file(path)
         self.model.normalizer = normalizers.Sequence([])
@@ -92,75 +134,85 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(1 + max(vocabulary.values()), bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {" ": _GAP.tobytes()}
+        self.pieces: dict[bytes, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
     def packed(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[bytes]) -> None:
         """Add new pieces: one text, cut after the ids that end a piece."""
-        spelt = " ".join(pieces).encode().decode("latin-1").translate(self.letters)
+        spelt = b" ".join(pieces).decode("latin-1").translate(self.letters)
         ids = np.array(self.model.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, np.uint32)
-        self.pieces.update(zip(pieces, slices(ids, np.flatnonzero(self.last[ids]) + 1, 0), strict=True))
-
-    def plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start and end of each word's) of plain words, whose pieces are found in one text with gaps between."""
-        found = PIECE.findall(" ".join(words).lower())
+        flat, ends = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        self.pieces.update((p, flat[a:b]) for p, a, b in zip(pieces, [0, *ends[:-1]], ends, strict=True))
+
+    def plain_ids(self, flat: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each word's begin and the last one's end) of plain words."""
+        lower = LOWER[flat]
+        lower[second] = LOWER_SECOND[flat[second]]
+        cut = piece_starts(lower, kinds, offsets)
+        at = np.append(np.flatnonzero(cut), len(lower)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(lower)]).dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.pieces) > CACHE_WORDS:
-            self.pieces = {" ": _GAP.tobytes()}
-        new = list(set(found) - self.pieces.keys())
-        if new:
-            self.learn(new)
-        ids = np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), np.uint32)
-        gaps = np.flatnonzero(ids == _GAP)
-        return ids, np.concatenate([[0], gaps + 1]), np.append(gaps, len(ids))
-
-    def odd_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            self.pieces.clear()
+        found = list(map(self.pieces.get, pieces))
+        if None in found:
+            self.learn([p for p, ids in zip(pieces, found, strict=True) if ids is None])
+            found = list(map(self.pieces.get, pieces))
+        ids, ends = joined(found)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        ids, after = gathered(ids, ends[codes], np.diff(ends)[codes])
+        return ids, after[np.concatenate([[0], np.cumsum(cut, dtype=np.int32)])[offsets]]
+
+    def odd_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same of words that the library gets as they are."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.odd) > CACHE_WORDS:
             self.odd.clear()
-        new = [w for w in words if w not in self.odd]
+        new = [w for w in distinct if w not in self.odd]
         fresh = dict(zip(new, self.packed(new), strict=True))
         self.odd.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST_CACHED)
-        found = [fresh[w] if w in fresh else self.odd[w] for w in words]
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
-        return np.frombuffer(b"".join(found), np.uint32), np.concatenate([[0], ends[:-1]])[:len(ends)], ends
-
-    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start and number of each word's) of distinct words."""
-        plain = np.fromiter(map(bool, map(PLAIN.fullmatch, words)), bool, len(words))
-        if self.added.search(" ".join(words)):
-            plain &= np.fromiter((not self.added.search(w) for w in words), bool, len(words))
-        starts, ends = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        parts, held = [], 0
-        for which, ids_of in ((plain, self.plain_ids), (~plain, self.odd_ids)):
-            chosen = list(compress(words, which))
-            if chosen:
-                ids, a, b = ids_of(chosen)
-                starts[which], ends[which] = a + held, b + held
-                parts.append(ids)
-                held += len(ids)
-        return np.concatenate([np.zeros(0, np.uint32), *parts]), starts, ends - starts
+        ids, ends = joined([fresh[w] if w in fresh else self.odd[w] for w in distinct])
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        return gathered(ids, ends[codes], np.diff(ends)[codes])
+
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start and number of each word's) of words."""
+        flat, offsets = flat_bytes(words)
+        kinds, second = kinds_of(flat)
+        before = np.searchsorted(np.flatnonzero(kinds == 0), offsets)
+        plain = before[1:] == before[:-1]
+        text = flat.tobytes()
+        for token in self.added:
+            if token.encode() in text:
+                plain &= ~pc.match_substring(words, token).to_numpy(zero_copy_only=False)
+        if plain.all():
+            ids, after = self.plain_ids(flat, offsets, kinds, second)
+            return ids, after[:-1], np.diff(after)
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        flat, offsets = flat_bytes(words.filter(pa.array(plain)))
+        ids, after = self.plain_ids(flat, offsets, *kinds_of(flat))
+        starts[plain], sizes[plain] = after[:-1], np.diff(after)
+        odd, after = self.odd_ids(words.filter(pa.array(~plain)))
+        starts[~plain], sizes[~plain] = after[:-1] + len(ids), np.diff(after)
+        return np.concatenate([ids, odd]), starts, sizes
 
     def encode(self, texts: pa.Array, end: int | None = None) -> pa.Array:
         """The packed ids of each text (null: empty), ``end`` appended."""
         lists = pc.ascii_split_whitespace(texts.fill_null(""))  # no token holds ASCII white space
-        coded = lists.flatten().dictionary_encode()
-        ids, starts, sizes = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        codes = coded.indices.to_numpy(zero_copy_only=False)
+        ids, starts, sizes = self.ids_of(lists.flatten())
         stops = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
         if end is not None:
-            codes = np.insert(codes, stops[1:], len(starts))
+            starts, sizes = np.insert(starts, stops[1:], len(ids)), np.insert(sizes, stops[1:], 1)
             stops += np.arange(len(stops))
-            starts, sizes, ids = np.append(starts, len(ids)), np.append(sizes, 1), np.append(ids, np.uint32(end))
-        n = sizes[codes]
-        after = np.concatenate([[0], np.cumsum(n)])
-        place = np.repeat(starts[codes] - after[:-1], n)
-        place += np.arange(after[-1])
+            ids = np.append(ids, np.uint32(end))
+        ids, after = gathered(ids, starts, sizes)
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * after[stops]).astype(np.int32)),
-                                                               pa.py_buffer(ids[place])])
+                                                               pa.py_buffer(ids)])
 
 
 @lru_cache(2)

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import re
 import zlib
 from functools import lru_cache
 
@@ -103,6 +104,45 @@ def test_token_ids_with_emptied_caches(monkeypatch, tokenizer):
         assert got == [[*tokenizer.encode(text, add_special_tokens=False).ids, 2], [2]]
 
 
+def test_a_chunk_asks_for_each_distinct_piece_once(tokenizer):
+    asked = []
+
+    class Noted(dict):
+        def get(self, key):
+            asked.append(key)
+            return super().get(key)
+
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    words = token_files.Words(WORDS)
+    texts = [f"{'' if n % 2 else '('}Word{c} word's" for n in range(50) for c in ",.;:!?"]
+    words.encode(pa.array(texts))  # learns
+    words.pieces = Noted(words.pieces)
+    got = [np.frombuffer(x, np.uint32).tolist() for x in words.encode(pa.array(texts)).to_pylist()]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(asked) == sorted(set(asked))
+
+
+PLAIN_WORDS = st.lists(st.text(alphabet="aZ'sStTRErevVEmMlLdD09.,×÷ÀÖØÞßàöøÿñ<|", max_size=8), max_size=8)
+
+
+@settings(max_examples=400, deadline=None)
+@given(words=PLAIN_WORDS)
+def test_pieces_of_plain_words(words):
+    words = [w for w in words if not set(w) & set("×÷")]
+    flat, offsets = token_files.flat_bytes(pa.array(["before", *words], pa.string())[1:])
+    kinds, second = token_files.kinds_of(flat)
+    lower = np.frombuffer("".join(words).lower().encode(), np.uint8)
+    cut = np.append(np.flatnonzero(token_files.piece_starts(lower, kinds, offsets)), len(lower))
+    got = [lower[a:b].tobytes().decode() for a, b in zip(cut, cut[1:], strict=False)]
+    split = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-zß-öø-ÿ0-9]+")
+    assert got == [p for w in words for p in split.findall(w.lower())]
+    assert token_files.LOWER_SECOND[flat[second]].tolist() == lower[second].tolist()
+    assert (kinds > 0).all() and (token_files.kinds_of(token_files.flat_bytes(pa.array(["×", "÷", "é"]))[0])[0] == [1, 0, 1, 0, 1, 1]).all()
+
+
 def test_token_files_round_trip(make_docs, odd_rows, tokenizer, monkeypatch):
     rows = [*odd_rows, (30, "hello <|endoftext|> world<|startoftext|>"), (31, "Σίσυφος ΟΔΟΣ, naïve ÀÉÎ don't WE'LL 3rd")]
     docs = make_docs(rows)
