@@ -22,15 +22,16 @@ def after_the_last(stage: Stage) -> Stage:
     """The stage, once what the stage before it wrote for itself is gone.
 
     Its ``docs`` are stored rows, so the former stage's result has been written in full; folders that ``docs`` itself
-    reads stay.
+    reads stay, and those among them that no stage wrote are never removed here.
     """
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         own, still = _OWN.setdefault(spark.sparkContext.applicationId, []), left_by(spark, docs)
         delete(spark, [p for p in left(spark) if p in own and p not in still])
+        read = [p for p in own if p in still]
         before = set(left(spark))
         out = stage(spark, docs, sf_dir)
-        own[:] = [*still, *[p for p in left(spark) if p not in before]]
+        own[:] = [*read, *[p for p in left(spark) if p not in before]]
         return out
     return run
 

@@ -111,6 +111,17 @@ def test_run_leaves_only_what_its_result_reads(spark, corpus, tmp_path):
     assert set(files_below(root)) == before
 
 
+def test_a_stage_keeps_the_rows_that_its_caller_stored(spark, corpus):
+    root = checkpoint_root(spark)
+    docs = written(documents(spark, corpus), "test-caller")
+    stored = {x for x in files_below(root) if x.startswith("llm-test-caller")}
+    corpus_pipeline.STAGES[4][1](spark, docs, "")
+    corpus_pipeline.STAGES[4][1](spark, documents(spark, corpus), "")  # a later run starts
+    assert stored and stored <= set(files_below(root))
+    assert docs.count() == len(corpus)
+    common.discard(docs)
+
+
 def test_a_failed_run_leaves_nothing(spark, corpus, tmp_path, monkeypatch):
     documents(spark, corpus).write.parquet(str(tmp_path / "documents.parquet"))
     root = checkpoint_root(spark)
