@@ -1,8 +1,8 @@
 """Operator 7: token-id files with frequency-ranked ids in byte-aligned variable-length coding.
 
 ``encode`` tokenises whole texts with the tokenizers library, its settings as the file gives them (so an added
-token's string in a text is that token). White space separates words for this tokenizer, so each distinct word
-of a batch is encoded once, from the ids of its pieces, and kept in a bounded cache. ``write`` counts every id over
+token's string in a text is that token). White space separates words for this tokenizer, so the words
+are cut into its pieces and each distinct piece is encoded once and kept in a bounded cache. ``write`` counts every id over
 all documents, gives the most frequent ids the lowest ranks, sorts the documents by id across the cluster
 (range partitioning) and packs them in blocks: a control stream holds two bits for each rank (its length of
 1 to 4 bytes), a separate data stream the bytes. ``read`` takes the files alone and decodes four ranks a
@@ -41,7 +41,6 @@ CACHE_WORDS = 500_000
 LONGEST_CACHED = 64
 CHUNK_BYTES = 4 << 20
 BLOCK_TOKENS = 1 << 18
-_STARTS = np.array([0, 1 << 8, 1 << 16, 1 << 24])
 
 
 def byte_letters() -> dict[int, str]:
@@ -117,7 +116,7 @@ class Words:
     which words share; the texts' ids are gathered by number. The new pieces of a chunk go to the library as one
     text. In a vocabulary with word ends each piece's last id shows that it is the last, so the ids are cut there.
     Words of other characters, or with an added token in them, go to it by themselves. Both are kept for later
-    chunks and emptied when too many.
+    chunks; too many words are emptied, and of too many pieces those stay that are met again.
     """
 
     def __init__(self, path: str):
@@ -135,6 +134,7 @@ class Words:
         self.last = np.zeros(1 + max(vocabulary.values()), bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.pieces: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
     def packed(self, words: list[str]) -> list[bytes]:
@@ -143,6 +143,8 @@ class Words:
 
     def learn(self, pieces: list[bytes]) -> None:
         """Add new pieces: one text, cut after the ids that end a piece."""
+        if not pieces:
+            return
         spelt = b" ".join(pieces).decode("latin-1").translate(self.letters)
         ids = np.array(self.model.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, np.uint32)
         flat, ends = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
@@ -157,10 +159,12 @@ class Words:
         coded = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(lower)]).dictionary_encode()
         pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
+            self.older, self.pieces = self.pieces, {}
         found = list(map(self.pieces.get, pieces))
         if None in found:
-            self.learn([p for p, ids in zip(pieces, found, strict=True) if ids is None])
+            missing = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
+            self.pieces.update((p, self.older[p]) for p in missing if p in self.older)
+            self.learn([p for p in missing if p not in self.older])
             found = list(map(self.pieces.get, pieces))
         ids, ends = joined(found)
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -180,8 +184,8 @@ class Words:
         codes = coded.indices.to_numpy(zero_copy_only=False)
         return gathered(ids, ends[codes], np.diff(ends)[codes])
 
-    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start and number of each word's) of words."""
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any words."""
         flat, offsets = flat_bytes(words)
         kinds, second = kinds_of(flat)
         before = np.searchsorted(np.flatnonzero(kinds == 0), offsets)
@@ -191,28 +195,25 @@ class Words:
             if token.encode() in text:
                 plain &= ~pc.match_substring(words, token).to_numpy(zero_copy_only=False)
         if plain.all():
-            ids, after = self.plain_ids(flat, offsets, kinds, second)
-            return ids, after[:-1], np.diff(after)
+            return self.plain_ids(flat, offsets, kinds, second)
         starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         flat, offsets = flat_bytes(words.filter(pa.array(plain)))
         ids, after = self.plain_ids(flat, offsets, *kinds_of(flat))
         starts[plain], sizes[plain] = after[:-1], np.diff(after)
         odd, after = self.odd_ids(words.filter(pa.array(~plain)))
         starts[~plain], sizes[~plain] = after[:-1] + len(ids), np.diff(after)
-        return np.concatenate([ids, odd]), starts, sizes
+        return gathered(np.concatenate([ids, odd]), starts, sizes)
 
     def encode(self, texts: pa.Array, end: int | None = None) -> pa.Array:
         """The packed ids of each text (null: empty), ``end`` appended."""
         lists = pc.ascii_split_whitespace(texts.fill_null(""))  # no token holds ASCII white space
-        ids, starts, sizes = self.ids_of(lists.flatten())
+        ids, after = self.ids_of(lists.flatten())
         stops = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        ends = after[stops]
         if end is not None:
-            starts, sizes = np.insert(starts, stops[1:], len(ids)), np.insert(sizes, stops[1:], 1)
-            stops += np.arange(len(stops))
-            ids = np.append(ids, np.uint32(end))
-        ids, after = gathered(ids, starts, sizes)
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * after[stops]).astype(np.int32)),
-                                                               pa.py_buffer(ids)])
+            ids = np.insert(ids, ends[1:], end)
+            ends += np.arange(len(ends))
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids)])
 
 
 @lru_cache(2)
@@ -234,30 +235,33 @@ def encode(docs: DataFrame, path: str, end: int | None = None, text: str = "text
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data): two bits for each rank's length less one, lowest first; the ranks' low bytes."""
-    sizes = np.searchsorted(_STARTS, ranks, side="right")
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[:len(ranks)] = sizes - 1
-    quads = codes.reshape(-1, 4)
-    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    widest = int(sizes.max(initial=1))
-    low = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :widest]
-    return control.tobytes(), low[np.arange(widest) < sizes[:, None]].tobytes()
+#: Lengths of the four ranks of each control byte, their longest, and which bytes of integers of 1, 2 or 4 bytes are kept.
+LENGTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)
+LONGEST = LENGTHS.max(axis=1)
+KEPT = {w: (np.arange(w) < LENGTHS[:, :, None]).reshape(256, 4 * w) for w in (1, 2, 4)}
 
 
-#: Lengths of the four ranks of each control byte.
-LENGTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)
+def kept_bytes(control: np.ndarray, n: int) -> tuple[int, np.ndarray]:
+    """(bytes of the integers that hold n ranks, the places of those that are kept)."""
+    width = (1, 1, 2, 4, 4)[LONGEST[control].max(initial=1)]
+    return width, np.flatnonzero(KEPT[width][control].ravel()[:width * n])
+
+
+def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """(control, data): two bits for each rank's length less one, lowest first; the ranks' low bytes."""
+    codes = np.zeros((-(-len(ranks) // 4), 4), np.uint8)
+    for least in (1 << 8, 1 << 16, 1 << 24):
+        codes.reshape(-1)[:len(ranks)] += ranks >= least
+    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    width, kept = kept_bytes(control, len(ranks))
+    return control.tobytes(), ranks.astype(f"<u{width}").view(np.uint8)[kept].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    sizes = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    ends = np.cumsum(sizes)
-    flat = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
-    out = np.zeros(n, np.uint32)
-    for k in range(int(sizes.max(initial=1))):  # the kth byte of every rank that has one
-        out |= np.where(k < sizes, flat[ends - sizes + k], 0).astype(np.uint32) << np.uint32(8 * k)
-    return out
+    width, kept = kept_bytes(np.frombuffer(control, np.uint8), n)
+    out = np.zeros(width * n, np.uint8)
+    out[kept] = np.frombuffer(data, np.uint8)
+    return out.view(f"<u{width}").astype(np.uint32)
 
 
 def rank_table(tokens: DataFrame) -> DataFrame:
@@ -315,7 +319,7 @@ def write(tokens: DataFrame, path: str) -> None:
     with shuffles_dropped(spark):
         rank_table(tokens).write.parquet(f"{path}/ranks")
     ranks = spark.read.parquet(f"{path}/ranks").collect()  # at most the vocabulary
-    by_id = np.zeros(1 + max((r.id for r in ranks), default=0), np.int64)
+    by_id = np.zeros(1 + max((r.id for r in ranks), default=0), np.uint32)
     for r in ranks:
         by_id[r.id] = r.rank
     kind = tokens.schema["doc_id"].dataType

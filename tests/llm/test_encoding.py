@@ -143,6 +143,17 @@ def test_pieces_of_plain_words(words):
     assert (kinds > 0).all() and (token_files.kinds_of(token_files.flat_bytes(pa.array(["×", "÷", "é"]))[0])[0] == [1, 0, 1, 0, 1, 1]).all()
 
 
+def test_pieces_met_again_outlive_an_emptied_cache(monkeypatch, tokenizer):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 2)
+    words, learnt = token_files.Words(WORDS), []
+    learn = words.learn
+    monkeypatch.setattr(words, "learn", lambda pieces: (learnt.extend(pieces), learn(pieces)))
+    for n in range(6):
+        text = f"often seen {chr(97 + n) * 3}"
+        assert np.frombuffer(words.encode(pa.array([text]))[0].as_py(), np.uint32).tolist() == tokenizer.encode(text).ids
+    assert len(learnt) == len(set(learnt)) == 8 and len(words.pieces) <= 3 + 2
+
+
 def test_token_files_round_trip(make_docs, odd_rows, tokenizer, monkeypatch):
     rows = [*odd_rows, (30, "hello <|endoftext|> world<|startoftext|>"), (31, "Σίσυφος ΟΔΟΣ, naïve ÀÉÎ don't WE'LL 3rd")]
     docs = make_docs(rows)
