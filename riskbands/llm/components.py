@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskbands.llm.common import written
+from riskbands.llm.common import merge_join, written
 
 ONE_TASK = 500_000
 
@@ -29,7 +29,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    moved = both.join(least, "a")
+    moved = merge_join(both, least, "a")
     if large:
         moved = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -24,6 +24,8 @@ Every link between different sets is found or implied by the components, without
 A token that is frequent within a chunk of a task is set aside there (its holders are known to share it) and
 announced to the others, so no window group holds a token of a large share of all rows.
 
+Every table here grows with the input, so all joins are by sort and merge: none goes through the driver's memory.
+
 Defined cases: documents without words or with null text have no shingles, are their own component and link
 with nothing; repeated rows and equal sets are one class; a null doc_id never becomes a component id unless
 all of the component's ids are null; an empty table gives an empty result; other columns are ignored.
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskbands.llm.bpe import in_chunks
-from riskbands.llm.common import discard, scratch, written
+from riskbands.llm.common import discard, merge_join, scratch, written
 from riskbands.llm.components import components
 
 WIDTH = 5
@@ -196,7 +198,7 @@ def _near(a: str, b: str, percent: int) -> Column:
 def beside(rows: DataFrame, sets: DataFrame, key: str, prefix: str, columns: list[str]) -> DataFrame:
     """``rows`` with the columns of the set named in ``key``, under names that begin with ``prefix``."""
     marks = sets.select(F.col("node").alias("__node"), *[F.col(c).alias(prefix + c) for c in columns])
-    return rows.join(marks, F.col(key) == F.col("__node")).drop("__node")
+    return merge_join(rows, marks, F.col(key) == F.col("__node")).drop("__node")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, slack: int) -> DataFrame:
@@ -242,14 +244,14 @@ def _overlap(n: Column, percent: int) -> Column:
 def candidates(feats: DataFrame, classes: DataFrame, percent: int, slack: int) -> DataFrame:
     """(token, node, n, s, at): each class's prefix under order two; ``at`` is the place among its s tokens."""
     rows = written(shared_tokens(feats), "ngram-shared")
-    rows = rows.join(classes.select(F.substring("node", 1, 8).alias("short"), "node", "n"), "short")
+    rows = merge_join(rows, classes.select(F.substring("node", 1, 8).alias("short"), "node", "n"), "short")
     least = F.least(F.lit(slack), _overlap(F.col("n"), percent))
     of = Window.partitionBy("node")
     rows = rows.select("token", "node", "n", "held", least.alias("m"), F.count("*").over(of).alias("s"))
     rows = rows.filter("s >= m").withColumn("at", F.row_number().over(of.orderBy("held", "token")))
     rows = rows.filter("at <= s - m + 1").select("token", "node", "n", "s", "at")
     several = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
-    return rows.join(several, "token").drop("c")
+    return merge_join(rows, several, "token").drop("c")
 
 
 def _possible(a: str, b: str, percent: int, slack: int) -> Column:
@@ -269,7 +271,7 @@ def _possible(a: str, b: str, percent: int, slack: int) -> Column:
 def _pairs(rows: DataFrame, a: str, b: str, tried: DataFrame | None) -> DataFrame:
     """Distinct unordered pairs of the nodes in two columns, without those tried before."""
     pairs = rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    return written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+    return written(pairs if tried is None else merge_join(pairs, tried, ["a", "b"], "left_anti"), "ngram-pairs")
 
 
 def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, percent: int, width: int, slack: int) -> DataFrame | None:
@@ -277,10 +279,10 @@ def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, percent: int, w
     with scratch(docs.sparkSession) as needed:
         rows = written(candidates(feats, classes, percent, slack), "ngram-candidates")
         needed.append(rows)
-    kept = rows.select("node").distinct().join(classes, "node").select(
+    kept = merge_join(rows.select("node").distinct(), classes, "node").select(
         F.col("doc_id").alias("__id"), F.col("thash").alias("__th"))
     holders = docs.select("doc_id", "text", F.xxhash64("text").alias("thash"))
-    holders = holders.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("thash") == F.col("__th")))
+    holders = merge_join(holders, kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("thash") == F.col("__th")))
     sets = written(sets_of(holders, width).dropDuplicates(["node"]), "ngram-sets")
     found, roots, tried, turn, fruitful, now_written = None, None, None, 0, True, None
     size = sets.count()
@@ -289,8 +291,8 @@ def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, percent: int, w
         if roots is not None:
             mass = roots.groupBy("root").agg((F.count("*") + 1).alias("mass"))
             # both sides hold linked nodes only; the root itself isn't listed among them
-            known = roots.unionByName(mass.select(F.col("root").alias("node"), "root")).join(mass, "root")
-            now = rows.join(known, "node", "left").select(
+            known = merge_join(roots.unionByName(mass.select(F.col("root").alias("node"), "root")), mass, "root")
+            now = merge_join(rows, known, "node", "left").select(
                 *rows.columns, F.coalesce("root", "node").alias("label"), F.coalesce("mass", F.lit(1)).alias("mass"))
             before, now = now_written, written(now, "ngram-labels")
             now_written = now
@@ -302,7 +304,7 @@ def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, percent: int, w
         seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(SEATS if turn else 1))
         pivots = now.groupBy("token", seat.alias("seat")).agg(
             F.min_by(F.struct("node", "n", "s", "at", "label"), F.xxhash64("node", "token", F.lit(turn))).alias("p"))
-        apart = now.join(pivots, "token").filter((F.col("label") != F.col("p.label")) & _possible("", "p.", percent, slack))
+        apart = merge_join(now, pivots, "token").filter((F.col("label") != F.col("p.label")) & _possible("", "p.", percent, slack))
         pairs = _pairs(apart, "node", "p.node", tried)
         fresh = written(verified(pairs, sets, percent, slack), "ngram-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -315,12 +317,12 @@ def links(docs: DataFrame, feats: DataFrame, classes: DataFrame, percent: int, w
         roots = components(found)
     # every pair of two components holds a node outside the token's largest one
     largest = now.groupBy("token").agg(F.max_by("label", F.struct("mass", "label")).alias("largest"))
-    outside = written(beside(now.join(largest, "token").filter("label <> largest"), sets, "node", "", BITS), "ngram-outside")
-    there = now.join(outside.select("token").distinct(), "token", "left_semi")
+    outside = written(beside(merge_join(now, largest, "token").filter("label <> largest"), sets, "node", "", BITS), "ngram-outside")
+    there = merge_join(now, outside.select("token").distinct(), "token", "left_semi")
     there = beside(there, sets, "node", "", BITS)
     other = there.select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "s", "at", "label", *BITS)])
-    rest = outside.join(other, "token").filter((F.col("label") != F.col("other_label"))
-                                               & _possible("", "other_", percent, slack) & _near("", "other_", percent))
+    rest = merge_join(outside, other, "token").filter((F.col("label") != F.col("other_label"))
+                                                      & _possible("", "other_", percent, slack) & _near("", "other_", percent))
     fresh = written(verified(_pairs(rest, "node", "other_node", tried), sets, percent, slack), "ngram-links")
     if fresh.isEmpty():
         return roots
@@ -341,13 +343,13 @@ def with_component(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
         if roots is None:
             named = classes.select("node", F.col("doc_id").alias("component_id"), F.col("thash").alias("first"))
         else:
-            rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            rooted = merge_join(classes, roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "thash")).alias("r"))
-            named = rooted.select("node", "root").join(least, "root").select(
+            named = merge_join(rooted.select("node", "root"), least, "root").select(
                 "node", F.col("r.doc_id").alias("component_id"), F.col("r.thash").alias("first"))
         named = written(named, "ngram-components")
         kept += [feats, named]
-    out = feats.select("doc_id", "thash", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
+    out = merge_join(feats.select("doc_id", "thash", F.col("n").alias("n_shingles"), "node"), named, "node", "left")
     chosen = (F.col("n_shingles") == 0) | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("thash") == F.col("first")))
     return out.select("doc_id", "thash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
                       chosen.alias("chosen"))
@@ -368,5 +370,5 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
         kept = written(kept.select(F.col("doc_id").alias("__id"), F.col("thash").alias("__th")).distinct(), "ngram-kept")
         needed.append(kept)
     known = docs.withColumn("__hash", F.xxhash64("text"))
-    known = known.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left_semi")
+    known = merge_join(known, kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left_semi")
     return known.dropDuplicates(["doc_id", "__hash"]).drop("__hash")

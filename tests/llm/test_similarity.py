@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from riskbands.llm import components, fingerprints, ngram_join
+from riskbands.llm import common, components, fingerprints, ngram_join
 
 
 def sets_of(rows):
@@ -108,6 +108,24 @@ def test_ngram_join_of_string_ids(spark):
     assert sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect()) == ["a", "c", "d"]
 
 
+def test_no_join_of_ngram_join_goes_through_the_driver(make_docs, monkeypatch):
+    """Its tables all grow with the input, and estimates may be far too small: none may be broadcast, however small it looks."""
+    plans = []
+
+    def noted(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.written(df, *args)
+    for module in (ngram_join, components):
+        monkeypatch.setattr(module, "written", noted)
+    docs = make_docs(corpus(4))
+    for out in (ngram_join.ngram_join(docs), ngram_join.one_of_each(docs)):
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    links = docs.select((docs.doc_id + 1).cast("string").alias("a"), docs.doc_id.cast("string").alias("b"))
+    components.components(links, one_task=0)
+    assert sum(p.count("SortMergeJoin") for p in plans) > 20
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_one_of_each(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     out = ngram_join.one_of_each(docs)
