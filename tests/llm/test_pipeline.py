@@ -113,7 +113,7 @@ def test_run_leaves_only_what_its_result_reads(spark, corpus, tmp_path):
 
 def test_a_stage_keeps_the_rows_that_its_caller_stored(spark, corpus):
     root = checkpoint_root(spark)
-    docs = written(documents(spark, corpus), "test-caller")
+    docs = common.written(documents(spark, corpus), "test-caller")
     stored = {x for x in files_below(root) if x.startswith("llm-test-caller")}
     corpus_pipeline.STAGES[4][1](spark, docs, "")
     corpus_pipeline.STAGES[4][1](spark, documents(spark, corpus), "")  # a later run starts
